@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import language_model, licences
+
 MIXING = r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -37,5 +39,47 @@ FROM h
 """
 
 
+LANGUAGE_MODEL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS spot FROM texts),
+pairs AS (SELECT a.rid, a.w AS v, b.w, a.spot FROM words a JOIN words b ON a.rid = b.rid AND b.spot = a.spot + 1),
+word_own AS (SELECT rid, w, count(*) AS own FROM words GROUP BY ALL),
+word_rest AS (SELECT rid, w, own, sum(own) OVER (PARTITION BY w) - own AS others FROM word_own),
+pair_own AS (SELECT rid, v, w, count(*) AS own FROM pairs GROUP BY ALL),
+pair_rest AS (SELECT rid, v, w, own, sum(own) OVER (PARTITION BY v, w) - own AS others FROM pair_own),
+size AS (SELECT rid, doc_id, len(ws) AS n, greatest(sum(len(ws)) OVER () - len(ws), 1)::DOUBLE AS rest FROM texts),
+logs AS (
+    SELECT p.rid, p.own * CASE WHEN p.others > 0 THEN ln(p.others) - ln(a.others) ELSE ln({language_model.BACKOFF}) + ln(greatest(b.others, {language_model.UNSEEN})) - ln(s.rest) END AS x
+    FROM pair_rest p JOIN word_rest a ON a.rid = p.rid AND a.w = p.v JOIN word_rest b ON b.rid = p.rid AND b.w = p.w JOIN size s ON s.rid = p.rid
+    UNION ALL
+    SELECT f.rid, ln(greatest(r.others, {language_model.UNSEEN})) - ln(s.rest) FROM words f JOIN word_rest r ON r.rid = f.rid AND r.w = f.w JOIN size s ON s.rid = f.rid WHERE f.spot = 0)
+SELECT any_value(s.doc_id) AS doc_id, any_value(s.n)::BIGINT AS n_words, round(sum(x) / any_value(s.n), 6) AS score
+FROM size s LEFT JOIN logs ON logs.rid = s.rid GROUP BY s.rid
+"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+LICENCES = rf"""
+WITH known(norm, id) AS (VALUES {_values([(s, i) for i, s in licences.SENTENCES.items()])}),
+rules(place, licence, n, ids) AS (VALUES {_values([(k, name, len(own), ",".join(own)) for k, (name, own) in enumerate(licences.RULES)])}),
+texts AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+        string_split(regexp_replace(regexp_replace(text, '{licences.ENDS}', '\1' || chr(1), 'g'), '{licences.GAPS}', chr(1), 'g'), chr(1)) AS parts
+    FROM documents),
+sentences AS (SELECT rid, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS spot FROM texts),
+marks AS (SELECT rid, doc_id, spot, id FROM sentences JOIN known ON norm = trim(regexp_replace(lower(s), '{licences.REST}', ' ', 'g'))),
+tried AS (
+    SELECT a.rid, a.doc_id, a.spot, r.place, r.licence, r.n, r.ids,
+        string_agg(b.id, ',' ORDER BY b.spot) AS found
+    FROM marks a JOIN rules r ON true JOIN marks b ON b.rid = a.rid AND b.spot BETWEEN a.spot AND a.spot + r.n - 1
+    GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY rid, spot ORDER BY place) AS turn FROM tried WHERE found = ids)
+SELECT doc_id, licence, spot::INTEGER AS first_sentence, (spot + n - 1)::INTEGER AS last_sentence, ids AS sentence_ids FROM best WHERE turn = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING, "op9_warc": WARC}
+    return {"op1_mixing": MIXING, "op2_language_model": LANGUAGE_MODEL, "op8_licences": LICENCES, "op9_warc": WARC}

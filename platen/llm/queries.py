@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, simhash, toxicity, warc
+from . import fingerprints, html_text, language_model, licences, mixing, neighbours, packing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -38,11 +47,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(spark, F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     records = warc.read_archives(warc.write_warc(warc.with_revisits(pages)))
@@ -55,4 +73,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_fingerprints, op5_toxicity, op7_simhash, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_model, op3_neighbours, op4_fingerprints, op5_toxicity, op6_html_text, op7_simhash, op8_licences, op9_warc, op10_packing)}
