@@ -24,7 +24,7 @@ from .common import parts, stage
 
 #: Weight of a backoff step, and the occurrences that a word counts for which no other document has.
 BACKOFF, UNSEEN = 0.4, 0.5
-BATCH_CHARS, BUCKET_GRAMS = 16_000_000, 3_000_000
+BATCH_CHARS, BUCKET_GRAMS = 6_000_000, 1_500_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -85,18 +85,28 @@ class Grams:
         return total, divided
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte plane by byte plane: the high planes are all but empty and compress to nothing."""
+    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _ask(buckets: int):
     def run(batch: pa.Table) -> pa.Table:
         g = Grams(batch.column("text"))
         each = [(b, own) for b, own in enumerate(g.by_bucket(buckets)) if len(own)]
         own = batch.column("batch")[0].as_py()
-        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "bucket": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([g.hashes[o].tobytes() for _, o in each], pa.binary()), "counts": pa.array([g.counts[o].tobytes() for _, o in each], pa.binary())})
+        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "bucket": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([packed(g.hashes[o]) for _, o in each], pa.binary()), "counts": pa.array([g.counts[o].tobytes() for _, o in each], pa.binary())})
 
     return run
 
 
 def _add(bucket: pa.Table) -> pa.Table:
-    hashes = [np.frombuffer(x, np.uint64) for x in bucket.column("hashes").to_pylist()]
+    hashes = [unpacked(x) for x in bucket.column("hashes").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(at, counts, len(distinct)).astype(np.uint64)[at]
