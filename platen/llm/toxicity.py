@@ -42,11 +42,18 @@ class Model(NamedTuple):
     slope: float
     bias: float
 
-    def raw(self, texts: pa.Array) -> np.ndarray:
-        return spans(words(texts), pa.array(self.words, pa.string()), np.array([*self.odds, self.other]), self.span)
-
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.bias, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw([self], texts)[:, 0] + self.bias, -500, 500)))
+
+
+def raw(models: list[Model], texts: pa.Array) -> np.ndarray:
+    """Of each text (rows) and model: its most toxic stretch."""
+    tables = [(pa.array(m.words, pa.string()), np.array([*m.odds, m.other]), m.span) for m in models]
+    out = [np.zeros((0, len(models)))]
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, 2 << 20):  # some twenty numbers a word are held
+        split = words(part.column(0))
+        out.append(np.stack([spans(split, *t) for t in tables], 1))
+    return np.concatenate(out)
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -147,14 +154,13 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sent = documents.sparkSession.sparkContext.broadcast([tuple(m) for m in models])
 
     @F.pandas_udf("array<double>")
-    def raw(texts: pd.Series) -> pd.Series:
-        split = pa.array(texts, pa.large_string(), from_pandas=True)
-        return pd.Series(list(np.stack([Model(*m).raw(split) for m in sent.value], 1)))
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(raw([Model(*m) for m in sent.value], pa.array(texts, pa.large_string(), from_pandas=True))))
 
     held = rows.filter("held")
     if held.select("toxic").distinct().count() < 2:  # too few to hold any back
         held = rows
-    points = held.select("toxic", raw("text").alias("x")).toPandas()
+    points = held.select("toxic", each("text").alias("x")).toPandas()
     x, y = np.stack(points["x"].to_list()).reshape(len(points), -1), points["toxic"].to_numpy(float)
     curves = [_logistic(x[:, i], y) for i in range(len(models))]
     best = min(range(len(models)), key=lambda i: curves[i][0])
