@@ -72,7 +72,7 @@ def answers_for_page(pages: DataFrame, materials: DataFrame, netto: DataFrame, t
     jobs = netto.select("*", F.lit(1).alias("one")).join(F.broadcast(materials.select("id", "bleed_mm", F.lit(1).alias("one"))), "one").drop("one")
     jobs = jobs.withColumns({"job_w": F.col("netto_w") + 2 * F.col("bleed_mm"), "job_h": F.col("netto_h") + 2 * F.col("bleed_mm")})
     jobs = jobs.withColumns({"cx": F.floor(F.col("job_w") / cell), "cy": F.floor(F.col("job_h") / cell)})
-    near = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / cell) + d))
+    near = lambda c: F.explode(F.array(*[F.floor(F.col(c) / cell) + d for d in (-1, 0, 1)]))
     spread = pages.withColumn("cx", near("w")).withColumn("cy", near("h"))
     return spread.join(jobs, ["cx", "cy"]).filter((F.abs(F.col("w") - F.col("job_w")) <= tolerance_mm) & (F.abs(F.col("h") - F.col("job_h")) <= tolerance_mm)).select("page_id", "id", "netto_w", "netto_h")
 

@@ -1,5 +1,5 @@
 """Queries on the driver's tables, each with its SQL where SQL can express it."""
 
-from . import judging, tracking
+from . import judging, measuring, tracking
 
-QUERIES = {**judging.QUERIES, **tracking.QUERIES}
+QUERIES = {**judging.QUERIES, **tracking.QUERIES, **measuring.QUERIES}

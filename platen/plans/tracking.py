@@ -183,14 +183,15 @@ def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(*map(F.lit, ("mm", "cm", "", "m", " CM "))), (F.col("p_partkey") % 5 + 1).cast("int"))
     name = F.concat(F.when(F.col("p_partkey") % 4 == 0, "żółw").otherwise("plan"), F.when(F.col("p_partkey") % 3 == 0, ".v1_").otherwise("_"), F.col("p_size"), F.lit(",5"), unit, F.when(F.col("p_partkey") % 2 == 0, " x ").otherwise("X"), (F.col("p_partkey") % 900).cast("string"), F.when(F.col("p_partkey") % 7 == 0, "makieta").otherwise(""), F.when(F.col("p_partkey") % 11 == 0, ".TIFF").otherwise(".pdf"))
     t = p.select("p_partkey", name.alias("name")).withColumn("size", names.named_size(F.col("name")))
-    return t.select("p_partkey", names.extension(F.col("name")).alias("extension"), names.extra_dots(F.col("name")).alias("extra_dots"), names.has_diacritics("name").alias("diacritics"), F.col("size.w").alias("w"), F.col("size.h").alias("h"), F.col("size.stated").alias("stated"))
+    return t.select("p_partkey", names.extension(F.col("name")).alias("extension"), names.extra_dots(F.col("name")).alias("extra_dots"), names.has_diacritics("name").alias("diacritics"), F.col("size.w").alias("w"), F.col("size.h").alias("h"), F.coalesce("size.stated", F.lit(False)).alias("stated"))
 
 
 NAMES = """
 WITH u AS (SELECT p_partkey, p_size, (['mm', 'cm', '', 'm', ' CM '])[p_partkey % 5 + 1] AS unit, p_partkey % 900 AS second FROM part),
 f AS (SELECT *, CASE lower(trim(unit)) WHEN 'cm' THEN 10.0 WHEN 'm' THEN 1000.0 ELSE 1.0 END AS factor FROM u)
 SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'tiff' ELSE 'pdf' END AS extension, p_partkey % 3 = 0 AS extra_dots, p_partkey % 4 = 0 AS diacritics,
-    CASE WHEN second > 0 THEN round((p_size + 0.5) * factor, 2) END AS w, CASE WHEN second > 0 THEN round(second * factor, 2)::DOUBLE END AS h, CASE WHEN second > 0 THEN trim(unit) <> '' END AS stated FROM f"""
+    CASE WHEN ok THEN round((p_size + 0.5) * factor, 2) END AS w, CASE WHEN ok THEN round(second * factor, 2)::DOUBLE END AS h, ok AND trim(unit) <> '' AS stated
+FROM (SELECT *, second > 0 AND (p_partkey % 2 = 0 OR unit IN ('', ' CM ')) AS ok FROM f)"""  # a unit with a letter right behind it is none
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
