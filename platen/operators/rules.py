@@ -71,16 +71,46 @@ def in_any(pairs: list[tuple[Column, Column]], test: Callable[[Column, Column],
     return out
 
 
-page_w, page_h = F.get(f("page_mm"), F.lit(0)), F.get(f("page_mm"), F.lit(1))
-netto_w, netto_h = F.get(e("netto_mm"), F.lit(0)), F.get(e("netto_mm"), F.lit(1))
-brutto_w, brutto_h = F.get(e("brutto_mm"), F.lit(0)), F.get(e("brutto_mm"), F.lit(1))
-cut_work = F.coalesce(m("cut_path"), F.lit(False))
-page_scale = F.coalesce(set_number(f("measured_scale")), set_number(e("scale")), F.lit(1))
+def _side(column: Column, k: int) -> Column:
+    return F.get(column, F.lit(k))
+
+
+def page_w() -> Column:
+    return _side(f("page_mm"), 0)
+
+
+def page_h() -> Column:
+    return _side(f("page_mm"), 1)
+
+
+def netto_w() -> Column:
+    return _side(e("netto_mm"), 0)
+
+
+def netto_h() -> Column:
+    return _side(e("netto_mm"), 1)
+
+
+def brutto_w() -> Column:
+    return _side(e("brutto_mm"), 0)
+
+
+def brutto_h() -> Column:
+    return _side(e("brutto_mm"), 1)
+
+
+def cut_work() -> Column:
+    return F.coalesce(m("cut_path"), F.lit(False))
+
+
+def page_scale() -> Column:
+    """The scale the page is drawn at, as it was measured, else as it was ordered."""
+    return F.coalesce(set_number(f("measured_scale")), set_number(e("scale")), F.lit(1))
 
 
 def drawn_scale() -> Column:
     """N where the page is the expected artwork at 1:N and the expectation is 1:1, else 1."""
-    fits = lambda n: same_size(page_w, page_h, brutto_w / n, brutto_h / n) | same_size(page_h, page_w, brutto_w / n, brutto_h / n)
+    fits = lambda n: same_size(page_w(), page_h(), brutto_w() / n, brutto_h() / n) | same_size(page_h(), page_w(), brutto_w() / n, brutto_h() / n)
     return F.when(e("scale") == 1, F.coalesce(F.get(F.filter(F.array(*map(F.lit, SCALES)), fits), F.lit(0)), F.lit(1))).otherwise(F.lit(1))
 
 
@@ -97,12 +127,12 @@ def _two_up(w: Column, h: Column, want_w: Column, want_h: Column, allowance: Col
 
 
 def page_size() -> Column:
-    width, art = brutto_w / e("scale"), brutto_h / e("scale")
+    width, art = brutto_w() / e("scale"), brutto_h() / e("scale")
     full = art + F.coalesce(e("strip_mm"), F.lit(0.0))
-    ready_w, ready_h, bleed = netto_w / e("scale"), netto_h / e("scale"), e("bleed_mm") / e("scale")
-    page = {"page_w": whole(page_w), "page_h": whole(page_h)}
+    ready_w, ready_h, bleed = netto_w() / e("scale"), netto_h() / e("scale"), e("bleed_mm") / e("scale")
+    page = {"page_w": whole(page_w()), "page_h": whole(page_h())}
     told = {"expected_w": whole(width), "expected_h": whole(full), **page}
-    turned_h = F.when(same_size(page_h, page_w, width, full), full).otherwise(art)
+    turned_h = F.when(same_size(page_h(), page_w(), width, full), full).otherwise(art)
     allowance = F.coalesce(set_number(m("finishing_mm")), F.lit(FINISHING_MM))
 
     def growth(w: Column, h: Column) -> Column:
@@ -110,23 +140,23 @@ def page_size() -> Column:
         window = a.between(F.lit(-TOLERANCE_MM), bleed * 2 + TOLERANCE_MM) & b.between(F.lit(-TOLERANCE_MM), bleed * 2 + TOLERANCE_MM)
         return F.when(window, F.greatest(F.lit(0.0), F.least(a, b)))
 
-    grown = F.coalesce(growth(page_w, page_h), growth(page_h, page_w))
-    cut_bleed = cut_work & (e("bleed_mm") > 0)
+    grown = F.coalesce(growth(page_w(), page_h()), growth(page_h(), page_w()))
+    cut_bleed = cut_work() & (e("bleed_mm") > 0)
     no_bleed = finding("page_size", "amber", "no_bleed", bleed=whole(e("bleed_mm")), **told)
-    oversize = ((page_w >= width) & (page_h >= art)) | ((page_w >= art) & (page_h >= width))
-    within = _over(page_w, page_h, width, art, allowance) | _over(page_h, page_w, width, art, allowance)
+    oversize = ((page_w() >= width) & (page_h() >= art)) | ((page_w() >= art) & (page_h() >= width))
+    within = _over(page_w(), page_h(), width, art, allowance) | _over(page_h(), page_w(), width, art, allowance)
     failed = F.struct(F.lit("check_page_size").alias("id"), F.lit("info").alias("level"), F.lit("check.rule.failed").alias("code"), F.create_map(F.lit("error"), F.lit("no page size")).alias("values"), F.lit(None).cast("array<array<double>>").alias("regions")).cast(FINDING)
     return first_of(
-        (page_w.isNull() | page_h.isNull() | width.isNull() | art.isNull(), failed),
-        (same_size(page_w, page_h, width, full) | same_size(page_w, page_h, width, art), finding("page_size", "green", "ok", **page)),
-        (same_size(page_h, page_w, width, full) | same_size(page_h, page_w, width, art), finding("page_size", "amber", "rotated", expected_w=whole(width), expected_h=whole(turned_h), **page)),
+        (page_w().isNull() | page_h().isNull() | width.isNull() | art.isNull(), failed),
+        (same_size(page_w(), page_h(), width, full) | same_size(page_w(), page_h(), width, art), finding("page_size", "green", "ok", **page)),
+        (same_size(page_h(), page_w(), width, full) | same_size(page_h(), page_w(), width, art), finding("page_size", "amber", "rotated", expected_w=whole(width), expected_h=whole(turned_h), **page)),
         (F.col("drawn") > 1, finding("page_size", "info", "scaled", scale=F.col("drawn"), expected_w=whole(width), expected_h=whole(art), **page)),
-        ((e("bleed_mm") > 0) & (same_size(page_w, page_h, ready_w, ready_h) | same_size(page_h, page_w, ready_w, ready_h)), no_bleed),
+        ((e("bleed_mm") > 0) & (same_size(page_w(), page_h(), ready_w, ready_h) | same_size(page_h(), page_w(), ready_w, ready_h)), no_bleed),
         (cut_bleed & (grown < MIN_BLEED_MM), no_bleed),
         (cut_bleed & grown.isNotNull(), finding("page_size", "green", "with_bleed", netto_w=whole(ready_w), netto_h=whole(ready_h), **told)),
-        (_two_up(page_w, page_h, width, art, allowance), finding("page_size", "red", "two_up", **told)),
-        (~cut_work & within, finding("page_size", "green", "finishing", allowance=whole(allowance), **told)),
-        (~cut_work & oversize, finding("page_size", "amber", "oversize", allowance=whole(allowance), **told)),
+        (_two_up(page_w(), page_h(), width, art, allowance), finding("page_size", "red", "two_up", **told)),
+        (~cut_work() & within, finding("page_size", "green", "finishing", allowance=whole(allowance), **told)),
+        (~cut_work() & oversize, finding("page_size", "amber", "oversize", allowance=whole(allowance), **told)),
         otherwise=finding("page_size", "red", "wrong", **told),
     )
 
@@ -135,8 +165,8 @@ def declared_trim() -> Column:
     side = lambda box, k: F.get(F.try_element_at(f("declared_boxes_mm"), F.lit(box)), F.lit(k))
     w, h = side("trimbox", 0), side("trimbox", 1)
     default = (F.abs(w - side("mediabox", 0)) <= TRIM_IS_MEDIA_MM) & (F.abs(h - side("mediabox", 1)) <= TRIM_IS_MEDIA_MM)
-    want_w, want_h = netto_w / page_scale, netto_h / page_scale
-    told = {"trim_w": whole(w * page_scale), "trim_h": whole(h * page_scale), "expected_w": whole(netto_w), "expected_h": whole(netto_h)}
+    want_w, want_h = netto_w() / page_scale(), netto_h() / page_scale()
+    told = {"trim_w": whole(w * page_scale()), "trim_h": whole(h * page_scale()), "expected_w": whole(netto_w()), "expected_h": whole(netto_h())}
     return first_of(
         (w.isNull() | h.isNull() | F.coalesce(default, F.lit(False)), None),
         (same_size(w, h, want_w, want_h), finding("declared_trim", "green", "ok", **told)),
@@ -154,7 +184,7 @@ def bleed_coverage() -> Column:
     worst = F.when(f("bleed_shortfall").isNotNull(), F.when(share <= BARE_SHARE, 0.0).otherwise(missing)).otherwise(F.array_max(f("blank_edges_mm")))
     level = F.when(worst > e("bleed_mm") / 2, "red").otherwise("amber")
     return first_of(
-        (cut_work & f("die").isNotNull(), None),
+        (cut_work() & f("die").isNotNull(), None),
         (worst.isNull(), finding("bleed_coverage", "info", "unmeasured")),
         (worst <= TOLERANCE_MM, finding("bleed_coverage", "green", "ok")),
         otherwise=finding("bleed_coverage", level, "short", missing=tenth(worst), bleed=whole(e("bleed_mm"))),
@@ -164,7 +194,7 @@ def bleed_coverage() -> Column:
 def safe_area() -> Column:
     depth = f("safe_intrusion_mm")
     return first_of(
-        (cut_work & f("die").isNotNull(), None),
+        (cut_work() & f("die").isNotNull(), None),
         (depth.isNull(), finding("safe_area", "info", "unmeasured")),
         (depth <= TOLERANCE_MM, finding("safe_area", "green", "ok")),
         otherwise=finding("safe_area", "amber", "intrusion", regions=f("safe_intrusion_regions_mm"), intrusion=tenth(depth), safe=whole(e("safe_mm"))),
@@ -217,12 +247,12 @@ def spot_inks() -> Column:
 def cut_path() -> Column:
     spots, chosen = f("spot_names"), F.nullif(f("cut_spot"), F.lit(""))
     found = F.when(chosen.isNull(), F.filter(spots, lambda s: any_marker(s, CUT))).otherwise(F.filter(spots, lambda s: s == chosen))
-    return first_of((~cut_work | spots.isNull(), None), (F.size(found) > 0, finding("cut_path", "green", "ok", cut=listed(found))), otherwise=finding("cut_path", "amber", "missing"))
+    return first_of((~cut_work() | spots.isNull(), None), (F.size(found) > 0, finding("cut_path", "green", "ok", cut=listed(found))), otherwise=finding("cut_path", "amber", "missing"))
 
 
 def cut_geometry() -> Column:
     die = lambda n: f(f"die.{n}")
-    told = {"cut": die("colorant"), "cut_w": whole(F.get(die("size_mm"), F.lit(0)) * page_scale), "cut_h": whole(F.get(die("size_mm"), F.lit(1)) * page_scale), "length": length(die("length_mm") * page_scale), "contours": die("contours")}
+    told = {"cut": die("colorant"), "cut_w": whole(F.get(die("size_mm"), F.lit(0)) * page_scale()), "cut_h": whole(F.get(die("size_mm"), F.lit(1)) * page_scale()), "length": length(die("length_mm") * page_scale()), "contours": die("contours")}
     return first_of(
         (f("die").isNull(), None),
         (die("filled"), finding("cut_geometry", "amber", "filled", **told)),
@@ -233,15 +263,15 @@ def cut_geometry() -> Column:
 
 def cut_margins() -> Column:
     at = lambda n, k: F.get(f(f"die.{n}"), F.lit(k))
-    sheet_w, sheet_h = F.coalesce(at("page_mm", 0), page_w), F.coalesce(at("page_mm", 1), page_h)
+    sheet_w, sheet_h = F.coalesce(at("page_mm", 0), page_w()), F.coalesce(at("page_mm", 1), page_h())
     bleed = F.coalesce(set_number(m("bleed_mm")), set_number(e("bleed_mm")), F.lit(FALLBACK_BLEED_MM))
     gaps = {"left": at("origin_mm", 0), "top": at("origin_mm", 1), "right": sheet_w - at("origin_mm", 0) - at("size_mm", 0), "bottom": sheet_h - at("origin_mm", 1) - at("size_mm", 1)}
-    gaps = {side: gap * page_scale for side, gap in gaps.items()}
+    gaps = {side: gap * page_scale() for side, gap in gaps.items()}
     off = F.array_join(F.array_compact(F.array(*[F.when(gap < -TOLERANCE_MM, side) for side, gap in gaps.items()])), ", ")
     tight = F.array_join(F.array_compact(F.array(*[F.when(gap < bleed - TOLERANCE_MM, F.concat(F.lit(f"{SIDES[side]} "), tenth(gap), F.lit(" mm"))) for side, gap in gaps.items()])), ", ")
     told, bare = {"cut": f("die.colorant"), "bleed": whole(bleed)}, f("die.bare_perimeter")
     return first_of(
-        (f("die").isNull() | page_w.isNull(), None),
+        (f("die").isNull() | page_w().isNull(), None),
         (off != "", finding("cut_margins", "red", "off_sheet", sides=off, **told)),
         (tight != "", finding("cut_margins", "amber", "tight", sides=tight, **told)),
         (bare.isNull(), finding("cut_margins", "info", "unmeasured", **told)),
@@ -265,7 +295,7 @@ def overprint() -> Column:
 
 
 def page_count() -> Column:
-    return first_of((F.coalesce(f("pages"), F.lit(0)) <= 1, None), (cut_work, finding("page_count", "info", "cut_work", pages=f("pages"))), otherwise=finding("page_count", "amber", "many", pages=f("pages")))
+    return first_of((F.coalesce(f("pages"), F.lit(0)) <= 1, None), (cut_work(), finding("page_count", "info", "cut_work", pages=f("pages"))), otherwise=finding("page_count", "amber", "many", pages=f("pages")))
 
 
 def text_height() -> Column:
@@ -279,15 +309,15 @@ def panel_count(w: Column, h: Column, bleed: Column, roll: Column) -> Column:
 
 
 def split() -> Column:
-    panels = panel_count(netto_w, netto_h, m("bleed_mm"), m("max_width_mm"))
-    return first_of((panels > 1, finding("split", "amber", "required", netto_w=whole(netto_w), netto_h=whole(netto_h), panels=panels, roll=whole(m("max_width_mm")))))
+    panels = panel_count(netto_w(), netto_h(), m("bleed_mm"), m("max_width_mm"))
+    return first_of((panels > 1, finding("split", "amber", "required", netto_w=whole(netto_w()), netto_h=whole(netto_h()), panels=panels, roll=whole(m("max_width_mm")))))
 
 
 def named_size() -> Column:
     size = f("named_size")
-    read = names.reconciled(size["w"], size["h"], size["stated"], netto_w, netto_h)
-    told = {"named_w": whole(read["w"]), "named_h": whole(read["h"]), "netto_w": whole(netto_w), "netto_h": whole(netto_h)}
-    return first_of((size.isNull(), None), (names.named_same(read["w"], read["h"], netto_w, netto_h), finding("named_size", "green", "ok", **told)), otherwise=finding("named_size", "info", "differs", **told))
+    read = names.reconciled(size["w"], size["h"], size["stated"], netto_w(), netto_h())
+    told = {"named_w": whole(read["w"]), "named_h": whole(read["h"]), "netto_w": whole(netto_w()), "netto_h": whole(netto_h())}
+    return first_of((size.isNull(), None), (names.named_same(read["w"], read["h"], netto_w(), netto_h()), finding("named_size", "green", "ok", **told)), otherwise=finding("named_size", "info", "differs", **told))
 
 
 def filename() -> Column:
