@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Month and day of the holidays that don't move, and the days after Easter Sunday of those that do.
@@ -39,6 +39,12 @@ def working_days_before(day: Column, n: int) -> Column:
     return F.get(F.filter(back, is_working_day), F.lit(n - 1)) if n else day
 
 
+def with_working_days_before(df: DataFrame, day: str, n: int, out: str) -> DataFrame:
+    """df and the n-th working day before a column of days: each distinct day is worked out once and joined."""
+    known = df.select(F.col(day).alias("calendar_day")).distinct().withColumn(out, working_days_before(F.col("calendar_day"), n))
+    return df.join(known, df[day] == known["calendar_day"], "left").drop("calendar_day")
+
+
 def warehouse_day(own: Column, delivery: Column) -> Column:
     """The day a warehouse is told: the row's own, else NOTICE_DAYS working days before the delivery, else null."""
     return F.coalesce(own, working_days_before(delivery, NOTICE_DAYS))

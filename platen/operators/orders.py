@@ -34,8 +34,8 @@ def ticked(c: Column) -> Column:
 def addresses(c: Column) -> Column:
     """The addresses of a free text, the first spelling of each, whatever its case."""
     found = F.filter(F.split(F.coalesce(c, F.lit("")), r"[\s,;/]+"), lambda a: a.rlike(_ADDRESS))
-    low = F.transform(found, F.lower)
-    return F.filter(found, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)
+    first = lambda all_: F.filter(all_, lambda a, i: F.array_position(F.transform(all_, F.lower), F.lower(a)) == i + 1)
+    return F.get(F.transform(F.array(found), first), F.lit(0))  # an array of one: the text is split once
 
 
 def status(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -338,25 +338,29 @@ def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame
 
     cases: keys and the structs facts, expected, material (null fields: not known). levels (rule_id, level):
     off removes a rule's finding, another level replaces any but green. wording (code, template) over
-    the defaults. Both tables hold a row per rule or code, so they are broadcast.
+    the defaults. Both tables hold a row per rule or code: they are read on the driver or broadcast. All of
+    it happens within a case's row; nothing is shuffled.
     """
     from .wording import defaults
 
-    # dealt by file once: the findings' order needs no further shuffle, and no field's making is repeated wherever a rule reads it
-    once = cases.select(*keys, "facts", "expected", "material", drawn_scale().alias("drawn")).repartition(*keys)
-    found = once.select(*keys, F.posexplode(F.array(*[r() for r in RULES])).alias("rule", "found")).filter(F.col("found").isNotNull()).select(*keys, "rule", "found.*")
-    if levels is not None:
-        graded = levels.select(F.col("rule_id").alias("id"), F.col("level").alias("graded")).filter(F.col("graded").isin("off", "info", "amber", "red"))
-        found = found.join(F.broadcast(graded), "id", "left").filter(F.coalesce("graded", F.lit("")) != "off")
-        found = found.withColumn("level", F.when((F.col("level") != "green") & F.col("graded").isNotNull(), F.col("graded")).otherwise(F.col("level"))).drop("graded")
+    # what made the structs runs once a row, not wherever a rule reads a field: nothing is merged across an explode
+    once = cases.select(*keys, F.explode(F.array(F.struct("facts", "expected", "material", drawn_scale().alias("drawn")))).alias("case")).select(*keys, "case.*")
+    found = once.select(*keys, F.explode(F.array(F.array(*[r() for r in RULES]))).alias("found"))
+    graded = {r["rule_id"]: r["level"] for r in levels.select("rule_id", "level").collect()} if levels is not None else {}  # a row per rule
+    graded = {k: v for k, v in graded.items() if v in ("off", "info", "amber", "red")}
+    table = F.create_map(*[F.lit(x) for pair in graded.items() for x in pair]) if graded else F.create_map().cast("map<string,string>")
+    own = lambda x: F.when((x["level"] == "green") & ~F.coalesce(F.try_element_at(table, x["id"]) == "off", F.lit(False)), x["level"]).otherwise(F.coalesce(F.try_element_at(table, x["id"]), x["level"]))
+    rank = lambda x: F.array_position(F.array(*map(F.lit, LEVELS)), own(x))
+    # a case's findings are put in order within its row: a number each, of severity and rule
+    order = F.array_sort(F.filter(F.transform("found", lambda x, i: F.when(x.isNotNull() & (own(x) != "off"), rank(x) * 100 + i)), lambda k: k.isNotNull()))
+    sorted_ = F.transform(order, lambda k: F.get("found", (k % 100).cast("int")))
+    found = found.select(*keys, F.posexplode(sorted_).alias("pos", "x")).select(*keys, (F.col("pos") + 1).alias("place"), "x.id", own(F.col("x")).alias("level"), *[f"x.{c}" for c in ("code", "values", "regions")])
     texts = defaults(cases.sparkSession, wording)
     titles = texts.select("code", F.col("template").alias("title_of"))
     details = texts.filter(F.col("code").endswith(".detail")).select(F.regexp_replace("code", r"\.detail$", "").alias("code"), F.col("template").alias("detail_of"))
     found = found.join(F.broadcast(titles), "code", "left").join(F.broadcast(details), "code", "left")
     found = found.withColumn("title", render(F.coalesce("title_of", "code"), F.col("values"))).withColumn("detail", F.coalesce(render(F.col("detail_of"), F.col("values")), F.lit("")))
-    rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "rule"))
-    return found.select(*keys, place.alias("place"), "id", "level", "code", "values", "regions", "title", "detail")
+    return found.select(*keys, "place", "id", "level", "code", "values", "regions", "title", "detail")
 
 
 def summarise(cases: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:

@@ -100,7 +100,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import names
     from ..schemas import EXPECTED, FACTS, MATERIAL, as_struct
 
-    t = from_sql(spark, sf_dir, FILES_SQL)
+    t = from_sql(spark, sf_dir, FILES_SQL).withColumn("file_id", F.concat_ws("-", "ok", "ln", "pk", "sk")).repartition("file_id")  # while rows are narrow
     c, array = F.col, lambda *x: F.array(*[v if not isinstance(v, str) else F.lit(v) for v in x])
     name = F.concat(F.lit("job_"), (c("nw") / 10).cast("long"), F.lit("x"), (c("nh") / 10).cast("long"), F.when(c("ln") == 1, "cm").when(c("ln") == 2, "mm").otherwise(""), F.when(c("rf") == "A", ".v2.pdf").when(c("rf") == "N", "_łąka.pdf").otherwise(".pdf"))
     scale = F.when(c("kind") == 3, 10).otherwise(1)
@@ -120,5 +120,5 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = {"netto_mm": F.array("nw", "nh"), "brutto_mm": F.array("bw", "bh"), "bleed_mm": c("mat_bleed"), "safe_mm": c("mat_safe"), "scale": F.lit(1), "strip_mm": F.when(c("mat_spec") == "below", 22.0).otherwise(0.0)}
     material = {"id": "mat_id", "bleed_mm": "mat_bleed", "safe_mm": "mat_safe", "min_dpi": "mat_dpi", "max_width_mm": "mat_roll", "finishing_mm": "mat_finishing", "min_text_mm": "mat_text", "colour": "mat_colour", "spec_position": "mat_spec", "cut_path": "mat_cut"}
     named = {f"f_{k}": v for k, v in facts.items()} | {f"e_{k}": v for k, v in expected.items()} | {f"m_{k}": c(v) for k, v in material.items()}
-    t = t.select(F.concat_ws("-", "ok", "ln", "pk", "sk").alias("file_id"), *[v.alias(k) for k, v in named.items()])
+    t = t.select("file_id", *[v.alias(k) for k, v in named.items()])
     return t.select("file_id", as_struct(t, FACTS, "f_").alias("facts"), as_struct(t, EXPECTED, "e_").alias("expected"), as_struct(t, MATERIAL, "m_").alias("material"))

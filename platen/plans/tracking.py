@@ -47,7 +47,7 @@ SELECT ord, k."group", k.status, product FROM k WHERE product <> '' AND NOT EXIS
 
 def warehouse_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each warehouse address is told on each day: two working days before delivery."""
-    rows = derived.from_sql(spark, sf_dir, derived.SHEET_SQL).withColumn("told", dates.warehouse_day(F.lit(None).cast("date"), F.col("delivery")))
+    rows = dates.with_working_days_before(derived.from_sql(spark, sf_dir, derived.SHEET_SQL), "delivery", dates.NOTICE_DAYS, "told")
     out = orders.digest(rows, F.col("told").isNotNull(), F.col("told"))
     return out.select("address", F.date_format("day", "yyyy-MM-dd").alias("day"), "rows", F.array_join("products", "; ").alias("products"))
 
