@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import items, mesh, outlines, raster
+from ..operators import items, mesh, outlines, polygons, raster, scenes
 from ..schemas import MATERIAL, as_struct
 from . import derived
 from .tracking import read
@@ -232,7 +232,26 @@ def raster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "ink_share", F.array_join(F.transform("blank_edges_mm", lambda x: x.cast("string")), " ").alias("blank_edges"), "detail_tiles", "intrusion_mm", F.array_join("free_rect", " ").alias("free_rect"))
 
 
+def ring_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings by angle around the origin: offsets, clips, inscribed boxes, resampling. SQL can't follow them."""
+    at = lambda p: F.atan2(p["y"], p["x"])
+    around = F.transform(F.array_sort(F.transform("ring", lambda p: F.struct(at(p).alias("a"), p["x"].alias("x"), p["y"].alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    out = polygons.measured(_points(spark, sf_dir).select(F.col("vec_id").alias("id"), around.alias("ring")), -0.01, (-0.1, -0.1, 0.1, 0.1))
+    return out.select("id", F.round("offset_area", 9).alias("offset_area"), "problem", F.round("clipped_area", 9).alias("clipped_area"), F.array_join(F.transform("box", lambda x: F.round(x, 6).cast("string")), " ").alias("box"), F.round("spacing", 9).alias("spacing"))
+
+
+def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What carries each line's print, and how many panels of it."""
+    w, h = (F.col("l_partkey") % 150) * 100.0, F.col("l_quantity") * 100
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", scenes.carrier(w, h).alias("carrier"), scenes.carriers_needed(w, F.lit(2500.0)).alias("panels"))
+
+
+CARRIERS = """
+WITH s AS (SELECT *, (l_partkey % 150) * 100.0::DOUBLE AS w, l_quantity * 100 AS h FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN h <= 1000 THEN 'barrier' WHEN h <= 2000 THEN 'fence' WHEN w <= 12000 AND h <= 4000 THEN 'billboard' ELSE 'frame' END AS carrier, greatest(1, ceil(w / 2500.0))::INTEGER AS panels FROM s"""
+
 QUERIES = {
+    "ring_shapes": (ring_shapes, None), "carriers": (carriers, CARRIERS),
     "resolved_items": (resolved_items, RESOLVED), "typed_dimensions": (typed_dimensions, TYPED), "role_boxes": (role_boxes, ROLES), "template_ranks": (template_ranks, RANKS), "decisive_templates": (decisive_templates, DECISIVE),
     "near_prices": (near_prices, NEAR), "page_answers": (page_answers, ANSWERS), "making": (making, MAKING), "ring_measures": (ring_measures, RINGS), "curve_boxes": (curve_boxes, CURVES), "clipped_segments": (clipped_segments, CLIPPED),
     "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, None), "raster_measures": (raster_measures, None),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions import dates, geometry, names, numbers
-from platen.operators import items, mesh, orders, outlines, raster, state
+from platen.operators import items, mesh, orders, outlines, polygons, raster, scenes, state
 from platen.sources import sheet, shop
 from platen.streaming import quiet
 
@@ -240,3 +240,28 @@ def test_order_sheet(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Produkt\nx\n", encoding="utf-8")
     with pytest.raises(ValueError, match="Stan"):
         sheet.orders(spark, str(tmp_path / "t.csv"))
+
+
+def test_polygons():
+    square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
+    for by, side in ((-10, 80), (5, 110)):
+        moved, problem = polygons.offset(square, by)
+        assert problem is None and np.ptp(moved, axis=0) == pytest.approx((side, side))
+    assert polygons.offset(square, -60) == (None, "nothing left")
+    big, _ = polygons.offset(square * 2, -25)
+    assert polygons.distances(square * 2, big) == pytest.approx([25] * 4)
+    star = np.array([(np.cos(a) * r, np.sin(a) * r) for a, r in zip(np.linspace(0, 2 * np.pi, 24, endpoint=False), [100, 70] * 12, strict=True)])
+    inner, _ = polygons.offset(star, -8)
+    assert (polygons.distances(star, inner) >= 0.98 * 8).all() and polygons.inside(star, inner).all()
+    assert abs(polygons.area(polygons.clip(square, (50, -10, 200, 50)))) == 2500 and len(polygons.clip(square, (200, 200, 300, 300))) == 0
+    assert polygons.inscribed_box(square) == pytest.approx((0, 0, 100, 100))
+    assert np.hypot(*np.diff(polygons.resampled(square, 8), axis=0).T) == pytest.approx([50] * 7)
+    assert polygons.fused([(0, 0, 1, 1), (1, 0, 2, 1), (5, 5, 6, 6), (2, 1, 4, 9)]) == [(0, 0, 2, 1), (5, 5, 6, 6), (2, 1, 4, 9)]
+
+
+def test_scenes(spark):
+    assert [one(spark, scenes.carrier(lit(w), lit(h))) for w, h in ((9e9, 1000.0), (1.0, 2000.0), (12000.0, 4000.0), (12001.0, 4000.0))] == ["barrier", "fence", "billboard", "frame"]
+    size = lambda name, kind: one(spark, scenes.finished_size(lit(name), lit(kind), lit(40.0), lit(50.0), lit(1000.0), lit(2000.0), lit(10)))
+    assert size("Vento S", "sheet") == (800, 1800) and size("other", "flat") == (400, 500) and size("ventos", "sheet") is None
+    assert one(spark, scenes.first_hop(lit("1.1.1.1, 2.2.2.2"), lit("x"))) == "1.1.1.1" and one(spark, scenes.first_hop(lit(None).cast("string"), lit("x"))) == "x"
+    assert one(spark, scenes.trace(F.array(lit(" a \n b "), lit("c" * 300))))[0] == "a b" and one(spark, scenes.painted(lit("b*"))) == "both"
