@@ -85,14 +85,22 @@ class Grams:
         return total, divided
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the high planes of small numbers are empty and compress to nothing."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def packed(ascending: np.ndarray) -> bytes:
-    """Ascending hashes as differences, byte plane by byte plane: the high planes are all but empty and compress to nothing."""
-    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending hashes as their differences."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
 def _ask(buckets: int):
@@ -100,18 +108,18 @@ def _ask(buckets: int):
         g = Grams(batch.column("text"))
         each = [(b, own) for b, own in enumerate(g.by_bucket(buckets)) if len(own)]
         own = batch.column("batch")[0].as_py()
-        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "bucket": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([packed(g.hashes[o]) for _, o in each], pa.binary()), "counts": pa.array([g.counts[o].tobytes() for _, o in each], pa.binary())})
+        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "bucket": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([packed(g.hashes[o]) for _, o in each], pa.binary()), "counts": pa.array([planes(g.counts[o]) for _, o in each], pa.binary())})
 
     return run
 
 
 def _add(bucket: pa.Table) -> pa.Table:
     hashes = [unpacked(x) for x in bucket.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column("counts").to_pylist()])
+    counts = np.concatenate([from_planes(x, np.uint32) for x in bucket.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(at, counts, len(distinct)).astype(np.uint64)[at]
     answers = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"batch": bucket.column("batch"), "bucket": bucket.column("bucket"), "totals": pa.array([a.tobytes() for a in answers], pa.binary())})
+    return pa.table({"batch": bucket.column("batch"), "bucket": bucket.column("bucket"), "totals": pa.array([planes(a) for a in answers], pa.binary())})
 
 
 def _score(buckets: int):
@@ -121,7 +129,7 @@ def _score(buckets: int):
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
         for b, own in enumerate(g.by_bucket(buckets)):
             if len(own):
-                totals[own] = np.frombuffer(got[b], np.uint64)
+                totals[own] = from_planes(got[b], np.uint64)
         total, divided = g.scores(totals)
         return pa.table({"key": batch.column("key"), "n_words": pa.array(g.sizes.astype(np.int64)), "logs": pa.array(total), "divided": pa.array(divided.astype(np.int64))})
 
