@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, shuffles, stage
+from .common import in_arrow, join_counted, shuffles, stage
 
 
 def canonical(text: str) -> bytes:
@@ -116,8 +116,8 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     halo = F.broadcast(spark.createDataFrame(before, "range int, range_before int, first_k long"))
 
     single = stage(digests(df, key, text), "digests")
-    many = single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    marks = single.join(many, "hash", "left_semi").select(F.coalesce("key", F.lit(low)).alias("k")).distinct()
+    many = stage(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    marks = join_counted(single, many, "hash", "n", single.count()).select(F.coalesce("key", F.lit(low)).alias("k")).distinct()
     marks = marks.select(range_of("k").alias("range"), F.lit(0).alias("halo"), "k", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
     dealt = rows.withColumn("range", range_of("k")).join(halo, "range")
     own = F.struct(F.col("range"), F.lit(0).alias("halo"))
