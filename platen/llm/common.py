@@ -10,10 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space and its complement, as the contracts have them.
@@ -77,8 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
     for batch in batches:
         at, held = 0, 0
         size = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-        ends = [x for x in _lengths(size)]
-        for i, k in enumerate(ends):
+        for i, k in enumerate(_lengths(size)):
             if held and held + k > most:
                 yield batch.slice(at, i - at)
                 at, held = i, 0
@@ -93,8 +91,9 @@ def _lengths(texts: pa.Array) -> list[int]:
     return pc.binary_length(texts).to_pylist()
 
 
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)
+def release() -> None:
+    """Gives memory that Arrow has freed back to the machine: workers are used again, and an executor has several."""
+    pa.default_memory_pool().release_unused()
 
 
 def in_arrow(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: int) -> Callable:
@@ -105,5 +104,6 @@ def in_arrow(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: int)
             out = f(part)
             if out is not None and out.num_rows:
                 yield out
+            release()
 
     return run

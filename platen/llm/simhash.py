@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, in_arrow, join_counted, parts, stage
+from .common import in_arrow, join_counted, parts, stage
 
 BITS, RADIUS, SEED = 64, 3, 42
 _ONE = np.uint64(1)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import release, slices, stage
 
 SHARED_DISCOUNT, FOLDS = 0.75, 5
 #: What the held-back fold chooses from: discounts, and words in a stretch.
@@ -50,9 +50,10 @@ def raw(models: list[Model], texts: pa.Array) -> np.ndarray:
     """Of each text (rows) and model: its most toxic stretch."""
     tables = [(pa.array(m.words, pa.string()), np.array([*m.odds, m.other]), m.span) for m in models]
     out = [np.zeros((0, len(models)))]
-    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, 2 << 20):  # some twenty numbers a word are held
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, 1 << 20):  # some twenty numbers a word are held
         split = words(part.column(0))
         out.append(np.stack([spans(split, *t) for t in tables], 1))
+        release()
     return np.concatenate(out)
 
 
@@ -88,7 +89,7 @@ def fold(key: Column) -> Column:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, 1):
+    for part in slices(batches, 1, 2 << 20):
         flat, sizes = words(part.column(1))
         before = np.arange(len(flat)) - 1
         starts = np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]
@@ -98,6 +99,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous = pc.if_else(pa.array(first), pa.scalar("", pa.large_string()), flat.take(at)) if len(flat) else flat
         toxic = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
         table = pa.table({"toxic": toxic, "before": previous, "word": flat}).group_by(["toxic", "before", "word"]).aggregate([])
+        release()
         yield from table.cast(pa.schema([("toxic", pa.int32()), ("before", pa.string()), ("word", pa.string())])).combine_chunks().to_batches()
 
 
