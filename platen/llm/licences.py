@@ -3,10 +3,16 @@
 A text is cut into sentences, each normalised and mapped to the identifier of a known licence sentence.
 The sequence of identifiers is then matched, at each place, against the ordered licence rules. All of it
 happens within a row: nothing is shuffled, and a text's length is the only thing that bounds a task's row.
+
+A mark with white space behind it need not end a sentence ("v. 2.0", "Foundation; either version 2"): a known
+sentence may be found in two neighbouring ones. Numbers of lists and web addresses that stand alone are no
+sentences of a sequence. Both still count where sentences are numbered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +85,11 @@ BLANK = r"[\x09-\x0D\x20]"
 #: Where sentences end: a mark and white space, or an empty line.
 ENDS, GAPS, REST = rf"([.!?;:]){BLANK}+", rf"\n{BLANK}*\n", "[^a-z0-9]+"
 
+#: What may stand between the sentences of a sequence: a list's number or letter, no letter or digit at all; a web address.
+ALONE, ADDRESS = "^([0-9 ]*|[a-z]|[ivx]{1,5})$", r"^[^A-Za-z0-9]*([Hh][Tt][Tt][Pp][Ss]?://|[Ww]{3}\.)[^\x09-\x0D\x20]*[\x09-\x0D\x20]*$"
+#: A list's number at the head of a sentence that it doesn't stand apart from.
+NUMBER = rf"^{BLANK}*\(?[0-9]{{1,2}}\){BLANK}+"
+
 
 def sentences(text: Column) -> Column:
     """The raw sentences of a text."""
@@ -89,23 +100,41 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), REST, " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """key, licence, first_sentence, last_sentence (from 0), sentence_ids of every match.
 
-    A match begins at a known sentence; the first rule whose identifiers are those of the neighbouring
-    sentences from there on applies. Matches may overlap. Defined results: null and empty texts match
-    nothing; a null key stays null; repeated rows each have their matches.
+    A match begins at a known sentence; the first rule whose identifiers are those of the sentences from there
+    on applies, whatever is no sentence of a sequence left out. Matches may overlap. Defined results: null and
+    empty texts match nothing; a null key stays null; repeated rows each have their matches.
     """
     ids = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
-    marked = F.transform(sentences(F.col(text)), lambda s, i: F.struct(i.alias("at"), F.element_at(ids, normal(s)).alias("id")))
-    found = df.select(F.col(key).alias("scan_key"), marked.alias("marks"))
-    seen = F.filter("marks", lambda m: m["id"].isNotNull())
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, own)).alias("rule")) for name, own in rules])
+    pieces = F.transform(sentences(F.col(text)), lambda s: F.struct(normal(F.regexp_replace(s, NUMBER, "")).alias("norm"), s.rlike(ADDRESS).alias("address")))
+
+    def named(all_: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            two = F.element_at(ids, F.concat(p["norm"], F.lit(" "), F.get(all_, i + 1)["norm"]))
+            return let(F.element_at(ids, p["norm"]), lambda x: F.struct(i.alias("at"), F.coalesce(x, two).alias("id"), (x.isNull() & two.isNotNull()).alias("joined"), (p["address"] | p["norm"].rlike(ALONE)).alias("alone")))
+
+        return F.transform(all_, one)
+
+    def sequence(all_: Column) -> Column:
+        taken = F.filter(all_, lambda m, i: (m["id"].isNotNull() | ~m["alone"]) & ~F.coalesce(F.get(all_, i - 1)["joined"], F.lit(False)))
+        return F.transform(taken, lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["joined"].cast("int")).alias("to"), m["id"].alias("id")))
+
+    def matches(marks: Column) -> Column:
+        def hit(m: Column, i: Column) -> Column:
+            applies = lambda r: F.transform(F.slice(marks, i + 1, F.size(r["rule"])), lambda x: x["id"]) == r["rule"]
+            rule = F.when(m["id"].isNotNull(), F.get(F.filter(table, applies), F.lit(0)))
+            return let(rule, lambda r: F.struct(r["licence"].alias("licence"), m["at"].alias("first"), F.get(marks, i + F.size(r["rule"]) - 1)["to"].alias("last"), F.array_join(r["rule"], ",").alias("ids")))
 
-    def applies(at: Column, rule: Column) -> Column:
-        span = F.slice(F.col("marks"), at + 1, F.size(rule["rule"]))
-        return F.transform(span, lambda m: m["id"]) == rule["rule"]
+        return F.filter(F.transform(marks, hit), lambda h: h["licence"].isNotNull())
 
-    matches = F.transform(seen, lambda m: F.struct(m["at"].alias("at"), F.get(F.filter(table, lambda r: applies(m["at"], r)), F.lit(0)).alias("hit")))
-    out = found.filter(F.exists("marks", lambda m: m["id"].isNotNull())).select("scan_key", F.explode(F.filter(matches, lambda m: m["hit"].isNotNull())).alias("m"))
-    return out.select(F.col("scan_key").alias(key), F.col("m.hit.licence").alias("licence"), F.col("m.at").alias("first_sentence"), (F.col("m.at") + F.size("m.hit.rule") - 1).alias("last_sentence"), F.array_join("m.hit.rule", ",").alias("sentence_ids"))
+    hits = let(let(pieces, named), lambda all_: F.when(F.exists(all_, lambda m: m["id"].isNotNull()), let(sequence(all_), matches)))
+    out = df.select(F.col(key).alias("scan_key"), F.explode(hits).alias("m"))
+    return out.select(F.col("scan_key").alias(key), F.col("m.licence").alias("licence"), F.col("m.first").alias("first_sentence"), F.col("m.last").alias("last_sentence"), F.col("m.ids").alias("sentence_ids"))

@@ -201,6 +201,36 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+STANDARD = {
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for more.',
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even more.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even more.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n",
+}
+STANDARD["BSD-3-Clause"] = STANDARD["BSD-2-Clause"] + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+
+
+def test_licences_in_their_standard_wording(spark):
+    longest = {}
+    for name, rule in licences.RULES:
+        longest.setdefault(name, ",".join(rule))
+    texts = [(n, "Copyright me.\n\n" + t) for n, t in STANDARD.items()]
+    texts += [("BSD-2-Clause", t.replace("1. ", a).replace("2. ", b)) for t in [STANDARD["BSD-2-Clause"]] for a, b in (("* ", "* "), ("1) ", "2) "), ("(1) ", "(2) "), ("a. ", "b. "), ("", ""))]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(texts + [(None, "v. 2.0. 1. 2. https://a.b/c\n\n")], "doc_id string, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert {n: {(r[0], r[3]) for r in rows} for n, rows in got.items() if n != "Apache-2.0"} == {n: {(n, longest[n])} for n in STANDARD if n != "Apache-2.0"}
+    assert ("Apache-2.0", 1, 5, longest["Apache-2.0"]) in got["Apache-2.0"]  # the address counts where sentences are numbered
+    assert ("MPL-2.0", 1, 2, "mpl-2-form") in got["MPL-2.0"] and ("GPL-2.0-or-later", 1, 4, longest["GPL-2.0-or-later"]) in got["GPL-2.0-or-later"]
+    assert got["BSD-3-Clause"] == [("BSD-3-Clause", 1, 7, longest["BSD-3-Clause"])] and len(got["BSD-2-Clause"]) == 6
+    every = [(i, " ".join(licences.SENTENCES[s] + "." for s in rule)) for i, (_, rule) in enumerate(licences.RULES)]
+    hits = {(r["doc_id"], r["licence"], r["sentence_ids"]) for r in licences.scan(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    assert {(i, name, ",".join(rule)) for i, (name, rule) in enumerate(licences.RULES)} <= hits
+
+
 def test_pipeline_against_its_operators(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = queries.table(spark, SF01, "documents")
