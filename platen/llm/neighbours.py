@@ -7,7 +7,9 @@ candidates and so a bound on its k-th score. The exact check then holds the quer
 all rows, in blocks, and lets through what reaches a query's bound: vectors without any structure leave no
 window narrow enough for full recall. ``exact=False`` returns what the windows found.
 
-Equal vectors are searched once: of each, only the k + 1 smallest ids can be among anyone's k nearest.
+Equal vectors are searched once: of each, only the k + 1 smallest ids can be among anyone's k nearest. Rows
+equal in id and vector are one row with a count. A query leaves out every row of its own id, however many, so
+lists are cut only where k rows are left without any one id: at k + 1 rows of different ids, at 2 k at most.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import join_counted, parts, stage
 
 DIRECTIONS, BITS = 6, 10
-FOUND = "query long, vec_id long, score double"
+FOUND = "query long, vec_id long, copies int, score double"
+
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -89,13 +93,24 @@ def _keys(size: int, curves: int, seed: int):
             for c in range(curves):
                 spread = unit @ planes[c] * math.sqrt(size) / 8  # a component of a random unit vector times sqrt(size) is about normal
                 cells = np.clip((spread + 0.5 + (shifts[c] - 0.5) / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS).astype(np.int64)), batch.column(0), batch.column(1), batch.column(2)], ["curve", "at", "vec_id", "v", "query"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS).astype(np.int64)), batch.column(0), batch.column(1), batch.column(2), batch.column(3)], ["curve", "at", "vec_id", "v", "copies", "query"])
 
     return run
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    """The places of the best, ties to the smaller id, until k are left without any one id; of one id k at most."""
+    order = np.lexsort((ids, -scores))
+    if len(np.unique(ids[order[: k + 1]])) == len(order[: k + 1]):
+        return order[: k + 1]
+    own = ids[order]
+    by = np.argsort(own, kind="stable")
+    begins = np.concatenate([[True], own[by][1:] != own[by][:-1]])
+    nth = np.empty(len(own), np.int64)
+    nth[by] = np.arange(len(own)) - np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0)) + 1
+    order, nth = order[nth <= k], nth[nth <= k]
+    short = np.arange(1, len(order) + 1) - np.maximum.accumulate(nth) < k
+    return order[: int(short.sum()) + 1]
 
 
 def _windows(size: int, k: int, window: int):
@@ -104,7 +119,7 @@ def _windows(size: int, k: int, window: int):
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        curve, ids = t.column("curve").to_numpy(), t.column("vec_id").to_numpy()
+        curve, ids, copies = (t.column(c).to_numpy() for c in ("curve", "vec_id", "copies"))
         x = _matrix(t.column("v"), size)
         ask = t.column("query").to_numpy(zero_copy_only=False)
         out = []
@@ -113,9 +128,9 @@ def _windows(size: int, k: int, window: int):
             near = lo + np.flatnonzero(curve[lo:hi] == curve[p])
             s = x[near] @ x[p]
             for i in _best(s, ids[near], k):
-                out.append((int(ask[p]), int(ids[near[i]]), float(s[i])))
+                out.append((int(ask[p]), int(ids[near[i]]), int(copies[near[i]]), float(s[i])))
         for at in range(0, len(out), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 100_000], strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 100_000], strict=True), KINDS, strict=True)], ["query", "vec_id", "copies", "score"])
 
     return run
 
@@ -124,55 +139,69 @@ def _check(size: int, k: int):
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and asked.num_rows:
-            x, ids = _matrix(rows.column("v"), size), rows.column("vec_id").to_numpy()
+            x, ids, copies = _matrix(rows.column("v"), size), rows.column("vec_id").to_numpy(), rows.column("copies").to_numpy()
+            unique = len(np.unique(ids)) == len(ids)
             q, keys, bounds = _matrix(asked.column("v"), size), asked.column("query").to_pylist(), asked.column("bound").to_numpy()
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ x.T
                 slack = 1e-9 * np.abs(s).max()
                 for i in range(len(s)):
                     over = np.flatnonzero(s[i] >= bounds[at + i] - slack)
-                    if len(over) > 2 * k:  # all that may be among the k best, rounding allowed for
-                        over = over[s[i][over] >= np.partition(s[i][over], -k)[-k] - slack]
+                    if len(over) > 2 * k:  # all that may be among the best, rounding allowed for
+                        near = s[i][over]
+                        least = np.partition(near, -k - 1)[-k - 1] if unique else near[_best(near, ids[over], k)].min()
+                        over = over[near >= least - slack]
                     exact = np.array([math.fsum(r) for r in x[over] * q[at + i]])
-                    out += [(keys[at + i], int(ids[over[j]]), float(exact[j])) for j in _best(exact, ids[over], k)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "vec_id", "score"])
+                    out += [(keys[at + i], int(ids[over[j]]), int(copies[over[j]]), float(exact[j])) for j in _best(exact, ids[over], k)]
+        columns = list(zip(*out, strict=True)) or [[]] * len(KINDS)
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)], names=["query", "vec_id", "copies", "score"])
 
     return run
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, ties to the smaller id; Spark cuts each task's share to k before the shuffle."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
+    """The best of each query, ties to the smaller id, until k are left without any one id; nth: a row's place among its id's.
+
+    Of an id k at most count, so that 2 k always do; Spark cuts each task's share to that before it shuffles.
+    """
+    own = Window.partitionBy("query", "vec_id").orderBy(F.desc("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "nth")
+    capped = found.withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= k)
+    placed = capped.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k)
+    most = F.coalesce(F.max("nth").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("most", most).filter(F.col("place") - 1 - F.col("most") < k).drop("place", "most")
 
 
 def search(df: DataFrame, asks: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = 4, window: int = 128, exact: bool = True, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by inner product of every row for which ``asks`` holds of vec_id.
 
     Candidates are all rows but the query's own id. Ties go to the smaller id; scores are rounded once
-    (the exact sum). See ``valid`` for vectors that take no part. Rows that share an id are each
-    candidates and each queries; a query then leaves out all of them.
+    (the exact sum). See ``valid`` for vectors that take no part. Rows that share an id, equal or not, are
+    each candidates and each queries; a query then leaves out all of them.
     """
     rows, size = valid(df, key, vector)
     asked = rows.filter(asks)
-    distinct = stage(asked.groupBy("v").agg(F.min("vec_id").alias("query"), F.count(F.lit(1)).alias("n")), "queries")
+    distinct = asked.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("query", F.monotonically_increasing_id())
+    distinct = stage(distinct, "queries")  # an id may have several vectors, so each has a number of its own
     by_id = Window.partitionBy("v").orderBy("vec_id")
-    kept = stage(rows.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1).drop("place").join(distinct.select("v", "query"), "v", "left").withColumn("query", F.when(F.min("vec_id").over(Window.partitionBy("v")) == F.col("vec_id"), F.col("query"))).select("vec_id", "v", "query"), "vectors-kept")
+    kept = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    kept = kept.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1).join(distinct.select("v", "query"), "v", "left")
+    kept = stage(kept.select("vec_id", "v", "copies", F.when(F.col("place") == 1, F.col("query")).alias("query")), "vectors-kept")
     n, queries = kept.count(), distinct.count()
-    keyed = kept.mapInArrow(_keys(size, curves, seed), "curve int, at long, vec_id long, v binary, query long")
+    keyed = kept.mapInArrow(_keys(size, curves, seed), "curve int, at long, vec_id long, v binary, copies int, query long")
     ordered = keyed.repartitionByRange(parts(n * curves, 40_000), "curve", "at").sortWithinPartitions("curve", "at", "vec_id")
-    found = top(ordered.mapInArrow(_windows(size, k + 1, window), FOUND).distinct(), k + 1)
+    found = top(ordered.mapInArrow(_windows(size, k, window), FOUND).distinct(), k)
     if exact:
         found = stage(found, "windows")
-        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
+        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) - F.max("nth") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
         wanted = distinct.join(bounds, "query", "left").select("query", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
         many, few = parts(n, 8192), parts(queries, 4096)
-        across = kept.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"))
+        across = kept.select("vec_id", "v", "copies", F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"))
         down = wanted.select("query", "v", "bound", F.pmod(F.xxhash64("query"), F.lit(few)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")).alias("r"))
-        found = top(across.groupBy("r", "q").cogroup(down.groupBy("r", "q")).applyInArrow(_check(size, k + 1), FOUND), k + 1)
-    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))  # k + 1 at most
+        found = top(across.groupBy("r", "q").cogroup(down.groupBy("r", "q")).applyInArrow(_check(size, k), FOUND), k)
+    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "copies"))).alias("found"))  # 2 k at most
     lists = stage(distinct.join(lists, "query").select("v", "n", "found"), "found")
     each = join_counted(asked.withColumnRenamed("vec_id", "query_id"), lists, "v", "n", asked.count())
-    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.transform(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), lambda x: F.array_repeat(x, x["copies"]))
+    others = F.slice(F.flatten(others), 1, k)
     return each.select("query_id", F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))

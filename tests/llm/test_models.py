@@ -71,6 +71,26 @@ def test_neighbours_by_brute_force(spark, seed):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    vector = lambda: [float(x) for x in np.float32(rng.standard_normal(4))]
+    rows = [(i, vector()) for i in range(200)]
+    rows += rows  # each row twice
+    rows += [(220, rows[0][1])] * 30 + [(240, vector())] * 45  # hot keys of equal rows
+    rows += [(260, vector()) for _ in range(60)] + [(280, rows[7][1])]  # a hot key of distinct vectors
+    rows += [(20, rows[20][1][::-1]), (300, [0.5] * 4), (300, [0.5, 0.5, 0.5, -0.5]), (300, [-0.5, 0.5, 0.5, 0.5])]  # ids of several vectors, ties
+    rows += [(i, rows[3][1]) for i in range(400, 440)] * 3  # a hot vector
+    want = []
+    for q, a in rows:
+        if q % 20 == 0:
+            best = sorted((-math.fsum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(map(tuple, neighbours.search(df, F.col("vec_id") % 20 == 0).collect())) == Counter(want)
+    only = spark.createDataFrame([(20, [1.0, 0.0])] * 50 + [(1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in neighbours.search(only, F.col("vec_id") == 20).distinct().collect()] == [(20, 1, 1, 1.0)]
+
+
 def test_windows_alone_find_most_of_structured_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 32))
