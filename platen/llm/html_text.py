@@ -22,6 +22,10 @@ from .pages_labelled import labelled_pages
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head iframe math noscript object script style svg template textarea title".split())
+#: What may be in a head; whatever else begins ends it, as its end tag may be left out.
+HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements that a slash closes, with all in them.
+FOREIGN = frozenset({"math", "svg"})
 #: An open element of the value's names ends where one of the key's begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HINTS = "cookie consent subscribe newsletter comment comments reply privacy terms copyright rights share advertisement sponsored login search menu home contact".split()
@@ -56,7 +60,14 @@ class Leaves(HTMLParser):
             self.links -= tag == "a"
         del self.open[to:]
 
+    def end_head(self, body: bool) -> None:
+        """Ends a head without an end tag: a body does from anywhere in it, anything else only right in it."""
+        if self.silent and any(name == "head" for name, _, _ in (self.open if body else self.open[-1:])):
+            self.leave(max(i for i, (name, _, _) in enumerate(self.open) if name == "head"))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEADED:
+            self.end_head(tag == "body")
         if tag == "br":
             self.run.append(" ")
         if tag in BLOCKS:
@@ -78,7 +89,10 @@ class Leaves(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            self.end_head(False)
+        elif not (self.silent and any(name in FOREIGN for name, _, _ in self.open)):
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -89,6 +103,8 @@ class Leaves(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and data.strip():
+            self.end_head(False)
         if self.silent:
             return
         if self.path is None and data.strip():

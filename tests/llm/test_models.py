@@ -190,6 +190,18 @@ def test_extraction_of_whole_pages(spark, field):
     assert df.limit(0).select(html_text.extract(spark, F.col("html"), field)).count() == 0
 
 
+def test_leaves_of_open_heads_and_closed_elements():
+    texts = lambda html: [b.text for b in html_text.leaves(html)]
+    assert texts("<html><head><title>T</title><meta charset=utf-8><body><p>One</p><p>Two</p></body></html>") == ["One", "Two"]
+    assert texts("<head><title>T</title><link rel=x href=y><script>s()</script><style>p{}</style><noscript>n</noscript>\n<article>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>T</title>One <b>two</b>") == ["One two"]
+    assert texts("<head><noscript><body><p>One") == ["One"]
+    assert texts("<head><title>T</title></head><body><p>One<head></head></body>") == ["One"]
+    assert texts("<div>One <svg/> two <math /> three<br/>four</div><p>Five") == ["One two three four", "Five"]
+    assert texts("<head><svg/><p>One <svg><title/><g><svg/><path d=x /></g><text>no</text></svg> two") == ["One two"]
+    assert texts("<div/>One<p>Two</p>") == ["One", "Two"]
+
+
 def test_extraction_finds_every_article_of_the_table(spark):
     rows = spark.read.parquet(f"{SF01}/pages.parquet").collect()
     got = {r["page_id"]: r["text"] for r in queries.op6_html_text(spark, SF01).collect()}
