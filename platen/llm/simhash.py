@@ -7,7 +7,8 @@ half of the word, so flips of two bits within a half are enough. Fingerprints th
 at one flip each. Variants are dealt to buckets as packed arrays. Where variants collide, every member of
 the run lies within three bits of a member at one flip or none, which becomes the run's root: a run of m
 gives m - 1 links, never all pairs, and no connection is lost. Colliding pairs are verified and links
-deduplicated before connected components are taken.
+deduplicated before connected components are taken. Radii up to two need single flips only; for four every
+fingerprint emits all flips of two bits, and any member of a run may be its root.
 """
 
 from __future__ import annotations
@@ -22,29 +23,31 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, join_counted, parts, stage
 
-BITS, RADIUS, SEED = 64, 3, 42
+BITS, RADIUS, WIDTH, SEED = 64, 3, 3, 42
 _ONE = np.uint64(1)
 _SINGLE = [1 << i for i in range(BITS)]
 _PAIRS = [1 << i | 1 << j for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
-#: What each code flips: nothing, one bit, two bits of a half.
-FLIPS = np.array([0, *_SINGLE, *_PAIRS], np.uint64)
+#: What each code flips: nothing, one bit, two bits of a half, two bits across the halves (for a radius of four only).
+FLIPS = np.array([0, *_SINGLE, *_PAIRS, *[1 << i | 1 << j for i in range(32) for j in range(32, 64)]], np.uint64)
 NEAR = 1 + BITS  # codes below flip a bit at most
+#: How many codes a radius needs, the least first; a larger radius needs flips of three bits, 41,664 more a fingerprint.
+CODES = [1, NEAR, NEAR, NEAR + len(_PAIRS), len(FLIPS)]
 #: Variants in a bucket, about.
 BUCKET = 2_000_000
 
 
-def simhash(text: str | bytes) -> int:
-    """The fingerprint as an unsigned number; 0 if the text has no word."""
+def simhash(text: str | bytes, width: int = WIDTH) -> int:
+    """The fingerprint over shingles of so many words, as an unsigned number; 0 if the text has no word."""
     data = text.encode() if isinstance(text, str) else text
     joined = b" ".join(data.lower().split())  # both are of ASCII only, as the contract's words are
     if not joined:
         return 0
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    if len(spaces) < 2:
+    if len(spaces) < width - 1:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
     else:
-        starts = [0, *(spaces[:-1] + 1).tolist()]
-        ends = [*spaces[2:].tolist(), len(joined)]
+        starts = [0, *(spaces + 1).tolist()]
+        ends = [*spaces[width - 1 :].tolist(), len(joined)]
         one = xxhash.xxh64_intdigest
         hashes = [one(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)]
     raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
@@ -54,26 +57,29 @@ def simhash(text: str | bytes) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
+def fingerprints(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """key, text_hash (of the text, to find the row again) and fp (the fingerprint's bits as a long) of every row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(2).cast(pa.binary()).to_pylist()
-        fps = np.array([simhash(t or b"") for t in texts], np.uint64).view(np.int64)
+        fps = np.array([simhash(t or b"", width) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["key", "text_hash", "fp"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(in_arrow(run, 2), "key long, text_hash long, fp long")
 
 
-def _variants(buckets: int):
+def _variants(buckets: int, radius: int):
+    codes_of = CODES[radius]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 fps = whole.column(0).slice(at, 4096).to_numpy().view(np.uint64)
-                odd = np.bitwise_count(fps) % 2 == 1
-                values = np.concatenate([(fps[:, None] ^ FLIPS[None, :NEAR]).ravel(), (fps[odd][:, None] ^ FLIPS[None, NEAR:]).ravel()])
-                codes = np.concatenate([np.tile(np.arange(NEAR, dtype=np.uint16), len(fps)), np.tile(np.arange(NEAR, len(FLIPS), dtype=np.uint16), int(odd.sum()))])
+                two = fps[np.bitwise_count(fps) % 2 == 1] if radius == 3 else fps
+                one = min(NEAR, codes_of)
+                values = np.concatenate([(fps[:, None] ^ FLIPS[None, :one]).ravel(), (two[:, None] ^ FLIPS[None, one:codes_of]).ravel()])
+                codes = np.concatenate([np.tile(np.arange(one, dtype=np.uint16), len(fps)), np.tile(np.arange(one, codes_of, dtype=np.uint16), len(two))])
                 mixed = values * np.uint64(0x9E3779B97F4A7C15)
                 to = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((values, to))
@@ -85,34 +91,39 @@ def _variants(buckets: int):
     return run
 
 
-def _collide(group: pa.Table) -> pa.Table:
-    values = np.frombuffer(b"".join(group.column("variants").to_pylist()), np.uint64)
-    codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint16)
-    order = np.argsort(values, kind="stable")
-    values = values[order]
-    again = np.flatnonzero(values[1:] == values[:-1])
-    touched = np.zeros(len(values), bool)
-    touched[again] = touched[again + 1] = True
-    values, codes = values[touched], codes[order][touched]
-    order = np.lexsort((codes, values))
-    values, codes = values[order], codes[order]
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    run = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(values)]])))
-    fps = values ^ FLIPS[codes]
-    roots, root_codes = fps[starts][run], codes[starts][run]
-    keep = (root_codes < NEAR) & (roots != fps) & (np.bitwise_count(roots ^ fps) <= RADIUS)
-    links = np.stack([np.minimum(roots, fps)[keep], np.maximum(roots, fps)[keep]], axis=1)
-    links = np.unique(links, axis=0) if len(links) else links
-    return pa.table({"a": pa.array(links[:, 0].view(np.int64) if len(links) else np.zeros(0, np.int64)), "b": pa.array(links[:, 1].view(np.int64) if len(links) else np.zeros(0, np.int64))})
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever lies within RADIUS, from a staged table of distinct fingerprints fp."""
+def _collide(radius: int):
+    def run(group: pa.Table) -> pa.Table:
+        values = np.frombuffer(b"".join(group.column("variants").to_pylist()), np.uint64)
+        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint16)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        again = np.flatnonzero(values[1:] == values[:-1])
+        touched = np.zeros(len(values), bool)
+        touched[again] = touched[again + 1] = True
+        values, codes = values[touched], codes[order][touched]
+        order = np.lexsort((codes, values))
+        values, codes = values[order], codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(values)]])))
+        fps = values ^ FLIPS[codes]
+        roots, root_codes = fps[starts][run], codes[starts][run]
+        keep = ((root_codes < NEAR) | (radius > 3)) & (roots != fps) & (np.bitwise_count(roots ^ fps) <= radius)
+        links = np.stack([np.minimum(roots, fps)[keep], np.maximum(roots, fps)[keep]], axis=1)
+        links = np.unique(links, axis=0) if len(links) else links
+        return pa.table({"a": pa.array(links[:, 0].view(np.int64) if len(links) else np.zeros(0, np.int64)), "b": pa.array(links[:, 1].view(np.int64) if len(links) else np.zeros(0, np.int64))})
+
+    return run
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that connect whatever lies within a radius of 0 to 4 bits, from a staged table of distinct fingerprints fp."""
+    if not 0 <= radius < len(CODES):
+        raise ValueError(f"radius {radius}: only 0 to {len(CODES) - 1} bits can be linked")
     n = distinct.count()
-    per = NEAR + (len(FLIPS) - NEAR) // 2
+    per = NEAR + (CODES[3] - NEAR) // 2 if radius == 3 else CODES[radius]
     buckets = parts(n * per, BUCKET, 12)
-    packed = distinct.repartition(parts(n, 8192, 12)).mapInArrow(_variants(buckets), "bucket int, variants binary, codes binary")
-    return packed.groupBy("bucket").applyInArrow(_collide, "a long, b long").distinct()
+    packed = distinct.repartition(parts(n, 8192, 12)).mapInArrow(_variants(buckets, radius), "bucket int, variants binary, codes binary")
+    return packed.groupBy("bucket").applyInArrow(_collide(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,17 +151,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_hash, fp, root and component_id of every row: the component's smallest fingerprint, as a long, and the smallest key reachable over links of at most RADIUS bits.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """key, text_hash, fp, root and component_id of every row: the component's smallest fingerprint, as a long, and the smallest key reachable over links of at most ``radius`` bits between fingerprints over ``width`` words.
 
     Defined results: a null or empty text has the fingerprint zero, which links like any other; a null key
     is never a component's smallest unless all its keys are null, component_id is then null; repeated rows
     each get a row and lie in one component.
     """
-    rows = stage(fingerprints(df, key, text), "simhash")
+    rows = stage(fingerprints(df, key, text, width), "simhash")
     total = rows.count()
     nodes = stage(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")), "simhash-nodes")
-    found = stage(components(links(nodes.select("fp"))), "simhash-components")
+    found = stage(components(links(nodes.select("fp"), radius)), "simhash-components")
     joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     lows, joined = stage(lows, "simhash-lows"), stage(joined, "simhash-joined")
@@ -158,12 +169,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return join_counted(rows, stage(named, "simhash-named"), "fp", "n", total)
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """df's rows, one of each component: that of the smallest key, among equal keys that of the smallest text hash.
 
     A null key is chosen only where a component has no other. Columns stay as they are.
     """
-    found = near_duplicates(df, key, text)
+    found = near_duplicates(df, key, text, width, radius)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash"))
     kept = found.groupBy("root").agg(first.alias("first"))
     kept = kept.select(F.coalesce("first.key", F.lit(-(1 << 63))).alias("llm_key"), F.col("first.text_hash").alias("llm_text")).distinct()

@@ -223,6 +223,28 @@ def test_simhash_links_every_close_pair(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize(("width", "radius"), [(5, 1), (2, 4), (1, 2), (3, 0)])
+def test_simhash_of_other_widths_and_radii(spark, width, radius):
+    docs = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = [(r["fp"], r["root"]) for r in simhash.near_duplicates(docs, width=width, radius=radius).collect()]
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(max(1, len(words) - width + 1))] if words else []
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.simhash(r["text"] or "", width) == want
+    fps = sorted({f for f, _ in got})
+    root = {f: f for f in fps}
+    for _ in fps:  # the smallest fingerprint in reach, by spreading it
+        near = {f: min(root[g] for g in fps if ((f ^ g) & (1 << 64) - 1).bit_count() <= radius) for f in fps}
+        if near == root:
+            break
+        root = near
+    assert dict(got) == root
+    assert len(simhash.keep_one(docs, width=width, radius=radius).collect()) == len(set(root.values()))
+    with pytest.raises(ValueError, match="radius 5"):
+        simhash.links(docs.select(F.lit(1).alias("fp")), 5)
+
+
 def test_crc_is_of_little_endian_ids(spark):
     r = spark.createDataFrame([(struct.pack("<2I", 5, 49407),)], "ids binary").select(F.crc32("ids")).first()[0]
     assert r == zlib.crc32(struct.pack("<2I", 5, 49407))
