@@ -7,6 +7,7 @@ labels, trained on labelled pages, is decoded by Viterbi. The model is small and
 
 from __future__ import annotations
 
+import functools
 import re
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -16,27 +17,62 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .pages_labelled import labelled_pages
+from .pages_labelled import AROUND, MAIN, labelled_pages
 
 #: Elements by how a parser treats them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head iframe math noscript object script style svg template textarea title".split())
+SILENT = frozenset("audio button canvas datalist head iframe math noembed noframes noscript object option script select style svg template textarea title video".split())
 #: What may be in a head; whatever else begins ends it, as its end tag may be left out.
 HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-#: Elements that a slash closes, with all in them.
+#: Elements that a slash closes, with all in them, and that end where an element of HTML begins.
 FOREIGN = frozenset({"math", "svg"})
+BREAKOUT = BLOCKS | frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())
+#: Elements that can hold one of their own name; any other ends where the next one of its name begins.
+NESTING = frozenset("audio canvas object svg template video".split())
+#: Elements of which only the label up to the next tag goes with a start tag that nothing ends.
+LABELS = frozenset("button option select title".split())
 #: An open element of the value's names ends where one of the key's begins.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 HINTS = "cookie consent subscribe newsletter comment comments reply privacy terms copyright rights share advertisement sponsored login search menu home contact".split()
+#: What an element is by its tag alone.
+KINDS = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "note", "article": "main", "main": "main"}
+#: What an element is by a word of its names; words of five letters and more count within longer ones, too.
+NAMED = {w: kind for kind, words in AROUND.items() for w in words.split()} | {w: "main" for w in MAIN.split()}
+
+_RAW = r"<!--.*?-->|<script\b.*?</script\b|<style\b.*?</style\b"
+_MARKS = re.compile(rf"{_RAW}|<(/?)({'|'.join(sorted(SILENT - {'head', 'script', 'style'}))})\b[^>]*>", re.S | re.I)
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, tuple[str, ...], bool], ...]  # of each open element: tag, words of its class and id, data-main
+    path: tuple[tuple[str, tuple[str, ...], bool], ...]  # of each open element: tag, words of its class, id and role, data-main
     linked: float  # share of the text in links
 
 
+def ended(html: str) -> str:
+    """html without the start tags of silent elements that nothing ends, which would swallow the page from there on."""
+    last: dict[str, list[re.Match]] = {}
+    lost = []
+    for m in _MARKS.finditer(html):
+        if m[2] is None or m[0].endswith("/>"):
+            continue
+        name = m[2].lower()
+        held = last.setdefault(name, [])
+        if m[1]:
+            del held[-1:]
+        else:
+            if held and name not in NESTING:
+                lost.append(held.pop())
+            held.append(m)
+    lost += [m for held in last.values() for m in held if m[2].lower() != "option"]  # an option's end tag may be left out
+    lost = [m for m in lost if m[2].lower() != "option"]
+    for m in sorted(lost, key=lambda m: -m.start()):
+        to = html.find("<", m.end()) if m[2].lower() in LABELS else m.end()
+        html = html[: m.start()] + html[to if to >= 0 else len(html) :]
+    return html
+
+
 class Leaves(HTMLParser):
     """Collects the leaf blocks of a page, however it is broken."""
 
@@ -65,12 +101,24 @@ class Leaves(HTMLParser):
         if self.silent and any(name == "head" for name, _, _ in (self.open if body else self.open[-1:])):
             self.leave(max(i for i, (name, _, _) in enumerate(self.open) if name == "head"))
 
+    def end_foreign(self) -> None:
+        """Ends an open drawing or formula, in which an element of HTML cannot be."""
+        if self.silent and not any(name == "foreignobject" for name, _, _ in self.open):
+            at = next((i for i, (name, _, _) in enumerate(self.open) if name in FOREIGN), None)
+            if at is not None:
+                self.leave(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in HEADED:
             self.end_head(tag == "body")
+        if tag in BREAKOUT:
+            self.end_foreign()
         if tag == "br":
             self.run.append(" ")
         if tag in BLOCKS:
+            if tag not in ("option", "select"):
+                while self.silent and self.open and self.open[-1][0] in LABELS:  # no block can be in them
+                    self.leave(len(self.open) - 1)
             self.flush()
             ends = CLOSES.get(tag, set()) | {"p"}
             for i in range(len(self.open) - 1, -1, -1):
@@ -115,7 +163,7 @@ class Leaves(HTMLParser):
 
 def leaves(html: str) -> list[Block]:
     parser = Leaves()
-    parser.feed(html)
+    parser.feed(ended(html))
     parser.close()
     parser.flush()
     return parser.blocks
@@ -125,22 +173,36 @@ def _bucket(x: float, *cuts: float) -> int:
     return sum(x >= c for c in cuts)
 
 
+@functools.lru_cache(maxsize=65_536)
+def kind_of(tag: str, words: tuple[str, ...]) -> tuple[str | None, frozenset[str]]:
+    """What an element is by its tag or, failing that, the first of its names that tells; and the words that do."""
+    known = [n for w in words for n in ([w] if w in NAMED else [n for n in NAMED if len(n) > 4 and n in w])] if tag not in ("html", "body") else []
+    return KINDS.get(tag) or (NAMED[known[0]] if known else None), frozenset(known)
+
+
 def features(blocks: list[Block]) -> list[set[str]]:
     """The names of each block's features."""
     out = []
     for i, b in enumerate(blocks):
         tags = [t for t, _, _ in b.path if t in BLOCKS and t not in ("html", "body")]
-        own = {f"in:{t}" for t in tags} | {f"name:{w}" for _, ws, _ in b.path for w in ws}
-        own |= {f"tag:{tags[-1] if tags else '-'}", f"long:{_bucket(len(b.text), 20, 60, 150, 400)}", f"linked:{_bucket(b.linked, 0.01, 0.3, 0.8)}"}
+        seen = [kind_of(t, ws) for t, ws, _ in b.path]
+        kinds = [k for k, _ in seen if k]
+        own = {f"in:{t}" for t in tags} | {f"name:{w}" for _, known in seen for w in known}
+        size = _bucket(len(b.text), 20, 60, 150, 400)
+        own |= {f"tag:{tags[-1] if tags else '-'}", f"long:{size}", f"linked:{_bucket(b.linked, 0.01, 0.3, 0.8)}"}
+        own |= {f"inner:{kinds[-1] if kinds else '-'}", f"outer:{kinds[0] if kinds else '-'}"}
+        inside = len(kinds) - kinds[::-1].index("main") if "main" in kinds else None
+        own |= {"outside"} if inside is None else {f"below:{k}" for k in kinds[inside:]} or {"directly"}
         if b.text[-1] in ".!?…":
             own.add("ended")
         if "©" in b.text:
             own.add("rights")
-        own |= {f"hint:{w}" for w in HINTS if w in b.text[:400].lower()} if len(b.text) < 400 else set()
+        low = b.text.lower()
+        own |= {f"hint:{w}:{size}" for w in HINTS if w in low}
         own |= {"first"} if i == 0 else set()
         own |= {"last"} if i == len(blocks) - 1 else set()
         if not {"article", "main"} & set(tags):
-            own.add("outside")
+            own.add("untagged")
         out.append(own)
     return out
 
@@ -171,7 +233,7 @@ class Field(NamedTuple):
         return out[::-1]
 
 
-def train(pages: list[str] | None = None, rounds: int = 150, ridge: float = 1.0) -> Field:
+def train(pages: list[str] | None = None, rounds: int = 120, ridge: float = 1.0) -> Field:
     """A field from labelled pages: the penalised conditional likelihood, climbed by Adam on exact gradients."""
     data = []
     for html in pages if pages is not None else labelled_pages():
@@ -223,6 +285,12 @@ def train(pages: list[str] | None = None, rounds: int = 150, ridge: float = 1.0)
     return Field(dict(zip(names, map(float, theta[:k]), strict=True)), theta[k : k + 4].reshape(2, 2).tolist(), theta[k + 4 :].tolist())
 
 
+@functools.cache
+def fitted() -> Field:
+    """The field of the labelled pages, trained once a process."""
+    return train()
+
+
 def main_blocks(html: str, field: Field) -> list[str]:
     blocks = leaves(html)
     return [b.text for b, y in zip(blocks, field.labels(features(blocks)), strict=True) if y]
@@ -234,7 +302,7 @@ def extract(spark: SparkSession, html: Column, field: Field | None = None) -> Co
     Defined results: a null or empty page and one without main blocks give an empty text; a page that
     breaks off gives the blocks until there. White space within a block is one space.
     """
-    sent = spark.sparkContext.broadcast(tuple(field or train()))
+    sent = spark.sparkContext.broadcast(tuple(field or fitted()))
 
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:

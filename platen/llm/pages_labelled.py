@@ -8,19 +8,19 @@ from __future__ import annotations
 
 import random
 
-#: Names of classes and ids by what they mark. Fixed values.
+#: Names of classes, ids and roles by what they mark. Fixed values.
 AROUND = {
-    "nav": "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs pagination pager links toc",
+    "nav": "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs pagination pager links toc tabs",
     "head": "header masthead branding logo sitename tagline top hero",
-    "foot": "footer foot bottom copyright legal colophon credits sitemap",
-    "side": "sidebar side aside widget related recommended popular trending more teaser tags archive",
+    "foot": "footer foot bottom copyright legal colophon credits sitemap contentinfo",
+    "side": "sidebar side aside widget widgets related recommended popular trending more teaser tags archive complementary",
     "note": "notice cookie cookies consent gdpr banner alert popup modal overlay newsletter subscribe signup paywall",
     "ad": "ad ads advert advertisement adbox sponsor sponsored promo promotion commercial dfp",
     "form": "form search login register contact feedback",
-    "talk": "comments comment discussion replies reply respond disqus thread responses",
-    "share": "share social sharing follow author byline meta date",
+    "talk": "comments comment commentlist discussion replies reply respond disqus thread responses",
+    "share": "share social sharing follow",
 }
-MAIN = "content article post entry story text body main page single prose"
+MAIN = "content article post entry story text body main page single prose maincontent"
 
 _WORDS = "the of and to in is it that for on with as was be by are this not from at die der und das ist le la les des et une que para con los las del son no river market evening report council winter machine garden letter doctor street village music"
 
@@ -46,18 +46,20 @@ def _filled(rng: random.Random) -> str:
             return "<ul>" + "".join(f"<li data-main>{short()}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
         return rng.choice([f"<blockquote data-main>{text}</blockquote>", f"<pre data-main>{text}</pre>", f"<div data-main>{text}</div>", f"<table><tr><td data-main>{short()}</td><td data-main>{short()}</td></tr></table>"])
 
-    blocks = lambda: "".join(main_block() + (ad() if rng.random() < 0.05 else "") for _ in range(rng.randint(1, 12)))
+    blocks = lambda most=12: "".join(main_block() + (rng.choice([ad, ad, side, note, form, share])() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, most)))
     ad = lambda: f"<div {attr('ad')}>{rng.choice([short, long])()}</div>"
     note = lambda: f"<{rng.choice(['div', 'section', 'p'])} {attr('note')}>{rng.choice([short, long])()}<button>OK</button></div>"
     nav = lambda: rng.choice([f"<nav><ul>{links(rng.randint(2, 7))}</ul></nav>", f"<div {attr('nav')}><ul>{links(4)}</ul></div>", f"<div {attr('nav')}><a href=/>{short()}</a> | <a href=/x>{short()}</a></div>"])
     head = lambda: rng.choice([f"<header><h1>{short()}</h1><p>{short()}</p></header>", f"<div {attr('head')}><h2>{short()}</h2>{short()}</div>"])
-    foot = lambda: rng.choice([f"<footer>&copy; {word()}.example.com &middot; {rng.choice([short, long])()}</footer>", f"<div {attr('foot')}><p>&copy; 2020 {short()}</p><ul>{links(2)}</ul></div>"])
-    side = lambda: rng.choice([f"<aside><h3>{short()}</h3><ul>{links(4)}</ul><p>{long()}</p></aside>", f"<div {attr('side')}><h3>{short()}</h3><p>{long()}</p></div>"])
-    form = lambda: rng.choice([f"<form {attr('form')}><label>{short()}</label><input><p>{short()}</p><button>{word()}</button></form>", f"<form><p>{long()}</p></form>"])
-    talk = lambda: f"<{rng.choice(['div', 'section', 'ol'])} {attr('talk')}><h3>{short()}</h3>" + "".join(f"<div class={name('talk')}><p>{rng.choice([short, long])()}</p></div>" for _ in range(rng.randint(1, 4))) + "</div>"
+    foot = lambda: rng.choice([f"<footer>&copy; {word()}.example.com &middot; {rng.choice([short, long])()}</footer>", f"<footer><p>{long()}</p><ul>{links(2)}</ul></footer>", f"<div {attr('foot')}><p>&copy; 2020 {short()}</p><ul>{links(2)}</ul></div>"])
+    side = lambda: rng.choice([f"<aside><h3>{short()}</h3><ul>{links(4)}</ul><p>{long()}</p></aside>", f"<aside>{rng.choice([short, long])()}</aside>", f"<div {attr('side')}><h3>{short()}</h3><p>{long()}</p></div>", f"<div {attr('side')}>{long()}</div>"])
+    form = lambda: rng.choice([f"<form {attr('form')}><label>{short()}</label><input><p>{short()}</p><button>{word()}</button></form>", f"<form><p>{long()}</p></form>", f"<form>{short()}<select><option>{word()}<option>{word()}</select></form>"])
+    remark = lambda: rng.choice([f"<div class={name('talk')}><p>{rng.choice([short, long])()}</p></div>", f"<p>{rng.choice([short, long])()}</p>", f"<article><h4>{short()}</h4><p>{long()}</p></article>", f"<li>{rng.choice([short, long])()}</li>"])
+    talk = lambda: f"<{rng.choice(['div', 'section', 'ol'])} {attr('talk')}><h3>{short()}</h3>" + "".join(remark() for _ in range(rng.randint(1, 5))) + "</div>"
     share = lambda: f"<div {attr('share')}>{short()} <a href=x>{word()}</a></div>"
-    title = lambda: f"<h1 data-main>{short()}</h1>" if rng.random() < 0.8 else ""
-    inner = lambda: title() + some(share) + blocks() + (rng.choice([share, talk, side, ad, form])() if rng.random() < 0.3 else "")
+    title = lambda: rng.choice([f"<h1 data-main>{short()}</h1>"] * 4 + [f"<header><h1 data-main>{short()}</h1></header>", ""])
+    tail = lambda: "".join(rng.choice([share, talk, talk, side, ad, form])() for _ in range(rng.choice([0, 0, 1, 2])))
+    inner = lambda: title() + some(share) + blocks() + tail() + (blocks(3) if rng.random() < 0.15 else "")
     mains = rng.choice(MAIN.split())
     layout = rng.choice([
         lambda: f"<article>{inner()}</article>",
@@ -68,13 +70,24 @@ def _filled(rng: random.Random) -> str:
         lambda: f'<div id="{mains}"><div class="{rng.choice(MAIN.split())}">{inner()}</div></div>',
         lambda: f"<table><tr><td {attr('side')}>{long()}</td><td>{inner()}</td></tr></table>",
         lambda: f"<div>{title()}{blocks()}</div>",
+        lambda: f"<section>{title()}{blocks()}</section>{talk()}",
+        lambda: f"{title()}{blocks()}",
+        lambda: f'<div class="{mains}"><div {attr("side")}><h3>{short()}</h3><p>{long()}</p></div><div>{inner()}</div></div>',
     ])()
-    before, after = [nav, head, note, ad, form], [side, talk, form, ad, note, share]
+    before, after = [nav, head, note, ad, form, side], [side, talk, form, ad, note, share]
     rng.shuffle(before)
     rng.shuffle(after)
-    return f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>{some(*before)}{layout}{some(*after)}{foot() if rng.random() < 0.9 else ''}</body></html>"
+    page = f"{some(*before)}{layout}{some(*after)}{foot() if rng.random() < 0.9 else ''}"
+    around = rng.random()  # what holds the whole page is no guide to what an article is
+    if around < 0.06:
+        page = f'<form id="{word()}">{page}</form>'
+    elif around < 0.14:
+        page = f'<div class="{name(rng.choice(["side", "nav", "head"]))}-{rng.choice(["layout", "wrap", "left"])}">{page}</div>'
+    elif around < 0.24:
+        page = f'<div class="{rng.choice(MAIN.split())}-wrap">{page}</div>'
+    return f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>{page}</body></html>"
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 450, seed: int = 11) -> list[str]:
     rng = random.Random(seed)
     return [_filled(rng) for _ in range(n)]

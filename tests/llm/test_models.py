@@ -163,7 +163,7 @@ def test_spans_by_brute_force():
 
 @pytest.fixture(scope="module")
 def field():
-    return html_text.train()
+    return html_text.fitted()
 
 
 def test_extraction_on_held_out_layouts(field):
