@@ -1,11 +1,13 @@
-"""Nearest neighbours by shifted space-filling curves, with an exact check behind.
+"""Nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few random directions, shifted and quantised, and ordered by their Hilbert key
-on several curves. Spark range-partitions each ordering; in it every query is compared with the window of
-keys around its own, and the windows of all curves merge and are reranked. That gives every query k
-candidates and so a bound on its k-th score. The exact check then holds the query set, in blocks, against
-all rows, in blocks, and lets through what reaches a query's bound: vectors without any structure leave no
-window narrow enough for full recall. ``exact=False`` returns what the windows found.
+on several curves. Spark range-partitions the keys of all curves; a row's place on a curve is its rank there,
+whichever partitions it fell into, and each curve is cut into blocks of so many neighbouring keys. A query's
+window is its own block and the one on either side. Vectors travel to their blocks, queries to three blocks a
+curve, the best of all windows merge and are reranked by exact scores.
+
+The work is linear: every vector goes to one block a curve. What that finds depends on how the vectors lie:
+nearly everything where they have structure, and less the more vectors without any there are.
 
 Equal vectors are searched once: of each, only the k + 1 smallest ids can be among anyone's k nearest. Rows
 equal in id and vector are one row with a count. A query leaves out every row of its own id, however many, so
@@ -16,15 +18,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import join_counted, parts, stage
 
-DIRECTIONS, BITS = 6, 10
+DIRECTIONS, BITS = 8, 7
 FOUND = "query long, vec_id long, copies int, score double"
 
 KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
@@ -58,46 +62,80 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, size)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one dimension from their bytes, in double precision."""
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(len(data), -1)
 
 
-def valid(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """vec_id, v (the doubles' bytes) of the vectors that take part, and their dimension.
+def valid(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, str]:
+    """vec_id, dim, v (the numbers' bytes) of the vectors that take part, staged, and the numbers' type.
 
-    Vectors that are null or zero or hold a null or non-finite component take no part, nor do those without
-    an id or of another dimension than the most frequent one.
+    Vectors that are null, zero, empty or hold a null or non-finite component take no part, nor do those
+    without an id.
     """
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("e")).filter(F.col("vec_id").isNotNull() & (F.size("e") > 0))
-    most = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    size = most["d"] if most else 1
+    single = isinstance(df.schema[vector].dataType, ArrayType) and isinstance(df.schema[vector].dataType.elementType, FloatType)
+    kind = "<f4" if single else "<f8"
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{'float' if single else 'double'}>").alias("e")).filter(F.col("vec_id").isNotNull() & (F.size("e") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, size)
-            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in x[good] + 0.0], pa.binary())], ["vec_id", "v"])
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            flat, ends = batch.column(1).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind), np.cumsum(sizes)
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                x = flat[(ends[own] - d)[:, None] + np.arange(d)]
+                good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                ids = batch.column(0).take(pa.array(own[good]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), d, np.int32)), pa.array([r.tobytes() for r in x[good] + np.array(0, kind)], pa.binary())], ["vec_id", "dim", "v"])
 
-    return stage(rows.filter(F.size("e") == size).mapInArrow(run, "vec_id long, v binary"), "vectors"), size
+    return stage(rows.mapInArrow(run, "vec_id long, dim int, v binary"), "vectors"), kind
 
 
-def _keys(size: int, curves: int, seed: int):
-    rng = np.random.default_rng(seed)
-    planes = [np.linalg.qr(rng.standard_normal((size, min(size, DIRECTIONS))))[0] for _ in range(curves)]
-    shifts = [rng.random(p.shape[1]) for p in planes]
+def _keys(kind: str, dims: dict[int, int], curves: int, seed: int):
+    """Curve, key, id and number of each row on each curve; the curves of the i-th dimension begin at i * curves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = {}
         for batch in batches:
-            x = _matrix(batch.column(1), size)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for c in range(curves):
-                spread = unit @ planes[c] * math.sqrt(size) / 8  # a component of a random unit vector times sqrt(size) is about normal
-                cells = np.clip((spread + 0.5 + (shifts[c] - 0.5) / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS).astype(np.int64)), batch.column(0), batch.column(1), batch.column(2), batch.column(3)], ["curve", "at", "vec_id", "v", "copies", "query"])
+            each = batch.column(1).to_numpy()
+            for d in np.unique(each):
+                own = pa.array(np.flatnonzero(each == d))
+                if d not in planes:
+                    rng = np.random.default_rng([seed, d])
+                    planes[d] = [(np.linalg.qr(rng.standard_normal((d, min(d, DIRECTIONS))))[0], rng.random(min(d, DIRECTIONS))) for _ in range(curves)]
+                x = _matrix(batch.column(2).take(own), kind)
+                unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+                for c, (plane, shift) in enumerate(planes[d]):
+                    spread = unit @ plane * math.sqrt(d) / 8  # a component of a random unit vector times sqrt(d) is about normal
+                    cells = np.clip((spread + 0.5 + (shift - 0.5) / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dims[d] * curves + c, np.int32)), pa.array(hilbert(cells, BITS).astype(np.int64)), batch.column(0).take(own), batch.column(3).take(own)], ["curve", "at", "vec_id", "row"])
 
     return run
 
 
+def places(kept: DataFrame, kind: str, curves: int, seed: int) -> DataFrame:
+    """row and places (curve, at: the rank on it) of every row of kept.
+
+    What the driver gathers is a count per partition and one per dimension, no row.
+    """
+    spark = kept.sparkSession
+    sizes = {r["dim"]: r["count"] for r in kept.groupBy("dim").count().collect()}
+    dims = {d: i for i, d in enumerate(sorted(sizes))}
+    keyed = kept.select("vec_id", "dim", "v", "row").mapInArrow(_keys(kind, dims, curves, seed), "curve int, at long, vec_id long, row long")
+    order = ["curve", "at", "vec_id", "row"]
+    ranged = keyed.repartitionByRange(parts(sum(sizes.values()) * curves, 500_000), *order).sortWithinPartitions(*order)
+    ranked = stage(ranged.select("curve", "row", F.monotonically_increasing_id().alias("mid")), "ranks")
+    per = sorted((r["p"], r["count"]) for r in ranked.groupBy(F.shiftright("mid", 33).alias("p")).count().collect())
+    begins = list(accumulate([0] + [n for _, n in per]))
+    before = spark.createDataFrame([(p, b) for (p, _), b in zip(per, begins, strict=False)], "p long, before long")
+    firsts = list(accumulate([0] + [sizes[d] for d in dims for _ in range(curves)]))
+    first = spark.createDataFrame([(c, f) for c, f in enumerate(firsts)], "curve int, first long")
+    own = ranked.withColumn("p", F.shiftright("mid", 33)).join(F.broadcast(before), "p").join(F.broadcast(first), "curve")
+    at = F.col("before") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("first")
+    return own.groupBy("row").agg(F.collect_list(F.struct("curve", at.alias("at"))).alias("places"))  # one a curve
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The places of the best, ties to the smaller id, until k are left without any one id; of one id k at most."""
     order = np.lexsort((ids, -scores))
@@ -113,48 +151,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[: int(short.sum()) + 1]
 
 
-def _windows(size: int, k: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # a partition: a bounded share of a curve
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        curve, ids, copies = (t.column(c).to_numpy() for c in ("curve", "vec_id", "copies"))
-        x = _matrix(t.column("v"), size)
-        ask = t.column("query").to_numpy(zero_copy_only=False)
-        out = []
-        for p in np.flatnonzero(~np.isnan(ask.astype(float))):
-            lo, hi = max(0, p - window), min(len(ids), p + window + 1)
-            near = lo + np.flatnonzero(curve[lo:hi] == curve[p])
-            s = x[near] @ x[p]
-            for i in _best(s, ids[near], k):
-                out.append((int(ask[p]), int(ids[near[i]]), int(copies[near[i]]), float(s[i])))
-        for at in range(0, len(out), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 100_000], strict=True), KINDS, strict=True)], ["query", "vec_id", "copies", "score"])
-
-    return run
-
+def _near(kind: str, k: int):
+    """The best of a block for each query that it is in the window of, by exact scores."""
 
-def _check(size: int, k: int):
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and asked.num_rows:
-            x, ids, copies = _matrix(rows.column("v"), size), rows.column("vec_id").to_numpy(), rows.column("copies").to_numpy()
+            x, ids, copies = _matrix(rows.column("v"), kind), rows.column("vec_id").to_numpy(), rows.column("copies").to_numpy()
             unique = len(np.unique(ids)) == len(ids)
-            q, keys, bounds = _matrix(asked.column("v"), size), asked.column("query").to_pylist(), asked.column("bound").to_numpy()
+            q, keys = _matrix(asked.column("v"), kind), asked.column("query").to_pylist()
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ x.T
                 slack = 1e-9 * np.abs(s).max()
+                least = np.partition(s, -k - 1, axis=1)[:, -k - 1] if s.shape[1] > k + 1 else np.full(len(s), -np.inf)
                 for i in range(len(s)):
-                    over = np.flatnonzero(s[i] >= bounds[at + i] - slack)
-                    if len(over) > 2 * k:  # all that may be among the best, rounding allowed for
-                        near = s[i][over]
-                        least = np.partition(near, -k - 1)[-k - 1] if unique else near[_best(near, ids[over], k)].min()
-                        over = over[near >= least - slack]
+                    low = least[i] if unique else s[i][_best(s[i], ids, k)].min()
+                    over = np.flatnonzero(s[i] >= low - slack)  # all that may be among the best, rounding allowed for
                     exact = np.array([math.fsum(r) for r in x[over] * q[at + i]])
                     out += [(keys[at + i], int(ids[over[j]]), int(copies[over[j]]), float(exact[j])) for j in _best(exact, ids[over], k)]
         columns = list(zip(*out, strict=True)) or [[]] * len(KINDS)
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)], names=["query", "vec_id", "copies", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], names=["query", "vec_id", "copies", "score"])
 
     return run
 
@@ -172,33 +188,29 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return placed.withColumn("most", most).filter(F.col("place") - 1 - F.col("most") < k).drop("place", "most")
 
 
-def search(df: DataFrame, asks: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = 4, window: int = 128, exact: bool = True, seed: int = 7) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest by inner product of every row for which ``asks`` holds of vec_id.
+def search(df: DataFrame, asks: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = 12, block: int = 2048, seed: int = 7) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found by inner product of every row for which ``asks`` holds of vec_id.
 
-    Candidates are all rows but the query's own id. Ties go to the smaller id; scores are rounded once
-    (the exact sum). See ``valid`` for vectors that take no part. Rows that share an id, equal or not, are
-    each candidates and each queries; a query then leaves out all of them.
+    Candidates are all rows of the query's dimension but those of its own id. Ties go to the smaller id;
+    scores are rounded once (the exact sum). See ``valid`` for vectors that take no part. Rows that share an
+    id, equal or not, are each candidates and each queries; a query then leaves out all of them. A curve of at
+    most two blocks is searched whole, so small tables have exact results. Reruns agree.
     """
-    rows, size = valid(df, key, vector)
+    rows, kind = valid(df, key, vector)
     asked = rows.filter(asks)
     distinct = asked.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("query", F.monotonically_increasing_id())
     distinct = stage(distinct, "queries")  # an id may have several vectors, so each has a number of its own
     by_id = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    kept = rows.groupBy("v", "dim", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
     kept = kept.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1).join(distinct.select("v", "query"), "v", "left")
-    kept = stage(kept.select("vec_id", "v", "copies", F.when(F.col("place") == 1, F.col("query")).alias("query")), "vectors-kept")
-    n, queries = kept.count(), distinct.count()
-    keyed = kept.mapInArrow(_keys(size, curves, seed), "curve int, at long, vec_id long, v binary, copies int, query long")
-    ordered = keyed.repartitionByRange(parts(n * curves, 40_000), "curve", "at").sortWithinPartitions("curve", "at", "vec_id")
-    found = top(ordered.mapInArrow(_windows(size, k, window), FOUND).distinct(), k)
-    if exact:
-        found = stage(found, "windows")
-        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) - F.max("nth") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
-        wanted = distinct.join(bounds, "query", "left").select("query", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-        many, few = parts(n, 8192), parts(queries, 4096)
-        across = kept.select("vec_id", "v", "copies", F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"))
-        down = wanted.select("query", "v", "bound", F.pmod(F.xxhash64("query"), F.lit(few)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")).alias("r"))
-        found = top(across.groupBy("r", "q").cogroup(down.groupBy("r", "q")).applyInArrow(_check(size, k), FOUND), k)
+    kept = stage(kept.select("vec_id", "dim", "v", "copies", F.when(F.col("place") == 1, F.col("query")).alias("query"), F.monotonically_increasing_id().alias("row")), "vectors-kept")
+    placed = kept.join(places(kept, kind, curves, seed), "row").select("vec_id", "v", "copies", "query", F.transform("places", lambda p: F.struct(p["curve"].alias("curve"), F.floor(p["at"] / block).alias("block"))).alias("places"))
+    placed = stage(placed, "placed")
+    dealt = placed.select("vec_id", "v", "copies", F.inline("places"))
+    down = placed.filter(F.col("query").isNotNull()).select("query", "v", F.inline("places"))
+    down = down.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    found = dealt.groupBy("curve", "block").cogroup(down.groupBy("curve", "block")).applyInArrow(_near(kind, k), FOUND)
+    found = top(found.repartition("query").distinct(), k)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "copies"))).alias("found"))  # 2 k at most
     lists = stage(distinct.join(lists, "query").select("v", "n", "found"), "found")
     each = join_counted(asked.withColumnRenamed("vec_id", "query_id"), lists, "v", "n", asked.count())

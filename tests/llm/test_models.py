@@ -91,14 +91,31 @@ def test_neighbours_of_repeated_ids(spark):
     assert [tuple(r) for r in neighbours.search(only, F.col("vec_id") == 20).distinct().collect()] == [(20, 1, 1, 1.0)]
 
 
-def test_windows_alone_find_most_of_structured_vectors(spark):
+def test_recall_of_windows(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 32))
-    rows = [(i, [float(x) for x in centres[i % 40] + 0.15 * rng.standard_normal(32)]) for i in range(2000)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    exact = {(r["query_id"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect()}
-    found = {(r["query_id"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") % 20 == 0, exact=False).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    rows = [(i, [float(x) for x in np.float32(centres[i % 40] + 0.15 * rng.standard_normal(32))]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = np.array([v for _, v in rows])
+    want = {(q, int(i)) for q in range(0, 3000, 20) for i in [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20]}
+    found = {(r["query_id"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") % 20 == 0, curves=4, block=100).collect()}
+    assert len(want & found) >= 0.9 * len(want)
+    again = {(r["query_id"], r["vec_id"]) for r in neighbours.search(df.repartition(5), F.col("vec_id") % 20 == 0, curves=4, block=100).collect()}
+    assert again == found  # whatever the partitions
+
+
+def test_recall_on_the_table(spark):
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    ids, m = np.array(sorted(x)), np.stack([x[i] for i in sorted(x)])
+    found = {(r["query_id"], r["vec_id"]) for r in neighbours.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 20 == 0, block=256).collect()}
+    want = {(int(q), int(i)) for q in ids if q % 20 == 0 for i in [j for j in ids[np.argsort(-(m @ x[q]), kind="stable")] if j != q][:20]}
+    assert len(want & found) >= 0.9 * len(want)
+
+
+def test_neighbours_of_each_dimension(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 1.0, 1.0]), (20, [0.0, 2.0, 0.0]), (3, [0.0, 1.0, 0.0]), (40, [1.0])]
+    got = {tuple(r) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
+    assert got == {(0, 1, 1, 0.5), (20, 1, 2, 2.0), (20, 2, 3, 2.0)}
 
 
 def test_hilbert_neighbours_are_one_step_apart():
