@@ -26,9 +26,11 @@ _DIR = "platen.llm.staging"
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
+    """The shared folder of this session, without a trailing slash. Only a local master may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors share no other folder")
         found = "file://" + tempfile.mkdtemp(prefix="spark-staging-")
         spark.conf.set(_DIR, found)
     return found.rstrip("/")
@@ -50,7 +52,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it none of those taken, in any case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """left inner join right on key, right holding in n how many rows of left have its (unique) key.
 
     The at most HOT hot keys are broadcast and their rows stay where they are; the others have few rows
@@ -58,7 +71,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
     """
     hot = right.filter(F.col(n) * HOT >= F.lit(total)).drop(n)
     cold = right.filter(F.col(n) * HOT < F.lit(total)).drop(n)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")  # select takes a name or a list of names
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, free_names, join_counted, stage
 
-#: Up to so many sources the plan (some 60 bytes a source) is broadcast; beyond, it is joined by shuffle.
+#: Up to so many sources the plan (some 60 bytes a source) is broadcast; beyond, sources that hold much are, the others meet in a shuffle.
 BROADCAST_SOURCES = 50_000
 
 
@@ -28,15 +28,16 @@ def draw(key: Column, seed: str) -> Column:
 
 
 def source_plan(sizes: DataFrame, source: str, size: str, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """One row per source: source, source_size, weight, target, rate.
+    """One row per source: source, rows, source_size, weight, target, rate.
 
     Sources in the order of their code points, null last, take ``weights`` in turn. All targets add up to
     all sizes. None is above ``most`` times its source's size: the excess goes to the others by weight
     until none is above. In closed form: sorted by cap over weight, the capped sources are a prefix, and
     it is the shortest prefix after which the common level doesn't exceed the next one's ratio.
-    The only rows that meet in one task here are one per source.
+    The windows are over all sources at once, so one task sorts a row per source, some 100 bytes each: ten
+    million sources are a gigabyte.
     """
-    per = sizes.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"))
+    per = sizes.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).cast("long").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
@@ -51,7 +52,25 @@ def source_plan(sizes: DataFrame, source: str, size: str, weights: tuple[int, ..
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))
     per = per.withColumn("target", F.coalesce(target, F.col("cap").cast("double")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    return per.select("source", "source_size", "weight", "target", rate.alias("rate"))
+    return per.select("source", "rows", "source_size", "weight", "target", rate.alias("rate"))
+
+
+#: What with_copies adds.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _counted(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...], most: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """df and four columns, named as df names none: size, its source's size and target, how often the mix takes the row."""
+    own, total, target, copies, name, rate, n = free_names(df.columns, *ADDED, "mix_source", "mix_rate", "mix_rows")
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("none"))
+    sized = df.withColumn(own, size).withColumn(name, named(F.col(source)))
+    plan = stage(source_plan(sized.select(F.col(source).alias("source"), F.col(own).alias("size")), "source", "size", weights, most), "mix-plan")
+    plan = plan.select(named(F.col("source")).alias(name), F.col("source_size").alias(total), F.col("target").alias(target), F.col("rate").alias(rate), F.col("rows").alias(n))
+    sources, rows = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).first()
+    joined = sized.join(F.broadcast(plan.drop(n)), name) if sources <= BROADCAST_SOURCES else join_counted(sized, plan, name, n, rows)
+    whole = F.floor(rate)
+    chance = draw(F.col(key), seed) < F.col(rate) - whole
+    return joined.withColumn(copies, (whole + chance.cast("long")).cast("long")), [own, total, target, copies]
 
 
 def with_copies(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
@@ -59,21 +78,15 @@ def with_copies(df: DataFrame, key: str, source: str, size: Column, weights: tup
 
     Defined results: a null or empty text has size 0 and, in a source of size 0, rate 1. A null source is
     a source. Rows that share a key share the draw; a null key draws as the empty string. An empty table
-    gives an empty one. df's own columns stay, unless they have one of the four names.
+    gives an empty one. df's own columns stay as they are, but for those that have one of the four names.
     """
-    sized = df.withColumn("mix_size", size)
-    plan = stage(source_plan(sized, source, "mix_size", weights, most), "mix-plan")
-    plan = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    joined = sized.join(plan, sized[source].eqNullSafe(plan["mix_source"]))
-    whole = F.floor("mix_rate")
-    chance = draw(F.col(key), seed) < F.col("mix_rate") - whole
-    return joined.withColumn("mix_copies", (whole + chance.cast("long")).cast("long")).drop("mix_source", "mix_rate")
+    out, names = _counted(df, key, source, size, weights, most, seed)
+    return out.select(*[c for c in df.columns if c.lower() not in ADDED], *[F.col(a).alias(b) for a, b in zip(names, ADDED, strict=True)])
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: df's rows and columns, each as often as the mix takes it. See with_copies."""
-    out = with_copies(df, key, source, words(F.col(text)), weights, most, seed)
-    out = out.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+    """The mixed corpus: df's rows and columns, whatever their names, each as often as the mix takes it. See with_copies."""
+    out, names = _counted(df, key, source, words(F.col(text)), weights, most, seed)
+    (copy,) = free_names(out.columns, "mix_copy")
+    out = out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(names[3]).cast("int"))))
     return out.select(*df.columns)
