@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, join_counted, parts, stage
+from .common import free_names, in_arrow, join_counted, parts, stage
 
 BITS, RADIUS, WIDTH, SEED = 64, 3, 3, 42
 _ONE = np.uint64(1)
@@ -57,16 +57,25 @@ def simhash(text: str | bytes, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+#: Up to so many rows of two numbers are broadcast, after they were counted.
+BROADCAST_ROWS = 100_000
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns (but for maps, which have none)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def fingerprints(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """key, text_hash (of the text, to find the row again) and fp (the fingerprint's bits as a long) of every row."""
+    """key, row_hash (to find the row again) and fp (the fingerprint's bits as a long) of every row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(2).cast(pa.binary()).to_pylist()
         fps = np.array([simhash(t or b"", width) for t in texts], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["key", "text_hash", "fp"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["key", "row_hash", "fp"])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(in_arrow(run, 2), "key long, text_hash long, fp long")
+    rows = df.select(F.col(key).cast("long").alias("key"), row_hash(df).alias("row_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(in_arrow(run, 2), "key long, row_hash long, fp long")
 
 
 def _variants(buckets: int, radius: int):
@@ -84,8 +93,8 @@ def _variants(buckets: int, radius: int):
                 to = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((values, to))
                 values, codes, to = values[order], codes[order], to[order]
-                starts = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [(b, values[s:e].tobytes(), codes[s:e].tobytes()) for b, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if e > s]
+                starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))  # of the buckets that occur
+                rows = [(int(to[s]), values[s:e].tobytes(), codes[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(to)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "variants", "codes"])
 
     return run
@@ -152,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """key, text_hash, fp, root and component_id of every row: the component's smallest fingerprint, as a long, and the smallest key reachable over links of at most ``radius`` bits between fingerprints over ``width`` words.
+    """key, row_hash, fp, root and component_id of every row: the component's smallest fingerprint, as a long, and the smallest key reachable over links of at most ``radius`` bits between fingerprints over ``width`` words.
 
     Defined results: a null or empty text has the fingerprint zero, which links like any other; a null key
     is never a component's smallest unless all its keys are null, component_id is then null; repeated rows
@@ -170,13 +179,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """df's rows, one of each component: that of the smallest key, among equal keys that of the smallest text hash.
+    """df's rows, one of each component: that of the smallest key, among equal keys that of the smallest row hash.
 
-    A null key is chosen only where a component has no other. Columns stay as they are.
+    A null key is chosen only where a component has no other; of rows equal in every column one stays. Columns
+    stay as they are, whatever their names. A chosen row that is there once, as nearly all are, is found by a
+    join; only rows that are there several times are told apart by a shuffle, after their tasks have dropped theirs.
     """
+    low = F.lit(-(1 << 63))
+    names = free_names(df.columns, "llm_key", "llm_row")
     found = near_duplicates(df, key, text, width, radius)
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash"))
-    kept = found.groupBy("root").agg(first.alias("first"))
-    kept = kept.select(F.coalesce("first.key", F.lit(-(1 << 63))).alias("llm_key"), F.col("first.text_hash").alias("llm_text")).distinct()
-    rows = df.withColumn("llm_key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).withColumn("llm_text", F.xxhash64(F.col(text).cast("string")))
-    return rows.join(kept, ["llm_key", "llm_text"], "left_semi").dropDuplicates(["llm_key", "llm_text"]).select(*df.columns)
+    per = found.groupBy("root", "key", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = per.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row_hash", "n")).alias("first"))
+    kept = stage(first.select(F.coalesce("first.key", low).alias(names[0]), F.col("first.row_hash").alias(names[1]), F.col("first.n").alias("n")), "simhash-kept")
+    rows = df.withColumns({names[0]: F.coalesce(F.col(key).cast("long"), low), names[1]: row_hash(df)})
+    total, again = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    out = join_counted(rows, kept.filter("n = 1"), names, "n", total)
+    if again:
+        several = kept.filter("n > 1")
+        held = rows.join(F.broadcast(several.drop("n")), names) if again <= BROADCAST_ROWS else join_counted(rows, several, names, "n", total)
+        out = out.unionByName(held.dropDuplicates(names))
+    return out.select(*[f"`{c}`" for c in df.columns])
