@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import struct
 import uuid
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, new_path, parts, stage
+from .common import free_names, join_counted, new_path, parts, stage
 
 #: Fixed values of the format: magic numbers of the dictionary's frame and of a frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -41,15 +42,18 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "payloa
 
     Of equal payloads of at least ``least`` bytes the one with the largest key is the response, the others
     revisit it. Rows that share that largest key are all responses; a null key revisits if another has one.
-    Only (digest, count, key) of each distinct payload is gathered; hot payloads are joined in place.
+    Only (digest, count, key) of each distinct payload is gathered; hot payloads are joined in place. pages'
+    own columns stay, but for those that have one of the four names and are neither key nor payload.
     """
-    pages = pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(F.col(payload)))
-    pages = pages.withColumn("warc_payload", F.concat_ws("-", F.when(F.col("payload_bytes") >= least, F.lit("")).otherwise(F.lit("small")), F.col("payload_bytes").cast("string"), F.col("payload_digest")))
-    counted = stage(pages.groupBy("warc_payload").agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("refers_to")), "warc-payloads")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    out = join_counted(pages, counted, "warc_payload", "n", total).drop("warc_payload")
-    revisit = (F.col("payload_bytes") >= least) & F.col("refers_to").isNotNull() & ~F.col(key).eqNullSafe(F.col("refers_to"))
-    return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("refers_to")))
+    own = [c for c in pages.columns if c in (key, payload) or c.lower() not in ("payload_bytes", "payload_digest", "record_type", "refers_to")]
+    same, latest, size, digest, n = free_names(own, "warc_payload", "warc_latest", "warc_bytes", "warc_digest", "warc_n")
+    pages = pages.select(*own, F.octet_length(payload).cast("long").alias(size), base32_sha1(F.col(payload)).alias(digest))
+    pages = pages.withColumn(same, F.concat_ws("-", F.when(F.col(size) >= least, F.lit("")).otherwise(F.lit("small")), F.col(size).cast("string"), F.col(digest)))
+    counted = stage(pages.groupBy(same).agg(F.count(F.lit(1)).alias(n), F.max(key).alias(latest)), "warc-payloads")
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    out = join_counted(pages, counted, same, n, total)
+    revisit = (F.col(size) >= least) & F.col(latest).isNotNull() & ~F.col(key).eqNullSafe(F.col(latest))
+    return out.select(*own, F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col(latest)).alias("refers_to"))
 
 
 def _uri(key: int | None) -> str:
@@ -69,6 +73,14 @@ def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def trained(payloads: list[bytes], headers: list[bytes]) -> bytes:
+    """A dictionary of some payloads' beginnings and records' headers. Headers fill up what is too little to train on."""
+    samples = [p[:4096] for p in payloads if p] + headers
+    samples += headers * (256 // max(1, len(headers)))
+    total = sum(map(len, samples))
+    return zstandard.train_dictionary(max(256, min(16_384, total // 16)), samples).as_bytes()
+
+
 def _store(path: str):
     """The file system of a path and the path in it."""
     from pyarrow import fs
@@ -85,6 +97,9 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
         store.create_dir(top, recursive=True)
         frames, held, raw, made, packer = [], 0, 0, [], None
 
+        def made_of(r: dict) -> bytes:
+            return record_bytes(r["key"], r["url"], (r["payload"] or "").encode(), r["payload_digest"], r["record_type"], r["refers_to"], date)
+
         def closed() -> None:
             name = f"{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(f"{top}/{name}", compression=None) as out:
@@ -95,14 +110,11 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
             rows = batch.to_pylist()
             for r in rows:
                 if packer is None:
-                    samples = [(x["payload"] or "").encode()[:4096] for x in rows[:400]]  # of the dictionary alone
-                    data = b""
-                    if sum(map(len, samples)) > 40_000 and len(samples) > 20:
-                        data = zstandard.train_dictionary(16_384, samples).as_bytes()
-                    words = zstandard.ZstdCompressionDict(data) if data else None
-                    packer = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True)
+                    some = rows[:400]  # the dictionary's samples alone
+                    data = trained([(x["payload"] or "").encode() for x in some], [made_of({**x, "payload": ""}) for x in some])
+                    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True)
                     frames, held, raw = [struct.pack("<II", SKIPPABLE, len(data)) + data], 8 + len(data), 0
-                record = record_bytes(r["key"], r["url"], (r["payload"] or "").encode(), r["payload_digest"], r["record_type"], r["refers_to"], date)
+                record = made_of(r)
                 frames.append(packer.compress(record))
                 held += len(frames[-1])
                 raw += len(record)
@@ -117,51 +129,81 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     return stage(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def frame_size(data: memoryview) -> int:
-    """Bytes of the frame that data starts with: its header, its blocks by their three-byte headers, its checksum."""
-    try:
-        at, checked = zstandard.frame_header_size(data[:18]), zstandard.get_frame_parameters(data[:18]).has_checksum
-    except zstandard.ZstdError as e:
-        raise ValueError(f"no frame: {e}") from e
-    while True:
-        if at + 3 > len(data):
+class Cut:
+    """Cuts a stream into frames; what it holds of the stream is a frame and what was read with it."""
+
+    def __init__(self, stream, step: int = 1 << 20):
+        self.stream, self.step, self.data, self.at = stream, step, b"", 0
+
+    def has(self, n: int) -> bool:
+        """Whether n bytes are left; they are then in data from at on."""
+        if len(self.data) - self.at < n:
+            parts = [self.data[self.at :]]
+            held = len(parts[0])
+            while held < n and (more := self.stream.read(max(self.step, n - held))):
+                parts.append(bytes(more))
+                held += len(more)
+            self.data, self.at = b"".join(parts), 0
+        return len(self.data) - self.at >= n
+
+    def take(self, n: int) -> bytes:
+        if not self.has(n):
             raise ValueError("truncated frame")
-        head = int.from_bytes(data[at : at + 3], "little")
-        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
-        if head & 1:
-            at += 4 * checked
-            if at > len(data):
-                raise ValueError("truncated frame")
-            return at
-
-
-def read_records(data: bytes) -> Iterator[dict]:
-    """The records of an archive. What can't be read becomes a row whose problem says why; after a frame of unknown length nothing can be found, so that row is the last."""
-    view, words, at = memoryview(data), None, 0
-    if len(view) >= 8 and struct.unpack_from("<I", view)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", view, 4)[0]
-        own = bytes(view[8 : 8 + size])
-        if len(own) < size:
-            yield {"problem": "truncated dictionary"}
-            return
-        if own[:4] == struct.pack("<I", FRAME):  # the dictionary may be compressed itself
-            own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
-        words, at = zstandard.ZstdCompressionDict(own) if own else None, 8 + size
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def number(self, offset: int, n: int) -> int:
+        if not self.has(offset + n):
+            raise ValueError("truncated frame")
+        return int.from_bytes(self.data[self.at + offset : self.at + offset + n], "little")
+
+    def frame(self) -> bytes:
+        """The next frame: its header, its blocks by their three-byte headers, its checksum."""
+        self.has(18)
+        head = self.data[self.at : self.at + 18]
+        try:
+            n, checked = zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+        except zstandard.ZstdError as e:
+            raise ValueError(f"no frame: {e}") from e
+        last = False
+        while not last:
+            block = self.number(n, 3)
+            last = bool(block & 1)
+            n += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        return self.take(n + 4 * checked)
+
+
+def read_records(data) -> Iterator[dict]:
+    """The records of an archive (bytes or a stream), a frame at a time.
+
+    What can't be read becomes a row whose problem says why; after a frame of unknown length nothing can be
+    found, so that row is the last.
+    """
+    cut = Cut(io.BytesIO(data) if isinstance(data, bytes) else data)
+    words = None
+    try:
+        if cut.has(8) and cut.number(0, 4) == SKIPPABLE:
+            own = cut.take(8 + cut.number(4, 4))[8:]
+            if own[:4] == struct.pack("<I", FRAME):  # the dictionary may be compressed itself
+                own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
+            words = zstandard.ZstdCompressionDict(own) if own else None
+    except (zstandard.ZstdError, ValueError):
+        yield {"problem": "truncated dictionary"}
+        return
     reader = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
-    while at < len(view):
-        if len(view) - at >= 8 and struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
-            continue
+    while cut.has(1):
         try:
-            size = frame_size(view[at:])
+            if cut.has(8) and cut.number(0, 4) & 0xFFFFFFF0 == 0x184D2A50:
+                cut.take(8 + cut.number(4, 4))
+                continue
+            frame = cut.frame()
         except ValueError as e:
             yield {"problem": str(e)}
             return
         try:
-            yield parse_record(reader.decompressobj().decompress(view[at : at + size]))
+            yield parse_record(reader.decompressobj().decompress(frame))
         except (zstandard.ZstdError, ValueError) as e:
             yield {"problem": str(e) or "bad frame"}
-        at += size
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -224,25 +266,35 @@ def _batches(records: Iterator[dict], most: int = 8 << 20) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pylist(rows, pa.schema(_KINDS))
 
 
+def _read(paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    for path in paths:
+        store, at = _store(path)
+        with store.open_input_stream(at, compression=None) as f:
+            yield from _batches(read_records(f))
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """RECORDS of the archives that a manifest (its column path) names, an archive at a time in each task."""
+    """RECORDS of the archives that a manifest (its column path) names, each read as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                store, at = _store(path)
-                with store.open_input_stream(at, compression=None) as f:
-                    yield from _batches(read_records(f.read()))
+            yield from _read(batch.column(0).to_pylist())
 
     return manifest.select("path").repartition(parts(manifest.count(), 1)).mapInArrow(run, RECORDS)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of all archives under a path, which Spark's readers open, wherever it is."""
+def read_warc(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
+    """RECORDS of all archives under a path.
+
+    Archives of up to ``most`` bytes come through Spark's own reader, which opens whatever Spark can; it
+    can't hold larger ones, which are read as streams.
+    """
+    files = spark.read.format("binaryFile").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 yield from _batches(read_records(data))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    small = files.filter(F.col("length") <= most).select("content").mapInArrow(run, RECORDS)
+    return small.unionByName(read_archives(files.filter(F.col("length") > most).select("path")))
