@@ -8,6 +8,7 @@ room; where none has room for the whole, it is cut and fills the cheapest ones.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -24,17 +25,22 @@ from .common import slices
 #: Words whose ids a worker remembers; it then starts anew.
 REMEMBERED = 1_000_000
 
+#: The normaliser and pre-tokenizer under which a text's ids are those of its parts between white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer file, word by word.
+    """Ids of texts by a tokenizer file, word by word where the file allows it, else text by text.
 
     The tokenizer of the contract drops white space, its normaliser never works across it, so the ids of
     a text are those of its parts between ASCII white space. Each distinct part of a batch is encoded once.
     It lower-cases and starts a new part where a letter ends, too, so ASCII is lower-cased here and a space
     put between a letter and a full stop, comma or sign: that makes far fewer distinct parts. Texts with
-    the beginning of a special token's string are left as they are.
+    the beginning of a special token's string are left as they are. Any file with another normaliser,
+    pre-tokenizer or kind of special token gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -44,6 +50,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.by_word = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and not file["model"].get("dropout") and all(t["content"].startswith("<|") for t in file["added_tokens"])
 
     def of_words(self, unique: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -59,6 +68,9 @@ class WordIds:
     def of_texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text by text, each with ``end`` behind it; and where each text ends."""
         texts = texts.fill_null("")
+        if not self.by_word:
+            each = [np.array([*e.ids, end], np.uint32) for e in self.encode(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(each) if each else np.zeros(0, np.uint32), np.cumsum([len(x) for x in each])
         folded = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,#$%&*])", r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, folded))
         flat = lists.flatten().dictionary_encode()
@@ -115,7 +127,7 @@ def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> li
     return out
 
 
-def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", most: int = 4096, end: int = 2, linear: float = 1.0, quadratic: float = 1 / 4096, group_tokens: int = 4_000_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", most: int = 4096, end: int = 2, linear: float = 1.0, quadratic: float = 1 / 4096, group_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece: PIECES, where ids holds the piece's ids as little-endian unsigned 32-bit numbers.
 
     ``tokenizer``: the path of a tokenizers file that every executor has. sequence_id is unique; within a
@@ -137,7 +149,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
             names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for part in slices(batches, 1, 32 << 20):
+        for part in slices(batches, 1, 16 << 20):
             flat, ends = ids.of_texts(part.column(1), end)
             for k, own in zip(part.column(0).to_pylist(), np.split(flat, ends[:-1]), strict=True):
                 keys.append(k)
