@@ -2,8 +2,9 @@
 
 A text is normalised (NFKC), case-folded, normalised again, its white space folded to single spaces, and
 hashed to 128 bits by XXH3. Texts of equal hash are compared byte by byte: should a bucket hold different
-bytes, its members' fingerprints get a second digest behind the first. So two texts have the same
-fingerprint exactly if their canonical bytes are equal.
+bytes, its members' fingerprints get a second digest behind the first. So two texts of a table have the same
+fingerprint exactly if their canonical bytes are equal (an edited text is none of the table: it goes by its
+digests alone).
 
 Bytes travel only for buckets of two or more texts, and the smallest and largest of each bucket are
 combined before they are shuffled: a bucket is of one kind exactly if they are equal, however large it is.
@@ -42,24 +43,38 @@ def second(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()[:32]
 
 
+#: Up to so many hashes of mixed buckets are broadcast, after they were counted; beyond, copies are joined by their counts.
+BROADCAST_HASHES = 10_000
+
+
 def digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and hash of every row; a null text is an empty one."""
+    """key, at (a hash of the text as it is) and hash of every row; a null text is an empty one."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [digest(canonical(t or "")) for t in part.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.string())], ["key", "hash"])
+        hashes = [digest(canonical(t or "")) for t in part.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.string())], ["key", "at", "hash"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(in_arrow(run, 1), "key long, hash string")
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return df.select(F.col(key).cast("long").alias("key"), F.xxhash64(own).alias("at"), own.alias("text")).mapInArrow(in_arrow(run, 2), "key long, at long, hash string")
 
 
 def mixed_buckets(rows: DataFrame) -> DataFrame:
-    """hash of the buckets whose packed texts (column packed, null for texts that are alone) aren't all equal."""
+    """hash of the buckets whose packed texts (column packed, null for texts that are alone) aren't all equal, staged."""
     ends = rows.filter(F.col("packed").isNotNull()).groupBy("hash").agg(F.min("packed").alias("low"), F.max("packed").alias("high"))
-    return ends.filter(F.col("low") != F.col("high")).select("hash")
+    return stage(ends.filter(F.col("low") != F.col("high")).select("hash"), "mixed-buckets")
 
 
 def _named(rows: DataFrame, mixed: DataFrame, hash_: str, more: str, out: str) -> DataFrame:
-    found = rows.join(mixed.select(F.col("hash").alias(hash_), F.lit(True).alias("mixed_bucket")), hash_, "left")
+    """rows and out: the hash, and in mixed buckets the second digest behind it. Usually no bucket is mixed and nothing is joined."""
+    n = mixed.count()
+    if not n:
+        return rows.withColumn(out, F.col(hash_))
+    marks = mixed.select(F.col("hash").alias(hash_), F.lit(True).alias("mixed_bucket"))
+    if n <= BROADCAST_HASHES:
+        found = rows.join(F.broadcast(marks), hash_, "left")
+    else:
+        per = rows.groupBy(hash_).agg(F.count(F.lit(1)).alias("bucket_rows")).join(marks, hash_, "left")
+        found = join_counted(rows, per, hash_, "bucket_rows", rows.count())
     return found.withColumn(out, F.when(F.col("mixed_bucket"), F.concat_ws("-", hash_, more)).otherwise(F.col(hash_))).drop("mixed_bucket")
 
 
@@ -70,17 +85,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     null and is never first unless all are; repeated rows each get a row.
     """
     rows = stage(digests(df, key, text), "digests")
-    many = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total = rows.count()
+    many = stage(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
 
     def pack(part: pa.RecordBatch) -> pa.RecordBatch:
         packer, out = zstandard.ZstdCompressor(), [canonical(t or "") for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(c) for c in out]), pa.array([second(c) for c in out]), pa.array([packer.compress(c) for c in out], pa.binary())], ["key", "hash", "more", "packed"])
 
     full = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(in_arrow(pack, 1), "key long, hash string, more string, packed binary")
-    named = _named(full.select("key", "hash", "more"), mixed_buckets(full.join(many, "hash", "left_semi")), "hash", "more", "fingerprint")
+    named = _named(full.select("key", "hash", "more"), mixed_buckets(join_counted(full.select("hash", "packed"), many, "hash", "n", total)), "hash", "more", "fingerprint")
     named = stage(named.select("key", "fingerprint"), "fingerprints")
-    groups = named.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first_key"))
-    return named.join(groups, "fingerprint").select(F.col("key").alias(key), "fingerprint", "copies", "first_key")
+    groups = stage(named.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first_key")), "groups")
+    return join_counted(named, groups.withColumn("n", F.col("copies")), "fingerprint", "n", total).select(F.col("key").alias(key), "fingerprint", "copies", "first_key")
 
 
 PAIR = "key long, n_chars long, edited_sha256 string, hash string, more string, edited_hash string, edited_more string, near_edited double, near_next double, packed binary"
@@ -92,46 +108,66 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def ranges_of(rows: DataFrame, ranges: int):
+    """A column function of (k, at): the number of a row's range, ascending in (k, at).
+
+    Cuts are quantiles of k. A key that several quantiles fall on holds that share of all rows: it gets as many
+    ranges, cut evenly over at, a hash.
+    """
+    probs = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(F.percentile_approx("k", probs, 10 * ranges)).first()[0] if probs else None
+    cuts, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    widths = np.where(times > 1, times + 1, 1)
+    begins = np.concatenate([[0], 1 + np.cumsum(widths) - widths])
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series, at: pd.Series) -> pd.Series:
+        keys = k.to_numpy(np.int64)
+        base = np.searchsorted(cuts, keys, side="right")
+        if not len(cuts):
+            return pd.Series(base)
+        n, cut = times[np.maximum(base - 1, 0)], cuts[np.maximum(base - 1, 0)]
+        shares = np.minimum(((at.to_numpy(np.float64) / 2.0**64 + 0.5) * n).astype(np.int64), n - 1)
+        return pd.Series(begins[base] + np.where((base > 0) & (n > 1), np.where(keys == cut, shares, n), 0))
+
+    return range_of
+
+
 def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, its edited text's, and how like they and the next text's are (1 or 0).
 
     The next text is that of the next larger key; after the last comes the first. Rows are dealt to ranges
-    of the key, each range's first row also to the range before it, and every range is sorted and
-    streamed, so no task holds more than a batch. Defined results: a null text is an empty one; a null key
-    comes first; rows that share a key follow each other in the order of their texts; a table of one row
-    is its own next.
+    of the key and, in a key that holds much, of the text's hash; the first row of each range goes to the
+    range before it as well, and every range is sorted and streamed, so no task holds more than a batch.
+    Defined results: a null text is an empty one; a null key comes first; rows that share a key follow each
+    other in the order of their texts' hashes; a table of one row is its own next.
     """
     low = -(1 << 63)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    own_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("k"), F.xxhash64(own_text).alias("at"), own_text.alias("text"))
     ranges = shuffles(df.sparkSession)
-    cuts = np.array(sorted({int(x) for x in rows.select(F.col("k").cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))}) if ranges > 1 else [], np.float64)
-
-    @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy().astype(np.float64), side="right"))
+    range_of = ranges_of(rows, ranges)
 
-    firsts = sorted((r[0], r[1]) for r in rows.select(range_of("k").alias("range"), "k").groupBy("range").agg(F.min("k")).collect())  # one row a range
-    before = [(own[0], last[0], own[1]) for own, last in zip(firsts, firsts[-1:] + firsts[:-1], strict=True)]
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in rows.select(range_of("k", "at").alias("range"), F.struct("k", "at").alias("first")).groupBy("range").agg(F.min("first")).collect())  # one row a range
+    before = [(last[0], own[1], own[2]) for own, last in zip(firsts, firsts[-1:] + firsts[:-1], strict=True)]
     spark = df.sparkSession
-    halo = F.broadcast(spark.createDataFrame(before, "range int, range_before int, first_k long"))
+    halo = F.broadcast(spark.createDataFrame(before, "range int, k long, at long"))
+    halo = rows.join(halo, ["k", "at"]).select("range", F.lit(1).alias("halo"), "k", "at", F.lit(1).alias("kind"), "id", "text").dropDuplicates(["range"])
 
     single = stage(digests(df, key, text), "digests")
     many = stage(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
-    marks = join_counted(single, many, "hash", "n", single.count()).select(F.coalesce("key", F.lit(low)).alias("k")).distinct()
-    marks = marks.select(range_of("k").alias("range"), F.lit(0).alias("halo"), "k", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
-    dealt = rows.withColumn("range", range_of("k")).join(halo, "range")
-    own = F.struct(F.col("range"), F.lit(0).alias("halo"))
-    copy = F.when(F.col("k") == F.col("first_k"), F.struct(F.col("range_before").alias("range"), F.lit(1).alias("halo")))
-    dealt = dealt.withColumn("to", F.explode(F.array_compact(F.array(own, copy)))).select("to.range", "to.halo", "k", F.lit(1).alias("kind"), "id", "text")
-    dealt = dealt.unionByName(marks).repartition(ranges, "range").sortWithinPartitions("range", "halo", "k", "kind", "text")
+    marks = join_counted(single, many, "hash", "n", single.count()).select(F.coalesce("key", F.lit(low)).alias("k"), "at").distinct()
+    marks = marks.select(range_of("k", "at").alias("range"), F.lit(0).alias("halo"), "k", "at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
+    dealt = rows.select(range_of("k", "at").alias("range"), F.lit(0).alias("halo"), "k", "at", F.lit(1).alias("kind"), "id", "text")
+    dealt = dealt.unionByName(halo).unionByName(marks).repartition(max(ranges, len(firsts)), "range").sortWithinPartitions("range", "halo", "k", "at", "kind", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, last, marked = zstandard.ZstdCompressor(), None, None
         for batch in batches:
             out = []
-            for r, h, k, kind, id_, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, h, k, at, kind, id_, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    marked = (r, k)
+                    marked = (r, k, at)
                     continue
                 form = canonical(t)
                 if last is not None and last[0] == r and not last[1]:
@@ -140,7 +176,7 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     changed = canonical(edited)
                     hash_ = digest(form_)
                     out.append((key_, len(text_), hashlib.sha256(edited.encode()).hexdigest(), hash_, second(form_), digest(changed), second(changed), float(changed == form_), float(form == form_), packer.compress(form_) if mark_ else None))
-                last = (r, h, id_, t, form, marked == (r, k))
+                last = (r, h, id_, t, form, marked == (r, k, at))
             if out:
                 kinds = [pa.int64(), pa.int64()] + [pa.string()] * 5 + [pa.float64()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in PAIR.split(", ")])

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_mixing_targets_by_iteration(spark):
     docs = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
-    out = mixing.with_copies(clashing(docs).drop("mix_size"), "doc_id", "source", mixing.words(F.col("text"))).collect()
+    out = mixing.with_copies(clashing(docs), "doc_id", "source", mixing.words(F.col("text"))).collect()
     sizes, got = Counter(), defaultdict(int)
     for r in out:
         assert r["mix_size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
@@ -47,6 +47,37 @@ def test_mixing_targets_by_iteration(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+INTERNAL = "mix_size mix_source_size mix_target mix_copies mix_source mix_rate mix_rows mix_copy llm_key llm_row n root".split()
+
+
+def test_columns_of_any_name_stay(spark, monkeypatch):
+    docs = documents(spark).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in INTERNAL})
+    for limit in (50_000, 0):  # broadcast plan, counted join
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+        mixed = mixing.mix(docs)
+        assert mixed.columns == docs.columns
+        want = {r["doc_id"]: tuple(r) for r in docs.collect()}
+        copies = Counter(r["doc_id"] for r in mixing.mix(documents(spark)).collect())
+        assert Counter(r["doc_id"] for r in mixed.collect()) == copies
+        assert all(tuple(r) == want[r["doc_id"]] for r in mixed.collect() if r["doc_id"] is not None and sum(x["doc_id"] == r["doc_id"] for x in docs.collect()) == 1)
+    added = mixing.with_copies(docs, "doc_id", "source", mixing.words(F.col("text")))
+    assert set(added.columns) == set(docs.columns) and added.schema["mix_size"].dataType.simpleString() == "bigint"
+    kept = simhash.keep_one(docs)
+    rows = {tuple(r) for r in docs.collect()}
+    assert kept.columns == docs.columns and all(tuple(r) in rows for r in kept.collect())
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, (r["doc_id"] for r in simhash.keep_one(documents(spark)).collect())))
+
+
+def test_the_same_one_stays_however_rows_lie(spark):
+    rows = [(7, "one two three four", "b"), (7, "one two three four", "a"), (7, "one two three four", "a"), (9, "one two three four", "c"), (None, "one two three four", "d"), (None, None, "x"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(r) for r in simhash.keep_one(docs).collect()}
+    assert len(kept) == 2 and {r[0] for r in kept} == {7, None}
+    for n in (1, 3, 7):
+        for again in (docs, docs.orderBy(F.desc("source"))):
+            assert {tuple(r) for r in simhash.keep_one(again.repartition(n)).collect()} == kept
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -101,6 +132,19 @@ def test_special_strings_are_encoded_as_the_whole_text(spark):
     assert flat.tolist() == want and len(ends) == len(texts)
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts, ids = ["Hello  World\n\tx's <|endoftext|>", "", "é È", None], packing.WordIds(path)
+    assert not ids.by_word and packing.WordIds(queries.tokenizer_path()).by_word
+    flat, ends = ids.of_texts(pa.array(texts), 2)
+    t = Tokenizer.from_file(path)
+    assert flat.tolist() == [i for x in texts for i in [*t.encode(x or "", add_special_tokens=False).ids, 2]] and len(ends) == 4
+
+
 def page_rows(spark):
     rows = [(1, "http://a/x y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "u%2", "<p>same</p>"), (4, "http://b", None), (5, "http://c", ""), (6, "http://\r\nd", "ü" * 100000), (None, "http://e", "<p>same</p>"), (None, None, "alone"), (3, "again", "<p>same</p>")]
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, payload string, record_id string").withColumn("n", F.lit(1))
@@ -121,7 +165,15 @@ def test_warc_round_trip(spark):
     assert want == Counter((r["page_id"], r["target_uri"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got)
     assert not any(r["problem"] for r in got)
     folder = manifest.first()["path"].rpartition("/")[0]
-    assert warc.read_warc(spark, folder).count() == len(got)
+    for most in (1 << 30, 0):  # through Spark's reader, as streams
+        assert Counter((r["record_id"], r["payload_digest"], r["problem"]) for r in warc.read_warc(spark, folder, most).collect()) == Counter((r["record_id"], r["payload_digest"], None) for r in got)
+    for r in manifest.collect():  # every archive begins with a dictionary
+        with open(r["path"].removeprefix("file:"), "rb") as f:
+            head = f.read()
+        assert struct.unpack_from("<I", head)[0] == warc.SKIPPABLE and head[8:12] == struct.pack("<I", 0xEC30A437)
+    clash = warc.with_revisits(full.withColumns({c: F.lit(c) for c in ("refers_to", "payload_digest", "record_type", "warc_payload", "warc_latest", "n")}))
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in clash.collect()) == Counter((k, t, to) for (k, _, _, _, t, to, _), c in want.items() for _ in range(c))
+    assert {(r["warc_payload"], r["n"]) for r in clash.collect()} == {("warc_payload", "n")}
     assert warc.read_archives(warc.write_warc(warc.with_revisits(full.limit(0)))).count() == 0
 
 
@@ -138,10 +190,48 @@ def test_warc_reader_checks():
     assert read(b"") == [] and read(frame(good) + b"xx")[0] is None and read(frame(good) + b"xx")[1].startswith("no frame")
 
 
+def test_archives_with_plain_and_packed_dictionaries():
+    import io
+
+    rows = [(i, f"<html><p>page {i} of the archive</p>" * 20) for i in range(200)]
+    made = [warc.record_bytes(i, f"http://a/{i}", p.encode(), base64.b32encode(hashlib.sha1(p.encode()).digest()).decode(), "response", None, "2000-01-01T00:00:00Z") for i, p in rows]
+    words = warc.trained([p.encode() for _, p in rows], made[:5])
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True)
+    frames = b"".join(map(packer.compress, made))
+    for own in (words, zstandard.ZstdCompressor().compress(words)):
+        archive = struct.pack("<II", warc.SKIPPABLE, len(own)) + own + frames + struct.pack("<II", 0x184D2A50, 3) + b"xyz" + packer.compress(made[0])
+        for source in (archive, io.BytesIO(archive)):
+            got = list(warc.read_records(source))
+            assert [(r.get("page_id"), r.get("payload"), r.get("problem")) for r in got] == [(i, p.encode(), None) for i, p in [*rows, rows[0]]]
+        for step in (1, 7, 1000):  # frames across reads
+            cut = warc.Cut(io.BytesIO(archive), step)
+            cut.take(8 + len(own))
+            assert [zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompressobj().decompress(cut.frame()) for _ in rows] == made
+    assert next(warc.read_records(frames))["problem"]  # without its dictionary nothing can be read
+    assert len(warc.trained([], made[:1])) >= 100
+
+
+def test_ranges_split_a_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit(-(1 << 63)).cast("long")).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("at"))
+    got = rows.withColumn("r", fingerprints.ranges_of(rows, 12)("k", "at")).collect()
+    assert max(Counter(r["r"] for r in got).values()) < 600
+    placed = [r["r"] for r in sorted(got, key=lambda r: (r["k"], r["at"]))]
+    assert placed == sorted(placed)
+
+
+def test_fingerprints_of_a_hot_key(spark):
+    rows = [(None, f"text {i % 40}") for i in range(300)] + [(5, None)] * 50 + [(i, f"t {i}") for i in range(6, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.neighbours(df).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((k, len(t or "")) for k, t in rows)
+    assert {r["near_next"] for r in got if r["doc_id"] and r["doc_id"] > 5} == {0.0} and sum(r["near_next"] for r in got if r["doc_id"] == 5) == 49
+
+
 def test_fingerprints_by_brute_force(spark):
     docs = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id >= 50"))
     got = fingerprints.neighbours(clashing(docs)).collect()
-    rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in docs.collect()), key=lambda r: (r[0], r[1].encode()))
+    at = {t: (h ^ 1 << 63) - (1 << 63) for t in (r["text"] or "" for r in docs.collect()) for h in [xxhash.xxh64_intdigest(t.encode(), 42)]}
+    rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in docs.collect()), key=lambda r: (r[0], at[r[1]], r[1].encode()))
     want = Counter()
     for (key, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
