@@ -1,98 +1,192 @@
 """Licence scans by sentence rules, on DataFrame functions alone.
 
-A text is cut into sentences, each normalised and mapped to the identifier of a known licence sentence.
-The sequence of identifiers is then matched, at each place, against the ordered licence rules. All of it
-happens within a row: nothing is shuffled, and a text's length is the only thing that bounds a task's row.
-
-A mark with white space behind it need not end a sentence ("v. 2.0", "Foundation; either version 2"): a known
-sentence may be found in two neighbouring ones. Numbers of lists and web addresses that stand alone are no
-sentences of a sequence. Both still count where sentences are numbered.
+A text is tidied (what comments put before lines, numbers of lists and web addresses are cut away), cut into
+sentences, each normalised and mapped to the identifier of a known licence sentence. The sequence of
+identifiers is then matched, at each place, against the ordered licence rules. All of it happens within a
+row: nothing is shuffled, and a text's length is the only thing that bounds a task's row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences in their normal form (lower case, everything but letters and digits one space).
-SENTENCES = {
-    "mit-released": "released under the mit license",
-    "mit-title": "the mit license mit",
-    "mit-title-short": "mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "apache-2-licensed": "licensed under the apache license version 2 0",
-    "apache-2-header": "licensed under the apache license version 2 0 the license",
-    "apache-2-comply": "you may not use this file except in compliance with the license",
-    "apache-2-copy": "you may obtain a copy of the license at",
-    "apache-2-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "gpl-3-work": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software",
-    "gpl-3-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-2-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
-    "cc-by-nc-4-licensed": "licensed under cc by nc 4 0",
-    "cc-by-4-licensed": "licensed under cc by 4 0",
-    "cc-by-sa-4-licensed": "licensed under cc by sa 4 0",
-    "cc-by-4-work": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-sa-4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "cc0-work": "this work is dedicated to the public domain under cc0 1 0",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense-release": "this is free and unencumbered software released into the public domain",
-}
+_FREE = "this {thing} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license {version}"
+_LATER = "as published by the free software foundation either version {v} of the license or at your option any later version"
+_ONLY = "version {v} as published by the free software foundation"
+#: The licences whose notices only differ in names and numbers.
+_GNU = [("GPL", "2.0", "", "2"), ("GPL", "3.0", "", "3"), ("LGPL", "2.1", "lesser ", "2 1"), ("LGPL", "3.0", "lesser ", "3"), ("AGPL", "3.0", "affero ", "3")]
+
+#: Known sentences in their normal form (lower case, everything but letters and digits one space), with their wordings.
+SENTENCES: dict[str, list[str]] = {
+    "mit-released": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "this software is released under the mit license"],
+    "mit-title": ["the mit license mit", "the mit license", "mit license"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit-0-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"],
+    "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"],
+    "mit-as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "mit-liability": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "apache-2-licensed": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "licensed under the apache license 2 0", "released under the apache license version 2 0", "this project is licensed under the apache license 2 0"],
+    "apache-2-header": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "apache-2-comply": ["you may not use this file except in compliance with the license"],
+    "apache-2-copy": ["you may obtain a copy of the license at"],
+    "apache-2-basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "apache-2-see": ["see the license for the specific language governing permissions and limitations under the license"],
+    "apache-2-title": ["apache license version 2 0 january 2004"],
+    "apache-2-terms": ["terms and conditions for use reproduction and distribution"],
+    "apache-2-definitions": ["definitions"],
+    "apache-2-mean": ["license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"],
+    "gpl-3-work": ["this work is licensed under the gnu general public license version 3"],
+    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl-see": [f"see the gnu {kind}general public license for more details" for kind in ("", "lesser ", "affero ")],
+    "gpl-copy": [f"you should have received a copy of the gnu {kind}general public license along with this {thing}" for kind in ("", "lesser ", "affero ") for thing in ("program", "library")],
+    "gpl-1-title": ["gnu general public license version 1 february 1989"],
+    "gpl-2-title": ["gnu general public license version 2 june 1991"],
+    "gpl-3-title": ["gnu general public license version 3 29 june 2007"],
+    "lgpl-2-1-title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl-3-title": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl-3-title": ["gnu affero general public license version 3 19 november 2007"],
+    "cc-by-nc-4-licensed": ["licensed under cc by nc 4 0"],
+    "cc-by-4-licensed": ["licensed under cc by 4 0"],
+    "cc-by-sa-4-licensed": ["licensed under cc by sa 4 0"],
+    "cc-by-4-work": ["this work is licensed under a creative commons attribution 4 0 international license", "this work is licensed under the creative commons attribution 4 0 international license"],
+    "cc-by-sa-4-work": ["this work is licensed under a creative commons attribution sharealike 4 0 international license", "this work is licensed under the creative commons attribution sharealike 4 0 international license"],
+    "cc-by-nc-4-work": ["this work is licensed under a creative commons attribution noncommercial 4 0 international license", "this work is licensed under the creative commons attribution noncommercial 4 0 international license"],
+    "cc-by-4-title": ["creative commons attribution 4 0 international public license"],
+    "cc-by-sa-4-title": ["creative commons attribution sharealike 4 0 international public license"],
+    "cc0-work": ["this work is dedicated to the public domain under cc0 1 0"],
+    "cc0-title": ["cc0 1 0 universal", "creative commons cc0 1 0 universal"],
+    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd-endorse": [f"neither the name of {a} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for a in ("the copyright holder", "the copyright owner", "the university")],
+    "bsd-as-is": [f"this software is provided by the {a} and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed" for a in ("copyright holders", "regents", "author")],
+    "bsd-liability": [f"in no event shall the {a} or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage" for a in ("copyright holder", "copyright owner", "regents", "author")],
+    "isc-grant": [f"permission to use copy modify and {o}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for o in ("or ", "")],
+    "isc-as-is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc-liability": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "mpl-2-form": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl-2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "mpl-2-title": ["mozilla public license version 2 0"],
+    "epl-2-made": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at"],
+    "epl-2-title": ["eclipse public license v 2 0"],
+    "bsl-1-title": ["boost software license version 1 0 august 17th 2003"],
+    "bsl-1-distributed": ["distributed under the boost software license version 1 0"],
+    "bsl-1-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-liability": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "zlib-origin": ["the origin of this software must not be misrepresented you must not claim that you wrote the original software"],
+    "zlib-thanks": ["if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"],
+    "zlib-altered": ["altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
+    "zlib-notice": ["this notice may not be removed or altered from any source distribution"],
+    "unlicense-release": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "wtfpl-title": ["do what the fuck you want to public license version 2 december 2004"],
+}
+for _name, _number, _kind, _v in _GNU:
+    SENTENCES[f"{_name.lower()}-{_number}-later"] = [_FREE.format(thing=t, kind=_kind, version=_LATER.format(v=_v)) for t in ("program", "library")]
+    SENTENCES[f"{_name.lower()}-{_number}-only"] = [_FREE.format(thing=t, kind=_kind, version=_ONLY.format(v=_v)) for t in ("program", "library")]
 
 #: Rules in the order in which they are tried at a place; longer ones of a licence come first.
-RULES = [
+RULES: list[tuple[str, list[str]]] = [
+    ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-grant"]),
+    ("MIT-0", ["mit-0-grant", "mit-as-is", "mit-liability"]),
+    ("MIT-0", ["mit-0-grant", "mit-as-is"]),
+    ("MIT-0", ["mit-0-grant"]),
     ("MIT", ["mit-released"]),
     ("MIT", ["mit-title"]),
-    ("MIT", ["mit-title-short"]),
-    ("Apache-2.0", ["apache-2-header", "apache-2-comply", "apache-2-copy", "apache-2-basis"]),
-    ("Apache-2.0", ["apache-2-header", "apache-2-comply"]),
+    ("Apache-2.0", ["apache-2-header", "apache-2-copy", "apache-2-basis", "apache-2-see"]),
+    ("Apache-2.0", ["apache-2-header", "apache-2-copy", "apache-2-basis"]),
     ("Apache-2.0", ["apache-2-header"]),
+    ("Apache-2.0", ["apache-2-licensed", "apache-2-comply"]),
     ("Apache-2.0", ["apache-2-licensed"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-3-redistribute", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-3-redistribute"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-2-redistribute", "gpl-hope"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-2-redistribute"]),
+    ("Apache-2.0", ["apache-2-title", "apache-2-terms", "apache-2-definitions", "apache-2-mean"]),
+    ("Apache-2.0", ["apache-2-title"]),
+    *[(f"{name}-{number}-{'or-later' if end == 'later' else end}", [f"{name.lower()}-{number}-{end}", *more]) for name, number, _, _ in _GNU for end in ("later", "only") for more in (["gpl-hope", "gpl-see", "gpl-copy"], ["gpl-hope", "gpl-see"], ["gpl-hope"], [])],
     ("GPL-3.0-only", ["gpl-3-work"]),
+    ("GPL-1.0", ["gpl-1-title"]),
+    ("GPL-2.0", ["gpl-2-title"]),
+    ("GPL-3.0", ["gpl-3-title"]),
+    ("LGPL-2.1", ["lgpl-2-1-title"]),
+    ("LGPL-3.0", ["lgpl-3-title"]),
+    ("AGPL-3.0", ["agpl-3-title"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-licensed"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-4-work"]),
     ("CC-BY-4.0", ["cc-by-4-licensed"]),
     ("CC-BY-4.0", ["cc-by-4-work"]),
+    ("CC-BY-4.0", ["cc-by-4-title"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-licensed"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-4-title"]),
     ("CC0-1.0", ["cc0-work"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
     ("ISC", ["isc-grant"]),
+    ("MPL-2.0", ["mpl-2-form", "mpl-2-copy"]),
     ("MPL-2.0", ["mpl-2-form"]),
+    ("MPL-2.0", ["mpl-2-title"]),
+    ("EPL-2.0", ["epl-2-made"]),
+    ("EPL-2.0", ["epl-2-title"]),
+    ("BSL-1.0", ["bsl-1-title", "bsl-1-grant"]),
+    ("BSL-1.0", ["bsl-1-title"]),
+    ("BSL-1.0", ["bsl-1-distributed"]),
+    ("BSL-1.0", ["bsl-1-grant"]),
+    ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-thanks", "zlib-altered", "zlib-notice"]),
+    ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Unlicense", ["unlicense-release", "unlicense-anyone"]),
     ("Unlicense", ["unlicense-release"]),
+    ("WTFPL", ["wtfpl-title"]),
+]
+#: Every licence by its tag, too.
+for _licence in dict.fromkeys(name for name, _ in RULES):
+    SENTENCES[f"spdx-{_licence.lower()}"] = ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", _licence.lower())]
+RULES += [(_licence, [f"spdx-{_licence.lower()}"]) for _licence in dict.fromkeys(name for name, _ in RULES)]
+
+_BLANK = r"[\x09-\x0D\x20]"
+#: Patterns and what takes a match's place, in their order: comments' marks before a line, list marks, tags, addresses, "v. 2".
+TIDY = [
+    (r"(^|\n)[ \t\r]*(//+|#+|;+|\*+|--+|%+|\"+|/\*+|\(\*|<!--|\|+|\.\.)[ \t]*", "$1"),
+    (r"(^|\n)[ \t\r]*(\(?[0-9]{1,2}[.)]|\(?[a-z][.)]|\(?[ivx]{2,4}[.)]|[-o])[ \t]+", "$1\n\n"),
+    (r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)", "\n\n$1\n\n"),
+    (r"([Hh][Tt][Tt][Pp][Ss]?://|[Ww]{3}\.)[^\x09-\x0D\x20<>\")]+", "\n\n"),
+    (rf"(^|[^A-Za-z0-9])[Vv]\.{_BLANK}*([0-9])", "$1v $2"),
 ]
+#: Where sentences end: a mark and white space, a colon at a line's end, or an empty line.
+ENDS, GAPS, REST = rf"([.!?]){_BLANK}+|:[ \t\r]*\n", rf"\n{_BLANK}*\n", "[^a-z0-9]+"
+#: What is no sentence of a sequence: no letter at all, and lines that say whose the work is.
+ALONE = "^([0-9 ]*|(portions )?copyright (c )?[0-9].*|all rights reserved)$"
 
-BLANK = r"[\x09-\x0D\x20]"
-#: Where sentences end: a mark and white space, or an empty line.
-ENDS, GAPS, REST = rf"([.!?;:]){BLANK}+", rf"\n{BLANK}*\n", "[^a-z0-9]+"
 
-#: What may stand between the sentences of a sequence: a list's number or letter, no letter or digit at all; a web address.
-ALONE, ADDRESS = "^([0-9 ]*|[a-z]|[ivx]{1,5})$", r"^[^A-Za-z0-9]*([Hh][Tt][Tt][Pp][Ss]?://|[Ww]{3}\.)[^\x09-\x0D\x20]*[\x09-\x0D\x20]*$"
-#: A list's number at the head of a sentence that it doesn't stand apart from.
-NUMBER = rf"^{BLANK}*\(?[0-9]{{1,2}}\){BLANK}+"
+def marker_words(known: dict[str, list[str]]) -> list[str]:
+    """A few words of which every known sentence has one: a text without any has no known sentence."""
+    left, out = [set(s.split()) for forms in known.values() for s in forms], []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                counts[w] = counts.get(w, 0) + (len(w) > 3)
+        out.append(max(sorted(counts), key=lambda w: (counts[w], len(w))))
+        left = [words for words in left if out[-1] not in words]
+    return out
 
 
 def sentences(text: Column) -> Column:
     """The raw sentences of a text."""
+    for pattern, to in TIDY:
+        text = F.regexp_replace(text, pattern, to)
     return F.split(F.regexp_replace(F.regexp_replace(text, ENDS, "$1\u0001"), GAPS, "\u0001"), "\u0001")
 
 
@@ -105,36 +199,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """key, licence, first_sentence, last_sentence (from 0), sentence_ids of every match.
 
     A match begins at a known sentence; the first rule whose identifiers are those of the sentences from there
-    on applies, whatever is no sentence of a sequence left out. Matches may overlap. Defined results: null and
-    empty texts match nothing; a null key stays null; repeated rows each have their matches.
+    on applies; sentences without a letter and copyright lines are numbered but no part of a sequence. Matches may overlap. Defined
+    results: null and empty texts match nothing; a null key stays null; repeated rows each have their matches.
     """
-    ids = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
+    ids = F.create_map(*[F.lit(x) for i, forms in known.items() for s in forms for x in (s, i)])
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, own)).alias("rule")) for name, own in rules])
-    pieces = F.transform(sentences(F.col(text)), lambda s: F.struct(normal(F.regexp_replace(s, NUMBER, "")).alias("norm"), s.rlike(ADDRESS).alias("address")))
-
-    def named(all_: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            two = F.element_at(ids, F.concat(p["norm"], F.lit(" "), F.get(all_, i + 1)["norm"]))
-            return let(F.element_at(ids, p["norm"]), lambda x: F.struct(i.alias("at"), F.coalesce(x, two).alias("id"), (x.isNull() & two.isNotNull()).alias("joined"), (p["address"] | p["norm"].rlike(ALONE)).alias("alone")))
-
-        return F.transform(all_, one)
+    starts = F.array(*map(F.lit, dict.fromkeys(own[0] for _, own in rules)))
+    marked = F.lower(text).rlike("|".join(marker_words(known)))
 
-    def sequence(all_: Column) -> Column:
-        taken = F.filter(all_, lambda m, i: (m["id"].isNotNull() | ~m["alone"]) & ~F.coalesce(F.get(all_, i - 1)["joined"], F.lit(False)))
-        return F.transform(taken, lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["joined"].cast("int")).alias("to"), m["id"].alias("id")))
+    def found(norms: Column) -> Column:
+        all_ = F.transform(norms, lambda s, i: F.struct(i.alias("at"), F.element_at(ids, s).alias("id"), s.rlike(ALONE).alias("alone")))
+        return F.filter(all_, lambda m: m["id"].isNotNull() | ~m["alone"])
 
     def matches(marks: Column) -> Column:
         def hit(m: Column, i: Column) -> Column:
             applies = lambda r: F.transform(F.slice(marks, i + 1, F.size(r["rule"])), lambda x: x["id"]) == r["rule"]
-            rule = F.when(m["id"].isNotNull(), F.get(F.filter(table, applies), F.lit(0)))
-            return let(rule, lambda r: F.struct(r["licence"].alias("licence"), m["at"].alias("first"), F.get(marks, i + F.size(r["rule"]) - 1)["to"].alias("last"), F.array_join(r["rule"], ",").alias("ids")))
+            rule = F.when(F.array_contains(starts, m["id"]), F.get(F.filter(table, applies), F.lit(0)))
+            return let(rule, lambda r: F.struct(r["licence"].alias("licence"), m["at"].alias("first"), F.get(marks, i + F.size(r["rule"]) - 1)["at"].alias("last"), F.array_join(r["rule"], ",").alias("ids")))
 
         return F.filter(F.transform(marks, hit), lambda h: h["licence"].isNotNull())
 
-    hits = let(let(pieces, named), lambda all_: F.when(F.exists(all_, lambda m: m["id"].isNotNull()), let(sequence(all_), matches)))
-    out = df.select(F.col(key).alias("scan_key"), F.explode(hits).alias("m"))
+    hits = let(let(F.transform(sentences(F.col(text)), normal), found), lambda marks: F.when(F.exists(marks, lambda m: m["id"].isNotNull()), matches(marks)))
+    out = df.filter(marked).select(F.col(key).alias("scan_key"), F.explode(hits).alias("m"))
     return out.select(F.col("scan_key").alias(key), F.col("m.licence").alias("licence"), F.col("m.first").alias("first_sentence"), F.col("m.last").alias("last_sentence"), F.col("m.ids").alias("sentence_ids"))

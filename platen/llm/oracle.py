@@ -62,22 +62,33 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def _tidied(text: str) -> str:
+    """The same steps, with references and line ends as DuckDB writes them."""
+    for pattern, to in licences.TIDY:
+        to = " || chr(10) || ".join(f"'{x}'" for x in to.replace("$", chr(92)).split(chr(10)))
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
 LICENCES = rf"""
-WITH known(norm, id) AS (VALUES {_values([(s, i) for i, s in licences.SENTENCES.items()])}),
+WITH known(norm, id) AS (VALUES {_values([(s, i) for i, forms in licences.SENTENCES.items() for s in forms])}),
 rules(place, licence, n, ids) AS (VALUES {_values([(k, name, len(own), ",".join(own)) for k, (name, own) in enumerate(licences.RULES)])}),
 texts AS (
     SELECT row_number() OVER () AS rid, doc_id,
-        string_split(regexp_replace(regexp_replace(text, '{licences.ENDS}', '\1' || chr(1), 'g'), '{licences.GAPS}', chr(1), 'g'), chr(1)) AS parts
+        string_split(regexp_replace(regexp_replace({_tidied("text")}, '{licences.ENDS}', '\1' || chr(1), 'g'), '{licences.GAPS}', chr(1), 'g'), chr(1)) AS parts
     FROM documents),
-sentences AS (SELECT rid, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS spot FROM texts),
-marks AS (SELECT rid, doc_id, spot, id FROM sentences JOIN known ON norm = trim(regexp_replace(lower(s), '{licences.REST}', ' ', 'g'))),
+pieces AS (SELECT rid, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS spot FROM texts),
+sentences AS (SELECT rid, doc_id, spot, trim(regexp_replace(lower(s), '{licences.REST}', ' ', 'g')) AS norm FROM pieces),
+marks AS (
+    SELECT s.rid, s.doc_id, s.spot, k.id, row_number() OVER (PARTITION BY s.rid ORDER BY s.spot) AS nth
+    FROM sentences s LEFT JOIN known k ON k.norm = s.norm WHERE k.id IS NOT NULL OR NOT regexp_matches(s.norm, '{licences.ALONE}')),
 tried AS (
-    SELECT a.rid, a.doc_id, a.spot, r.place, r.licence, r.n, r.ids,
-        string_agg(b.id, ',' ORDER BY b.spot) AS found
-    FROM marks a JOIN rules r ON true JOIN marks b ON b.rid = a.rid AND b.spot BETWEEN a.spot AND a.spot + r.n - 1
+    SELECT a.rid, a.doc_id, a.spot, a.nth, r.place, r.licence, r.n, r.ids, max(b.spot) AS last,
+        string_agg(coalesce(b.id, '?'), ',' ORDER BY b.nth) AS found
+    FROM marks a JOIN rules r ON split_part(r.ids, ',', 1) = a.id JOIN marks b ON b.rid = a.rid AND b.nth BETWEEN a.nth AND a.nth + r.n - 1
     GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY rid, spot ORDER BY place) AS turn FROM tried WHERE found = ids)
-SELECT doc_id, licence, spot::INTEGER AS first_sentence, (spot + n - 1)::INTEGER AS last_sentence, ids AS sentence_ids FROM best WHERE turn = 1
+best AS (SELECT *, row_number() OVER (PARTITION BY rid, nth ORDER BY place) AS turn FROM tried WHERE found = ids)
+SELECT doc_id, licence, spot::INTEGER AS first_sentence, last::INTEGER AS last_sentence, ids AS sentence_ids FROM best WHERE turn = 1
 """
 
 
