@@ -169,15 +169,72 @@ def test_spans_by_brute_force():
     import pyarrow as pa
 
     texts = pa.array(["a b c", "", None, "c", "a a z", "Q, b! a"])
+    tables = toxicity.Tables(["", "a", "b", "c"], np.array([0.25, 1.0, -2.0, 5.0, 0.25]), np.zeros(5), np.zeros(0, np.int64), np.zeros(0))
     odds = {"a": 1.0, "b": -2.0, "c": 5.0}
-    for span in (1, 2, 3):
-        got = toxicity.spans(toxicity.words(texts), pa.array(list(odds)), np.array([*odds.values(), 0.25]), span)
-        for t, x in zip(texts.to_pylist(), got, strict=True):
-            w = [odds.get(v, 0.25) for v in re.findall(r"\w+", (t or "").lower())]
+    got = tables.features(texts, (1, 2, 3))
+    for t, row in zip(texts.to_pylist(), got, strict=True):
+        w = [odds.get(v, 0.25) for v in re.findall(r"\w+", (t or "").lower())]
+        assert row[0] == pytest.approx(sum(w) / len(w) if w else 0)
+        for span, x in zip((1, 2, 3), row[1:], strict=True):
             n = min(span, len(w))
             assert x == pytest.approx(max((sum(w[i : i + n]) / n for i in range(len(w) - n + 1)), default=0) if w else 0)
 
 
+def brute_kneser_ney(rows, d):
+    """p(w) and p(w | v) of both classes, as the module's docstring words them."""
+    pairs = {1: Counter(), 0: Counter()}
+    for y, text in rows:
+        w = re.findall(r"\w+", (text or "").lower())
+        pairs[y].update(zip(["", *w], w, strict=False))
+    both = Counter(w for _, w in {*pairs[0], *pairs[1]})
+    total, cut = sum(both.values()), toxicity.PAIR_DISCOUNT
+    models = {}
+    for y in (0, 1):
+        m = Counter(w for _, w in pairs[y])
+        context, freed = Counter(), Counter()
+        for (v, _), n in pairs[y].items():
+            context[v] += n
+            freed[v] += min(n, cut)
+
+        def low(w, m=m):
+            shared = (max(both[w] - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT) / total
+            return max(m[w] - d, 0) / sum(m.values()) + sum(min(n, d) for n in m.values()) / sum(m.values()) * shared
+
+        def high(v, w, y=y, low=low, context=context, freed=freed):
+            return max(pairs[y][v, w] - cut, 0) / context[v] + freed[v] / context[v] * low(w) if context[v] else low(w)
+
+        models[y] = low, high
+    return pairs, models
+
+
+def test_kneser_ney_by_brute_force(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 2)
+    rng = random.Random(9)
+    rows = [(int(i % 3 == 0), " ".join(rng.choice("aa bb cc dd ee ff".split() if i % 3 else "aa bb xx yy".split()) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(1, None), (0, "")]
+    df = spark.createDataFrame(rows, "toxic int, text string")
+    pairs, _ = brute_kneser_ney(rows, 1.0)
+    assert {(r["before"], r["word"]): (r["t"], r["o"]) for r in toxicity.pair_counts(df).collect()} == {k: (pairs[1][k], pairs[0][k]) for k in {*pairs[0], *pairs[1]}}
+    texts = ["xx yy aa bb", "aa bb cc dd ee", "new words aa", "aa", "", "xx xx xx xx"]
+    for d, tables in toxicity.fit_tables(df).items():
+        _, m = brute_kneser_ney(rows, d)
+        one, two = tables.ratios(toxicity.words(pa.array(texts)))
+        flat = [(v, w) for t in texts for v, w in zip(["", *t.split()], t.split(), strict=False)]
+        known = [i for i, (_, w) in enumerate(flat) if any(p[1] == w for p in pairs[0] | pairs[1])]
+        for i in known:
+            v, w = flat[i]
+            assert one[i] == pytest.approx(math.log(m[1][0](w) / m[0][0](w)))
+            assert two[i] == pytest.approx(math.log(m[1][1](v, w) / m[0][1](v, w)))
+        whole = tables.features(pa.array(texts), (1,))[:, 0]
+        assert whole[1] == pytest.approx(np.mean([two[i] for i in range(4, 9)])) and whole[4] == 0
+    model = toxicity.Model(toxicity.fit_tables(df)[1.0], 2, [0.5, 2.0], -1.0)
+    x = model.tables.features(pa.array(texts), (2,))
+    assert model.scores(pa.array(texts)) == pytest.approx(1 / (1 + np.exp(-(0.5 * x[:, 0] + 2 * x[:, 1] - 1))))
+
+
 @pytest.fixture(scope="module")
 def field():
     return html_text.fitted()
