@@ -1,11 +1,13 @@
 """Stupid-backoff scores of whole texts by n-gram counts of the whole corpus.
 
-Texts are dealt to batches. A batch sends its distinct words and word pairs, with how often it has them,
-to buckets by their hash; a bucket adds up what all batches sent, which makes it its part of the count
-table, and sends each batch the totals it asked for; the batch, joined with them, sums its documents'
-scores. A word that every text has costs a bucket one entry a batch, not one an occurrence, so no key is hot.
-
-A document is scored on what the others hold: its own occurrences are taken off the counts, or every pair
+Texts are dealt to batches. A batch explodes its texts into n-grams, combines equal ones, and sends them with
+their counts to the parts of the count table, by the n-grams' hashes; a part adds up what all batches sent,
+joins the totals back to what each batch sent, and the batch sums its documents' scores. An n-gram that every
+text has costs its part one entry a batch, not one an occurrence, so none is hot. Entries travel by the
+thousand, packed, in a row per batch and part that have any in common: an entry goes out once and comes back
+once, whatever the numbers of batches and parts.
+
+A document is scored on what the others hold: its own occurrences are taken off the counts, or every n-gram
 would have been seen and nothing would ever back off.
 """
 
@@ -28,61 +30,66 @@ BATCH_CHARS, BUCKET_GRAMS = 6_000_000, 1_500_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of all but the last word and of that."""
+    x = before * _K[0] ^ (word + _K[1]) * _K[2]
+    x = (x ^ x >> np.uint64(31)) * _K[1]
+    return x ^ x >> np.uint64(29)
+
+
 class Grams:
-    """The distinct words and pairs of a batch, words first, and where its texts have them."""
+    """The distinct n-grams of a batch, shorter ones first, and where its texts have them.
 
-    def __init__(self, texts: pa.ChunkedArray):
+    at[k - 1]: of each word that k - 1 words of its text are before, the place of the k-gram it ends; here[k - 1]:
+    which words these are.
+    """
+
+    def __init__(self, texts: pa.ChunkedArray, order: int):
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").combine_chunks())
         flat, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
         real = pc.not_equal(flat, "")
         coded = flat.filter(real).dictionary_encode()
-        owner = owner[real.to_numpy(zero_copy_only=False)].astype(np.int64)
+        self.owner = owner[real.to_numpy(zero_copy_only=False)].astype(np.int64)
+        self.texts, self.sizes = len(lists), np.bincount(self.owner, minlength=len(lists))
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.texts, self.sizes = len(lists), np.bincount(owner, minlength=len(lists))
-        words = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-        n = max(1, len(words))
-        pairs, pair, pair_counts = np.unique(word[follows - 1] * n + word[follows], return_inverse=True, return_counts=True) if len(follows) else (np.zeros(0, np.int64),) * 3
-        mixed = words[pairs // n] * _K[0] ^ (words[pairs % n] + _K[1]) * _K[2] if len(pairs) else np.zeros(0, np.uint64)
-        mixed = (mixed ^ mixed >> np.uint64(31)) * _K[1]
-        self.hashes = np.concatenate([words, mixed ^ mixed >> np.uint64(29)])
-        self.counts = np.concatenate([np.bincount(word, minlength=len(words)), pair_counts]).astype(np.uint32)
-        self.words, self.pairs, self.n = word, pairs, n
-        self.owner, self.follows, self.pair = owner, follows, pair
-
-    def by_bucket(self, buckets: int) -> list[np.ndarray]:
-        """The grams of each bucket, in the order of their hashes: the order in which their totals come back."""
-        to = (self.hashes >> np.uint64(7)) % np.uint64(buckets)
+        hashes = [np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)]
+        self.at, self.here = [word], [np.arange(len(word))]
+        counts, most = [np.bincount(word, minlength=len(hashes[0]))], max(1, len(hashes[0]))
+        for k in range(2, order + 1):
+            here = self.here[-1][1:][self.owner[self.here[-1][1:]] == self.owner[self.here[-1][1:] - k + 1]] if k > 2 else np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1
+            before = np.full(len(word), -1)
+            before[self.here[-1]] = self.at[-1]
+            codes, at, n = np.unique(before[here - 1] * most + word[here], return_inverse=True, return_counts=True)
+            hashes.append(_mixed(hashes[-1][codes // most], hashes[0][codes % most]))
+            counts.append(n)
+            self.at.append(at)
+            self.here.append(here)
+        self.ends = np.cumsum([len(h) for h in hashes])
+        self.hashes, self.counts = np.concatenate(hashes), np.concatenate(counts).astype(np.uint32)
+
+    def by_part(self, parts_: int) -> list[tuple[int, np.ndarray]]:
+        """The parts that the n-grams belong to, each with its own in the order of their hashes: that in which totals come back."""
+        to = (self.hashes >> np.uint64(7)) % np.uint64(parts_)
         order = np.lexsort((self.hashes, to))
-        return np.split(order, np.searchsorted(to[order], np.arange(1, buckets, dtype=np.uint64)))
-
-    def own(self, codes: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, gram and how often, of every gram that a document has."""
-        keys, counts = np.unique(owner * most + codes, return_counts=True) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return keys // most, keys % most, counts
+        starts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]])) if len(order) else []
+        return [(int(to[order[a]]), own) for a, own in zip(starts, np.split(order, starts[1:]), strict=True)] if len(order) else []
 
     def scores(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the sum of the logs, but for the corpus's size, and in how many of them that divides."""
-        n, single, double = self.n, totals[: len(totals) - len(self.pairs)], totals[len(totals) - len(self.pairs) :]
-        doc, word, own = self.own(self.words, self.owner, n)
-        left = single[word] - own if len(word) else own  # of each word a document has: what others have
-        key = doc * n + word
-        rest = lambda d, w: left[np.searchsorted(key, d * n + w)]
-        total, divided = np.zeros(self.texts), np.zeros(self.texts, np.int64)
-        log = lambda c: np.log(np.maximum(c, UNSEEN))
-        first = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]])) if len(self.owner) else np.zeros(0, np.int64)
-        np.add.at(total, self.owner[first], log(rest(self.owner[first], self.words[first])))
-        np.add.at(divided, self.owner[first], 1)
-        most = max(1, len(self.pairs))
-        doc, pair, own = self.own(self.pair, self.owner[self.follows], most)
-        if len(pair):
-            others = double[pair] - own
-            before, after = self.pairs[pair] // n, self.pairs[pair] % n
-            seen = others > 0
-            each = np.where(seen, log(others) - log(rest(doc, before)), math.log(BACKOFF) + log(rest(doc, after)))
-            total += np.bincount(doc, own * each, self.texts)
-            divided += np.bincount(doc, own * ~seen, self.texts).astype(np.int64)
-        return total, divided
+        value, divided, before = np.zeros(len(self.owner)), np.ones(len(self.owner)), None
+        for k, (at, here) in enumerate(zip(self.at, self.here, strict=True)):
+            n = self.ends[k] - (self.ends[k - 1] if k else 0)
+            _, places, own = np.unique(self.owner[here] * max(1, n) + at, return_inverse=True, return_counts=True)
+            others = np.zeros(len(self.owner))  # of each word's k-gram: how often other texts have it
+            others[here] = totals[self.ends[k] - n : self.ends[k]][at] - own[places]
+            if not k:
+                value = np.log(np.maximum(others, UNSEEN))
+            else:
+                seen, backed = here[others[here] > 0], here[others[here] <= 0]
+                value[backed] += math.log(BACKOFF)
+                value[seen], divided[seen] = np.log(others[seen]) - np.log(before[seen - 1]), 0
+            before = others
+        return np.bincount(self.owner, value, self.texts), np.bincount(self.owner, divided, self.texts).astype(np.int64)
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -103,55 +110,92 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
-def _ask(buckets: int):
+def _explode(parts_: int, order: int):
     def run(batch: pa.Table) -> pa.Table:
-        g = Grams(batch.column("text"))
-        each = [(b, own) for b, own in enumerate(g.by_bucket(buckets)) if len(own)]
+        g = Grams(batch.column("text"), order)
+        each = g.by_part(parts_)
         own = batch.column("batch")[0].as_py()
-        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "bucket": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([packed(g.hashes[o]) for _, o in each], pa.binary()), "counts": pa.array([planes(g.counts[o]) for _, o in each], pa.binary())})
+        return pa.table({"batch": pa.array([own] * len(each), pa.int32()), "part": pa.array([b for b, _ in each], pa.int32()), "hashes": pa.array([packed(g.hashes[o]) for _, o in each], pa.binary()), "counts": pa.array([planes(g.counts[o]) for _, o in each], pa.binary())})
 
     return run
 
 
-def _add(bucket: pa.Table) -> pa.Table:
-    hashes = [unpacked(x) for x in bucket.column("hashes").to_pylist()]
-    counts = np.concatenate([from_planes(x, np.uint32) for x in bucket.column("counts").to_pylist()])
+def _unpacked(part: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a part of the count table: entries of each row, distinct hashes, their places among all entries, their totals."""
+    hashes = [unpacked(x) for x in part.column("hashes").to_pylist()]
+    counts = np.concatenate([from_planes(x, np.uint32) for x in part.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(at, counts, len(distinct)).astype(np.uint64)[at]
-    answers = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"batch": bucket.column("batch"), "bucket": bucket.column("bucket"), "totals": pa.array([planes(a) for a in answers], pa.binary())})
+    return [len(h) for h in hashes], distinct, at, np.bincount(at, counts, len(distinct)).astype(np.uint64)
 
 
-def _score(buckets: int):
+def _table(part: pa.Table) -> pa.Table:
+    _, distinct, _, totals = _unpacked(part)
+    return pa.table({"gram": pa.array(distinct.view(np.int64)), "n": pa.array(totals.view(np.int64))})
+
+
+def _join(part: pa.Table) -> pa.Table:
+    sizes, _, at, totals = _unpacked(part)
+    answers = np.split(totals[at], np.cumsum(sizes)[:-1])
+    return pa.table({"batch": part.column("batch"), "part": part.column("part"), "totals": pa.array([planes(a) for a in answers], pa.binary())})
+
+
+def _score(parts_: int, order: int):
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Grams(batch.column("text"))
+        g = Grams(batch.column("text"), order)
         totals = np.zeros(len(g.hashes))
-        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        for b, own in enumerate(g.by_bucket(buckets)):
-            if len(own):
-                totals[own] = from_planes(got[b], np.uint64)
+        got = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))
+        for b, own in g.by_part(parts_):
+            totals[own] = from_planes(got[b], np.uint64)
         total, divided = g.scores(totals)
-        return pa.table({"key": batch.column("key"), "n_words": pa.array(g.sizes.astype(np.int64)), "logs": pa.array(total), "divided": pa.array(divided.astype(np.int64))})
+        return pa.table({"key": batch.column("key"), "n_words": pa.array(g.sizes.astype(np.int64)), "logs": pa.array(total), "divided": pa.array(divided)})
 
     return run
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words and score of every row: the mean natural log of its words' stupid-backoff scores.
+def _dealt(df: DataFrame, key: str, text: str, order: int) -> tuple[DataFrame, int]:
+    """key, text and batch of every row, and the number of the count table's parts.
 
-    S(w | v) = c(vw) / c(v) if others have the pair vw, else BACKOFF * c(w) / N; the first word's is
-    c(w) / N. c counts what other rows hold, N all their words; c(w) is at least UNSEEN. Words are what lies
-    between ASCII white space, as they are. Counts go by 64-bit hashes. Defined results: a null or empty
-    text has no words and a null score; N is at least 1; repeated rows count as others to each other.
+    Rows are dealt by their places, so rows that are equal, or null, don't pile up.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = parts(chars, BATCH_CHARS)
-    buckets = parts(chars // 6, BUCKET_GRAMS, 12)  # a word and its pair take some six characters and more
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)).cast("int"))
-    asked = dealt.groupBy("batch").applyInArrow(_ask(buckets), "batch int, bucket int, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_add, "batch int, bucket int, totals binary")
-    summed = stage(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(buckets), "key long, n_words long, logs double, divided long"), "language-model")
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int"))
+    return dealt, parts(chars * order // 12, BUCKET_GRAMS, 12)  # a word takes some six characters and more
+
+
+def _exploded(dealt: DataFrame, parts_: int, order: int) -> DataFrame:
+    return dealt.groupBy("batch").applyInArrow(_explode(parts_, order), "batch int, part int, hashes binary, counts binary")
+
+
+def count_table(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """gram (a 64-bit hash, see ``gram_hash``), n: how often all texts together have each n-gram of up to ``order`` words."""
+    dealt, parts_ = _dealt(df, key, text, order)
+    return _exploded(dealt, parts_, order).groupBy("part").applyInArrow(_table, "gram long, n long")
+
+
+def gram_hash(words: list[str]) -> int:
+    """The number by which the count table knows an n-gram."""
+    hashes = [np.array([xxhash.xxh64_intdigest(w.encode())], np.uint64) for w in words]
+    out = hashes[0]
+    for h in hashes[1:]:
+        out = _mixed(out, h)
+    return int(out.view(np.int64)[0])
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """key, n_words and score of every row: the mean natural log of its words' stupid-backoff scores.
+
+    S(w | u v) = c(u v w) / c(u v) if others have u v w, else BACKOFF * S(w | v), down to c(w) / N; words at a
+    text's start have fewer before them. c counts what other rows hold, N all their words; c(w) is at least
+    UNSEEN. Words are what lies between ASCII white space, as they are. Counts go by 64-bit hashes.
+
+    df is read twice and has to give its rows in the same order each time, as a table does. Defined results: a
+    null or empty text has no words and a null score; N is at least 1; repeated rows count as others to each other.
+    """
+    dealt, parts_ = _dealt(df, key, text, order)
+    answers = _exploded(dealt, parts_, order).groupBy("part").applyInArrow(_join, "batch int, part int, totals binary")
+    summed = stage(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(parts_, order), "key long, n_words long, logs double, divided long"), "language-model")
     n = summed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     others = F.greatest(F.lit(n) - F.col("n_words"), F.lit(1))
     mean = (F.col("logs") - F.col("divided") * F.log(others.cast("double"))) / F.col("n_words")

@@ -16,32 +16,53 @@ from .edge import clashing, documents
 SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def brute_scores(texts):
+def brute_scores(texts, order=2):
     docs = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
-    words, pairs = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:], strict=False))
-    total, out = sum(words.values()), []
+    grams = lambda d: Counter(tuple(d[i : i + k]) for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    counts = sum(map(grams, docs), Counter())
+    total, out = sum(map(len, docs)), []
     for d in docs:
-        own, own_pairs = Counter(d), Counter(zip(d, d[1:], strict=False))
-        rest = max(1, total - len(d))
-        logs = [math.log(max(words[w] - own[w], 0.5) / rest) for w in d[:1]]
-        for v, w in zip(d, d[1:], strict=False):
-            c = pairs[v, w] - own_pairs[v, w]
-            logs.append(math.log(c / (words[v] - own[v])) if c > 0 else math.log(0.4 * max(words[w] - own[w], 0.5) / rest))
+        own, rest = grams(d), max(1, total - len(d))
+
+        def log(g, own=own, rest=rest):
+            c = counts[g] - own[g]
+            if len(g) == 1:
+                return math.log(max(c, 0.5) / rest)
+            return math.log(c / (counts[g[:-1]] - own[g[:-1]])) if c > 0 else math.log(0.4) + log(g[1:])
+
+        logs = [log(tuple(d[max(0, i - order + 1) : i + 1])) for i in range(len(d))]
         out.append((len(d), sum(logs) / len(d) if d else None))
     return out
 
 
-def test_language_model_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_language_model_by_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(language_model, "BATCH_CHARS", 20_000)
     monkeypatch.setattr(language_model, "BUCKET_GRAMS", 2_000)
-    docs = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id > 80"))
+    docs = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id > 120"))
     rows = docs.collect()
-    got = language_model.score(clashing(docs)).collect()
+    got = language_model.score(clashing(docs), order=order).collect()
     key = lambda k, n, s: (k, n, None if s is None else round(s, 9))
-    assert Counter(key(*r) for r in got) == Counter(key(r["doc_id"], *x) for r, x in zip(rows, brute_scores([r["text"] for r in rows]), strict=True))
+    assert Counter(key(*r) for r in got) == Counter(key(r["doc_id"], *x) for r, x in zip(rows, brute_scores([r["text"] for r in rows], order), strict=True))
     assert language_model.score(docs.limit(0)).count() == 0
 
 
+def test_count_table_by_brute_force(spark):
+    docs = documents(spark)
+    want = Counter()
+    for r in docs.collect():
+        d = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        want.update(language_model.gram_hash(d[i : i + k]) for k in (1, 2, 3) for i in range(len(d) - k + 1))
+    assert dict(want) == {r["gram"]: r["n"] for r in language_model.count_table(docs, 3).collect()}
+
+
+def test_only_parts_that_occur_are_sent():
+    import pyarrow as pa
+
+    g = language_model.Grams(pa.chunked_array([["a b c", "a b"]]), 2)
+    assert sum(len(own) for _, own in g.by_part(1 << 40)) == 5 and len(g.by_part(1 << 40)) == 5
+
+
 def test_packed_hashes_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (language_model.unpacked(language_model.packed(x)) == x).all()
