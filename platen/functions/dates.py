@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Month and day of the holidays that don't move, and the days after Easter Sunday of those that do.
@@ -39,10 +41,51 @@ def working_days_before(day: Column, n: int) -> Column:
     return F.get(F.filter(back, is_working_day), F.lit(n - 1)) if n else day
 
 
+#: Up to so many days a calendar (some 20 bytes a day) is broadcast, after they were counted.
+BROADCAST_DAYS = 1_000_000
+
+
+def calendar(spark: SparkSession, first: datetime.date, last: datetime.date) -> DataFrame:
+    """day, worked, before: every day from one to another, and how many working days of the calendar lie before it.
+
+    Holidays are worked out once a year. One task numbers the days, of which a century has 36,525.
+    """
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
+    years = spark.range(first.year, last.year + 1).select(F.explode(holidays(F.col("id").cast("int"))).alias("day")).distinct().withColumn("holiday", F.lit(True))
+    known = days.join(F.broadcast(years), "day", "left").select("day", ((F.weekday("day") < 5) & F.col("holiday").isNull()).alias("worked"))
+    order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return known.withColumn("before", F.coalesce(F.sum(F.col("worked").cast("int")).over(order), F.lit(0)))
+
+
+def working_day_steps(spark: SparkSession, first: datetime.date, last: datetime.date, steps: tuple[int, ...]) -> DataFrame:
+    """day, worked, and for each n back_n: the n-th working day before, of the days from first to last."""
+    early = first - datetime.timedelta(days=14 + 3 * max(steps, default=0))
+    days = calendar(spark, early, last)
+    numbered = days.filter("worked").select(F.col("day").alias("told"), F.col("before").alias("nr"))
+    out = days.filter(F.col("day") >= F.lit(first))
+    for n in steps:
+        out = out.join(numbered.select(F.col("told").alias(f"back_{n}"), (F.col("nr") + n).alias("before")), "before", "left") if n else out.withColumn("back_0", F.col("day"))
+    return out.select("day", "worked", *[f"back_{n}" for n in steps])
+
+
 def with_working_days_before(df: DataFrame, day: str, n: int, out: str) -> DataFrame:
-    """df and the n-th working day before a column of days: each distinct day is worked out once and joined."""
-    known = df.select(F.col(day).alias("calendar_day")).distinct().withColumn(out, working_days_before(F.col("calendar_day"), n))
-    return df.join(known, df[day] == known["calendar_day"], "left").drop("calendar_day")
+    """df and the n-th working day before a column of days, by a calendar of the days between the first and the last."""
+    first, last = df.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return df.withColumn(out, F.lit(None).cast("date"))
+    steps = working_day_steps(df.sparkSession, first, last, (n,)).select(F.col("day").alias("calendar_day"), F.col(f"back_{n}").alias(out))
+    steps = F.broadcast(steps) if (last - first).days <= BROADCAST_DAYS else steps
+    return df.join(steps, df[day] == steps["calendar_day"], "left").drop("calendar_day")
+
+
+def shifted(ymd: Column, days: int) -> Column:
+    """A day as yyyyMMdd, so many days later, or null for what is no day."""
+    return F.date_format(F.date_add(F.try_to_date(ymd, "yyyyMMdd"), days), "yyyyMMdd")
+
+
+def dotted(ymd: Column) -> Column:
+    """yyyyMMdd as dd.MM.yyyy."""
+    return F.concat_ws(".", F.substring(ymd, 7, 2), F.substring(ymd, 5, 2), F.substring(ymd, 1, 4))
 
 
 def warehouse_day(own: Column, delivery: Column) -> Column:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Points a curve is sampled at for its box, and for the length of a die.
-BOX_SAMPLES, DIE_SAMPLES = 64, 12
+#: Points a curve is sampled at for its box, and for the length of a die; how near, in millimetres, a flattened curve follows it.
+BOX_SAMPLES, DIE_SAMPLES, FLAT_MM = 64, 12, 0.05
+
+
+def let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def point(x: Column | float, y: Column | float) -> Column:
@@ -86,8 +91,51 @@ def clipped(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Column
     return F.when(finite & ~out & (low <= high), F.struct((x0 + low * dx).alias("x0"), (y0 + low * dy).alias("y0"), (x0 + high * dx).alias("x1"), (y0 + high * dy).alias("y1")))
 
 
-def fit_orientation(w: Column, h: Column, box_w: Column, box_h: Column) -> Column:
-    """struct(turned, error): the way round whose aspect is nearer, by the logarithm of the ratio; upright wins ties."""
-    error = lambda a, b: F.abs(F.log((a / b) / (box_w / box_h)))
-    up, turned = error(w, h), error(h, w)
-    return F.struct((turned < up).alias("turned"), F.least(up, turned).alias("error"))
+def flattened(p0: Column, p1: Column, p2: Column, p3: Column, tolerance: float = FLAT_MM) -> Column:
+    """Points of a cubic curve behind its first, as many as its control polygon's length asks for at a tolerance, 2 to 512; doubles left out."""
+    far = lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+    long = far(p0, p1) + far(p1, p2) + far(p2, p3)
+    long = F.when(long == 0, 1.0).otherwise(long)
+    steps = F.greatest(F.lit(2), F.least(F.lit(512), F.floor(F.sqrt(long / max(tolerance, 0.001)) + 1).cast("int")))
+
+    def at(i: Column, n: Column) -> Column:
+        t = i / n
+        u = 1 - t
+        mixed = lambda k: p0[k] * u * u * u + p1[k] * u * u * t * 3 + p2[k] * u * t * t * 3 + p3[k] * t * t * t
+        return F.struct(mixed("x").alias("x"), mixed("y").alias("y"))
+
+    points = let(steps, lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: at(i, n)))
+    return let(points, lambda all_: F.filter(all_, lambda p, i: far(F.coalesce(F.get(all_, i - 1), p0), p) > 1e-7))
+
+
+def die_points(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """Points of a cubic curve behind its first, as the length of a die takes them."""
+    return curve(p0, p1, p2, p3, DIE_SAMPLES)
+
+
+def mirrored(points: Column, page_w: Column, page_h: Column, reflect: Column) -> Column:
+    """A page's points with y downwards instead of upwards, and seen from behind where reflect holds."""
+    return F.transform(points, lambda p: point(F.when(reflect, page_w - p["x"]).otherwise(p["x"]), page_h - p["y"]))
+
+
+def in_polygons(rings: Column, x: Column, y: Column) -> Column:
+    """Even-odd parity over all rings together: a hole in a hole is inside."""
+    hits = F.aggregate(rings, F.lit(0), lambda n, r: n + inside(r, x, y).cast("int"))
+    return hits % 2 == 1
+
+
+def fit_orientation(u: Column, page: Column) -> Column:
+    """struct(turn, error, au, bu, cu, av, bv, cv): the turn that lays a box (struct x0, y0, x1, y1) on a page box, and the map that does it.
+
+    error is the logarithm of the aspects' ratio after the turn. Of the eight ways four turns and a mirror
+    allow, those of one parity have the same error, and upright, unmirrored ones come first: so it is no
+    turn, or a quarter one if that is nearer. Null for a box of no width or height.
+    """
+    w, h, pw, ph = u["x1"] - u["x0"], u["y1"] - u["y0"], page["x1"] - page["x0"], page["y1"] - page["y0"]
+    error = lambda a, b: F.abs(F.log((a / b) / (pw / ph)))
+    turn = error(h, w) < error(w, h) - 1e-9
+    number = lambda c: c.cast("double")
+    au, bu, cu = F.when(turn, 0.0).otherwise(pw / w), F.when(turn, -pw / h).otherwise(0.0), F.when(turn, page["x1"] + u["y0"] * pw / h).otherwise(page["x0"] - u["x0"] * pw / w)
+    av, bv, cv = F.when(turn, ph / w).otherwise(0.0), F.when(turn, 0.0).otherwise(ph / h), F.when(turn, page["y0"] - u["x0"] * ph / w).otherwise(page["y0"] - u["y0"] * ph / h)
+    fit = F.struct(turn.cast("int").alias("turn"), F.least(error(w, h), error(h, w)).alias("error"), *[number(c).alias(n) for c, n in ((au, "au"), (bu, "bu"), (cu, "cu"), (av, "av"), (bv, "bv"), (cv, "cv"))])
+    return F.when((w >= 1e-9) & (h >= 1e-9), fit)

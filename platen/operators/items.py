@@ -10,6 +10,8 @@ from .rules import panel_count, set_number
 #: Fixed values in millimetres but for the scales.
 SCALES, PAGE_CEILING_MM, SPEC_STRIP_MM, MARGIN_SPEC_MM, LARGEST_MM = [1, 2, 4, 5, 10, 20], 4800.0, 22.0, 12.0, 100_000.0
 PANEL_LONG_MM, PANEL_SHORT_MM = 25_000.0, 15_000.0
+#: A shop's list of materials is read on the driver; it has at most so many.
+MATERIALS = 1_000
 
 
 def parsed_dimension(value: Column, unit: Column) -> Column:
@@ -65,16 +67,20 @@ def page_size(item: Column) -> Column:
 def answers_for_page(pages: DataFrame, materials: DataFrame, netto: DataFrame, tolerance_mm: float = 0.5) -> DataFrame:
     """Every (material, finished size) whose artwork has a page's size: all answers, never a pick.
 
-    pages: page_id, w, h; netto: netto_w, netto_h; materials (a shop's, broadcast): id, bleed_mm. Sizes meet
-    on a grid of twice the tolerance, so that the join has keys to be dealt by.
+    pages: page_id, w, h; netto: netto_w, netto_h; materials: a shop's list of at most MATERIALS (id,
+    bleed_mm). Each page is held against each material's bleed, and what is left meets the finished sizes on a
+    grid of twice the tolerance, so that the join has keys to be dealt by.
     """
+    shop = materials.select("id", F.col("bleed_mm").cast("double").alias("bleed_mm")).limit(MATERIALS + 1).collect()
+    if len(shop) > MATERIALS:
+        raise ValueError(f"more than {MATERIALS} materials: no shop's list")
     cell = tolerance_mm * 2
-    jobs = netto.select("*", F.lit(1).alias("one")).join(F.broadcast(materials.select("id", "bleed_mm", F.lit(1).alias("one"))), "one").drop("one")
-    jobs = jobs.withColumns({"job_w": F.col("netto_w") + 2 * F.col("bleed_mm"), "job_h": F.col("netto_h") + 2 * F.col("bleed_mm")})
-    jobs = jobs.withColumns({"cx": F.floor(F.col("job_w") / cell), "cy": F.floor(F.col("job_h") / cell)})
+    list_ = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["bleed_mm"]).alias("bleed_mm")) for r in shop]) if shop else F.array().cast("array<struct<id:string,bleed_mm:double>>")
+    asked = pages.select("page_id", "w", "h", F.explode(list_).alias("m")).select("page_id", "m.id", (F.col("w") - 2 * F.col("m.bleed_mm")).alias("left_w"), (F.col("h") - 2 * F.col("m.bleed_mm")).alias("left_h"))
     near = lambda c: F.explode(F.array(*[F.floor(F.col(c) / cell) + d for d in (-1, 0, 1)]))
-    spread = pages.withColumn("cx", near("w")).withColumn("cy", near("h"))
-    return spread.join(jobs, ["cx", "cy"]).filter((F.abs(F.col("w") - F.col("job_w")) <= tolerance_mm) & (F.abs(F.col("h") - F.col("job_h")) <= tolerance_mm)).select("page_id", "id", "netto_w", "netto_h")
+    spread = asked.withColumn("cx", near("left_w")).withColumn("cy", near("left_h"))
+    jobs = netto.withColumns({"cx": F.floor(F.col("netto_w") / cell), "cy": F.floor(F.col("netto_h") / cell)})
+    return spread.join(jobs, ["cx", "cy"]).filter((F.abs(F.col("left_w") - F.col("netto_w")) <= tolerance_mm) & (F.abs(F.col("left_h") - F.col("netto_h")) <= tolerance_mm)).select("page_id", "id", "netto_w", "netto_h")
 
 
 def eyelets(length: Column, pitch: Column) -> Column:

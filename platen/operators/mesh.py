@@ -5,12 +5,17 @@ A mesh is a group: its triangles are handed to numpy together, one mesh at a tim
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SINGULAR = 1e-12
+#: Up to so many groups' means and fits (some 60 bytes each) are broadcast, after they were counted.
+BROADCAST_FITS = 100_000
 
 
 def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,6 +57,7 @@ def affine_fit(df: DataFrame, keys: list[str], x: str, y: str, u: str) -> DataFr
     Null where the points lie on a line. residual is the largest error.
     """
     mean = df.groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(u).alias("mu"))
+    mean = F.broadcast(mean) if mean.count() <= BROADCAST_FITS else mean
     off = df.join(mean, keys).select(*keys, (F.col(x) - F.col("mx")).alias("dx"), (F.col(y) - F.col("my")).alias("dy"), (F.col(u) - F.col("mu")).alias("du"), "mx", "my", "mu")
     sums = off.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col("dx") * F.col("dy")).alias("xy"), F.sum(F.col("dy") * F.col("dy")).alias("yy"), F.sum(F.col("dx") * F.col("du")).alias("xu"), F.sum(F.col("dy") * F.col("du")).alias("yu"), *[F.first(c).alias(c) for c in ("mx", "my", "mu")])
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
@@ -59,7 +65,9 @@ def affine_fit(df: DataFrame, keys: list[str], x: str, y: str, u: str) -> DataFr
     sums = sums.withColumn("a", F.when(good, (F.col("xu") * F.col("yy") - F.col("yu") * F.col("xy")) / det)).withColumn("b", F.when(good, (F.col("yu") * F.col("xx") - F.col("xu") * F.col("xy")) / det))
     fit = sums.withColumn("c", F.col("mu") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).select(*keys, "a", "b", "c")
     error = F.max(F.abs(F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c") - F.col(u)))
-    return df.join(fit, keys).groupBy(*keys).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("c").alias("c"), error.alias("residual"))
+    few = mean.count() <= BROADCAST_FITS  # then rows stay where they are, however many a group has
+    fits = F.broadcast(fit) if few else fit
+    return df.join(fits, keys).groupBy(*keys).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("c").alias("c"), error.alias("residual"))
 
 
 def applied(vertices: DataFrame, maps: DataFrame, on: list[str]) -> DataFrame:
@@ -76,17 +84,47 @@ def regrouped(triangles: DataFrame, mapped: Column) -> DataFrame:
     return triangles.withColumn("place", F.row_number().over(Window.partitionBy("mesh").orderBy(F.desc(mapped.cast("int")), "t")))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs by growing error, each island and box once; ties by island and box."""
-    islands_, boxes, out = set(), set(), []
-    for r in pdf.sort_values(["error", "island", "box"], kind="stable").itertuples():
-        if r.island not in islands_ and r.box not in boxes:
-            islands_.add(r.island)
-            boxes.add(r.box)
-            out.append((r.mesh, r.island, r.box, r.error))
-    return pd.DataFrame(out, columns=["mesh", "island", "box", "error"])
+#: Fixed value: aspect errors (logarithms) nearer than this are a tie, which size settles.
+ASPECT_TIE = 0.05
+
+
+def _assigned(islands_: pa.Table, boxes: pa.Table) -> pa.Table:
+    """One mesh: its islands by falling area choose among the free boxes, then among all, the largest unless another fits clearly better."""
+    by_size = lambda t, key: sorted((r for r in t.to_pylist()), key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r[key]))
+    pages, used, out = by_size(boxes, "box"), set(), []
+    for i in by_size(islands_, "island"):
+        w, h = i["x1"] - i["x0"], i["y1"] - i["y0"]
+        if w < SINGULAR_BOX or h < SINGULAR_BOX:
+            continue
+        best = None
+        for b in [b for b in pages if b["box"] not in used] or pages:
+            aspect = (b["x1"] - b["x0"]) / (b["y1"] - b["y0"])
+            error = min(abs(math.log(w / h / aspect)), abs(math.log(h / w / aspect)))
+            if best is None or error < best[1] - ASPECT_TIE:
+                best = (b["box"], error)
+        if best:
+            used.add(best[0])
+            out.append({"mesh": i["mesh"], "island": i["island"], "box": best[0], "error": best[1]})
+    return pa.Table.from_pylist(out, pa.schema([("mesh", pa.int64()), ("island", pa.int32()), ("box", pa.int32()), ("error", pa.float64())]))
+
+
+#: Fixed value: a box narrower than this has collapsed.
+SINGULAR_BOX = 1e-9
 
 
-def assigned(pairs: DataFrame) -> DataFrame:
-    """mesh, island, box, error: a greedy assignment from a mesh's pairs (mesh, island, box, error)."""
-    return pairs.select("mesh", "island", "box", "error").groupBy("mesh").applyInPandas(_greedy, "mesh long, island int, box int, error double")
+def assigned(islands_: DataFrame, boxes: DataFrame) -> DataFrame:
+    """mesh, island, box, error: which page box each island lies on.
+
+    islands_: mesh, island, x0, y0, x1, y1; boxes: mesh, box, x0, y0, x1, y1. A box is used once while there
+    are some to spare, and shared when there are not. Islands that have collapsed, and meshes without a box, have no row.
+    """
+    columns = ["x0", "y0", "x1", "y1"]
+    left, right = islands_.select("mesh", "island", *columns).groupBy("mesh"), boxes.select("mesh", "box", *columns).groupBy("mesh")
+    return left.cogroup(right).applyInArrow(_assigned, "mesh long, island int, box int, error double")
+
+
+def collinear(points: DataFrame, key: str, least: float = 1e-9) -> DataFrame:
+    """key and whether all of its points (x, y) lie on a line: their covariance has no second direction."""
+    per = points.groupBy(key).agg(F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    return per.select(key, (det <= least * F.greatest(F.col("xx") * F.col("yy"), F.lit(least))).alias("collinear"))

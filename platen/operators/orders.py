@@ -50,15 +50,55 @@ def group_key(code: Column, client: Column, project: Column, pm: Column, pm_emai
     return F.when(text(code) != "", F.concat(F.upper(text(code)), F.lit("|"), who)).otherwise(F.concat_ws("|", text(client), text(project), who, day))
 
 
-def first_filled(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """One row per group: of each column the first value, by order, that isn't empty; partial before the shuffle."""
-    return df.groupBy(*keys).agg(*[F.min_by(F.col(c), F.when(text(F.col(c)) != "", F.col(order))).alias(c) for c in columns])
+def first_filled(df: DataFrame, keys: list[str], order: str, columns: list[str], *more: Column) -> DataFrame:
+    """One row per group: of each column the first value, by order, that isn't empty, and more aggregates; partial before the shuffle."""
+    return df.groupBy(*keys).agg(*more, *[F.min_by(F.col(c), F.when(text(F.col(c)) != "", F.col(order))).alias(c) for c in columns])
 
 
 def since_marker(df: DataFrame, keys: list[str], at: str, marker: Column) -> DataFrame:
-    """The rows after their group's last marker (all, where there is none), by time, ties of a marker's time left out."""
-    last = F.max(F.when(marker, F.col(at))).over(Window.partitionBy(*keys))
-    return df.withColumn("marker_at", last).filter(F.col("marker_at").isNull() | (F.col(at) > F.col("marker_at"))).drop("marker_at")
+    """The rows after their group's last marker (all, where there is none), by time, ties of a marker's time left out.
+
+    The last markers are combined before they are shuffled; a group of very many rows is split where they meet.
+    """
+    last = df.filter(marker).groupBy(*keys).agg(F.max(at).alias("marker_at"))
+    return df.join(last, keys, "left").filter(F.col("marker_at").isNull() | (F.col(at) > F.col("marker_at"))).select(*df.columns)
+
+
+def voided(log: DataFrame) -> DataFrame:
+    """log and voided: the line no longer counts, because a resend of its group and status was asked for at its time or later, itself apart."""
+    last = log.filter(F.col("recipients") == INVALIDATED).groupBy("group", "status").agg(F.max("sent_at").alias("marker_at"))
+    gone = F.coalesce((F.col("sent_at") <= F.col("marker_at")) & (F.col("recipients") != INVALIDATED), F.lit(False))
+    return log.join(last, ["group", "status"], "left").select(*log.columns, gone.alias("voided"))
+
+
+def rows_in_group(df: DataFrame, group: str, place: str, status_: str | None = None) -> DataFrame:
+    """df's rows with a product, and rows, label: how many rows their group (and status) has, and which."""
+    keys = [group, *([status_] if status_ else [])]
+    held = df.filter(text(F.col("product")) != "")
+    per = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), rows_label(F.min(place), F.max(place)).alias("label"))
+    return held.join(per, keys)
+
+
+def item_id(product: Column) -> Column:
+    """What makes two rows the same item: the product's text."""
+    return F.lower(text(product))
+
+
+def reply_to(leader: Column) -> Column:
+    """The first address of a project's leader, or an empty text."""
+    return F.coalesce(F.get(addresses(leader), F.lit(0)), F.lit(""))
+
+
+def number(x: Column) -> Column:
+    """A cell's number; 0 for anything else."""
+    value = text(x).try_cast("double")
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+
+
+def redirected(recipients: Column, subject: Column, test: Column) -> Column:
+    """struct(to, subject): all to the test's mailbox, with the real ones in the subject, if there is one."""
+    on = text(test) != ""
+    return F.struct(F.when(on, test).otherwise(F.array_join(recipients, ",")).alias("to"), F.when(on, F.concat(F.lit("[TEST → "), F.array_join(recipients, ", "), F.lit("] "), subject)).otherwise(subject).alias("subject"))
 
 
 def sent_items(log: DataFrame) -> DataFrame:
@@ -74,13 +114,13 @@ def pending(rows: DataFrame, log: DataFrame) -> DataFrame:
     return wanted.join(sent_items(log), ["group", "status", "item"], "left_anti").drop("item")
 
 
-def digest(rows: DataFrame, due: Column, day: Column, told: DataFrame | None = None) -> DataFrame:
-    """address, day, rows, products of what is due, a row per address; told (address, day) is left out.
+def digest(rows: DataFrame, due: Column, day: Column, told: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """address, day, rows, products of what is due, a row per address; told (address, day) is left out, unless forced.
 
     products is in the order of the rows' ord. An address's due rows of one day are gathered in a list.
     """
     each = rows.filter((text(F.col("product")) != "") & due).select(F.explode(F.transform(addresses(F.col("warehouse_email")), F.lower)).alias("address"), day.alias("day"), "ord", "product")
-    if told is not None:
+    if told is not None and not force:
         each = each.join(told.select(F.lower("address").alias("address"), "day"), ["address", "day"], "left_anti")
     products = F.transform(F.array_sort(F.collect_list(F.struct("ord", "product"))), lambda x: x["product"])
     return each.groupBy("address", "day").agg(F.count(F.lit(1)).alias("rows"), products.alias("products"))
@@ -131,9 +171,16 @@ def calendar(summary: Column, start: Column, end: Column, description: Column, s
     return F.array_join(F.array(*lines), "\r\n")
 
 
+#: A list that a person orders: it is put in order in one task, which this bounds.
+LISTED = 1_000_000
+
+
 def reordered(df: DataFrame, wanted: DataFrame, key: str = "id", place: str = "ord") -> DataFrame:
-    """df with place anew: the wanted keys (key, pos) first in their order, the others as they were. A shop's lists are small."""
-    out = df.join(F.broadcast(wanted.select(key, "pos").dropDuplicates([key])), key, "left")
+    """df with place anew: the wanted keys (key, pos) first in their order, the others as they were. For lists of at most LISTED rows."""
+    if df.limit(LISTED + 1).count() > LISTED:
+        raise ValueError(f"more than {LISTED} rows: nobody ordered them by hand")
+    once = wanted.groupBy(key).agg(F.min("pos").alias("pos"))
+    out = df.join(once, key, "left")
     return out.withColumn(place, F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), place))).drop("pos")
 
 

@@ -1,152 +1,144 @@
-"""Polygons that expressions can't follow: offsets, clips, inscribed boxes, resampling, fused rectangles.
+"""Polygons in expressions: offsets, clips, resampling, flattened curves; and the largest box within one.
 
-A row holds one ring (array of structs x, y); numpy works on it, rows are worked on in parallel.
+A ring is an array of points (structs x, y). Everything but the inscribed box, which needs a grid of cells,
+is a column expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from ..functions import geometry
+from ..functions.geometry import let, point
+from .raster import free_rectangles
 
-from .raster import largest_rectangle
+#: How long a corner may get in offsets, how near an offset may come in them, the least area that remains, a box's grid.
+MITER, NEAR_SHARE, LEAST_AREA, GRID = 4.0, 0.98, 0.02, 160
 
-#: How long a corner may get in offsets, how near an offset may come in them, the least area that remains, a box's grid, the least fill of fused rectangles.
-MITER, NEAR_SHARE, LEAST_AREA, GRID, FILL = 4.0, 0.98, 0.02, 160, 0.55
 
+def opened(ring: Column) -> Column:
+    """The ring without a last point that repeats the first."""
+    n = F.size(ring)
+    first, last = F.get(ring, F.lit(0)), F.get(ring, n - 1)
+    return F.when((n > 1) & (F.hypot(first["x"] - last["x"], first["y"] - last["y"]) < 1e-6), F.slice(ring, 1, F.greatest(n - 1, F.lit(1)))).otherwise(ring)
 
-def area(ring: np.ndarray) -> float:
-    x, y = ring.T
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
 
+def _moved(ring: Column, by: float) -> Column:
+    """Corners of a counter-clockwise ring moved along the bisector of their edges' right-hand normals; corners without an edge are left out."""
+    n = F.size(ring)
+    at = lambda i: F.get(ring, (i + n) % n)
 
-def inside(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Even-odd parity of each point."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    x, y = points[:, 0, None], points[:, 1, None]
-    crosses = (a[:, 1] > y) != (b[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return (crosses & (x < at)).sum(axis=1) % 2 == 1
+    def unit(p: Column, q: Column) -> Column:
+        size = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
+        return F.when(size > 1e-9, point((q["x"] - p["x"]) / size, (q["y"] - p["y"]) / size))
 
+    def corner(p: Column, i: Column) -> Column:
+        def place(u: Column) -> Column:
+            into, out = u["into"], u["out"]
+            bx, by_ = into["y"] + out["y"], -into["x"] - out["x"]
+            size = F.hypot(bx, by_)
+            half = (bx * into["y"] - by_ * into["x"]) / size
+            reach = F.when(F.abs(half) > 1e-9, by / half).otherwise(by * MITER)
+            most = F.lit(abs(by) * MITER)
+            reach = F.greatest(-most, F.least(most, reach))
+            straight = point(p["x"] + into["y"] * by, p["y"] - into["x"] * by)
+            return F.when(into.isNotNull() & out.isNotNull(), F.when(size < 1e-9, straight).otherwise(point(p["x"] + bx / size * reach, p["y"] + by_ / size * reach)))
 
-def distances(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Each point's distance to the ring."""
-    a, d = ring, np.roll(ring, -1, axis=0) - ring
-    off = points[:, None] - a
-    t = np.clip((off * d).sum(axis=2) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
-    return np.hypot(*np.moveaxis(off - t[..., None] * d, 2, 0)).min(axis=1)
+        return let(F.struct(unit(at(i - 1), p).alias("into"), unit(p, at(i + 1)).alias("out")), place)
 
+    return F.filter(F.transform(ring, corner), lambda p: p.isNotNull())
 
-def offset(ring: np.ndarray, by: float) -> tuple[np.ndarray | None, str | None]:
-    """The ring moved outwards (or, for a negative number, inwards), or why it can't be.
 
-    Corners move along the bisector of their edges' normals; those that end up too near the old ring, or
-    on its wrong side, belong to parts that fold over and are left out.
+def offset(ring: Column, by: float) -> Column:
+    """struct(ring, problem): the ring moved outwards (or, for a negative number, inwards), or why it can't be; it keeps its direction.
+
+    Corners that end up nearer the old ring than they were moved, or on its wrong side, belong to parts that
+    fold over and are left out.
     """
-    steps = np.hypot(*(np.roll(ring, -1, axis=0) - ring).T)
-    ring = ring[steps > 1e-7]
-    if len(ring) < 3 or not area(ring):
-        return None, "too few points"
-    if by < 0 and 2 * -by >= np.ptp(ring, axis=0).min():
-        return None, "nothing left"
-    if area(ring) < 0:
-        ring = ring[::-1]
-    edge = np.roll(ring, -1, axis=0) - ring
-    normal = np.stack([edge[:, 1], -edge[:, 0]], 1) / np.hypot(*edge.T)[:, None]
-    both = normal + np.roll(normal, 1, axis=0)
-    size = np.hypot(*both.T)
-    bisector = np.where(size[:, None] > 1e-9, both / np.maximum(size, 1e-9)[:, None], normal)
-    reach = np.minimum(1 / np.maximum((bisector * normal).sum(axis=1), 1e-9), MITER)
-    moved = ring + bisector * (by * reach)[:, None]
-    keep = (distances(ring, moved) >= NEAR_SHARE * abs(by)) & (inside(ring, moved) == (by < 0)) if by else np.ones(len(moved), bool)
-    moved = moved[keep]
-    if len(moved) < 3:
-        return None, "too few points"
-    if abs(area(moved)) < LEAST_AREA * abs(area(ring)):
-        return None, "too small"
-    return moved, None
-
-
-def clip(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
-    """The part of the ring within a box: cut by one side after the other."""
-    for axis, bound, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-        out = []
-        for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
-            if a >= 0:
-                out.append(p)
-            if a * b < 0:
-                out.append(p + (q - p) * (a / (a - b)))
-        ring = np.array(out).reshape(-1, 2)
-        if not len(ring):
-            break
-    return ring
 
+    def of(own: Column) -> Column:
+        box, area = geometry.box(own), geometry.signed_area(own)
+        turned = F.when(area < 0, F.reverse(own)).otherwise(own)
 
-def inscribed_box(ring: np.ndarray, n: int = GRID) -> tuple[float, float, float, float] | None:
-    """x, y, w, h of about the largest box within the ring, on a grid of n cells a side."""
-    low, span = ring.min(axis=0), np.ptp(ring, axis=0)
-    if len(ring) < 3 or not span.all():
-        return None
-    cell = span / n
-    xs, ys = (low[k] + (np.arange(n) + 0.5) * cell[k] for k in (0, 1))
-    grid = inside(ring, np.stack(np.meshgrid(xs, ys), -1).reshape(-1, 2)).reshape(n, n)
-    found = largest_rectangle(grid)
-    return found and (float(low[0] + found[0] * cell[0]), float(low[1] + found[1] * cell[1]), float(found[2] * cell[0]), float(found[3] * cell[1]))
+        def kept(base: Column) -> Column:
+            good = lambda p: (geometry.distance_to_ring(base, p["x"], p["y"]) >= NEAR_SHARE * abs(by)) & (geometry.inside(base, p["x"], p["y"]) == F.lit(by < 0))
+            return F.filter(_moved(base, by), good)
 
+        def judged(new: Column) -> Column:
+            problem = F.when(F.size(new) < 3, "too few points").when(F.abs(geometry.signed_area(new)) < LEAST_AREA * F.abs(area), "too small")
+            return F.struct(F.when(problem.isNull(), F.when(area < 0, F.reverse(new)).otherwise(new)).alias("ring"), problem.alias("problem"))
 
-def resampled(ring: np.ndarray, n: int) -> np.ndarray:
-    """n points evenly spaced along the closed ring, from its first."""
-    closed = np.concatenate([ring, ring[:1]])
-    along = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(closed, axis=0).T))])
-    at = np.linspace(0, along[-1], n, endpoint=False)
-    return np.stack([np.interp(at, along, closed[:, k]) for k in (0, 1)], 1)
+        none = F.lit(None).cast("array<struct<x:double,y:double>>")
+        refused = F.when(F.size(own) < 3, "too few points").when(F.lit(by < 0) & (F.least(box["x1"] - box["x0"], box["y1"] - box["y0"]) <= 2 * abs(by)), "nothing left").when(F.abs(area) < 1e-6, "no area")
+        return F.when(refused.isNotNull(), F.struct(none.alias("ring"), refused.alias("problem"))).otherwise(let(let(turned, kept), judged))
 
+    if abs(by) < 1e-9:
+        return F.struct(ring.alias("ring"), F.lit(None).cast("string").alias("problem"))
+    return let(opened(ring), of)
 
-def fused(boxes: list[tuple[float, float, float, float]], fill: float = FILL) -> list[tuple[float, float, float, float]]:
-    """Boxes (x0, y0, x1, y1), the touching ones fused while they fill enough of their union; in order, until none fuse."""
-    boxes = list(boxes)
-    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
-    again = True
-    while again:
-        again = False
-        for i in range(len(boxes)):
-            for j in range(i + 1, len(boxes)):
-                a, b = boxes[i], boxes[j]
-                union = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                touch = a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
-                if touch and size(a) + size(b) >= fill * size(union):
-                    boxes[i] = union
-                    del boxes[j]
-                    again = True
-                    break
-            if again:
-                break
-    return boxes
 
+def _cut(axis: str, bound: float, sign: int):
+    """The part of a ring on one side of a line."""
 
-MEASURES = "id long, offset_area double, problem string, clipped_area double, box array<double>, spacing double"
+    def of(own: Column) -> Column:
+        n = F.size(own)
 
+        def edge(p: Column, i: Column) -> Column:
+            q = F.get(own, (i + 1) % n)
+            a, b = (p[axis] - bound) * sign, (q[axis] - bound) * sign
+            t = a / F.nullif(a - b, F.lit(0.0))
+            mixed = lambda k: (p[k] + (q[k] - p[k]) * t).alias(k)
+            return F.array(F.when(a >= 0, point(p["x"], p["y"])), F.when(a * b < 0, F.struct(mixed("x"), mixed("y"))))
 
-def measured(df: DataFrame, by: float, box: tuple[float, float, float, float], points: int = 32) -> DataFrame:
-    """MEASURES of rings (id, ring): the area of the offset or why there is none, of the clip, the inscribed box, the step of a resampling."""
+        return F.filter(F.flatten(F.transform(own, edge)), lambda p: p.isNotNull())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame([_measure(r.id, r.ring, by, box, points) for r in pdf.itertuples()], columns=[x.split()[0] for x in MEASURES.split(", ")])
+    return of
 
-    return df.select("id", "ring").mapInPandas(run, MEASURES)
 
+def clip(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The part of the ring within a box: cut by one side after the other."""
+    for axis, bound, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
+        ring = let(ring, _cut(axis, bound, sign))
+    return ring
 
-def _measure(id_: int, ring, by: float, box: tuple, points: int) -> tuple:
-    corners = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2))
-    if len(corners) < 3 or not np.isfinite(corners).all():
-        return (id_, None, "too few points", None, None, None)
-    moved, problem = offset(corners, by)
-    inner, even = inscribed_box(corners), resampled(corners, points)
-    return (id_, None if moved is None else abs(area(moved)), problem, abs(area(clip(corners, box))) if len(clip(corners, box)) else 0.0, list(inner) if inner else None, float(np.hypot(*(even[1] - even[0]))))
 
+def resampled(ring: Column, n: int) -> Column:
+    """n points evenly spaced along the closed ring, from its first."""
 
+    def of(own: Column) -> Column:
+        size = F.size(own)
+        after = lambda i: F.get(own, (i + 1) % size)
+        steps = F.transform(own, lambda p, i: F.hypot(after(i)["x"] - p["x"], after(i)["y"] - p["y"]))
+
+        def along(ends: Column) -> Column:
+            def place(k: Column) -> Column:
+                def on(t: Column) -> Column:
+                    i = F.least(F.size(F.filter(ends, lambda e: e <= t)), size - 1)
+                    a, b = F.get(own, i), after(i)
+                    before = F.coalesce(F.get(ends, i - 1), F.lit(0.0))
+                    long = F.get(ends, i) - before
+                    s = F.when(long > 0, (t - before) / long).otherwise(0.0)
+                    return point(a["x"] + (b["x"] - a["x"]) * s, a["y"] + (b["y"] - a["y"]) * s)
+
+                return let(F.element_at(ends, -1) * k / n, on)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place)
+
+        running = F.aggregate(steps, F.array().cast("array<double>"), lambda out, d: F.array_append(out, F.coalesce(F.get(out, F.size(out) - 1), F.lit(0.0)) + d))
+        return F.when(size > 0, let(running, along))
+
+    return let(ring, of)
+
+
+def inscribed_boxes(rings: DataFrame, n: int = GRID) -> DataFrame:
+    """id, x, y, w, h of about the largest box within each ring: its box's cells, n a side, are rows; those whose middle lies inside are free."""
+    box = geometry.box(F.col("ring"))
+    sized = rings.filter(F.size("ring") > 2).select("id", "ring", box.alias("b")).filter("b.x1 > b.x0 and b.y1 > b.y0")
+    cell = lambda k: (F.col(f"b.{k}1") - F.col(f"b.{k}0")) / n
+    grid = sized.select("id", "ring", F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), cell("x").alias("dx"), cell("y").alias("dy"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"))
+    free = geometry.inside(F.col("ring"), F.col("x0") + (F.col("x") + 0.5) * F.col("dx"), F.col("y0") + (F.col("y") + 0.5) * F.col("dy"))
+    found = free_rectangles(grid.select("id", "x", "y", free.alias("free")))
+    frame = sized.select("id", F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), cell("x").alias("dx"), cell("y").alias("dy"))
+    return found.join(frame, "id").select("id", (F.col("x0") + F.col("x") * F.col("dx")).alias("x"), (F.col("y0") + F.col("y") * F.col("dy")).alias("y"), (F.col("w") * F.col("dx")).alias("w"), (F.col("h") * F.col("dy")).alias("h"))

@@ -1,17 +1,23 @@
 """The rules that judge a returned file: facts, expected geometry and material in, ranked findings out.
 
-Every rule is one expression that is a finding or null, so all of them run in one projection over one scan:
-an array of twenty structs, exploded with its ordinals. Severities and wordings are joined from small tables.
+Every rule is a list of cases, the first that holds is its finding. All rules run in one projection over one
+scan and give a number each, of severity, rule and outcome; a case's numbers are sorted within its row and
+exploded. Codes and sentences are looked up by the number, and values, regions and texts are worked out
+behind that, for the outcome that was found, and only if somebody selects them. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.geometry import let
 from ..functions.numbers import TOLERANCE_MM, length, percent, same_size, tenth, whole
 
 #: Fixed values of the rules, in millimetres but for factors, shares and counts.
@@ -26,33 +32,48 @@ PROCESS = ["cyan", "magenta", "yellow", "black", "all", "none", "process cyan",
 SIDES = {"left": "z lewej", "top": "u góry", "right": "z prawej", "bottom": "u dołu"}
 LEVELS = ["red", "amber", "info", "green"]
 
-FINDING = "struct<id:string,level:string,code:string,values:map<string,string>,regions:array<array<double>>>"
+REGIONS = "array<array<double>>"
 
-f, e, m = (lambda n: F.col(f"facts.{n}")), (lambda n: F.col(f"expected.{n}")), (lambda n: F.col(f"material.{n}"))
 
 
-def finding(rule: str, level: Column | str, outcome: str, regions: Column | None = None, **values: Column) -> Column:
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
-    return F.struct(
-        F.lit(rule).alias("id"),
-        (F.lit(level) if isinstance(level, str) else level).alias("level"),
-        F.lit(f"check.{rule}.{outcome}").alias("code"),
-        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("values"),
-        (F.when(F.size(regions) > 0, regions) if regions is not None else F.lit(None)).cast("array<array<double>>").alias("regions"),
-    ).cast(FINDING)
+@functools.lru_cache(maxsize=512)
+def _made(name: str, k: int | None, gateway: int) -> Column:
+    return F.col(name) if k is None else F.get(F.col(name), F.lit(k))
 
 
-def first_of(*cases: tuple[Column, Column | None], otherwise: Column | None = None) -> Column:
+def _field(name: str, k: int | None = None) -> Column:
+    """A column, or its k-th entry: rules name the same ones hundreds of times, and each making is a call to the JVM."""
+    return _made(name, k, id(SparkContext._gateway))
+
+
+f, e, m = (lambda n: _field(f"facts.{n}")), (lambda n: _field(f"expected.{n}")), (lambda n: _field(f"material.{n}"))
+
+
+class Finding(NamedTuple):
+    """An outcome of a rule: what it is, and what it tells if it is found."""
+
+    id: str
+    level: str
+    code: str
+    values: dict[str, Column]
+    regions: Column | None = None
+
+
+#: A rule's cases in their order: when (None: always) and what is found (None: nothing).
+Cases = list[tuple[Column | None, Finding | None]]
+
+
+def finding(rule: str, level: str, outcome: str, regions: Column | None = None, **values: Column) -> Finding:
+    return Finding(rule, level, f"check.{rule}.{outcome}", values, regions)
+
+
+def first_of(*cases: tuple[Column, Finding | None], otherwise: Finding | None = None) -> Cases:
     """The finding of the first case that holds (null doesn't); None for no finding."""
-    out = F.lit(None).cast(FINDING) if otherwise is None else otherwise
-    for holds, found in reversed(cases):
-        out = F.when(F.coalesce(holds, F.lit(False)), F.lit(None).cast(FINDING) if found is None else found).otherwise(out)
-    return out
+    return [*cases, (None, otherwise)]
 
 
 def any_marker(name: Column, markers: list[str]) -> Column:
-    low = F.lower(name)
-    return F.exists(F.array(*map(F.lit, markers)), lambda x: F.contains(low, x))
+    return F.lower(name).rlike("|".join(f"\\Q{x}\\E" for x in markers))
 
 
 def listed(items: Column) -> Column:
@@ -71,32 +92,28 @@ def in_any(pairs: list[tuple[Column, Column]], test: Callable[[Column, Column],
     return out
 
 
-def _side(column: Column, k: int) -> Column:
-    return F.get(column, F.lit(k))
-
-
 def page_w() -> Column:
-    return _side(f("page_mm"), 0)
+    return _field("facts.page_mm", 0)
 
 
 def page_h() -> Column:
-    return _side(f("page_mm"), 1)
+    return _field("facts.page_mm", 1)
 
 
 def netto_w() -> Column:
-    return _side(e("netto_mm"), 0)
+    return _field("expected.netto_mm", 0)
 
 
 def netto_h() -> Column:
-    return _side(e("netto_mm"), 1)
+    return _field("expected.netto_mm", 1)
 
 
 def brutto_w() -> Column:
-    return _side(e("brutto_mm"), 0)
+    return _field("expected.brutto_mm", 0)
 
 
 def brutto_h() -> Column:
-    return _side(e("brutto_mm"), 1)
+    return _field("expected.brutto_mm", 1)
 
 
 def cut_work() -> Column:
@@ -110,8 +127,11 @@ def page_scale() -> Column:
 
 def drawn_scale() -> Column:
     """N where the page is the expected artwork at 1:N and the expectation is 1:1, else 1."""
-    fits = lambda n: same_size(page_w(), page_h(), brutto_w() / n, brutto_h() / n) | same_size(page_h(), page_w(), brutto_w() / n, brutto_h() / n)
-    return F.when(e("scale") == 1, F.coalesce(F.get(F.filter(F.array(*map(F.lit, SCALES)), fits), F.lit(0)), F.lit(1))).otherwise(F.lit(1))
+    out = F.lit(1)
+    for n in reversed(SCALES):
+        fits = same_size(page_w(), page_h(), brutto_w() / n, brutto_h() / n) | same_size(page_h(), page_w(), brutto_w() / n, brutto_h() / n)
+        out = F.when(fits, n).otherwise(out)
+    return F.when(e("scale") == 1, out).otherwise(F.lit(1))
 
 
 def _over(w: Column, h: Column, low_w: Column, low_h: Column, allowance: Column) -> Column:
@@ -126,7 +146,7 @@ def _two_up(w: Column, h: Column, want_w: Column, want_h: Column, allowance: Col
     return in_any([(w / 2, h), (w, h / 2)], lambda a, b: within(a, b) & (near(a, b) | near(b, a)))
 
 
-def page_size() -> Column:
+def page_size() -> Cases:
     width, art = brutto_w() / e("scale"), brutto_h() / e("scale")
     full = art + F.coalesce(e("strip_mm"), F.lit(0.0))
     ready_w, ready_h, bleed = netto_w() / e("scale"), netto_h() / e("scale"), e("bleed_mm") / e("scale")
@@ -145,7 +165,7 @@ def page_size() -> Column:
     no_bleed = finding("page_size", "amber", "no_bleed", bleed=whole(e("bleed_mm")), **told)
     oversize = ((page_w() >= width) & (page_h() >= art)) | ((page_w() >= art) & (page_h() >= width))
     within = _over(page_w(), page_h(), width, art, allowance) | _over(page_h(), page_w(), width, art, allowance)
-    failed = F.struct(F.lit("check_page_size").alias("id"), F.lit("info").alias("level"), F.lit("check.rule.failed").alias("code"), F.create_map(F.lit("error"), F.lit("no page size")).alias("values"), F.lit(None).cast("array<array<double>>").alias("regions")).cast(FINDING)
+    failed = Finding("check_page_size", "info", "check.rule.failed", {"error": F.lit("no page size")})
     return first_of(
         (page_w().isNull() | page_h().isNull() | width.isNull() | art.isNull(), failed),
         (same_size(page_w(), page_h(), width, full) | same_size(page_w(), page_h(), width, art), finding("page_size", "green", "ok", **page)),
@@ -161,7 +181,7 @@ def page_size() -> Column:
     )
 
 
-def declared_trim() -> Column:
+def declared_trim() -> Cases:
     side = lambda box, k: F.get(F.try_element_at(f("declared_boxes_mm"), F.lit(box)), F.lit(k))
     w, h = side("trimbox", 0), side("trimbox", 1)
     default = (F.abs(w - side("mediabox", 0)) <= TRIM_IS_MEDIA_MM) & (F.abs(h - side("mediabox", 1)) <= TRIM_IS_MEDIA_MM)
@@ -175,23 +195,24 @@ def declared_trim() -> Column:
     )
 
 
-def template_guides() -> Column:
+def template_guides() -> Cases:
     return first_of((f("guides_present").isNull(), None), (f("guides_present"), finding("template_guides", "red", "present")), otherwise=finding("template_guides", "green", "ok"))
 
 
-def bleed_coverage() -> Column:
+def bleed_coverage() -> Cases:
     share, missing = f("bleed_shortfall.share"), f("bleed_shortfall.missing_mm")
     worst = F.when(f("bleed_shortfall").isNotNull(), F.when(share <= BARE_SHARE, 0.0).otherwise(missing)).otherwise(F.array_max(f("blank_edges_mm")))
-    level = F.when(worst > e("bleed_mm") / 2, "red").otherwise("amber")
+    told = {"missing": tenth(worst), "bleed": whole(e("bleed_mm"))}
     return first_of(
         (cut_work() & f("die").isNotNull(), None),
         (worst.isNull(), finding("bleed_coverage", "info", "unmeasured")),
         (worst <= TOLERANCE_MM, finding("bleed_coverage", "green", "ok")),
-        otherwise=finding("bleed_coverage", level, "short", missing=tenth(worst), bleed=whole(e("bleed_mm"))),
+        (worst > e("bleed_mm") / 2, finding("bleed_coverage", "red", "short", **told)),
+        otherwise=finding("bleed_coverage", "amber", "short", **told),
     )
 
 
-def safe_area() -> Column:
+def safe_area() -> Cases:
     depth = f("safe_intrusion_mm")
     return first_of(
         (cut_work() & f("die").isNotNull(), None),
@@ -201,7 +222,7 @@ def safe_area() -> Column:
     )
 
 
-def resolution() -> Column:
+def resolution() -> Cases:
     floor = set_number(m("min_dpi"))
     low = F.transform(F.filter(F.coalesce(f("image_placements"), F.array().cast("array<struct<rect_mm:array<double>,dpi:double,area_fraction:double>>")), lambda p: (p["dpi"] < floor) & (F.size(p["rect_mm"]) > 0)), lambda p: p["rect_mm"])
     return first_of(
@@ -218,12 +239,12 @@ def office_producer(producer: Column, creator: Column) -> Column:
     return F.get(F.filter(F.array(*map(F.lit, OFFICE)), lambda x: F.contains(made, x)), F.lit(0))
 
 
-def office_origin() -> Column:
+def office_origin() -> Cases:
     name = office_producer(f("producer"), f("creator"))
     return first_of((name.isNotNull(), finding("office_origin", "red", "office", application=F.initcap(name))))
 
 
-def colour_mode() -> Column:
+def colour_mode() -> Cases:
     spaces = f("colour_spaces")
     rgb = F.filter(spaces, lambda s: F.contains(s, F.lit("RGB")))
     return first_of(
@@ -239,18 +260,18 @@ def ink_spots(spots: Column) -> Column:
     return F.filter(spots, lambda s: ~any_marker(s, TECHNICAL) & ~F.lower(F.trim(s)).isin(PROCESS))
 
 
-def spot_inks() -> Column:
+def spot_inks() -> Cases:
     inks = ink_spots(f("spot_names"))
     return first_of((F.size(inks) > 0, finding("spot_inks", "amber", "found", inks=listed(inks))))
 
 
-def cut_path() -> Column:
+def cut_path() -> Cases:
     spots, chosen = f("spot_names"), F.nullif(f("cut_spot"), F.lit(""))
     found = F.when(chosen.isNull(), F.filter(spots, lambda s: any_marker(s, CUT))).otherwise(F.filter(spots, lambda s: s == chosen))
     return first_of((~cut_work() | spots.isNull(), None), (F.size(found) > 0, finding("cut_path", "green", "ok", cut=listed(found))), otherwise=finding("cut_path", "amber", "missing"))
 
 
-def cut_geometry() -> Column:
+def cut_geometry() -> Cases:
     die = lambda n: f(f"die.{n}")
     told = {"cut": die("colorant"), "cut_w": whole(F.get(die("size_mm"), F.lit(0)) * page_scale()), "cut_h": whole(F.get(die("size_mm"), F.lit(1)) * page_scale()), "length": length(die("length_mm") * page_scale()), "contours": die("contours")}
     return first_of(
@@ -261,7 +282,7 @@ def cut_geometry() -> Column:
     )
 
 
-def cut_margins() -> Column:
+def cut_margins() -> Cases:
     at = lambda n, k: F.get(f(f"die.{n}"), F.lit(k))
     sheet_w, sheet_h = F.coalesce(at("page_mm", 0), page_w()), F.coalesce(at("page_mm", 1), page_h())
     bleed = F.coalesce(set_number(m("bleed_mm")), set_number(e("bleed_mm")), F.lit(FALLBACK_BLEED_MM))
@@ -280,25 +301,25 @@ def cut_margins() -> Column:
     )
 
 
-def raster_flat() -> Column:
+def raster_flat() -> Cases:
     return first_of((f("raster_alpha").isNull(), None), (f("raster_alpha"), finding("raster_flat", "amber", "layers", mode=f("raster_mode"))), otherwise=finding("raster_flat", "green", "ok"))
 
 
-def fonts() -> Column:
+def fonts() -> Cases:
     plain = F.transform(F.slice(f("fonts"), 1, NAMES_LISTED), lambda n: F.element_at(F.split(n, r"\+"), -1))
     shown = (F.size(f("fonts")) > 0) & F.coalesce(f("shows_text"), F.lit(False))
     return first_of((f("fonts").isNull(), None), (shown, finding("fonts", "amber", "present", fonts=F.array_join(plain, ", "))), otherwise=finding("fonts", "green", "ok"))
 
 
-def overprint() -> Column:
+def overprint() -> Cases:
     return first_of((f("overprint"), finding("overprint", "amber", "on")))
 
 
-def page_count() -> Column:
+def page_count() -> Cases:
     return first_of((F.coalesce(f("pages"), F.lit(0)) <= 1, None), (cut_work(), finding("page_count", "info", "cut_work", pages=f("pages"))), otherwise=finding("page_count", "amber", "many", pages=f("pages")))
 
 
-def text_height() -> Column:
+def text_height() -> Cases:
     smallest, floor = f("text_min_height_mm"), F.coalesce(set_number(m("min_text_mm")), F.lit(MIN_TEXT_MM))
     return first_of((smallest.isNull(), None), (smallest >= floor, finding("text_height", "green", "ok", smallest=tenth(smallest))), otherwise=finding("text_height", "amber", "small", smallest=tenth(smallest), floor=whole(floor)))
 
@@ -308,19 +329,19 @@ def panel_count(w: Column, h: Column, bleed: Column, roll: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(1), F.ceil((F.least(w, h) + F.coalesce(bleed, F.lit(0.0)) * 2) / set_number(roll)).cast("int")), F.lit(1))
 
 
-def split() -> Column:
+def split() -> Cases:
     panels = panel_count(netto_w(), netto_h(), m("bleed_mm"), m("max_width_mm"))
     return first_of((panels > 1, finding("split", "amber", "required", netto_w=whole(netto_w()), netto_h=whole(netto_h()), panels=panels, roll=whole(m("max_width_mm")))))
 
 
-def named_size() -> Column:
+def named_size() -> Cases:
     size = f("named_size")
     read = names.reconciled(size["w"], size["h"], size["stated"], netto_w(), netto_h())
     told = {"named_w": whole(read["w"]), "named_h": whole(read["h"]), "netto_w": whole(netto_w()), "netto_h": whole(netto_h())}
     return first_of((size.isNull(), None), (names.named_same(read["w"], read["h"], netto_w(), netto_h()), finding("named_size", "green", "ok", **told)), otherwise=finding("named_size", "info", "differs", **told))
 
 
-def filename() -> Column:
+def filename() -> Cases:
     return first_of((f("has_diacritics"), finding("filename", "amber", "diacritics")), (f("extra_dots"), finding("filename", "amber", "dots")))
 
 
@@ -329,43 +350,112 @@ RULES = (page_size, declared_trim, template_guides, bleed_coverage, safe_area, r
 
 
 def render(template: Column, values: Column) -> Column:
-    """The template with each {name} replaced by its value; names without a value stay."""
-    return F.aggregate(F.map_entries(values), template, lambda text, v: F.replace(text, F.concat(F.lit("{"), v["key"], F.lit("}")), v["value"]))
+    """The template with each {name} replaced by its value, once; names without a value stay."""
+    parts = F.split(template, r"(?=\{\w+\})|(?<=\})")
+    name = lambda p: F.substring(p, 2, 1_000_000)
+    value = lambda p: F.try_element_at(values, F.left(name(p), F.length(p) - 2))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\{\w+\}$"), F.coalesce(value(p), p)).otherwise(p)), "")
+
+
+#: A finding's number holds its severity, its rule's place and its outcome's: they sort in that order.
+_BY_LEVEL, _BY_RULE = 1_000_000, 1_000
+
+
+class Bench(NamedTuple):
+    """The rules under a shop's severities and wording: what is decided before any row is read."""
+
+    outcomes: list[Finding]
+    cases: list[Cases]
+    levels: dict[str, str]
+    templates: dict[str, str]
+
+    def level(self, x: Finding) -> str | None:
+        """The severity an outcome has here; None if it is silenced."""
+        own = self.levels.get(x.id)
+        return None if own == "off" else x.level if own is None or x.level == "green" else own
+
+    def number(self, place: int) -> Column:
+        """A rule's finding as a number, or null."""
+        out, at = F.lit(None).cast("int"), [self.outcomes.index(x) if x else None for _, x in self.cases[place]]
+        for (holds, x), i in reversed(list(zip(self.cases[place], at, strict=True))):
+            level = self.level(x) if x else None
+            told = F.lit(None).cast("int") if level is None else F.lit(LEVELS.index(level) * _BY_LEVEL + place * _BY_RULE + i)
+            out = told if holds is None else F.when(holds, told).otherwise(out)  # null holds no more than false
+        return out
+
+    def at(self, number: Column, of: Callable[[Finding], str | None]) -> Column:
+        """Something told of the outcome with a number."""
+        quoted = ["NULL" if t is None else "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in map(of, self.outcomes)]
+        return F.get(F.expr(f"array({', '.join(quoted)})"), (number % _BY_RULE).cast("int"))  # one call for all of them
+
+    def chosen(self, number: Column, of: Callable[[Finding], Column | None], kind: str) -> Column:
+        """What an outcome works out, of the one with a number alone."""
+        out = F.lit(None).cast(kind)
+        for i, x in enumerate(self.outcomes):
+            told = of(x)
+            if told is not None:
+                out = F.when(number % _BY_RULE == i, told.cast(kind)).otherwise(out)
+        return out
+
+    def values(self, number: Column) -> Column:
+        pairs = lambda x: [c for k, v in x.values.items() for c in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
+        return F.coalesce(self.chosen(number, lambda x: F.create_map(*pairs(x)) if x.values else None, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+    def title(self, number: Column, values: Column) -> Column:
+        return render(self.at(number, lambda x: self.templates.get(x.code, x.code)), values)
+
+    def detail(self, number: Column, values: Column) -> Column:
+        return F.coalesce(render(self.at(number, lambda x: self.templates.get(f"{x.code}.detail")), values), F.lit(""))
+
+
+def _bench(levels: DataFrame | None, wording: DataFrame | None) -> Bench:
+    """Both tables hold a row per rule or code; of them the driver reads what names a rule or code that there is."""
+    from .wording import DEFAULTS
+
+    cases = [r() for r in RULES]
+    outcomes = [x for own in cases for _, x in own if x]
+    ids, codes = sorted({x.id for x in outcomes}), [c for x in outcomes for c in (x.code, f"{x.code}.detail")]
+    graded = {r["rule_id"]: r["level"] for r in levels.filter(F.col("rule_id").isin(ids) & F.col("level").isin("off", "info", "amber", "red")).select("rule_id", "level").collect()} if levels is not None else {}
+    own = {r["code"]: r["template"] for r in wording.filter(F.col("code").isin(codes) & (F.coalesce("template", F.lit("")) != "")).select("code", "template").collect()} if wording is not None else {}
+    return Bench(outcomes, cases, graded, DEFAULTS | own)
+
+
+def _numbered(cases: DataFrame, bench: Bench, keys: tuple[str, ...], bare: Column | None, back: Column | None) -> DataFrame:
+    """keys, facts, expected, material, drawn and numbers: each case's findings, worst first."""
+    # what made the structs runs once a row, not wherever a rule reads a field: nothing is merged across an explode
+    flags = [(F.lit(False) if c is None else F.coalesce(c, F.lit(False))).alias(n) for c, n in ((bare, "bare"), (back, "back"))]
+    once = cases.select(*keys, F.explode(F.array(F.struct("facts", "expected", "material", *flags))).alias("case")).select(*keys, "case.*")
+    once = once.withColumn("drawn", drawn_scale())
+    places = [i for i, r in enumerate(RULES)]
+    told = [bench.number(i) if RULES[i] is not cut_path or back is None else F.when(~F.col("back"), bench.number(i)) for i in places]
+    numbers = F.array_sort(F.array_compact(F.array(*told)))
+    return once.withColumn("numbers", numbers if bare is None else F.when(~F.col("bare"), numbers).otherwise(F.array().cast("array<int>")))
 
 
-def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",), bare: Column | None = None, back: Column | None = None) -> DataFrame:
     """Findings of every case, worst first (place), a row each: keys, place, id, level, code, values, regions, title, detail.
 
     cases: keys and the structs facts, expected, material (null fields: not known). levels (rule_id, level):
     off removes a rule's finding, another level replaces any but green. wording (code, template) over
-    the defaults. Both tables hold a row per rule or code: they are read on the driver or broadcast. All of
-    it happens within a case's row; nothing is shuffled.
+    the defaults. Where ``bare`` holds the file is the template itself and has no finding; where ``back`` holds
+    it is the back of a pair, which is asked for no cut path of its own.
     """
-    from .wording import defaults
-
-    # what made the structs runs once a row, not wherever a rule reads a field: nothing is merged across an explode
-    once = cases.select(*keys, F.explode(F.array(F.struct("facts", "expected", "material", drawn_scale().alias("drawn")))).alias("case")).select(*keys, "case.*")
-    found = once.select(*keys, F.explode(F.array(F.array(*[r() for r in RULES]))).alias("found"))
-    graded = {r["rule_id"]: r["level"] for r in levels.select("rule_id", "level").collect()} if levels is not None else {}  # a row per rule
-    graded = {k: v for k, v in graded.items() if v in ("off", "info", "amber", "red")}
-    table = F.create_map(*[F.lit(x) for pair in graded.items() for x in pair]) if graded else F.create_map().cast("map<string,string>")
-    own = lambda x: F.when((x["level"] == "green") & ~F.coalesce(F.try_element_at(table, x["id"]) == "off", F.lit(False)), x["level"]).otherwise(F.coalesce(F.try_element_at(table, x["id"]), x["level"]))
-    rank = lambda x: F.array_position(F.array(*map(F.lit, LEVELS)), own(x))
-    # a case's findings are put in order within its row: a number each, of severity and rule
-    order = F.array_sort(F.filter(F.transform("found", lambda x, i: F.when(x.isNotNull() & (own(x) != "off"), rank(x) * 100 + i)), lambda k: k.isNotNull()))
-    sorted_ = F.transform(order, lambda k: F.get("found", (k % 100).cast("int")))
-    found = found.select(*keys, F.posexplode(sorted_).alias("pos", "x")).select(*keys, (F.col("pos") + 1).alias("place"), "x.id", own(F.col("x")).alias("level"), *[f"x.{c}" for c in ("code", "values", "regions")])
-    texts = defaults(cases.sparkSession, wording)
-    titles = texts.select("code", F.col("template").alias("title_of"))
-    details = texts.filter(F.col("code").endswith(".detail")).select(F.regexp_replace("code", r"\.detail$", "").alias("code"), F.col("template").alias("detail_of"))
-    found = found.join(F.broadcast(titles), "code", "left").join(F.broadcast(details), "code", "left")
-    found = found.withColumn("title", render(F.coalesce("title_of", "code"), F.col("values"))).withColumn("detail", F.coalesce(render(F.col("detail_of"), F.col("values")), F.lit("")))
-    return found.select(*keys, "place", "id", "level", "code", "values", "regions", "title", "detail")
-
-
-def summarise(cases: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    """A line per case: the worst of red, amber and ok, how many findings have it, and their titles in order."""
-    per = findings.groupBy(*keys).agg(*[F.count_if(F.col("level") == x).alias(x) for x in ("red", "amber")], *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == x, F.struct("place", "title")))), lambda t: t["title"]), "; ").alias(f"{x}_titles") for x in ("red", "amber")])  # at most twenty a case
-    all_ = cases.select(*keys).join(per, list(keys), "left")
-    worst = F.when(F.col("red") > 0, "red").when(F.col("amber") > 0, "amber").otherwise("ok")
-    return all_.select(*keys, worst.alias("verdict"), F.when(worst == "ok", 0).otherwise(F.coalesce(F.when(F.col("red") > 0, F.col("red")), F.col("amber"))).cast("long").alias("count"), F.when(worst == "ok", "").otherwise(F.when(F.col("red") > 0, F.col("red_titles")).otherwise(F.col("amber_titles"))).alias("titles"))
+    bench = _bench(levels, wording)
+    each = _numbered(cases, bench, keys, bare, back).select(*keys, "facts", "expected", "material", "drawn", F.posexplode("numbers").alias("pos", "number"))
+    number = F.col("number")
+    level = F.get(F.array(*map(F.lit, LEVELS)), F.floor(number / _BY_LEVEL).cast("int"))
+    values = bench.values(number)
+    return each.select(*keys, (F.col("pos") + 1).alias("place"), bench.at(number, lambda x: x.id).alias("id"), level.alias("level"), bench.at(number, lambda x: x.code).alias("code"), values.alias("values"), bench.chosen(number, lambda x: None if x.regions is None else F.when(F.size(x.regions) > 0, x.regions), REGIONS).alias("regions"), let(values, lambda v: bench.title(number, v)).alias("title"), let(values, lambda v: bench.detail(number, v)).alias("detail"))
+
+
+def summarise(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",), bare: Column | None = None, back: Column | None = None) -> DataFrame:
+    """A line per case: the worst of red, amber and ok, how many findings have it, and their titles in order. See judge; it all happens within the row."""
+    bench = _bench(levels, wording)
+    each = _numbered(cases, bench, keys, bare, back)
+    first = F.get("numbers", F.lit(0))
+    level = F.floor(first / _BY_LEVEL).cast("int")
+    worst = F.when(level == 0, "red").when(level == 1, "amber").otherwise("ok")
+    same = F.when(worst != "ok", F.filter("numbers", lambda k: F.floor(k / _BY_LEVEL) == level)).otherwise(F.array().cast("array<int>"))
+    titles = F.transform(F.col("same"), lambda k: let(bench.values(k), lambda v: bench.title(k, v)))
+    each = each.withColumn("verdict", worst).withColumn("same", same)
+    return each.select(*keys, "verdict", F.size("same").cast("long").alias("count"), F.array_join(titles, "; ").alias("titles"))

@@ -2,26 +2,104 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Minutes of a quiet window and of a held upload; days and bytes that designs are kept.
-QUIET_MINUTES, HOLD_MINUTES, KEEP_DAYS, KEEP_BYTES = 30, 30, 30, 2 << 30
+#: Minutes of a quiet window and of a held upload, and bytes of all that are held; days and bytes that designs are kept.
+QUIET_MINUTES, HOLD_MINUTES, HOLD_BYTES, KEEP_DAYS, KEEP_BYTES = 30, 30, 3 << 29, 30, 2 << 30
 
 
-def throttled(df: DataFrame, key: str, at: str, minutes: int = QUIET_MINUTES) -> DataFrame:
-    """key and the times that are told: the first, then the first at least so long after the last told one.
+def _in_order(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows that a fold over each key's rows keeps.
 
-    After a pause that long the next one is told in any case, so the fold runs within the stretches between
-    such pauses, each of which is one array: no array holds all of a busy key.
+    Rows are dealt by key, sorted, and stream through the fold, so a task holds a batch and the fold's state
+    however many rows a key has; a fold is a sequence, so a key's rows are one task's work. start() makes a
+    key's fold, which tells of each of some rows whether it is kept.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, own, begun = start(), None, False
+        for batch in batches:
+            keys, rows = batch.column(columns.index(key)).to_pylist(), list(zip(*[batch.column(columns.index(c)).to_pylist() for c in order], strict=True))
+            keep, at = [], 0
+            while at < len(keys):
+                if not begun or keys[at] != own:
+                    fold, own, begun = start(), keys[at], True
+                to = at
+                while to < len(keys) and keys[to] == own:
+                    to += 1
+                keep += fold(rows[at:to])
+                at = to
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)
+
+
+def throttled(df: DataFrame, key: str, at: str, minutes: int = QUIET_MINUTES) -> DataFrame:
+    """key and the times that are told: the first, then the first at least so long after the last told one."""
     quiet = minutes * 60_000_000
-    by_key = Window.partitionBy(key).orderBy("micros")
-    stretches = df.select(key, micros.alias("micros")).filter(F.col("micros").isNotNull())
-    stretches = stretches.withColumn("stretch", F.sum(F.coalesce((F.col("micros") - F.lag("micros").over(by_key) >= quiet).cast("long"), F.lit(1))).over(by_key))
-    told = F.aggregate(F.array_sort(F.collect_set("micros")), F.array().cast("array<long>"), lambda out, t: F.when(F.coalesce(t - F.get(out, F.size(out) - 1) >= quiet, F.lit(True)), F.array_append(out, t)).otherwise(out))
-    return stretches.groupBy(key, "stretch").agg(told.alias("told")).select(key, F.explode("told").alias("micros")).select(key, F.timestamp_micros("micros").alias("told_at"))
+
+    def start() -> Callable[[list], list[bool]]:
+        last: int | None = None
+
+        def fold(rows: list) -> list[bool]:
+            nonlocal last
+            out = []
+            for (t,) in rows:
+                told = last is None or t - last >= quiet
+                last = t if told else last
+                out.append(told)
+            return out
+
+        return fold
+
+    rows = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("micros")).filter(F.col("micros").isNotNull())
+    return _in_order(rows, key, ["micros"], start).select(key, F.timestamp_micros("micros").alias("told_at"))
+
+
+def evicted(df: DataFrame, key: str, at: str, size: str, ident: str, minutes: int = HOLD_MINUTES, cap: int = HOLD_BYTES) -> DataFrame:
+    """key, ident of the uploads that are still held after the last one came, each key a store of its own.
+
+    An upload is held so long after it came. When one comes, those past their time go, then the ones that end
+    first until it fits under the cap; it is held even if it is larger than that. The state is what is held.
+    """
+    columns = [key, "micros", size, ident]
+    rows = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), size, ident).filter(F.col("micros").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, own, begun = deque(), 0, None, False
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(held), schema[0]), pa.array([h[2] for h in held], schema[1])], [key, ident])
+
+        schema = None
+        for batch in batches:
+            schema = schema or (batch.schema.field(0).type, batch.schema.field(3).type)
+            for k, t, n, i in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if begun and k != own:
+                    yield ended()
+                    held, total = deque(), 0
+                own, begun = k, True
+                while held and (held[0][0] + minutes * 60_000_000 < t or total + n > cap):
+                    total -= held.popleft()[1]
+                held.append((t, n, i))
+                total += n
+        if begun:
+            yield ended()
+
+    return rows.select(*columns).repartition(key).sortWithinPartitions(key, "micros", ident).mapInArrow(run, StructType([df.schema[key], df.schema[ident]]))
+
+
+def recalled(designs: DataFrame, asked: DataFrame, now: Column, days: int = KEEP_DAYS) -> DataFrame:
+    """asked (token) with filename, or null: designs (token, at, filename) that are kept and no older than the days; a token of other characters names none."""
+    good = designs.filter(F.col("token").rlike("^[A-Za-z0-9_-]{16,64}$") & (F.col("at") >= now - F.make_dt_interval(F.lit(days)))).select("token", "filename")
+    return asked.join(good, "token", "left")
 
 
 def sessions(df: DataFrame, key: str, at: str, minutes: int = HOLD_MINUTES) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The codes of rules and notices, each with a sentence of our own.
 DEFAULTS = {
     "check.page_size.ok": "Page size fits: {page_w}×{page_h} mm",
     "check.page_size.rotated": "The page is turned",
@@ -68,15 +69,37 @@ DEFAULTS = {
 }
 
 
+#: Notices that are advice.
+ADVICE = ["panelled", "scaled"]
+#: Up to so many of a shop's sentences are broadcast, after they were counted.
+BROADCAST_TEXTS = 100_000
+
+
 def defaults(spark: SparkSession, wording: DataFrame | None = None) -> DataFrame:
     """code, template: the shop's where it has one that isn't empty, else the default."""
     own = spark.createDataFrame(list(DEFAULTS.items()), "code string, template string")
     if wording is None:
         return own
     theirs = wording.select("code", F.col("template").alias("theirs")).filter(F.coalesce("theirs", F.lit("")) != "")
-    return own.join(F.broadcast(theirs), "code", "full").select("code", F.coalesce("theirs", "template").alias("template"))
+    return own.join(theirs, "code", "full").select("code", F.coalesce("theirs", "template").alias("template"))
 
 
-def label(template):
+def label(template: Column) -> Column:
     """A rule's label: its describing sentence with every placeholder elided."""
     return F.regexp_replace(template, r"\{[^}]*\}", "…")
+
+
+def level(code: Column) -> Column:
+    """Whether a notice is advice or a problem."""
+    return F.when(code.isin(ADVICE), "info").otherwise("error")
+
+
+def rendered(notices: DataFrame, wording: DataFrame | None = None) -> DataFrame:
+    """notices (code, values) and text, label, level, optional: a code without a sentence stands for itself, but is null in optional."""
+    from .rules import render
+
+    texts = defaults(notices.sparkSession, wording).select(F.col("code").alias("text_code"), "template")
+    texts = F.broadcast(texts) if wording is None or wording.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else texts
+    found = notices.join(texts, notices["code"] == texts["text_code"], "left")
+    text = F.coalesce("template", "code")
+    return found.select(*notices.columns, render(text, F.col("values")).alias("text"), label(text).alias("label"), level(F.col("code")).alias("level"), F.when(F.col("template").isNotNull(), render(text, F.col("values"))).alias("optional"))

@@ -1,5 +1,5 @@
 """Queries on the driver's tables, each with its SQL where SQL can express it."""
 
-from . import judging, measuring, tracking
+from . import drawing, judging, measuring, telling, templating, tracking
 
-QUERIES = {**judging.QUERIES, **tracking.QUERIES, **measuring.QUERIES}
+QUERIES = {**judging.QUERIES, **tracking.QUERIES, **measuring.QUERIES, **templating.QUERIES, **drawing.QUERIES, **telling.QUERIES}

@@ -30,8 +30,7 @@ def finding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each derived file's verdict, and how many findings make it."""
-    cases = derived.cases(spark, sf_dir)
-    return rules.summarise(cases, rules.judge(cases, _levels(spark))).select("file_id", "verdict", "count")
+    return rules.summarise(derived.cases(spark, sf_dir), _levels(spark)).select("file_id", "verdict", "count")
 
 
 def _same(a: str, b: str) -> str:

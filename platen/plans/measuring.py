@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import items, mesh, outlines, polygons, raster, scenes
+from ..operators import items, mesh, outlines, scenes
 from ..schemas import MATERIAL, as_struct
 from . import derived
+from .drawing import points_of
 from .tracking import read
 
 
@@ -138,37 +139,37 @@ SELECT p_partkey, 1 + greatest(1, ceil(p_size * 130.0 / 500.0))::BIGINT AS eyele
     coalesce(array_to_string(list_transform(range(1, greatest(ceil((p_size * 130.0 - 1) / 1600.0)::BIGINT, 1)), lambda i: printf('%.1f', i * 1600.0)), ' '), '') AS seams FROM part"""
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding's first 16 numbers as eight points."""
-    e = read(spark, sf_dir, "embeddings")
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.get(v, i * 2).alias("x"), F.get(v, i * 2 + 1).alias("y"))).alias("ring"))
-
-
 def ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, perimeter, box of rings, whether the origin lies inside, and how far it is."""
     ring = F.col("ring")
-    return _points(spark, sf_dir).select("vec_id", F.round(geometry.signed_area(ring), 6).alias("area"), F.round(geometry.perimeter(ring), 6).alias("perimeter"), (geometry.box(ring)["x1"] - geometry.box(ring)["x0"]).alias("width"), geometry.inside(ring, F.lit(0.0), F.lit(0.0)).alias("holds_origin"))
+    return points_of(spark, sf_dir).select("vec_id", F.round(geometry.signed_area(ring), 6).alias("area"), F.round(geometry.perimeter(ring), 6).alias("perimeter"), (geometry.box(ring)["x1"] - geometry.box(ring)["x0"]).alias("width"), geometry.inside(ring, F.lit(0.0), F.lit(0.0)).alias("holds_origin"), F.round(geometry.distance_to_ring(ring, F.lit(0.0), F.lit(0.0)), 6).alias("distance"), F.size(geometry.thinned(ring, 9)).cast("long").alias("thinned"), geometry.in_polygons(F.array(ring, F.slice(ring, 1, 16)), F.lit(0.0), F.lit(0.0)).alias("in_both"))
+
+
+def _ring_sql(n: int) -> str:
+    return f"""SELECT vec_id, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y, embedding[2 * ((i + 1) % {n}) + 1]::DOUBLE AS u, embedding[2 * ((i + 1) % {n}) + 2]::DOUBLE AS v FROM (SELECT vec_id, unnest(range({n})) AS i, embedding FROM embeddings) e"""
 
 
-RINGS = """
-WITH e AS (SELECT vec_id, unnest(range(8)) AS i, embedding FROM embeddings),
-p AS (SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y, embedding[2 * ((i + 1) % 8) + 1]::DOUBLE AS u, embedding[2 * ((i + 1) % 8) + 2]::DOUBLE AS v FROM e)
-SELECT vec_id, round(sum(x * v - u * y) / 2, 6) AS area, round(sum(sqrt((u - x) * (u - x) + (v - y) * (v - y))), 6) AS perimeter, max(x) - min(x) AS width,
-    count(*) FILTER (WHERE (y > 0) <> (v > 0) AND 0 < (u - x) * (0 - y) / (v - y) + x) % 2 = 1 AS holds_origin FROM p GROUP BY vec_id"""
+_CROSSES = "(y > 0) <> (v > 0) AND 0 < (u - x) * (0 - y) / (v - y) + x"
+RINGS = f"""
+WITH p AS ({_ring_sql(32)}),
+t AS (SELECT *, CASE WHEN (u - x) ** 2 + (v - y) ** 2 = 0 THEN 0 ELSE least(1, greatest(0, -(x * (u - x) + y * (v - y)) / ((u - x) ** 2 + (v - y) ** 2))) END AS s FROM p),
+h AS (SELECT vec_id, count(*) FILTER (WHERE {_CROSSES}) AS hits FROM ({_ring_sql(16)}) q GROUP BY vec_id)
+SELECT vec_id, round(sum(x * v - u * y) / 2, 6) AS area, round(sum(sqrt((u - x) * (u - x) + (v - y) * (v - y))), 6) AS perimeter, max(x) - min(x) AS width, count(*) FILTER (WHERE {_CROSSES}) % 2 = 1 AS holds_origin,
+    round(min(sqrt((x + s * (u - x)) ** 2 + (y + s * (v - y)) ** 2)), 6) AS distance, 9::BIGINT AS thinned, (count(*) FILTER (WHERE {_CROSSES}) % 2 + any_value(hits) % 2) % 2 = 1 AS in_both FROM t JOIN h USING (vec_id) GROUP BY vec_id"""
 
 
 def curve_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of the cubic curves through each embedding's first four points."""
+    """Boxes of the cubic curves through each embedding's points, four at a time."""
     at = lambda k: F.get("ring", F.lit(k))
-    curve = geometry.curve(at(0), at(1), at(2), at(3))
-    b = _points(spark, sf_dir).select("vec_id", geometry.box(F.concat(F.slice("ring", 1, 1), curve)).alias("b"))
+    curves = [x for j in range(0, 32, 4) for x in (F.slice("ring", j + 1, 1), geometry.curve(at(j), at(j + 1), at(j + 2), at(j + 3)))]
+    b = points_of(spark, sf_dir).select("vec_id", geometry.let(F.concat(*curves), geometry.box).alias("b"))
     return b.select("vec_id", *[F.round(f"b.{k}", 6).alias(k) for k in ("x0", "y0", "x1", "y1")])
 
 
 CURVES = """
 WITH e AS (SELECT vec_id, unnest(range(65)) / 64.0::DOUBLE AS t, list_transform(embedding, lambda v: v::DOUBLE) AS d FROM embeddings),
-p AS (SELECT vec_id, (1-t)*(1-t)*(1-t)*d[1] + 3*(1-t)*(1-t)*t*d[3] + 3*(1-t)*t*t*d[5] + t*t*t*d[7] AS x, (1-t)*(1-t)*(1-t)*d[2] + 3*(1-t)*(1-t)*t*d[4] + 3*(1-t)*t*t*d[6] + t*t*t*d[8] AS y FROM e)
+k AS (SELECT vec_id, t, d, unnest(range(8)) * 8 AS j FROM e),
+p AS (SELECT vec_id, (1-t)*(1-t)*(1-t)*d[j+1] + 3*(1-t)*(1-t)*t*d[j+3] + 3*(1-t)*t*t*d[j+5] + t*t*t*d[j+7] AS x, (1-t)*(1-t)*(1-t)*d[j+2] + 3*(1-t)*(1-t)*t*d[j+4] + 3*(1-t)*t*t*d[j+6] + t*t*t*d[j+8] AS y FROM k)
 SELECT vec_id, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM p GROUP BY vec_id"""
 
 
@@ -223,23 +224,6 @@ def mesh_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.islands(t.select("mesh", "t", (F.col("l_partkey") % 20).alias("v0"), (20 + F.col("l_suppkey") % 20).alias("v1"), (40 + F.col("l_linenumber") + F.col("l_orderkey") % 4 * 7).alias("v2")))
 
 
-def raster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as pictures of 16 by 4 pixels, measured. SQL can't follow them."""
-    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest((x * 600 + 250).cast("int"), F.lit(0)), F.lit(255))), 2, "0"))
-    pixels = F.unhex(F.array_join(F.flatten(F.transform(byte, lambda b: F.array(b, b, b))), ""))
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(16).alias("height"), F.lit(4).alias("width"), pixels.alias("pixels"))
-    out = raster.measured(e, per_mm=0.2)
-    return out.select("id", "ink_share", F.array_join(F.transform("blank_edges_mm", lambda x: x.cast("string")), " ").alias("blank_edges"), "detail_tiles", "intrusion_mm", F.array_join("free_rect", " ").alias("free_rect"))
-
-
-def ring_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings by angle around the origin: offsets, clips, inscribed boxes, resampling. SQL can't follow them."""
-    at = lambda p: F.atan2(p["y"], p["x"])
-    around = F.transform(F.array_sort(F.transform("ring", lambda p: F.struct(at(p).alias("a"), p["x"].alias("x"), p["y"].alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    out = polygons.measured(_points(spark, sf_dir).select(F.col("vec_id").alias("id"), around.alias("ring")), -0.01, (-0.1, -0.1, 0.1, 0.1))
-    return out.select("id", F.round("offset_area", 9).alias("offset_area"), "problem", F.round("clipped_area", 9).alias("clipped_area"), F.array_join(F.transform("box", lambda x: F.round(x, 6).cast("string")), " ").alias("box"), F.round("spacing", 9).alias("spacing"))
-
-
 def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What carries each line's print, and how many panels of it."""
     w, h = (F.col("l_partkey") % 150) * 100.0, F.col("l_quantity") * 100
@@ -251,8 +235,8 @@ WITH s AS (SELECT *, (l_partkey % 150) * 100.0::DOUBLE AS w, l_quantity * 100 AS
 SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN h <= 1000 THEN 'barrier' WHEN h <= 2000 THEN 'fence' WHEN w <= 12000 AND h <= 4000 THEN 'billboard' ELSE 'frame' END AS carrier, greatest(1, ceil(w / 2500.0))::INTEGER AS panels FROM s"""
 
 QUERIES = {
-    "ring_shapes": (ring_shapes, None), "carriers": (carriers, CARRIERS),
+    "carriers": (carriers, CARRIERS),
     "resolved_items": (resolved_items, RESOLVED), "typed_dimensions": (typed_dimensions, TYPED), "role_boxes": (role_boxes, ROLES), "template_ranks": (template_ranks, RANKS), "decisive_templates": (decisive_templates, DECISIVE),
     "near_prices": (near_prices, NEAR), "page_answers": (page_answers, ANSWERS), "making": (making, MAKING), "ring_measures": (ring_measures, RINGS), "curve_boxes": (curve_boxes, CURVES), "clipped_segments": (clipped_segments, CLIPPED),
-    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, None), "raster_measures": (raster_measures, None),
+    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, None),
 }

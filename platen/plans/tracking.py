@@ -18,8 +18,7 @@ def order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group of order rows: how many, and of each detail the first that is filled."""
     rows = derived.from_sql(spark, sf_dir, derived.SHEET_SQL)
     keyed = rows.withColumn("group_key", orders.group_key(*[F.col(c) for c in ("order_code", "client", "project", "pm", "pm_email", "delivery")]))
-    firsts = orders.first_filled(keyed, ["group_key"], "ord", ["product", "tracking"])
-    return keyed.groupBy("group_key").agg(F.count(F.lit(1)).alias("rows")).join(firsts, "group_key")
+    return orders.first_filled(keyed, ["group_key"], "ord", ["product", "tracking"], F.count(F.lit(1)).alias("rows"))
 
 
 ORDER_GROUPS = f"""
@@ -75,9 +74,12 @@ def working_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order: whether its day is worked, and the working days one and two before it."""
     day = F.col("o_orderdate").cast("date")
     text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    rows = read(spark, sf_dir, "orders")
-    per_day = rows.select(day.alias("day")).distinct().select("day", dates.is_working_day(F.col("day")).alias("worked"), text(dates.working_days_before(F.col("day"), 1)).alias("one_before"), text(dates.working_days_before(F.col("day"), 2)).alias("two_before"))
-    return rows.select("o_orderkey", day.alias("day")).join(per_day, "day").select("o_orderkey", "worked", "one_before", "two_before")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return rows.select("o_orderkey", F.lit(None).cast("boolean").alias("worked"), *[F.lit(None).cast("string").alias(c) for c in ("one_before", "two_before")])
+    steps = dates.working_day_steps(spark, first, last, (1, 2)).select("day", "worked", text("back_1").alias("one_before"), text("back_2").alias("two_before"))
+    return rows.join(F.broadcast(steps) if (last - first).days <= dates.BROADCAST_DAYS else steps, "day").select("o_orderkey", "worked", "one_before", "two_before")
 
 
 WORKING = f"""
@@ -183,7 +185,7 @@ def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(*map(F.lit, ("mm", "cm", "", "m", " CM "))), (F.col("p_partkey") % 5 + 1).cast("int"))
     name = F.concat(F.when(F.col("p_partkey") % 4 == 0, "żółw").otherwise("plan"), F.when(F.col("p_partkey") % 3 == 0, ".v1_").otherwise("_"), F.col("p_size"), F.lit(",5"), unit, F.when(F.col("p_partkey") % 2 == 0, " x ").otherwise("X"), (F.col("p_partkey") % 900).cast("string"), F.when(F.col("p_partkey") % 7 == 0, "makieta").otherwise(""), F.when(F.col("p_partkey") % 11 == 0, ".TIFF").otherwise(".pdf"))
     t = p.select("p_partkey", name.alias("name")).withColumn("size", names.named_size(F.col("name")))
-    return t.select("p_partkey", names.extension(F.col("name")).alias("extension"), names.extra_dots(F.col("name")).alias("extra_dots"), names.has_diacritics("name").alias("diacritics"), F.col("size.w").alias("w"), F.col("size.h").alias("h"), F.coalesce("size.stated", F.lit(False)).alias("stated"))
+    return t.select("p_partkey", names.extension(F.col("name")).alias("extension"), names.extra_dots(F.col("name")).alias("extra_dots"), names.has_diacritics(F.col("name")).alias("diacritics"), F.col("size.w").alias("w"), F.col("size.h").alias("h"), F.coalesce("size.stated", F.lit(False)).alias("stated"))
 
 
 NAMES = """

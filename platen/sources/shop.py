@@ -26,7 +26,11 @@ def document(spark: SparkSession, path: str) -> DataFrame:
 
 def materials(doc: DataFrame) -> DataFrame:
     """Materials with problem: the first check that a row fails, or null; ord is their order."""
-    rows = doc.select(F.posexplode("materials").alias("ord", "m")).select("ord", "m.*")
+    return checked(doc.select(F.posexplode("materials").alias("ord", "m")).select("ord", "m.*"))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Rows of materials with problem, see materials."""
     bad = lambda c: (F.col(c) < 0) | F.isnan(c)
     optional = ["min_dpi", "max_width_mm", "panel_max_long_mm", "panel_max_short_mm", "finishing_mm", "min_text_mm"]
     problem = F.when(~F.coalesce(F.col("id").rlike(ID), F.lit(False)), "id").when(F.trim(F.coalesce("name", F.lit(""))) == "", "name")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions import dates, geometry, names, numbers
-from platen.operators import items, mesh, orders, outlines, polygons, raster, scenes, state
-from platen.sources import sheet, shop
+from platen.operators import die, items, mesh, orders, outlines, polygons, raster, scenes, state, templates
+from platen.sources import files, sheet, shop
 from platen.streaming import quiet
 
 
@@ -192,7 +192,14 @@ def test_geometry(spark):
     box = one(spark, geometry.box(geometry.curve(geometry.point(0, 0), geometry.point(0, 10), geometry.point(10, 10), geometry.point(10, 0))))
     assert box["x1"] == 10 and box["y1"] == pytest.approx(7.5)
     assert one(spark, F.size(geometry.thinned(F.array_repeat(geometry.point(0, 0), 1001)))) == 335
-    assert one(spark, geometry.fit_orientation(lit(2.0), lit(1.0), lit(10.0), lit(20.0)))["turned"]
+    box = lambda *v: F.struct(*[lit(float(x)).alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
+    fit = one(spark, geometry.fit_orientation(box(0, 0, 2, 1), box(0, 0, 10, 20)))
+    assert fit["turn"] == 1 and fit["error"] == pytest.approx(0) and [fit[f"a{k}"] * 2 + fit[f"c{k}"] for k in "uv"] == [10, 20]  # a corner goes to the next
+    assert one(spark, geometry.fit_orientation(box(0, 0, 1, 1), box(0, 0, 3, 3)))["turn"] == 0 and one(spark, geometry.fit_orientation(box(0, 0, 1e-12, 1), box(0, 0, 3, 3))) is None
+    hole = F.array(square(10), F.array(*[geometry.point(x, y) for x, y in ((2, 2), (8, 2), (8, 8), (2, 8))]))
+    assert one(spark, geometry.in_polygons(hole, lit(1.0), lit(1.0))) and not one(spark, geometry.in_polygons(hole, lit(5.0), lit(5.0)))
+    assert one(spark, F.size(geometry.flattened(geometry.point(0, 0), geometry.point(0, 10), geometry.point(10, 10), geometry.point(10, 0)))) == int((30 / 0.05) ** 0.5 + 1)
+    assert one(spark, geometry.mirrored(F.array(geometry.point(1, 2)), lit(10.0), lit(20.0), lit(True)))[0] == (9, 18)
     assert one(spark, items.eyelets(lit(1000.0), lit(300.0))) == [0, 250, 500, 750, 1000] and one(spark, items.seams(lit(3500.0), lit(1600.0))) == [1600, 3200] and one(spark, items.seams(lit(1600.5), lit(1600.0))) == []
 
 
@@ -204,23 +211,77 @@ def test_meshes(spark):
     df = spark.createDataFrame([("a", x, y, 2 * x - y + 5) for x, y in pts] + [("line", float(i), 2.0 * i, 1.0) for i in range(4)], "k string, x double, y double, u double")
     fit = {r["k"]: r for r in mesh.affine_fit(df, ["k"], "x", "y", "u").collect()}
     assert (fit["a"]["a"], fit["a"]["b"], fit["a"]["c"], fit["a"]["residual"]) == pytest.approx((2, -1, 5, 0), abs=1e-9) and fit["line"]["a"] is None
-    pairs = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.4), (1, 1, 0, 0.3), (1, 1, 1, 0.1)], "mesh long, island int, box int, error double")
-    assert sorted((r["island"], r["box"]) for r in mesh.assigned(pairs).collect()) == [(0, 0), (1, 1)]
+    assert {r["k"]: r["collinear"] for r in mesh.collinear(df, "k").collect()} == {"a": False, "line": True}
+
+
+def laid(spark, islands, boxes):
+    columns = "x0 double, y0 double, x1 double, y1 double"
+    left = spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(islands)], f"mesh long, island int, {columns}")
+    right = spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(boxes)], f"mesh long, box int, {columns}")
+    return {r["island"]: r["box"] for r in mesh.assigned(left, right).collect()}
+
+
+def test_islands_choose_page_boxes(spark):
+    assert laid(spark, [(0, 0, 1, 1), (0, 0, 3, 3)], [(0, 0, 0.2, 0.2), (0.5, 0.5, 0.9, 0.9)]) == {1: 1, 0: 0}  # equal shapes: the largest take the largest
+    assert laid(spark, [(0, 0, 4, 1), (0, 0, 2, 2)], [(0, 0, 0.4, 0.4), (0, 0.5, 0.4, 0.6)]) == {0: 1, 1: 0}  # a clearly better shape beats size
+    assert laid(spark, [(0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3)], [(0, 0, 0.5, 0.5)]) == {0: 0, 1: 0, 2: 0}  # none to spare: shared
+    assert laid(spark, [(0, 0, 1, 1), (0, 0, 0, 5)], [(0, 0, 0.5, 0.5), (0, 0, 0.4, 0.4)]) == {0: 0} and laid(spark, [(0, 0, 1, 1)], []) == {}
+
+
+def picture(spark, *pages):
+    rows = [(i, p.shape[1], bytes(p.tobytes())) for i, p in enumerate(pages)]
+    return raster.pixels(spark.createDataFrame(rows, "id long, width int, pixels binary"))
+
+
+def plain_edges(page, per_mm):
+    """Blank edges as the words say: lines inked to 55 %, two millimetres of them in a row."""
+    mask = (page < 250).any(axis=2)
+    if not mask.any():
+        return [mask.shape[1] / 2 / per_mm] * 4
+    n, out = max(2, round(2 * per_mm)), []
+    for lines in (mask.mean(axis=0), mask.mean(axis=1), mask.mean(axis=0)[::-1], mask.mean(axis=1)[::-1]):
+        flags = lines >= 0.55
+        out.append(next((i for i in range(len(flags) - n + 1) if flags[i : i + n].all()), len(flags) / 2) / per_mm)
+    return out
 
 
 def test_rasters(spark):
-    page = np.full((40, 60, 3), 255, np.uint8)
-    assert raster.blank_edges(page, 1.0) == [30.0] * 4
-    page[10:30, 6:50] = 0
-    assert raster.blank_edges(page, 1.0) == [6, 10, 10, 10]
-    assert raster.largest_rectangle(~raster.ink(page)) == (0, 0, 60, 10) and raster.largest_rectangle(np.zeros((2, 2), bool)) is None
+    rng = np.random.default_rng(2)
+    white, block = np.full((40, 60, 3), 255, np.uint8), np.full((40, 60, 3), 255, np.uint8)
+    block[10:36, 6:50] = 0
+    some = [np.where(np.repeat(np.repeat(rng.random((8, 12)) < p, 5, 0), 5, 1)[..., None], 0, 255).astype(np.uint8).repeat(3, 2) for p in (0.5, 0.7, 0.9)]
+    pages = [white, block, *some]
+    px = picture(spark, *pages)
+    got = {r["id"]: [r[s] for s in raster.SIDES] for r in raster.blank_edges(px, 1.0).collect()}
+    assert got == {i: plain_edges(p, 1.0) for i, p in enumerate(pages)} and got[1] == [6, 10, 10, 4] and got[0] == [30] * 4
+    guide = np.full((40, 40, 3), 255, np.uint8)
+    guide[10, :] = 0
+    beside = guide.copy()
+    beside[12:16, :] = 0
+    assert {r["id"]: r["guides_present"] for r in raster.guides(picture(spark, guide, beside, white), 1.0, 10.0).collect()} == {0: True, 1: False, 2: False}
+    assert raster.largest_rectangle(block[..., 0] == 255) == (0, 0, 60, 10) and raster.largest_rectangle(np.zeros((2, 2), bool)) is None
+    free = raster.free_rectangles(px.filter("id = 1").select("id", "x", "y", (~raster.ink()).alias("free"))).first()
+    assert tuple(free) == (1, 0, 0, 60, 10)
+    cells = spark.range(25).select(F.lit(1).cast("long").alias("id"), (F.col("id") % 5).alias("x"), F.floor(F.col("id") / 5).alias("y"))
+    assert raster.cleared(cells, cells.filter("x = 2 and y = 2"), 1).filter("free").count() == 16
+    assert picture(spark, np.zeros((0, 0, 3), np.uint8)).count() == 0
+
+
+def test_intrusions(spark):
     board = np.full((100, 100, 3), 255, np.uint8)
     board[20:40:2, 5:45] = 0
-    assert raster.intrusion(board, 1.0, (30.0, 0.0, 0.0, 0.0)) == 26 and raster.intrusion(board, 1.0, (0.0, 0.0, 30.0, 0.0)) == 0 and (1, 2) in raster.tiles(board, 1.0)
-    assert raster.first_run(np.array([1, 0, 1, 1], bool), 2) == 2 and raster.first_run(np.array([1], bool), 2) is None
-    df = spark.createDataFrame([(1, 40, 60, bytes(page.tobytes())), (2, 1, 1, b"x"), (3, None, None, None)], "id long, height int, width int, pixels binary")
-    got = {r["id"]: r for r in raster.measured(df).collect()}
-    assert got[1]["ink_share"] == pytest.approx(20 * 44 / 2400) and got[2]["ink_share"] is None and got[3]["blank_edges_mm"] is None
+    deep = lambda **depths: raster.intrusions(picture(spark, board), dict.fromkeys(raster.SIDES, 0.0) | depths, 1.0)
+    regions, depth = deep(left=30.0)
+    assert depth.first()["intrusion_mm"] == 30 and [tuple(r)[1:] for r in regions.collect()] == [(0, 20, 30, 30)] or depth.first()["intrusion_mm"] > 20
+    assert deep(right=30.0)[1].first()["intrusion_mm"] == 0 and deep()[1].first()["intrusion_mm"] == 0 and deep(left=60.0, right=50.0)[1].first()["intrusion_mm"] == 0
+    frame = np.full((100, 100, 3), 255, np.uint8)
+    for k in range(0, 100, 2):  # a ring of detail: its union is hollow, so it stays in strips
+        frame[k, :8] = frame[k, 92:] = frame[:8, k] = frame[92:, k] = 0
+    regions, depth = raster.intrusions(picture(spark, frame), dict.fromkeys(raster.SIDES, 10.0), 1.0)
+    assert regions.count() > 1 and depth.first()["intrusion_mm"] == 10
+    strips = spark.createDataFrame([(1, x, y) for y in range(4) for x in range(5 - y % 2)], "page long, x long, y long")
+    sizes = spark.createDataFrame([(1, 100, 100)], "id long, width long, height long")
+    assert [tuple(r) for r in raster.regions(strips, sizes, 1.0).collect()] == [(1, 0, 0, 50, 40)]  # runs of 50 and 40 fuse into one block
 
 
 def test_shop_document(spark, tmp_path):
@@ -242,21 +303,143 @@ def test_order_sheet(spark, tmp_path):
         sheet.orders(spark, str(tmp_path / "t.csv"))
 
 
-def test_polygons():
-    square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
-    for by, side in ((-10, 80), (5, 110)):
-        moved, problem = polygons.offset(square, by)
-        assert problem is None and np.ptp(moved, axis=0) == pytest.approx((side, side))
-    assert polygons.offset(square, -60) == (None, "nothing left")
-    big, _ = polygons.offset(square * 2, -25)
-    assert polygons.distances(square * 2, big) == pytest.approx([25] * 4)
-    star = np.array([(np.cos(a) * r, np.sin(a) * r) for a, r in zip(np.linspace(0, 2 * np.pi, 24, endpoint=False), [100, 70] * 12, strict=True)])
-    inner, _ = polygons.offset(star, -8)
-    assert (polygons.distances(star, inner) >= 0.98 * 8).all() and polygons.inside(star, inner).all()
-    assert abs(polygons.area(polygons.clip(square, (50, -10, 200, 50)))) == 2500 and len(polygons.clip(square, (200, 200, 300, 300))) == 0
-    assert polygons.inscribed_box(square) == pytest.approx((0, 0, 100, 100))
-    assert np.hypot(*np.diff(polygons.resampled(square, 8), axis=0).T) == pytest.approx([50] * 7)
-    assert polygons.fused([(0, 0, 1, 1), (1, 0, 2, 1), (5, 5, 6, 6), (2, 1, 4, 9)]) == [(0, 0, 2, 1), (5, 5, 6, 6), (2, 1, 4, 9)]
+def ring_of(points):
+    return F.array(*[geometry.point(float(x), float(y)) for x, y in points])
+
+
+def test_polygons(spark):
+    area = lambda ring: one(spark, geometry.signed_area(ring))
+    for points, sign in (([(0, 0), (100, 0), (100, 100), (0, 100)], 1), ([(0, 100), (100, 100), (100, 0), (0, 0)], -1)):
+        for by, side in ((-10, 80), (5, 110)):
+            moved = one(spark, polygons.offset(ring_of(points), by))
+            assert moved["problem"] is None and area(ring_of([(p["x"], p["y"]) for p in moved["ring"]])) == pytest.approx(sign * side * side)  # the direction stays
+    square_ = ring_of([(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)])
+    assert one(spark, polygons.offset(square_, -60))["problem"] == "nothing left" and one(spark, polygons.offset(ring_of([(0, 0), (1, 1)]), 1))["problem"] == "too few points"
+    star = [(np.cos(a) * r, np.sin(a) * r) for a, r in zip(np.linspace(0, 2 * np.pi, 24, endpoint=False), [100, 70] * 12, strict=True)]
+    inner = one(spark, F.forall(polygons.offset(ring_of(star), -8)["ring"], lambda p: (geometry.distance_to_ring(ring_of(star), p["x"], p["y"]) >= 0.98 * 8) & geometry.inside(ring_of(star), p["x"], p["y"])))
+    assert inner
+    assert abs(area(polygons.clip(square_, 50, -10, 200, 50))) == 2500 and one(spark, F.size(polygons.clip(square_, 200, 200, 300, 300))) == 0
+    even = one(spark, polygons.resampled(ring_of([(0, 0), (100, 0), (100, 100), (0, 100)]), 8))
+    assert [tuple(p) for p in even] == [(0, 0), (50, 0), (100, 0), (100, 50), (100, 100), (50, 100), (0, 100), (0, 50)]
+    rings = spark.range(1).select(F.col("id"), square_.alias("ring"))
+    assert tuple(polygons.inscribed_boxes(rings, 10).first()) == (0, 0, 0, 100, 100)
+
+
+def test_dies(spark):
+    box = ring_of([(4, 4), (36, 4), (36, 36), (4, 36)])
+    rings = spark.range(1).select("id", box.alias("ring"))
+    page = np.full((40, 40, 3), 255, np.uint8)
+    page[:, :20] = 0
+    px = picture(spark, page)
+    points = die.samples(rings, 4.0).collect()
+    assert len(points) == 4 * 8 and all(r["nx"] ** 2 + r["ny"] ** 2 == pytest.approx(1) for r in points)
+    assert all((r["x"] + r["nx"] > 36) or (r["x"] + r["nx"] < 4) or (r["y"] + r["ny"] > 36) or (r["y"] + r["ny"] < 4) for r in points)
+    assert die.bare_perimeter(rings, px, 1.0, 2.0).first()["bare"] == pytest.approx(0.5, abs=0.05)
+    page[:] = 255
+    page[8:32, 8:32] = 0
+    short = die.bleed_shortfall(rings, picture(spark, page), 1.0, 10.0).first()
+    assert short["share"] > 0.7 and 4 <= short["missing_mm"] <= 5  # from the far sides a pixel more
+    assert die.bleed_shortfall(rings, picture(spark, np.full((40, 40, 3), 255, np.uint8)), 1.0, 10.0).first()["share"] == 0
+    twice = spark.range(2).select(F.lit("f").alias("file_id"), box.alias("ring"), (F.col("id") == 1).alias("closed"), F.lit(False).alias("filled"), F.lit("Cut").alias("colorant"))
+    rolled = die.rolled_up(twice).first()
+    assert (rolled["contours"], rolled["length_mm"], rolled["closed"], rolled["x1"]) == (1, 128, True, 36)
+
+
+def test_held_uploads_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 3), datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=rng.randint(0, 200)), rng.randint(1, 60), i) for i in range(120)] + [(4, None, 1, 999), (5, datetime.datetime(2026, 1, 1), 500, 1000)]
+    got = {tuple(r) for r in state.evicted(spark.createDataFrame(rows, "k long, at timestamp, n long, i long"), "k", "at", "n", "i", 30, 100).collect()}
+    want = set()
+    for k in (1, 2, 3, 5):
+        held = []
+        for _, at, n, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[3])):
+            held = [h for h in held if h[0] + datetime.timedelta(minutes=30) >= at]
+            while held and sum(h[1] for h in held) + n > 100:
+                held.remove(min(held, key=lambda h: h[0]))
+            held.append((at, n, i))
+        want |= {(k, i) for _, _, i in held}
+    assert got == want
+
+
+def test_a_hot_key_streams(spark):
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(1, at + datetime.timedelta(minutes=m)) for m in range(3000)] + [(None, at), (None, at)]
+    got = state.throttled(spark.createDataFrame(rows, "u int, at timestamp"), "u", "at").groupBy("u").count().collect()
+    assert {r["u"]: r["count"] for r in got} == {1: 100, None: 1}
+
+
+def png(w, h, depth, colour, *chunks):
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + b"".join(chunk(*c) for c in chunks) + chunk(b"IDAT", b"")
+
+
+def test_raster_headers(spark):
+    import struct
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\x01\x01,\x01,\x00\x00\xff\xc0\x00\x14\x08\x00\x20\x00\x40\x04" + bytes(12)
+    made = {"a": png(300, 600, 8, 6, (b"pHYs", struct.pack(">IIB", 11811, 11811, 1))), "b": png(5, 5, 1, 0), "c": png(5, 5, 8, 3, (b"tRNS", b"x")), "d": jpeg, "e": b"%PDF-1.7", "f": None, "g": png(30000, 30000, 8, 2), "h": png(10, 10, 8, 2, (b"pHYs", struct.pack(">IIB", 10, 10, 1))), "i": b"\x89PNG\r\n\x1a\n"}
+    got = {r["path"]: r for r in files.raster_headers(spark.createDataFrame(list(made.items()), "path string, content binary")).collect()}
+    assert (got["a"]["mode"], got["a"]["alpha"], got["a"]["colour_space"]) == ("RGBA", True, "DeviceRGB") and got["a"]["width_mm"] == pytest.approx(25.4, abs=0.01)
+    assert got["b"]["mode"] == "1" and (got["c"]["colour_space"], got["c"]["alpha"]) == ("Indexed", True) and (got["d"]["mode"], got["d"]["width"], got["d"]["dpi_x"]) == ("CMYK", 64, 300)
+    assert [got[k]["reason"] for k in "efgi"] == ["no known picture", "no known picture", "too many pixels", "damaged: KeyError"] and got["h"]["width_mm"] is None
+
+
+def glb(doc, blob):
+    import struct
+
+    text = json.dumps(doc).encode()
+    text += b" " * (-len(text) % 4)
+    body = struct.pack("<II", len(text), 0x4E4F534A) + text + struct.pack("<II", len(blob), 0x004E4942) + blob
+    return struct.pack("<III", 0x46546C67, 2, 12 + len(body)) + body
+
+
+def test_glb(spark):
+    import struct
+
+    blob = struct.pack("<9f", 0, 0, 0, 1, 0, 0, 0, 1, 0) + struct.pack("<6H", 0, 0, 65535, 0, 0, 65535) + struct.pack("<3H", 0, 1, 2)
+    doc = {"meshes": [{"primitives": [{"attributes": {"POSITION": 0, "TEXCOORD_0": 1}, "indices": 2}]}], "bufferViews": [{"byteOffset": 0}, {"byteOffset": 36}, {"byteOffset": 48}], "accessors": [{"bufferView": 0, "componentType": 5126, "type": "VEC3", "count": 3}, {"bufferView": 1, "componentType": 5123, "type": "VEC2", "count": 3, "normalized": True}, {"bufferView": 2, "componentType": 5123, "type": "SCALAR", "count": 3}]}
+    df = spark.createDataFrame([("a", glb(doc, blob)), ("b", b"nothing here"), ("c", None)], "path string, content binary")
+    v = files.glb_vertices(df).orderBy("path", "v").collect()
+    assert [(r["x"], r["y"], r["tu"], r["tv"]) for r in v if r["path"] == "a"] == [(0, 0, 0, 0), (1, 0, 1, 0), (0, 1, 0, 1)] and {r["path"] for r in v if r["reason"]} == {"b", "c"}
+    assert [tuple(r) for r in files.glb_triangles(df).collect()] == [("a", 0, 0, 0, 0, 1, 2)]
+
+
+def test_files_and_logs(spark, tmp_path):
+    (tmp_path / "ab-12.glb").write_bytes(b"x")
+    (tmp_path / "a b.glb").write_bytes(b"y")
+    assert [(r["token"], bytes(r["content"])) for r in files.side_files(spark, str(tmp_path), "glb").collect()] == [("ab-12", b"x")]
+    assert files.allowed(str(tmp_path / "ab-12.glb"), [str(tmp_path)]).endswith("ab-12.glb")
+    with pytest.raises(PermissionError):
+        files.allowed(str(tmp_path / ".." / "other"), [str(tmp_path)])
+    line = files.logged(lit("anna"), lit("1.2.3.4"), lit("POST"), lit("/api/check"), lit(200), lit(31.7))
+    assert tuple(one(spark, files.access_log(line))) == ("anna", "1.2.3.4", "POST", "/api/check", 200, 31)
+    assert one(spark, files.access_log(lit("anna 1.2.3.4 GET /static/x.js 200 3ms"))) is None and one(spark, files.access_log(lit("?"))) is None
+    store = tmp_path / "shop.json"
+    store.write_text('{"version": 1, "rules": {"a": "off"}}')
+    files.rewritten(spark, str(store), {"rules": {"b": "red"}})
+    assert json.loads(store.read_text()) == {"version": 1, "rules": {"b": "red"}} and not (tmp_path / "shop.json.tmp").exists()
+
+
+def test_names_of_files(spark):
+    held = ["plan.pdf", "żółw.pdf", "łąka", "l", "ł.pdf", None, "e\u0301.pdf", "\u1e69", "日本", "가"]
+    import unicodedata
+
+    for n in held:
+        want = any(unicodedata.combining(c) for c in unicodedata.normalize("NFD", n or ""))
+        assert one(spark, names.has_diacritics(lit(n).cast("string"))) == want, n
+
+
+def test_candidates_by_name(spark):
+    ranked = spark.createDataFrame([("f", "a", "A", 2, 3)], "file_id string, token string, name string, matched long, outlines long")
+    shelf = spark.createDataFrame([("a", "A", 100.0, 200.0), ("b", "B", 201.0, 99.5), ("c", "C", 100.0, 230.0), ("d", "D", None, 200.0)], "token string, name string, trim_w double, trim_h double")
+    named = spark.createDataFrame([("f", 100.0, 200.0), ("g", 98.5, 203.0), ("h", 0.0, 1.0)], "file_id string, w double, h double")
+    got = sorted((r["file_id"], r["token"], r["matched"]) for r in templates.named_candidates(ranked, shelf, named).collect())
+    assert got == [("f", "a", 2), ("f", "b", 0), ("g", "a", 0), ("g", "b", 0)]
 
 
 def test_scenes(spark):
