@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platen.functions import dates, geometry, names, numbers
 from platen.operators import die, items, mesh, orders, outlines, polygons, raster, scenes, state, templates
 from platen.sources import files, sheet, shop
-from platen.streaming import quiet
+from platen.streaming import quiet, ticks
 
 
 def one(spark, column):
@@ -178,6 +178,29 @@ def test_stream_equals_batch_in_order(spark, tmp_path):
     assert {tuple(r) for r in spark.table("told").collect()} == batch
 
 
+def test_windows_that_can_no_longer_change(spark, tmp_path):
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(1, at(1), "a"), (2, at(2), "a"), (3, at(6), "b"), (4, at(40), "a")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    query = quiet.counts(stream).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["event_type"], r["n"]) for r in spark.table("counted").collect()) == [("a", 2), ("b", 1)]  # the last window may still change
+
+
+def test_ticks_send_once(spark, tmp_path):
+    at = datetime.datetime(2026, 1, 1)
+    rows = spark.createDataFrame([("g", "Produkcja", "Table", "k@x.pl"), ("g", "Produkcja", "Chair", "k@x.pl"), ("h", "Produkcja", "Desk", "nobody"), ("i", "transport", "Lamp", "l@x.pl")], "group string, status string, product string, pm_email string")
+    log = str(tmp_path / "log")
+    spark.createDataFrame([(at, "g", "Produkcja", "k@x.pl", "chair")], ticks.LOG).write.parquet(log)
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("g", "Produkcja", at), ("h", "Produkcja", at), ("g", "Produkcja", at)], "group string, status string, ticked_at timestamp").coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema("group string, status string, ticked_at timestamp").parquet(source)
+    for _ in range(2):  # a batch that runs again sends nothing
+        ticks.on_ticks(stream(), lambda: rows, log).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted((r["group"], r["items"]) for r in spark.read.schema(ticks.LOG).parquet(log).collect()) == [("g", "chair"), ("g", "table")]
+
+
 def square(n):
     return F.array(*[geometry.point(x, y) for x, y in ((0, 0), (n, 0), (n, n), (0, n))])
 
