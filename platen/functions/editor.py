@@ -32,6 +32,13 @@ def corners(e: Column) -> Column:
     return F.array(*[canvas_point(e, x, y) for x, y in ((-w, -h), (w, -h), (w, h), (-w, h))])
 
 
+def bounds(e: Column) -> Column:
+    """The upright box around the turned element, struct x0, y0, x1, y1."""
+    cos, sin = F.abs(F.cos(e["rotation"])), F.abs(F.sin(e["rotation"]))
+    w, h = (e["width"] * cos + e["height"] * sin) / 2 * e["scale"], (e["width"] * sin + e["height"] * cos) / 2 * e["scale"]
+    return F.struct((e["x"] - w).alias("x0"), (e["y"] - h).alias("y0"), (e["x"] + w).alias("x1"), (e["y"] + h).alias("y1"))
+
+
 def contains(e: Column, p: Column) -> Column:
     """The point lies within the turned box."""
     local = local_point(e, p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import editor, geometry
+from ..functions import editor
 from ..operators import outlines, rules, scenes, stamps, templates, wording
 from ..sources import shop
 from . import derived
@@ -32,7 +32,7 @@ def editor_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived.from_sql(spark, sf_dir, ELEMENTS_SQL).withColumns({"e": _element(), "p": _spot("px", "py"), "q": _spot("qx", "qy")})
     e, p, q = F.col("e"), F.col("p"), F.col("q")
     six = lambda c: F.round(c, 6)
-    box = geometry.box(editor.corners(e))
+    box = editor.bounds(e)
     moved, scaled, turned = (editor.dragged(e, F.lit(mode), p, q) for mode in ("move", "scale", "rotate"))
     kept = editor.held(moved, F.lit(380.0), F.lit(280.0))
     return t.select(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platen.functions import dates, geometry, names, numbers
+from platen.functions import dates, editor, geometry, names, numbers
 from platen.operators import die, items, mesh, orders, outlines, polygons, raster, scenes, state, templates
 from platen.sources import files, sheet, shop
 from platen.streaming import quiet, ticks
@@ -448,6 +448,13 @@ def test_files_and_logs(spark, tmp_path):
     assert json.loads(store.read_text()) == {"version": 1, "rules": {"b": "red"}} and not (tmp_path / "shop.json.tmp").exists()
 
 
+def test_editor_bounds_hold_the_corners(spark):
+    for turn in (0.0, 0.7, 2.0, -3.0):
+        e = F.struct(*[lit(v).alias(k) for k, v in (("x", 10.0), ("y", 20.0), ("scale", 1.5), ("rotation", turn), ("width", 30.0), ("height", 8.0))])
+        assert tuple(one(spark, editor.bounds(e))) == pytest.approx(tuple(one(spark, geometry.box(editor.corners(e)))))
+    assert one(spark, editor.topmost(F.array(e, e), geometry.point(10, 20))) == one(spark, e) and one(spark, editor.topmost(F.array(e), geometry.point(99, 99))) is None
+
+
 def test_names_of_files(spark):
     held = ["plan.pdf", "żółw.pdf", "łąka", "l", "ł.pdf", None, "e\u0301.pdf", "\u1e69", "日本", "가"]
     import unicodedata
