@@ -432,8 +432,12 @@ def _numbered(cases: DataFrame, bench: Bench, keys: tuple[str, ...], bare: Colum
     return once.withColumn("numbers", numbers if bare is None else F.when(~F.col("bare"), numbers).otherwise(F.array().cast("array<int>")))
 
 
-def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",), bare: Column | None = None, back: Column | None = None) -> DataFrame:
-    """Findings of every case, worst first (place), a row each: keys, place, id, level, code, values, regions, title, detail.
+#: What is told of a finding.
+TOLD = ("place", "id", "level", "code", "values", "regions", "title", "detail")
+
+
+def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",), bare: Column | None = None, back: Column | None = None, columns: tuple[str, ...] = TOLD) -> DataFrame:
+    """Findings of every case, worst first (place), a row each: keys and the columns asked for.
 
     cases: keys and the structs facts, expected, material (null fields: not known). levels (rule_id, level):
     off removes a rule's finding, another level replaces any but green. wording (code, template) over
@@ -444,8 +448,13 @@ def judge(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame
     each = _numbered(cases, bench, keys, bare, back).select(*keys, "facts", "expected", "material", "drawn", F.posexplode("numbers").alias("pos", "number"))
     number = F.col("number")
     level = F.get(F.array(*map(F.lit, LEVELS)), F.floor(number / _BY_LEVEL).cast("int"))
-    values = bench.values(number)
-    return each.select(*keys, (F.col("pos") + 1).alias("place"), bench.at(number, lambda x: x.id).alias("id"), level.alias("level"), bench.at(number, lambda x: x.code).alias("code"), values.alias("values"), bench.chosen(number, lambda x: None if x.regions is None else F.when(F.size(x.regions) > 0, x.regions), REGIONS).alias("regions"), let(values, lambda v: bench.title(number, v)).alias("title"), let(values, lambda v: bench.detail(number, v)).alias("detail"))
+    values = functools.cache(lambda: bench.values(number))
+    made = {
+        "place": lambda: F.col("pos") + 1, "id": lambda: bench.at(number, lambda x: x.id), "level": lambda: level, "code": lambda: bench.at(number, lambda x: x.code), "values": values,
+        "regions": lambda: bench.chosen(number, lambda x: None if x.regions is None else F.when(F.size(x.regions) > 0, x.regions), REGIONS),
+        "title": lambda: let(values(), lambda v: bench.title(number, v)), "detail": lambda: let(values(), lambda v: bench.detail(number, v)),
+    }
+    return each.select(*keys, *[made[c]().alias(c) for c in columns])
 
 
 def summarise(cases: DataFrame, levels: DataFrame | None = None, wording: DataFrame | None = None, keys: tuple[str, ...] = ("file_id",), bare: Column | None = None, back: Column | None = None) -> DataFrame:

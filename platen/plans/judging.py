@@ -18,12 +18,12 @@ def _levels(spark: SparkSession) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all findings of all derived files under a shop's severities, worst first."""
-    return rules.judge(derived.cases(spark, sf_dir), _levels(spark)).select("file_id", "place", "id", "level", "code")
+    return rules.judge(derived.cases(spark, sf_dir), _levels(spark), columns=("place", "id", "level", "code"))
 
 
 def finding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers behind the findings about bleed, text and margins, as they are printed."""
-    found = rules.judge(derived.cases(spark, sf_dir)).filter(F.col("code").isin("check.bleed_coverage.short", "check.text_height.small", "check.safe_area.intrusion"))
+    found = rules.judge(derived.cases(spark, sf_dir), columns=("code", "values")).filter(F.col("code").isin("check.bleed_coverage.short", "check.text_height.small", "check.safe_area.intrusion"))
     value = lambda k: F.try_element_at("values", F.lit(k))
     return found.select("file_id", "code", F.coalesce(value("missing"), value("smallest"), value("intrusion")).alias("measured"), F.coalesce(value("bleed"), value("floor"), value("safe")).alias("wanted"))
 
