@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_model, licences, mixing, neighbours, packing, simhash, toxicity, warc
+from . import fingerprints, html_text, language_model, licences, mixing, neighbours, packing, repeats, simhash, toxicity, warc
+from .common import WORD
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +78,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string"))
+    split = F.when(seed % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split.alias("words"))
+    text = F.when(F.size("words") > 0, F.array_join(repeats.with_repeats(F.col("words"), F.floor(seed / 10)), " ")).otherwise(F.col("text"))
+    found = repeats.periodic_runs(docs, text=text)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select(F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), longest.alias("long"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(F.lit(1000) * F.col("long.length") / F.col("long.period"))
+    return out.select("doc_id", "n_runs", *(F.col(f"long.{c}").alias(c) for c in ("start", "length", "period")), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_model, op3_neighbours, op4_fingerprints, op5_toxicity, op6_html_text, op7_simhash, op8_licences, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_model, op3_neighbours, op4_fingerprints, op5_toxicity, op6_html_text, op7_simhash, op8_licences, op9_warc, op10_packing, op11_periodic_runs)}
