@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_model, licences, mixing, neighbours, packing, repeats, simhash, spelling, toxicity, warc
+from . import fingerprints, html_text, language_model, licences, mixing, neighbours, packing, products, repeats, simhash, spelling, toxicity, warc
 from .common import WORD
 
 
@@ -91,9 +91,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", *(F.col(f"long.{c}").alias(c) for c in ("start", "length", "period")), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slips=97)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_model, op3_neighbours, op4_fingerprints, op5_toxicity, op6_html_text, op7_simhash, op8_licences, op9_warc, op10_packing, op11_periodic_runs, op13_spelling)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_model, op3_neighbours, op4_fingerprints, op5_toxicity, op6_html_text, op7_simhash, op8_licences, op9_warc, op10_packing, op11_periodic_runs, op12_top_products, op13_spelling)}
