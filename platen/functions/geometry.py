@@ -124,18 +124,26 @@ def in_polygons(rings: Column, x: Column, y: Column) -> Column:
     return hits % 2 == 1
 
 
+#: Fixed value: a box narrower than this has collapsed.
+LEAST_EXTENT = 1e-9
+
+
 def fit_orientation(u: Column, page: Column) -> Column:
     """struct(turn, error, au, bu, cu, av, bv, cv): the turn that lays a box (struct x0, y0, x1, y1) on a page box, and the map that does it.
 
     error is the logarithm of the aspects' ratio after the turn. Of the eight ways four turns and a mirror
     allow, those of one parity have the same error, and upright, unmirrored ones come first: so it is no
-    turn, or a quarter one if that is nearer. Null for a box of no width or height.
+    turn, or a quarter one if that is nearer. Null for a box of no width or height, or where a corner is missing;
+    a page box of no width or height counts as LEAST_EXTENT wide or high for its aspect.
     """
     w, h, pw, ph = u["x1"] - u["x0"], u["y1"] - u["y0"], page["x1"] - page["x0"], page["y1"] - page["y0"]
-    error = lambda a, b: F.abs(F.log((a / b) / (pw / ph)))
+    w, h = (F.when(x >= LEAST_EXTENT, x) for x in (w, h))
+    some = lambda x: F.when(x == 0, LEAST_EXTENT).otherwise(x)
+    aspect = some(F.try_divide(pw, some(ph)))
+    error = lambda a, b: F.abs(F.log(F.try_divide(F.try_divide(a, b), aspect)))
     turn = error(h, w) < error(w, h) - 1e-9
     number = lambda c: c.cast("double")
     au, bu, cu = F.when(turn, 0.0).otherwise(pw / w), F.when(turn, -pw / h).otherwise(0.0), F.when(turn, page["x1"] + u["y0"] * pw / h).otherwise(page["x0"] - u["x0"] * pw / w)
     av, bv, cv = F.when(turn, ph / w).otherwise(0.0), F.when(turn, 0.0).otherwise(ph / h), F.when(turn, page["y0"] - u["x0"] * ph / w).otherwise(page["y0"] - u["y0"] * ph / h)
     fit = F.struct(turn.cast("int").alias("turn"), F.least(error(w, h), error(h, w)).alias("error"), *[number(c).alias(n) for c, n in ((au, "au"), (bu, "bu"), (cu, "cu"), (av, "av"), (bv, "bv"), (cv, "cv"))])
-    return F.when((w >= 1e-9) & (h >= 1e-9), fit)
+    return F.when(w.isNotNull() & h.isNotNull() & aspect.isNotNull(), fit)

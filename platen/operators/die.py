@@ -6,7 +6,7 @@ aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -37,10 +37,11 @@ def rolled_up(contours: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def samples(rings: DataFrame, spacing_mm: float, outward: bool = True) -> DataFrame:
-    """id, nth, x, y, nx, ny: points along each closed ring (y downwards) and unit normals out of it, or into it.
+    """id, ring_no, nth, x, y, nx, ny: points along each closed ring (y downwards) and unit normals out of it, or into it.
 
     At every corner the normal is that of its two neighbours' chord; along a side there is a sample every
-    spacing_mm, short of its end, that looks straight out. Rings of fewer than three points have none.
+    spacing_mm, short of its end, that looks straight out. Rings of fewer than three points have none. An id's
+    rings are numbered from 1, so that samples of different rings don't mix.
     """
 
     def of(ring: Column) -> Column:
@@ -64,8 +65,9 @@ def samples(rings: DataFrame, spacing_mm: float, outward: bool = True) -> DataFr
 
     ring = F.col("ring")
     opened = F.when((F.size(ring) > 2) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring)
-    each = rings.withColumn("ring", opened).select("id", F.posexplode(of(F.col("ring"))).alias("nth", "s"))
-    return each.select("id", "nth", "s.*")
+    order = Window.partitionBy("id").orderBy(F.col("ring").cast("string"))
+    numbered = rings.select("id", "ring", F.row_number().over(order).alias("ring_no")).withColumn("ring", opened)
+    return numbered.select("id", "ring_no", F.posexplode(of(F.col("ring"))).alias("nth", "s")).select("id", "ring_no", "nth", "s.*")
 
 
 def _pixel(position: Column, extent: str) -> Column:
@@ -97,8 +99,8 @@ def bleed_shortfall(rings: DataFrame, px: DataFrame, per_mm: float, reach_mm: fl
     points = samples(rings, SPACING_PX / per_mm, outward=False).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
     depth = F.lit(first) + F.col("k") / per_mm
     at = lambda a, n: F.rint((F.col(a) + F.col(n) * depth) * per_mm).cast("long")
-    points = points.select("id", "nth", "k", depth.alias("depth"), at("x", "nx").alias("px"), at("y", "ny").alias("py"))
+    points = points.select("id", "ring_no", "nth", "k", depth.alias("depth"), at("x", "nx").alias("px"), at("y", "ny").alias("py"))
     hit = points.join(px.select("id", F.col("x").alias("px"), F.col("y").alias("py"), raster.ink().alias("ink")), ["id", "px", "py"])
-    per = hit.groupBy("id", "nth").agg(F.min("k").alias("nearest"), F.min(F.when(F.col("ink"), F.col("k"))).alias("inked"), F.min(F.when(F.col("ink"), F.col("depth"))).alias("gap")).filter("nearest = 0")
+    per = hit.groupBy("id", "ring_no", "nth").agg(F.min("k").alias("nearest"), F.min(F.when(F.col("ink"), F.col("k"))).alias("inked"), F.min(F.when(F.col("ink"), F.col("depth"))).alias("gap")).filter("nearest = 0")
     short = F.col("inked") > 0
     return per.groupBy("id").agg(F.bround(F.avg(F.coalesce(short, F.lit(False)).cast("int")), 3).alias("share"), F.coalesce(F.bround(F.median(F.when(short, F.col("gap"))), 2), F.lit(0.0)).alias("missing_mm"))

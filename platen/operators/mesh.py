@@ -98,7 +98,9 @@ def _assigned(islands_: pa.Table, boxes: pa.Table) -> pa.Table:
             continue
         best = None
         for b in [b for b in pages if b["box"] not in used] or pages:
-            aspect = (b["x1"] - b["x0"]) / (b["y1"] - b["y0"])
+            aspect = (b["x1"] - b["x0"]) / ((b["y1"] - b["y0"]) or SINGULAR_BOX) or SINGULAR_BOX
+            if not 0 < aspect < math.inf:
+                continue
             error = min(abs(math.log(w / h / aspect)), abs(math.log(h / w / aspect)))
             if best is None or error < best[1] - ASPECT_TIE:
                 best = (b["box"], error)
@@ -116,10 +118,13 @@ def assigned(islands_: DataFrame, boxes: DataFrame) -> DataFrame:
     """mesh, island, box, error: which page box each island lies on.
 
     islands_: mesh, island, x0, y0, x1, y1; boxes: mesh, box, x0, y0, x1, y1. A box is used once while there
-    are some to spare, and shared when there are not. Islands that have collapsed, and meshes without a box, have no row.
+    are some to spare, and shared when there are not. Islands that have collapsed, and meshes without a box, have no
+    row; a page box of no width or height is as narrow as SINGULAR_BOX; boxes that lack a corner, or whose corners
+    are the wrong way round, are nowhere.
     """
     columns = ["x0", "y0", "x1", "y1"]
-    left, right = islands_.select("mesh", "island", *columns).groupBy("mesh"), boxes.select("mesh", "box", *columns).groupBy("mesh")
+    whole = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns) + " AND x1 >= x0 AND y1 >= y0"
+    left, right = (t.select("mesh", key, *[F.col(c).cast("double").alias(c) for c in columns]).filter(whole).groupBy("mesh") for t, key in ((islands_, "island"), (boxes, "box")))
     return left.cogroup(right).applyInArrow(_assigned, "mesh long, island int, box int, error double")
 
 

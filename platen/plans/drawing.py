@@ -91,16 +91,18 @@ SELECT file_id, any_value(colorant) AS colorant, min(x) AS x0, min(y) AS y0, max
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rectangles a picture, one within the other."""
     left = 1 + F.col("vec_id") % 3 * 0.5
-    corners = [(left, 1.0), (None, 1.0), (None, 6.0), (left, 6.0)]
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[geometry.point(6.5 if x is None else x, y) for x, y in corners]).alias("ring"))
+    rings = [[(left + k, 1.0 + k), (6.5 - k, 1.0 + k), (6.5 - k, 6.0 - k), (left + k, 6.0 - k)] for k in range(2)]
+    both = F.array(*[F.array(*[geometry.point(x if not isinstance(x, float) else F.lit(x), F.lit(y)) for x, y in corners]) for corners in rings])
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.explode(both).alias("ring"))
 
 
 _SAMPLES = f"""
-WITH {_PX}, c AS (SELECT id, 1 + id % 3 * 0.5::DOUBLE AS l FROM (SELECT DISTINCT id FROM px) i),
-e AS (SELECT id, i, CASE WHEN i IN (0, 3) THEN l ELSE 6.5 END AS ax, CASE WHEN i < 2 THEN 1.0 ELSE 6.0 END AS ay, CASE WHEN i IN (3, 2) THEN l ELSE 6.5 END AS bx, CASE WHEN i IN (0, 3) THEN 1.0 ELSE 6.0 END AS by_, CASE WHEN i IN (0, 1) THEN l ELSE 6.5 END AS cx, CASE WHEN i IN (1, 2) THEN 1.0 ELSE 6.0 END AS cy FROM c, (VALUES (0), (1), (2), (3)) v(i)),
-s AS (SELECT id, i * 10 AS nth, ax AS x, ay AS y, bx - cx AS dx, by_ - cy AS dy FROM e UNION ALL SELECT id, i * 10 + 1, ax + (bx - ax) * 4 / (abs(bx - ax) + abs(by_ - ay)), ay + (by_ - ay) * 4 / (abs(bx - ax) + abs(by_ - ay)), bx - ax, by_ - ay FROM e WHERE abs(bx - ax) + abs(by_ - ay) > 4),
-n AS (SELECT id, nth, x, y, dy / sqrt(dx * dx + dy * dy) AS nx, -dx / sqrt(dx * dx + dy * dy) AS ny FROM s)"""
+WITH {_PX}, c AS (SELECT id, r, 1 + id % 3 * 0.5::DOUBLE + r AS l, 6.5 - r AS m, 1.0 + r AS t, 6.0 - r AS b FROM (SELECT DISTINCT id FROM px) i, (VALUES (0), (1)) v(r)),
+e AS (SELECT id, r, i, CASE WHEN i IN (0, 3) THEN l ELSE m END AS ax, CASE WHEN i < 2 THEN t ELSE b END AS ay, CASE WHEN i IN (3, 2) THEN l ELSE m END AS bx, CASE WHEN i IN (0, 3) THEN t ELSE b END AS by_, CASE WHEN i IN (0, 1) THEN l ELSE m END AS cx, CASE WHEN i IN (1, 2) THEN t ELSE b END AS cy FROM c, (VALUES (0), (1), (2), (3)) v(i)),
+s AS (SELECT id, r, i * 10 AS nth, ax AS x, ay AS y, bx - cx AS dx, by_ - cy AS dy FROM e UNION ALL SELECT id, r, i * 10 + 1, ax + (bx - ax) * 4 / (abs(bx - ax) + abs(by_ - ay)), ay + (by_ - ay) * 4 / (abs(bx - ax) + abs(by_ - ay)), bx - ax, by_ - ay FROM e WHERE abs(bx - ax) + abs(by_ - ay) > 4),
+n AS (SELECT id, r, nth, x, y, dy / sqrt(dx * dx + dy * dy) AS nx, -dx / sqrt(dx * dx + dy * dy) AS ny FROM s)"""
 
 
 def bare_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +122,8 @@ def bleed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GAPS = f"""{_SAMPLES},
-w AS (SELECT n.id, nth, k, round_even(x - nx * (2 + k), 0)::INTEGER AS x, round_even(y - ny * (2 + k), 0)::INTEGER AS y FROM n, (VALUES (0), (1), (2)) v(k)),
-h AS (SELECT w.id, nth, min(k) AS nearest, min(k) FILTER (WHERE g < 250) AS inked FROM w JOIN px ON px.id = w.id AND px.x = w.x AND px.y = w.y GROUP BY w.id, nth)
+w AS (SELECT n.id, r, nth, k, round_even(x - nx * (2 + k), 0)::INTEGER AS x, round_even(y - ny * (2 + k), 0)::INTEGER AS y FROM n, (VALUES (0), (1), (2)) v(k)),
+h AS (SELECT w.id, w.r, nth, min(k) AS nearest, min(k) FILTER (WHERE g < 250) AS inked FROM w JOIN px ON px.id = w.id AND px.x = w.x AND px.y = w.y GROUP BY w.id, w.r, nth)
 SELECT id, round(avg(coalesce(inked > 0, false)::INTEGER), 3) AS share, coalesce(round(median(inked + 2) FILTER (WHERE inked > 0), 2), 0)::DOUBLE AS missing_mm FROM h WHERE nearest = 0 GROUP BY id"""
 
 

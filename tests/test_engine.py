@@ -219,6 +219,8 @@ def test_geometry(spark):
     fit = one(spark, geometry.fit_orientation(box(0, 0, 2, 1), box(0, 0, 10, 20)))
     assert fit["turn"] == 1 and fit["error"] == pytest.approx(0) and [fit[f"a{k}"] * 2 + fit[f"c{k}"] for k in "uv"] == [10, 20]  # a corner goes to the next
     assert one(spark, geometry.fit_orientation(box(0, 0, 1, 1), box(0, 0, 3, 3)))["turn"] == 0 and one(spark, geometry.fit_orientation(box(0, 0, 1e-12, 1), box(0, 0, 3, 3))) is None
+    flat = one(spark, geometry.fit_orientation(box(0, 0, 2, 1), box(0, 0, 3, 0)))
+    assert flat["error"] == pytest.approx(np.log(3e9 / 2)) and flat["av"] == flat["bv"] == 0 and one(spark, geometry.fit_orientation(box(0, 0, 2, 1), F.struct(lit(0.0).alias("x0"), lit(0.0).alias("y0"), lit(None).cast("double").alias("x1"), lit(1.0).alias("y1")))) is None
     hole = F.array(square(10), F.array(*[geometry.point(x, y) for x, y in ((2, 2), (8, 2), (8, 8), (2, 8))]))
     assert one(spark, geometry.in_polygons(hole, lit(1.0), lit(1.0))) and not one(spark, geometry.in_polygons(hole, lit(5.0), lit(5.0)))
     assert one(spark, F.size(geometry.flattened(geometry.point(0, 0), geometry.point(0, 10), geometry.point(10, 10), geometry.point(10, 0)))) == int((30 / 0.05) ** 0.5 + 1)
@@ -249,6 +251,8 @@ def test_islands_choose_page_boxes(spark):
     assert laid(spark, [(0, 0, 4, 1), (0, 0, 2, 2)], [(0, 0, 0.4, 0.4), (0, 0.5, 0.4, 0.6)]) == {0: 1, 1: 0}  # a clearly better shape beats size
     assert laid(spark, [(0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3)], [(0, 0, 0.5, 0.5)]) == {0: 0, 1: 0, 2: 0}  # none to spare: shared
     assert laid(spark, [(0, 0, 1, 1), (0, 0, 0, 5)], [(0, 0, 0.5, 0.5), (0, 0, 0.4, 0.4)]) == {0: 0} and laid(spark, [(0, 0, 1, 1)], []) == {}
+    assert laid(spark, [(0, 0, 1, 1)], [(0, 0, 1, 0), (0, 0, 0.5, 0.5)]) == {0: 1} and laid(spark, [(0, 0, 1, 1)], [(0, 0, 1, 0)]) == {0: 0}  # a page box of no height fits worst
+    assert laid(spark, [(0, 0, 1, 1), (float("nan"), 0, 1, 1)], [(1, 1, 0, 0.5), (float("nan"), 0, 1, 1)]) == {}
 
 
 def picture(spark, *pages):
@@ -363,6 +367,15 @@ def test_dies(spark):
     short = die.bleed_shortfall(rings, picture(spark, page), 1.0, 10.0).first()
     assert short["share"] > 0.7 and 4 <= short["missing_mm"] <= 5  # from the far sides a pixel more
     assert die.bleed_shortfall(rings, picture(spark, np.full((40, 40, 3), 255, np.uint8)), 1.0, 10.0).first()["share"] == 0
+    rows = np.full((60, 60, 3), 255, np.uint8)
+    rows[4:36, 4:36] = 0
+    rows[47:56, 47:56] = 0  # of the second contour only the inner part
+    two = spark.range(1).select("id", F.explode(F.array(box, ring_of([(40, 40), (60, 40), (60, 60), (40, 60)]))).alias("ring"))
+    alone = [die.bleed_shortfall(two.filter(F.get("ring", F.lit(0))["x"] == x), picture(spark, rows), 1.0, 8.0).first()["share"] for x in (4, 40)]
+    taken = [die.samples(two.filter(F.get("ring", F.lit(0))["x"] == x), 4.0, outward=False).count() for x in (4, 40)]
+    both = die.bleed_shortfall(two, picture(spark, rows), 1.0, 8.0).first()["share"]
+    assert alone[0] == 0 and alone[1] > 0.5 and both == pytest.approx((alone[0] * taken[0] + alone[1] * taken[1]) / sum(taken), abs=1e-3)
+    assert die.samples(two, 4.0).groupBy("ring_no").count().count() == 2
     twice = spark.range(2).select(F.lit("f").alias("file_id"), box.alias("ring"), (F.col("id") == 1).alias("closed"), F.lit(False).alias("filled"), F.lit("Cut").alias("colorant"))
     rolled = die.rolled_up(twice).first()
     assert (rolled["contours"], rolled["length_mm"], rolled["closed"], rolled["x1"]) == (1, 128, True, 36)
