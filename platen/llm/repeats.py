@@ -138,7 +138,7 @@ def runs(words: np.ndarray, least_words: int = LEAST_WORDS, least_periods: int =
         periods = np.arange(low, min(2 * low, n // least_periods + 1))
         per = max(1, AT_ONCE // len(periods))  # grid places of a period that are looked at together
         for begin in range(0, (n - 1) // low + 1, per):
-            grid = ended[np.minimum(periods[:, None] * np.arange(begin, begin + per + pairs)[None, : (n - 1) // low + 2 + pairs - begin], n)]
+            grid = ended[np.minimum(periods[:, None] * np.arange(begin, min(begin + per + pairs, (n - 1) // low + 2 + pairs))[None, :], n)]
             same = (grid[:, 1:] == grid[:, :-1]) & (grid[:, 1:] >= 0)
             if same.shape[1] < pairs:
                 continue
