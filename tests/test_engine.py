@@ -374,7 +374,7 @@ def test_dies(spark):
     alone = [die.bleed_shortfall(two.filter(F.get("ring", F.lit(0))["x"] == x), picture(spark, rows), 1.0, 8.0).first()["share"] for x in (4, 40)]
     taken = [die.samples(two.filter(F.get("ring", F.lit(0))["x"] == x), 4.0, outward=False).count() for x in (4, 40)]
     both = die.bleed_shortfall(two, picture(spark, rows), 1.0, 8.0).first()["share"]
-    assert alone[0] == 0 and alone[1] > 0.5 and both == pytest.approx((alone[0] * taken[0] + alone[1] * taken[1]) / sum(taken), abs=1e-3)
+    assert alone[0] == 0 and alone[1] > 0.3 and both == pytest.approx((alone[0] * taken[0] + alone[1] * taken[1]) / sum(taken), abs=1e-3)
     assert die.samples(two, 4.0).groupBy("ring_no").count().count() == 2
     twice = spark.range(2).select(F.lit("f").alias("file_id"), box.alias("ring"), (F.col("id") == 1).alias("closed"), F.lit(False).alias("filled"), F.lit("Cut").alias("colorant"))
     rolled = die.rolled_up(twice).first()
