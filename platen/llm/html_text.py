@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -40,37 +41,105 @@ KINDS = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside
 #: What an element is by a word of its names; words of five letters and more count within longer ones, too.
 NAMED = {w: kind for kind, words in AROUND.items() for w in words.split()} | {w: "main" for w in MAIN.split()}
 
-_RAW = r"<!--.*?-->|<script\b.*?</script\b|<style\b.*?</style\b"
-_MARKS = re.compile(rf"{_RAW}|<(/?)({'|'.join(sorted(SILENT - {'head', 'script', 'style'}))})\b[^>]*>", re.S | re.I)
+_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT - {'head', 'script', 'style'}))})\b", re.I)
+_RAW = {name: (re.compile(rf"<{name}\b", re.I), re.compile(rf"</{name}\b", re.I)) for name in ("script", "style")}
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
+
+
+def _bucket(x: float, *cuts: float) -> int:
+    return sum(x >= c for c in cuts)
+
+
+@functools.lru_cache(maxsize=65_536)
+def kind_of(tag: str, words: tuple[str, ...]) -> tuple[str | None, frozenset[str]]:
+    """What an element is by its tag or, failing that, the first of its names that tells; and the words that do."""
+    known = [n for w in words for n in ([w] if w in NAMED else [n for n in NAMED if len(n) > 4 and n in w])] if tag not in ("html", "body") else []
+    return KINDS.get(tag) or (NAMED[known[0]] if known else None), frozenset(known)
+
+
+class Place:
+    """An open element, with what all elements around it tell: a page's places share what they have in common."""
+
+    __slots__ = ("around", "tag", "words", "labelled", "tags", "names", "inner", "outer", "kinds", "above", "below", "last")
+
+    def __init__(self, around: Place | None, tag: str, words: tuple[str, ...], labelled: bool):
+        self.around, self.tag, self.words, self.labelled = around, tag, words, labelled or bool(around and around.labelled)
+        kind, known = kind_of(tag, words)
+        tags, names = (around.tags, around.names) if around else (frozenset(), frozenset())
+        block = tag in BLOCKS and tag not in ("html", "body")
+        self.tags = tags | {tag} if block and tag not in tags else tags
+        self.names = names if known <= names else names | known
+        self.last = tag if block else around.last if around else None
+        self.inner = kind or (around.inner if around else None)
+        self.outer = (around.outer if around else None) or kind
+        kinds = around.kinds if around else frozenset()
+        self.kinds = kinds if kind is None or kind in kinds else kinds | {kind}
+        self.above = kinds if kind == "main" else around.above if around else frozenset()  # those around that element
+        below = around.below if around else None  # the kinds within the innermost main element; null outside of any
+        self.below = frozenset() if kind == "main" else below if kind is None or below is None or kind in below else below | {kind}
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, tuple[str, ...], bool], ...]  # of each open element: tag, words of its class, id and role, data-main
+    place: Place | None
     linked: float  # share of the text in links
 
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...], bool], ...]:
+        """Of each open element, outermost first: tag, words of its class, id and role, whether it or one around it is labelled as main."""
+        out, at = [], self.place
+        while at:
+            out.append((at.tag, at.words, at.labelled))
+            at = at.around
+        return tuple(reversed(out))
+
 
 def ended(html: str) -> str:
-    """html without the start tags of silent elements that nothing ends, which would swallow the page from there on."""
-    last: dict[str, list[re.Match]] = {}
-    lost = []
-    for m in _MARKS.finditer(html):
-        if m[2] is None or m[0].endswith("/>"):
-            continue
-        name = m[2].lower()
-        held = last.setdefault(name, [])
-        if m[1]:
-            del held[-1:]
+    """html without the start tags of silent elements that nothing ends, which would swallow the page from there on,
+    without comments, and without a tag at the end that breaks off. One pass: its time grows with the page's length.
+    """
+    cut = _UNENDED.search(html, html.rfind(">") + 1)
+    html = html[: cut.start()] if cut else html
+    last: dict[str, list[tuple[int, int, str]]] = {}
+    drop: list[tuple[int, int]] = []
+    lost: list[tuple[int, int, str]] = []
+    closed = {"script": True, "style": True, "comment": True}  # whether any more of its ends may come
+    at = html.find("<")
+    while at >= 0:
+        to = at + 1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) if closed["comment"] else -1
+            closed["comment"] = end >= 0
+            to = end + 3 if end >= 0 else at + 4
+            drop.append((at, to))
+        elif m := _TAG.match(html, at):
+            to = html.find(">", at) + 1
+            if html[to - 2] != "/":
+                name = m[2].lower()
+                held = last.setdefault(name, [])
+                if m[1]:
+                    del held[-1:]
+                else:
+                    if held and name not in NESTING:
+                        lost.append(held.pop())
+                    held.append((at, to, name))
         else:
-            if held and name not in NESTING:
-                lost.append(held.pop())
-            held.append(m)
-    lost += [m for held in last.values() for m in held if m[2].lower() != "option"]  # an option's end tag may be left out
-    lost = [m for m in lost if m[2].lower() != "option"]
-    for m in sorted(lost, key=lambda m: -m.start()):
-        to = html.find("<", m.end()) if m[2].lower() in LABELS else m.end()
-        html = html[: m.start()] + html[to if to >= 0 else len(html) :]
-    return html
+            for name, (begin, end_tag) in _RAW.items():
+                if begin.match(html, at):
+                    end = end_tag.search(html, at) if closed[name] else None
+                    closed[name] = end is not None
+                    to = end.start() + 1 if end else at + 1
+        at = html.find("<", to)
+    lost = [x for x in [*lost, *(x for held in last.values() for x in held)] if x[2] != "option"]  # an option's end tag may be left out
+    for begin, end, name in lost:
+        to = html.find("<", end) if name in LABELS else end
+        drop.append((begin, to if to >= 0 else len(html)))
+    out, at = [], 0
+    for begin, end in sorted(drop):
+        if begin > at:
+            out.append(html[at:begin])
+        at = max(at, end)
+    return "".join([*out, html[at:]])
 
 
 class Leaves(HTMLParser):
@@ -78,35 +147,39 @@ class Leaves(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...], bool]] = []
+        self.open: list[Place] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in open each tag is
+        self.outer: list[int] = []  # where in open blocks are, and what may hold options
         self.blocks: list[Block] = []
         self.run: list[str] = []
-        self.path: tuple | None = None
+        self.place: Place | None = None
+        self.begun = False
         self.linked = self.silent = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         if text:
-            self.blocks.append(Block(text, self.path or (), self.linked / max(1, sum(map(len, self.run)))))
-        self.run, self.path, self.linked = [], None, 0
+            self.blocks.append(Block(text, self.place, self.linked / max(1, sum(map(len, self.run)))))
+        self.run, self.place, self.begun, self.linked = [], None, False, 0
 
     def leave(self, to: int) -> None:
-        for tag, _, _ in self.open[to:]:
-            self.silent -= tag in SILENT
-            self.links -= tag == "a"
+        for element in self.open[to:]:
+            self.silent -= element.tag in SILENT
+            self.links -= element.tag == "a"
+            self.places[element.tag].pop()
+        while self.outer and self.outer[-1] >= to:
+            self.outer.pop()
         del self.open[to:]
 
     def end_head(self, body: bool) -> None:
         """Ends a head without an end tag: a body does from anywhere in it, anything else only right in it."""
-        if self.silent and any(name == "head" for name, _, _ in (self.open if body else self.open[-1:])):
-            self.leave(max(i for i, (name, _, _) in enumerate(self.open) if name == "head"))
+        if self.silent and self.places["head"] and (body or self.open[-1].tag == "head"):
+            self.leave(self.places["head"][-1])
 
     def end_foreign(self) -> None:
         """Ends an open drawing or formula, in which an element of HTML cannot be."""
-        if self.silent and not any(name == "foreignobject" for name, _, _ in self.open):
-            at = next((i for i, (name, _, _) in enumerate(self.open) if name in FOREIGN), None)
-            if at is not None:
-                self.leave(at)
+        if self.silent and not self.places["foreignobject"] and (at := [self.places[name][0] for name in FOREIGN if self.places[name]]):
+            self.leave(min(at))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in HEADED:
@@ -117,46 +190,41 @@ class Leaves(HTMLParser):
             self.run.append(" ")
         if tag in BLOCKS:
             if tag not in ("option", "select"):
-                while self.silent and self.open and self.open[-1][0] in LABELS:  # no block can be in them
+                while self.silent and self.open and self.open[-1].tag in LABELS:  # no block can be in them
                     self.leave(len(self.open) - 1)
             self.flush()
-            ends = CLOSES.get(tag, set()) | {"p"}
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in ends:
-                    self.leave(i)
-                    break
-                if name in BLOCKS and name not in ("p", *ends):
-                    break
+            if self.outer and self.open[self.outer[-1]].tag in CLOSES.get(tag, set()) | {"p"}:
+                self.leave(self.outer[-1])
         if tag in VOID:
             return
         names = dict(attrs)
         words = tuple(re.findall(r"[a-z]+", f"{names.get('class') or ''} {names.get('id') or ''} {names.get('role') or ''}".lower()))
-        self.open.append((tag, words, "data-main" in names))
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS or tag == "optgroup":
+            self.outer.append(len(self.open))
+        self.open.append(Place(self.open[-1] if self.open else None, tag, words, "data-main" in names))
         self.silent += tag in SILENT
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in FOREIGN:
             self.end_head(False)
-        elif not (self.silent and any(name in FOREIGN for name, _, _ in self.open)):
+        elif not (self.silent and any(self.places[name] for name in FOREIGN)):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.leave(i)
-                return
+        if self.places[tag]:
+            self.leave(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.silent and data.strip():
             self.end_head(False)
         if self.silent:
             return
-        if self.path is None and data.strip():
-            self.path = tuple(self.open)
+        if not self.begun and data.strip():
+            self.begun, self.place = True, self.open[-1] if self.open else None
         self.run.append(data)
         self.linked += len(data) * (self.links > 0)
 
@@ -169,46 +237,31 @@ def leaves(html: str) -> list[Block]:
     return parser.blocks
 
 
-def _bucket(x: float, *cuts: float) -> int:
-    return sum(x >= c for c in cuts)
-
-
-@functools.lru_cache(maxsize=65_536)
-def kind_of(tag: str, words: tuple[str, ...]) -> tuple[str | None, frozenset[str]]:
-    """What an element is by its tag or, failing that, the first of its names that tells; and the words that do."""
-    known = [n for w in words for n in ([w] if w in NAMED else [n for n in NAMED if len(n) > 4 and n in w])] if tag not in ("html", "body") else []
-    return KINDS.get(tag) or (NAMED[known[0]] if known else None), frozenset(known)
-
-
 def features(blocks: list[Block]) -> list[set[str]]:
     """The names of each block's features."""
     out = []
-    for i, b in enumerate(blocks):
-        tags = [t for t, _, _ in b.path if t in BLOCKS and t not in ("html", "body")]
-        seen = [kind_of(t, ws) for t, ws, _ in b.path]
-        kinds = [k for k, _ in seen if k]
-        own = {f"in:{t}" for t in tags} | {f"name:{w}" for _, known in seen for w in known}
+    for b in blocks:
+        p = b.place or Place(None, "", (), False)
         size = _bucket(len(b.text), 20, 60, 150, 400)
-        own |= {f"tag:{tags[-1] if tags else '-'}", f"long:{size}", f"linked:{_bucket(b.linked, 0.01, 0.3, 0.8)}"}
-        own |= {f"inner:{kinds[-1] if kinds else '-'}", f"outer:{kinds[0] if kinds else '-'}"}
-        inside = len(kinds) - kinds[::-1].index("main") if "main" in kinds else None
-        own |= {"outside"} if inside is None else {f"below:{k}" for k in kinds[inside:]} or {"directly"}
+        own = {f"in:{t}" for t in p.tags} | {f"name:{w}" for w in p.names}
+        own |= {f"tag:{p.last or '-'}", f"long:{size}", f"linked:{_bucket(b.linked, 0.01, 0.3, 0.8)}"}
+        own |= {f"inner:{p.inner or '-'}", f"outer:{p.outer or '-'}"}
+        own |= {"outside"} if p.below is None else {f"below:{k}" for k in p.below} or {"directly"}
+        own |= {f"above:{k}" for k in p.above}
         if b.text[-1] in ".!?…":
             own.add("ended")
         if "©" in b.text:
             own.add("rights")
         low = b.text.lower()
         own |= {f"hint:{w}:{size}" for w in HINTS if w in low}
-        own |= {"first"} if i == 0 else set()
-        own |= {"last"} if i == len(blocks) - 1 else set()
-        if not {"article", "main"} & set(tags):
+        if not {"article", "main"} & p.tags:
             own.add("untagged")
         out.append(own)
     return out
 
 
 class Field(NamedTuple):
-    """Log weights: of each feature for the label main, of (label, next label), of the first label."""
+    """Log weights: of each feature for the label main, of (label, next label), of the first label (none: an article may begin a page)."""
 
     weights: dict[str, float]
     steps: list[list[float]]
@@ -280,6 +333,7 @@ def train(pages: list[str] | None = None, rounds: int = 120, ridge: float = 1.0)
         expected[k : k + 4] = np.exp(pair)[real[:, 1:]].sum(axis=0).ravel()
         expected[k + 4 :] = p[:, 0].sum(axis=0)
         slope = seen - expected - ridge * theta
+        slope[k + 4 :] = 0  # where a page begins tells nothing
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         theta += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return Field(dict(zip(names, map(float, theta[:k]), strict=True)), theta[k : k + 4].reshape(2, 2).tolist(), theta[k + 4 :].tolist())
