@@ -1,47 +1,38 @@
-"""Meshes: islands of triangles, affine maps fitted and applied, assignment of islands to boxes.
-
-A mesh is a group: its triangles are handed to numpy together, one mesh at a time, many at once.
-"""
+"""Meshes: islands of triangles, affine maps fitted and applied, assignment of islands to boxes."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from . import components
+
 SINGULAR = 1e-12
 #: Up to so many groups' means and fits (some 60 bytes each) are broadcast, after they were counted.
 BROADCAST_FITS = 100_000
 
 
-def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Triangles that share a vertex share an island; islands are numbered by their first triangle."""
-    pdf = pdf.sort_values("t", kind="stable")
-    corners = pdf[["v0", "v1", "v2"]].to_numpy()
-    _, at = np.unique(corners.ravel(), return_inverse=True)
-    at = at.reshape(corners.shape)
-    label = np.arange(at.max() + 1 if len(at) else 0)
-    while True:  # each vertex takes the least label around it, and then its label's label
-        low = label[at].min(axis=1)
-        new = label.copy()
-        np.minimum.at(new, at.ravel(), np.repeat(low, 3))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    _, first, island = np.unique(label[at[:, 0]], return_index=True, return_inverse=True)
-    place = np.empty(len(first), np.int32)
-    place[np.argsort(first, kind="stable")] = np.arange(len(first), dtype=np.int32)
-    return pdf[["mesh", "t"]].assign(island=place[island] if len(pdf) else [])
-
-
 def islands(triangles: DataFrame) -> DataFrame:
-    """mesh, t, island of triangles (mesh long, t long, v0, v1, v2)."""
-    return triangles.select("mesh", "t", "v0", "v1", "v2").groupBy("mesh").applyInPandas(_numbered, "mesh long, t long, island int")
+    """mesh, t, island of triangles (mesh long, t long, v0, v1, v2): those that share a vertex share an island.
+
+    A mesh's islands are numbered from 0 by their first triangle. A triangle that lacks a corner is on no island (null).
+    Components are found by joins, so a mesh of any size is many tasks' work.
+    """
+    own = staged(triangles.select("mesh", "t", "v0", "v1", "v2"), "mesh-triangles")
+    whole = own.dropna(subset=["v0", "v1", "v2"])
+    sides = whole.select("mesh", F.col("v0").alias("a"), F.explode(F.array("v0", "v1", "v2")).alias("b"))
+    found = components.components(sides).select("mesh", F.col("node").alias("v0"), "root")
+    corners = whole.groupBy("mesh", "v0").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
+    rooted = staged(corners.join(found, ["mesh", "v0"]), "mesh-corners")
+    firsts = rooted.groupBy("mesh", "root").agg(F.min("first").alias("first"))
+    numbers = firsts.withColumn("island", (F.row_number().over(Window.partitionBy("mesh").orderBy("first", "root")) - 1).cast("int")).drop("first")
+    named = staged(rooted.join(numbers, ["mesh", "root"]).select("mesh", "v0", "n", "island"), "mesh-islands")
+    laid = components.joined(whole, named, ["mesh", "v0"], own.count()).select("mesh", "t", "island")
+    return laid.unionByName(own.filter("v0 IS NULL OR v1 IS NULL OR v2 IS NULL").select("mesh", "t", F.lit(None).cast("int").alias("island")))
 
 
 def island_boxes(numbered: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -79,8 +70,6 @@ def applied(vertices: DataFrame, maps: DataFrame, on: list[str]) -> DataFrame:
 
 def regrouped(triangles: DataFrame, mapped: Column) -> DataFrame:
     """triangles with place: the mapped ones first, each part in its order."""
-    from pyspark.sql import Window
-
     return triangles.withColumn("place", F.row_number().over(Window.partitionBy("mesh").orderBy(F.desc(mapped.cast("int")), "t")))
 
 

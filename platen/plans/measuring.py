@@ -217,7 +217,7 @@ SELECT l_returnflag, l_linestatus, round(any_value(a), 3) AS a, round(any_value(
 
 
 def mesh_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as triangles of meshes: the islands they make, numbered by their first triangle. SQL can't follow them."""
+    """Lines as triangles of meshes: the islands they make, numbered by their first triangle."""
     l = read(spark, sf_dir, "lineitem")
     order = Window.partitionBy("mesh").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     t = l.withColumn("mesh", F.floor(F.col("l_orderkey") / 4)).withColumn("t", (F.row_number().over(order) - 1).cast("long"))
@@ -234,9 +234,16 @@ CARRIERS = """
 WITH s AS (SELECT *, (l_partkey % 150) * 100.0::DOUBLE AS w, l_quantity * 100 AS h FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN h <= 1000 THEN 'barrier' WHEN h <= 2000 THEN 'fence' WHEN w <= 12000 AND h <= 4000 THEN 'billboard' ELSE 'frame' END AS carrier, greatest(1, ceil(w / 2500.0))::INTEGER AS panels FROM s"""
 
+MESH = """
+WITH RECURSIVE t AS (SELECT l_orderkey // 4 AS mesh, row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS t, [l_partkey % 20, 20 + l_suppkey % 20, 40 + l_linenumber + l_orderkey % 4 * 7] AS vs FROM lineitem),
+near AS (SELECT DISTINCT a.mesh, a.t AS x, b.t AS y FROM t a JOIN t b ON a.mesh = b.mesh AND list_has_any(a.vs, b.vs)),
+reach AS (SELECT mesh, x, y FROM near UNION SELECT r.mesh, r.x, n.y FROM reach r JOIN near n ON n.mesh = r.mesh AND n.x = r.y),
+firsts AS (SELECT mesh, x AS t, min(y) AS first FROM reach GROUP BY mesh, x)
+SELECT mesh, t, (dense_rank() OVER (PARTITION BY mesh ORDER BY first) - 1)::INTEGER AS island FROM firsts"""
+
 QUERIES = {
     "carriers": (carriers, CARRIERS),
     "resolved_items": (resolved_items, RESOLVED), "typed_dimensions": (typed_dimensions, TYPED), "role_boxes": (role_boxes, ROLES), "template_ranks": (template_ranks, RANKS), "decisive_templates": (decisive_templates, DECISIVE),
     "near_prices": (near_prices, NEAR), "page_answers": (page_answers, ANSWERS), "making": (making, MAKING), "ring_measures": (ring_measures, RINGS), "curve_boxes": (curve_boxes, CURVES), "clipped_segments": (clipped_segments, CLIPPED),
-    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, None),
+    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, MESH),
 }

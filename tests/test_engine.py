@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions import dates, editor, geometry, names, numbers
-from platen.operators import die, items, mesh, orders, outlines, polygons, raster, scenes, state, templates
+from platen.operators import components, die, items, mesh, orders, outlines, polygons, raster, scenes, state, templates
 from platen.sources import files, sheet, shop
 from platen.streaming import quiet, ticks
 
@@ -239,6 +239,33 @@ def test_meshes(spark):
     assert {r["k"]: r["collinear"] for r in mesh.collinear(df, "k").collect()} == {"a": False, "line": True}
 
 
+def test_islands_of_any_shape(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(1, i, i, i + 1, i + 2) for i in range(300)]  # a strip, the worst for passing labels on
+    rows += [(2, i, 0, 1000 + 2 * i, 1001 + 2 * i) for i in range(400)] + [(2, 900, 5, 6, 7)]  # a vertex in nearly every triangle
+    rows += [(3, i, *map(int, rng.integers(0, 150, 3))) for i in range(60)] + [(3, 99, 4, 4, 4), (4, 7, 1, 2, 3), (4, 8, None, 2, 3)]
+    df = spark.createDataFrame(rows, "mesh long, t long, v0 long, v1 long, v2 long").repartition(5)
+    want, parents = {}, {}
+
+    def top(x):
+        while parents.setdefault(x, x) != x:
+            x = parents[x]
+        return x
+
+    for m, _, *vs in rows:
+        for v in vs[1:] if None not in vs else []:
+            parents[top((m, v))] = top((m, vs[0]))
+    numbers = {}
+    for m, t, *vs in rows:  # by falling age within a mesh
+        if None not in vs:
+            want[m, t] = numbers.setdefault(m, {}).setdefault(top((m, vs[0])), len(numbers[m]))
+    for hot in (1000, 2):
+        monkeypatch.setattr(components, "HOT", hot)
+        got = {(r["mesh"], r["t"]): r["island"] for r in mesh.islands(df).collect()}
+        assert got == want | {(4, 8): None}
+    assert mesh.islands(df.limit(0)).count() == 0
+
+
 def laid(spark, islands, boxes):
     columns = "x0 double, y0 double, x1 double, y1 double"
     left = spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(islands)], f"mesh long, island int, {columns}")
