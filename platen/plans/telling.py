@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import orders, scenes, state
+from ..operators import holding, orders, scenes, state
 from ..sources import files
 from . import derived
 from .tracking import _HOLIDAYS, read
@@ -129,6 +129,26 @@ def held_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.evicted(e, "user_id", "ts", "bytes", "event_id", 60 * 24 * 20, 100_000)
 
 
+def upload_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as uploads that users put and ask for again: what each is given, by its owner and the restarted clock."""
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    put = i % 3 == 0
+    asked = e.select("user_id", F.col("ts").alias("at"), F.when(put, "put").otherwise("get").alias("kind"), F.concat(F.lit("u"), i % 4).alias("token"), F.when(put, i % 1000).alias("size"), F.when(put & (i % 2 == 0), "ann").alias("owner"), F.when(i % 5 > 1, "ann").otherwise("bob").alias("caller"))
+    return holding.answers(asked, "user_id", HELD_DAYS * 24 * 60)
+
+
+#: Users' events lie days apart, so uploads are held for days here.
+HELD_DAYS = 4
+
+#: All that a user puts fits under the cap, so only time ends an upload: it is there if no gap since it was put was too long.
+UPLOADS = f"""
+WITH e AS (SELECT user_id, epoch_us(ts::TIMESTAMP) AS micros, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS kind, concat('u', event_id % 4) AS token, CASE WHEN event_id % 6 = 0 THEN 'ann' END AS owner, CASE WHEN event_id % 5 > 1 THEN 'ann' ELSE 'bob' END AS caller, event_id FROM events),
+g AS (SELECT *, row_number() OVER w AS n, micros - lag(micros) OVER w > {HELD_DAYS} * 86400000000 AS broken FROM e WINDOW w AS (PARTITION BY user_id, token ORDER BY micros, kind DESC, event_id % 1000, owner NULLS FIRST, caller)),
+p AS (SELECT *, max(CASE WHEN kind = 'put' THEN n END) OVER (PARTITION BY user_id, token ORDER BY n) AS since FROM g),
+q AS (SELECT *, count(*) FILTER (WHERE broken AND kind = 'get') OVER (PARTITION BY user_id, token, since ORDER BY n) AS gaps, first_value(owner) OVER (PARTITION BY user_id, token, since ORDER BY n) AS whose FROM p)
+SELECT user_id, micros, kind, token, kind = 'put' OR (since IS NOT NULL AND gaps = 0 AND coalesce(whose = caller, TRUE)) AS given FROM q"""
+
+
 def recalled_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which saved designs a link still opens."""
     o = read(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_orderkey") % 6 == 0, "t").otherwise("token-0123456789-"), F.col("o_orderkey")).alias("token"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").cast("string").alias("filename"))
@@ -141,5 +161,5 @@ SELECT concat(CASE WHEN o_orderkey % 6 = 0 THEN 't' ELSE 'token-0123456789-' END
 
 QUERIES = {
     "order_texts": (order_texts, ORDER_TEXTS), "digest_left": (digest_left, DIGEST_LEFT), "warehouse_days": (warehouse_days, WAREHOUSE_DAYS), "group_labels": (group_labels, GROUP_LABELS), "voided_lines": (voided_lines, VOIDED), "listed_suppliers": (listed_suppliers, LISTED),
-    "client_traces": (client_traces, TRACES), "first_runs": (first_runs, FIRST_RUNS), "held_uploads": (held_uploads, None), "recalled_designs": (recalled_designs, RECALLED),
+    "client_traces": (client_traces, TRACES), "first_runs": (first_runs, FIRST_RUNS), "held_uploads": (held_uploads, None), "upload_answers": (upload_answers, UPLOADS), "recalled_designs": (recalled_designs, RECALLED),
 }
