@@ -202,7 +202,11 @@ def logged(who: Column, address: Column, method: Column, path: Column, status: C
 
 
 def rewritten(spark: SparkSession, path: str, blocks: dict[str, object]) -> None:
-    """Writes a JSON document anew with some of its blocks replaced: first beside it, then in its place. For one small document."""
+    """Writes a JSON document anew with some of its blocks replaced: first beside it, then in its place. For one small document.
+
+    The new document takes the old one's name in one step of the file system, so at every moment one of them can be read
+    whole; a write that fails before leaves the old one, and what lies beside it is written over the next time.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".tmp"))
     store = at.getFileSystem(conf)
@@ -210,5 +214,7 @@ def rewritten(spark: SparkSession, path: str, blocks: dict[str, object]) -> None
     out = store.create(beside, True)
     out.write(bytearray(json.dumps(old | blocks, ensure_ascii=False, indent=2).encode()))
     out.close()
-    store.delete(at, False)
-    store.rename(beside, at)
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    at, beside = store.makeQualified(at), store.makeQualified(beside)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(beside, at, over)
