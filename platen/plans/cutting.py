@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point
-from ..operators import overlay
+from ..operators import masks, overlay
 from . import derived
+from .drawing import _PX, _pixels
 
 #: An order is a sheet with a window (shape a) and a plate laid over it (shape b), in millimetres; some plates share the sheet's edges.
 SHEETS_SQL = """
@@ -38,4 +39,28 @@ m AS (SELECT *, greatest(0, least(x + w, bx + bw) - greatest(x, bx)) * greatest(
 u AS (SELECT id, 'union' AS operation, a + b - c AS area FROM m UNION ALL SELECT id, 'intersection', c FROM m UNION ALL SELECT id, 'difference', a - c FROM m UNION ALL SELECT id, 'either', a + b - 2 * c FROM m)
 SELECT id, operation, round(area, 3)::DOUBLE AS area FROM u WHERE area > 1e-9"""
 
-QUERIES = {"overlaid_sheets": (overlaid_sheets, OVERLAID)}
+#: Outlines of each picture in pixels, eight by eight of five millimetres: a bleed that narrows downwards, a safe one within it.
+def _outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ids = _pixels(spark, sf_dir).select("id").distinct()
+    left = F.col("id") % 2
+    ring = lambda *ps: F.array(*[point(F.lit(x) * 5.0 if not hasattr(x, "cast") else x * 5.0, F.lit(y) * 5.0) for x, y in ps])
+    bleed = ids.select("id", ring((left, 0.0), (7.0, 0.0), (6.0, 8.0), (left, 8.0)).alias("ring"))
+    safe = ids.select("id", ring((3.0, 3.0), (5.0, 3.0), (5.0, 5.0), (3.0, 5.0)).alias("ring"))
+    return bleed, safe, ids.select("id", F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+def shaped_intrusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep each picture's dark pixels reach into the margin between two outlines."""
+    bleed, safe, sizes = _outlines(spark, sf_dir)
+    dark = _pixels(spark, sf_dir).filter("g < 180").select("id", "x", "y")
+    return masks.shaped_intrusions(dark, sizes, bleed, safe, 0.2, 2.0, 15.0)[1]
+
+
+SHAPED = f"""
+WITH {_PX}, inside AS (SELECT id, x, y, x >= id % 2 AND x <= 7 - y / 8.0 AS bleed, x BETWEEN 3 AND 5 AND y BETWEEN 3 AND 4 AS safe, g < 180 AS dark FROM px),
+kept AS (SELECT * FROM inside p WHERE dark AND NOT safe AND bleed AND NOT EXISTS (SELECT 1 FROM inside q WHERE q.id = p.id AND NOT q.bleed AND abs(q.x - p.x) + abs(q.y - p.y) <= 1)),
+tiles AS (SELECT id, max(n) AS n FROM (SELECT id, count(*) AS n FROM kept GROUP BY id, x // 2, y // 2) t GROUP BY id),
+far AS (SELECT k.id, k.x, k.y, least(4, min(abs(s.x - k.x) + abs(s.y - k.y))) AS steps FROM kept k JOIN inside s ON s.id = k.id AND s.safe GROUP BY k.id, k.x, k.y)
+SELECT i.id, coalesce(round(max(steps) FILTER (WHERE n / 4.0 >= 0.06) / 0.2::DOUBLE, 2), 0) AS intrusion_mm FROM (SELECT DISTINCT id FROM px) i LEFT JOIN far ON far.id = i.id LEFT JOIN tiles ON tiles.id = i.id GROUP BY i.id"""
+
+QUERIES = {"shaped_intrusions": (shaped_intrusions, SHAPED), "overlaid_sheets": (overlaid_sheets, OVERLAID)}
