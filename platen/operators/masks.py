@@ -120,3 +120,33 @@ def ink_cells(pieces: DataFrame, page_w: float, page_h: float) -> DataFrame:
     cells = every.select("page", at("ax", "bx", cell_w).alias("column"), at("ay", "by", cell_h).alias("row")).distinct()
     return cells.filter((c("column") < columns) & (c("row") < rows) & (c("column") >= 0) & (c("row") >= 0))
 
+
+
+def located_offset(px: DataFrame, rings: DataFrame, per_mm: float, max_shift_mm: float) -> DataFrame:
+    """id, dx_mm, dy_mm: the shift, that far to each side at most, that puts the most ink and the least paper inside the rings.
+
+    px: a picture's pixels (id, x, y, r, g, b); rings: id, ring in millimetres. Ink counts one for, paper one against, what
+    is off the page nothing. A shift that is no more than half a pixel better than none is none; of equal ones
+    the first, from none to the right and down, then from the far left and top. Pictures without a ring stay.
+
+    A run of the mask over a line of the picture is the difference of two running sums, so each meets a line once
+    for all shifts along it.
+    """
+    c = F.col
+    reach = int(-(-max_shift_mm * per_mm // 1))
+    line = Window.partitionBy("id", "y").orderBy("x")
+    sums = px.select("id", "x", "y", F.sum(F.when(raster.ink(), 1).otherwise(-1)).over(line).alias("sum"))
+    lines = sums.groupBy("id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "sum"))), lambda p: p["sum"]).alias("sums"))
+    sizes = raster.sizes(px)
+    wide = sizes.select("id", (c("width") + 2 * reach).alias("width"), (c("height") + 2 * reach).alias("height"))
+    beside = rings.select("id", F.transform("ring", lambda p: F.struct((p["x"] + reach / per_mm).alias("x"), (p["y"] + reach / per_mm).alias("y"))).alias("ring"))
+    mask = filled(beside, wide, per_mm).select("id", (c("y") - reach).alias("row"), (c("x0") - reach).alias("x0"), (c("x1") - reach).alias("x1"))
+    met = mask.withColumn("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("y", c("row") + c("dy")).join(lines, ["id", "y"])
+    before = lambda x: F.when(x <= 0, F.lit(0)).otherwise(F.get("sums", F.least(x, F.size("sums")).cast("int") - 1))
+    each = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: F.struct(d.alias("dx"), (before(c("x1") + d + 1) - before(c("x0") + d)).alias("score")))
+    scores = met.select("id", "dy", F.inline(each)).groupBy("id", "dy", "dx").agg(F.sum("score").alias("score"))
+    turn = lambda d: F.when(c(d) < 0, c(d) + 2 * reach + 1).otherwise(c(d))
+    best = scores.groupBy("id").agg(F.max(F.struct("score", (-turn("dy")).alias("down"), (-turn("dx")).alias("right"), "dx", "dy")).alias("best"), F.max(F.when((c("dx") == 0) & (c("dy") == 0), c("score"))).alias("here"))
+    good = c("best.score") > F.coalesce("here", F.lit(0)) + 0.5
+    shift = lambda k: F.coalesce(F.when(good, c(f"best.{k}") / F.lit(float(per_mm))), F.lit(0.0)).alias(f"{k}_mm")
+    return sizes.select("id").join(best, "id", "left").select("id", shift("dx"), shift("dy"))

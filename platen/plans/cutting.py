@@ -63,4 +63,17 @@ tiles AS (SELECT id, max(n) AS n FROM (SELECT id, count(*) AS n FROM kept GROUP
 far AS (SELECT k.id, k.x, k.y, least(4, min(abs(s.x - k.x) + abs(s.y - k.y))) AS steps FROM kept k JOIN inside s ON s.id = k.id AND s.safe GROUP BY k.id, k.x, k.y)
 SELECT i.id, coalesce(round(max(steps) FILTER (WHERE n / 4.0 >= 0.06) / 0.2::DOUBLE, 2), 0) AS intrusion_mm FROM (SELECT DISTINCT id FROM px) i LEFT JOIN far ON far.id = i.id LEFT JOIN tiles ON tiles.id = i.id GROUP BY i.id"""
 
-QUERIES = {"shaped_intrusions": (shaped_intrusions, SHAPED), "overlaid_sheets": (overlaid_sheets, OVERLAID)}
+def located_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each picture's ink lies best under a rectangle."""
+    px = _pixels(spark, sf_dir)
+    ring = F.array(*[point(F.lit(x), F.lit(y)) for x, y in ((2.0, 2.0), (5.0, 2.0), (5.0, 6.0), (2.0, 6.0))])
+    return masks.located_offset(px, px.select("id").distinct().withColumn("ring", ring), 1.0, 3.0)
+
+
+LOCATED = f"""
+WITH {_PX}, d AS (SELECT unnest(range(-3, 4)) AS k), m AS (SELECT a.k AS x, b.k AS y FROM (SELECT unnest(range(2, 6)) AS k) a, (SELECT unnest(range(2, 6)) AS k) b),
+s AS (SELECT px.id, dx.k AS dx, dy.k AS dy, sum(CASE WHEN px.g < 250 THEN 1 ELSE -1 END) AS score FROM d dx, d dy, m JOIN px ON px.x = m.x + dx.k AND px.y = m.y + dy.k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, (dy + 7) % 7, (dx + 7) % 7) AS n, max(score) FILTER (WHERE dx = 0 AND dy = 0) OVER (PARTITION BY id) AS here FROM s)
+SELECT id, CASE WHEN score > here + 0.5 THEN dx ELSE 0 END::DOUBLE AS dx_mm, CASE WHEN score > here + 0.5 THEN dy ELSE 0 END::DOUBLE AS dy_mm FROM r WHERE n = 1"""
+
+QUERIES = {"located_offsets": (located_offsets, LOCATED), "shaped_intrusions": (shaped_intrusions, SHAPED), "overlaid_sheets": (overlaid_sheets, OVERLAID)}

@@ -82,6 +82,33 @@ def test_shaped_intrusions_by_frontier(spark):
     assert got[0] == got[5] == 0 and got[4] > 0
 
 
+def test_offset_by_direct_correlation(spark):
+    rng = np.random.default_rng(11)
+    shape, reach = (24, 20), 5
+    ring = [(3.0, 4.0), (14.0, 2.0), (12.0, 17.0), (-2.0, 12.0)]  # reaches past the page's edge
+    pages = [np.where(rng.random(shape) < 0.5, 0, 255) for _ in range(5)] + [np.full(shape, 255), np.full(shape, 0)]
+    wide = inside([(x + reach, y + reach) for x, y in ring], (shape[0] + 2 * reach, shape[1] + 2 * reach))
+    for dx, dy in ((3, -2), (-4, 5), (0, 0)):
+        page = np.full(shape, 255)
+        for y, x in zip(*np.nonzero(wide), strict=True):
+            if 0 <= y - reach + dy < shape[0] and 0 <= x - reach + dx < shape[1]:
+                page[y - reach + dy, x - reach + dx] = 0
+        pages.append(page)
+    rows = [(i, int(x), int(y), *[int(p[y, x])] * 3) for i, p in enumerate(pages) for y in range(shape[0]) for x in range(shape[1])]
+    px = spark.createDataFrame(rows, "id long, x int, y int, r int, g int, b int")
+    rings = spark.createDataFrame([(i, ring) for i in range(len(pages) - 1)], "id long, ring array<struct<x: double, y: double>>")
+    got = {r["id"]: (r["dx_mm"], r["dy_mm"]) for r in masks.located_offset(px, rings, 2.0 / 2, reach).collect()}
+    order = [*range(reach + 1), *range(-reach, 0)]
+    for i, page in enumerate(pages[:-1]):
+        signed = np.zeros(wide.shape)
+        signed[reach:-reach, reach:-reach] = np.where(page < 250, 1, -1)
+        at = lambda dx, dy, s=signed: sum(s[y + dy, x + dx] for y, x in zip(*np.nonzero(wide), strict=True) if 0 <= y + dy < s.shape[0] and 0 <= x + dx < s.shape[1])
+        score = {(dx, dy): at(dx, dy) for dy in order for dx in order}
+        best = max(score, key=lambda k: score[k])  # of equal ones the first
+        assert got[i] == (best if score[best] > score[0, 0] + 0.5 else (0, 0)), i
+    assert got[7] == (3, -2) and got[9] == (0, 0)
+
+
 def test_cells_that_paths_run_through(spark):
     pieces = spark.createDataFrame([(1, 1.0, 1.0, 30.0, 1.0), (1, 10.0, -5.0, 10.0, 3.0), (2, 100.0, 100.0, 120.0, 100.0), (3, 0.0, 0.0, 20.0, 20.0)], "page long, ax double, ay double, bx double, by double")
     got = {}
