@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..staging import staged
 from . import components
 
@@ -61,6 +63,72 @@ def affine_fit(df: DataFrame, keys: list[str], x: str, y: str, u: str) -> DataFr
     return df.join(fits, keys).groupBy(*keys).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("c").alias("c"), error.alias("residual"))
 
 
+#: A pivot below which a system is singular, and the share of the trace that is added to it then; how far off a line points are, by the square of their extent.
+PIVOT, RIDGE, OFF_LINE = 1e-12, 1e-9, 1e-9
+
+
+def _cleared(k: int, least: Column) -> Callable[[Column], Column]:
+    """A step of elimination: the largest of column k's rest comes to row k, and what others have in that column goes."""
+    col = F.lit(k)
+
+    def step(m: Column) -> Column:
+        best = F.array_max(F.array(*[F.struct(F.abs(F.get(F.get(m, F.lit(r)), col)).alias("size"), F.lit(-r).alias("row")) for r in range(k, 4)]))
+
+        def eliminated(found: Column) -> Column:
+            row = -found["row"]
+            pivot = F.get(m, row)
+            swapped = F.transform(m, lambda own, r: F.when(r == col, pivot).when(r == row, F.get(m, col)).otherwise(own))
+            clear = lambda own, r: F.when(r == col, own).otherwise(F.zip_with(own, pivot, lambda a, b: a - F.get(own, col) / F.get(pivot, col) * b))
+            return F.when(found["size"] >= least, geometry.let(swapped, lambda w: F.transform(w, clear)))
+
+        return geometry.let(best, eliminated)
+
+    return step
+
+
+def solved(rows: Column, least: Column) -> Column:
+    """The rows of a system (an array of arrays of four coefficients and what they come to, any number of right sides) solved by
+    elimination with the largest pivot: an array of four arrays, or null where a pivot is below the least.
+    """
+    for k in range(4):
+        rows = geometry.let(rows, _cleared(k, least))
+    rest = lambda own, i: F.transform(F.slice(own, 5, F.size(own)), lambda v: v / F.get(own, i))
+    return geometry.let(rows, lambda m: F.when(m.isNotNull(), F.transform(m, rest)))
+
+
+def space_fit(df: DataFrame, keys: list[str], x: str, y: str, z: str, u: str, v: str) -> DataFrame:
+    """keys, au, bu, cu, du, av, bv, cv, dv, flat, residual_u, residual_v: u = au x + bu y + cu z + du by least squares, and v alike.
+
+    Where the points lie in a plane the system is singular (flat): a whisper of its trace on its diagonal then picks the
+    smallest map, which is the same on the plane. Null for fewer than four points, and for points on a line. Rows
+    that lack a number don't count; residuals are the largest errors.
+    """
+    c = F.col
+    own = df.select(*keys, *[c(k).cast("double").alias(n) for k, n in zip((x, y, z, u, v), ("x", "y", "z", "u", "v"), strict=True)]).dropna(subset=["x", "y", "z", "u", "v"])
+    from_ = [c("x"), c("y"), c("z"), F.lit(1.0)]
+    sums = {f"s{i}{j}": F.sum(from_[i] * from_[j]) for i in range(4) for j in range(i, 4)} | {f"{n}{i}": F.sum(from_[i] * c(n)) for n in "uv" for i in range(4)}
+    per = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "z")).alias("p"), *[e.alias(k) for k, e in sums.items()])
+    few = per.count() <= BROADCAST_FITS
+    spread = lambda t: F.broadcast(t) if few else t
+    edge = F.struct(*[(c(k) - c(f"p.{k}")).alias(k) for k in "xyz"])
+    long = F.sqrt(c("e.x") * c("e.x") + c("e.y") * c("e.y") + c("e.z") * c("e.z"))
+    edges = own.join(spread(per.select(*keys, "p")), keys).select(*keys, edge.alias("e")).withColumn("long", long)
+    far = edges.groupBy(*keys).agg(F.max(F.struct("long", "e")).alias("far"))
+    f = lambda k: c(f"far.e.{k}")
+    cross = [c(f"e.{a}") * f(b) - c(f"e.{b}") * f(a) for a, b in (("y", "z"), ("z", "x"), ("x", "y"))]
+    off = F.sqrt(sum((k * k for k in cross[1:]), cross[0] * cross[0]))
+    lines = edges.join(spread(far), keys).groupBy(*keys).agg((F.max(off) <= OFF_LINE * F.max(c("far.long") * c("far.long"))).alias("line"))
+    cell = lambda i, j, extra: c(f"s{min(i, j)}{max(i, j)}") + (extra if i == j else F.lit(0.0))
+    system = lambda extra: F.array(*[F.array(*[cell(i, j, extra) for j in range(4)], c(f"u{i}"), c(f"v{i}")) for i in range(4)])
+    trace = c("s00") + c("s11") + c("s22") + c("s33")
+    least = F.greatest(trace, F.lit(1.0)) * PIVOT  # of many or large points rounding leaves more than PIVOT
+    found = per.join(spread(lines), keys).withColumn("exact", F.when(c("n") >= 4, solved(system(F.lit(0.0)), least)))
+    found = found.withColumn("fit", F.coalesce("exact", F.when((c("n") >= 4) & ~c("line"), solved(system(trace * (RIDGE / 4)), least))))
+    fits = found.select(*keys, *[F.get(F.get("fit", F.lit(i)), F.lit(k)).alias(f"{a}{n}") for k, n in enumerate("uv") for i, a in enumerate("abcd")], (c("exact").isNull() & c("fit").isNotNull()).alias("flat"))
+    error = lambda n: F.max(F.abs(c(f"a{n}") * c("x") + c(f"b{n}") * c("y") + c(f"c{n}") * c("z") + c(f"d{n}") - c(n))).alias(f"residual_{n}")
+    return spread(fits).join(own.join(spread(fits), keys).groupBy(*keys).agg(error("u"), error("v")), keys)
+
+
 def applied(vertices: DataFrame, maps: DataFrame, on: list[str]) -> DataFrame:
     """vertices with u, v through their island's affine map (on, au, bu, cu, av, bv, cv)."""
     mapped = vertices.join(maps, on)

@@ -241,9 +241,36 @@ reach AS (SELECT mesh, x, y FROM near UNION SELECT r.mesh, r.x, n.y FROM reach r
 firsts AS (SELECT mesh, x AS t, min(y) AS first FROM reach GROUP BY mesh, x)
 SELECT mesh, t, (dense_rank() OVER (PARTITION BY mesh ORDER BY first) - 1)::INTEGER AS island FROM firsts"""
 
+def space_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps from lines' numbers, as points in space, by line number; those of odd numbers lie in a plane."""
+    l = read(spark, sf_dir, "lineitem")
+    x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100
+    t = l.select("l_linenumber", x.alias("x"), y.alias("y"), F.when(F.col("l_linenumber") % 2 == 1, x + 2 * y).otherwise(F.col("l_tax").cast("double") * 100).alias("z"), (F.col("l_extendedprice").cast("double") / 1000).alias("u"), (F.col("l_partkey") % 100).cast("double").alias("v"))
+    out = mesh.space_fit(t, ["l_linenumber"], "x", "y", "z", "u", "v")
+    return out.select("l_linenumber", "flat", *[F.when(~F.col("flat"), F.round(c, 5)).alias(c) for c in ("au", "cu", "bv", "dv")], F.round("residual_u", 2).alias("residual_u"), F.round("residual_v", 2).alias("residual_v"))
+
+
+def _cofactors(r: str) -> str:
+    """Cramer's rule for three unknowns about the middle, as SQL: the numerators of a, b, c for the right side r."""
+    m = [["xx", "xy", "xz"], ["xy", "yy", "yz"], ["xz", "yz", "zz"]]
+    det = lambda n: " ".join(f"{s} {n[0][i]} * ({n[1][j]} * {n[2][k]} - {n[1][k]} * {n[2][j]})" for s, i, j, k in (("", 0, 1, 2), ("-", 1, 0, 2), ("+", 2, 0, 1)))
+    swap = lambda col: [[f"{'xyz'[i]}{r}" if j == col else m[i][j] for j in range(3)] for i in range(3)]
+    return ", ".join(f"({det(swap(k))}) / ({det(m)}) AS {'abc'[k]}{r}" for k in range(3))
+
+
+#: In a plane the third number tells nothing, so the map of the first two has the same errors.
+SPACE = f"""
+WITH p AS (SELECT l_linenumber AS k, l_quantity::DOUBLE AS x, l_discount::DOUBLE * 100 AS y, l_tax::DOUBLE * 100 AS z, l_extendedprice::DOUBLE / 1000 AS u, (l_partkey % 100)::DOUBLE AS v FROM lineitem),
+m AS (SELECT *, k % 2 = 1 AS flat, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz, u - avg(u) OVER w AS du, v - avg(v) OVER w AS dv FROM p WINDOW w AS (PARTITION BY k)),
+s AS (SELECT k, any_value(flat) AS flat, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(u) AS mu, avg(v) AS mv, sum(dx * dx) AS xx, sum(dx * dy) AS xy, CASE WHEN any_value(flat) THEN 0 ELSE sum(dx * dz) END AS xz, sum(dy * dy) AS yy, CASE WHEN any_value(flat) THEN 0 ELSE sum(dy * dz) END AS yz, CASE WHEN any_value(flat) THEN 1 ELSE sum(dz * dz) END AS zz,
+    sum(dx * du) AS xu, sum(dy * du) AS yu, CASE WHEN any_value(flat) THEN 0 ELSE sum(dz * du) END AS zu, sum(dx * dv) AS xv, sum(dy * dv) AS yv, CASE WHEN any_value(flat) THEN 0 ELSE sum(dz * dv) END AS zv FROM m GROUP BY k),
+f AS (SELECT *, {_cofactors("u")}, {_cofactors("v")} FROM s),
+e AS (SELECT m.k, max(abs(au * dx + bu * dy + cu * dz - du)) AS ru, max(abs(av * dx + bv * dy + cv * dz - dv)) AS rv FROM m JOIN f ON f.k = m.k GROUP BY m.k)
+SELECT f.k AS l_linenumber, flat, CASE WHEN NOT flat THEN round(au, 5) END AS au, CASE WHEN NOT flat THEN round(cu, 5) END AS cu, CASE WHEN NOT flat THEN round(bv, 5) END AS bv, CASE WHEN NOT flat THEN round(mv - av * mx - bv * my - cv * mz, 5) END AS dv, round(ru, 2) AS residual_u, round(rv, 2) AS residual_v FROM f JOIN e ON e.k = f.k"""
+
 QUERIES = {
     "carriers": (carriers, CARRIERS),
     "resolved_items": (resolved_items, RESOLVED), "typed_dimensions": (typed_dimensions, TYPED), "role_boxes": (role_boxes, ROLES), "template_ranks": (template_ranks, RANKS), "decisive_templates": (decisive_templates, DECISIVE),
     "near_prices": (near_prices, NEAR), "page_answers": (page_answers, ANSWERS), "making": (making, MAKING), "ring_measures": (ring_measures, RINGS), "curve_boxes": (curve_boxes, CURVES), "clipped_segments": (clipped_segments, CLIPPED),
-    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, MESH),
+    "die_rollup": (die_rollup, DIE), "affine_fits": (affine_fits, AFFINE), "mesh_islands": (mesh_islands, MESH), "space_fits": (space_fits, SPACE),
 }

@@ -239,6 +239,26 @@ def test_meshes(spark):
     assert {r["k"]: r["collinear"] for r in mesh.collinear(df, "k").collect()} == {"a": False, "line": True}
 
 
+def test_maps_in_space(spark):
+    rng = np.random.default_rng(4)
+    true = np.array([[2.0, -1.0, 0.5, 3.0], [0.25, 4.0, -2.0, -7.0]])
+    groups = {"any": rng.normal(size=(40, 3)) * 50, "few": rng.normal(size=(3, 3)), "line": np.arange(9)[:, None] * np.array([1.0, -2.0, 3.0]) + 5, "point": np.full((6, 3), 2.0)}
+    flat = rng.normal(size=(30, 2)) * 20
+    groups["flat"] = flat @ np.array([[1.0, 0.0, 2.0], [0.0, 1.0, -1.0]]) + np.array([0.0, 0.0, 4.0])
+    noise = {"any": 0.3, "flat": 0.2}
+    rows = [(k, *map(float, p), *map(float, true @ [*p, 1] + rng.normal(size=2) * noise.get(k, 0))) for k, ps in groups.items() for p in ps] + [("any", None, 1.0, 1.0, 1.0, 1.0)]
+    got = {r["k"]: r for r in mesh.space_fit(spark.createDataFrame(rows, "k string, x double, y double, z double, u double, v double"), ["k"], "x", "y", "z", "u", "v").collect()}
+    assert all(got[k]["au"] is None and got[k]["residual_u"] is None for k in ("few", "line", "point"))
+    for k in ("any", "flat"):
+        own = np.array([r[1:] for r in rows if r[0] == k and r[1] is not None])
+        a = np.column_stack([own[:, :3], np.ones(len(own))])
+        want = np.linalg.lstsq(a, own[:, 3:], rcond=None)[0]  # of all best maps the smallest
+        assert got[k]["flat"] == (k == "flat")
+        for n, w in zip("uv", want.T, strict=True):
+            assert [got[k][f"{c}{n}"] for c in "abcd"] == pytest.approx(w, abs=1e-5)
+            assert got[k][f"residual_{n}"] == pytest.approx(np.abs(a @ w - own[:, 3 + "uv".index(n)]).max(), abs=1e-5)
+
+
 def test_islands_of_any_shape(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(1, i, i, i + 1, i + 2) for i in range(300)]  # a strip, the worst for passing labels on
