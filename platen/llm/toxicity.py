@@ -183,7 +183,7 @@ def fit_tables(rows: DataFrame) -> dict[float, Tables]:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, list[float], float]:
     """The loss, and slopes and bias by Newton's method, the slopes held by a small ridge."""
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)  # what differs by rounding only tells nothing
     design, theta = np.column_stack([(x - x.mean(axis=0)) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     ridge = np.diag([0.1] * x.shape[1] + [1e-6])
     for _ in range(50):
@@ -207,10 +207,14 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     known = labels.select(F.col(key).cast("long").alias("fit_key"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (fold(F.col("fit_key")) != 0))
     known = known.groupBy("fit_key").agg(F.max("toxic").alias("toxic"))
     sizes = documents.select(F.col(key).cast("long").alias("fit_key"), F.octet_length(text).alias("size")).join(known, "fit_key")
-    n, chars = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    sizes = stage(sizes.groupBy("fit_key").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")), "toxicity-sizes")
+    n, chars = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     rate = min(1.0, FIT_DOCUMENTS / max(1, n), FIT_CHARS / max(1, chars))
-    chosen = known.filter(F.pmod(F.xxhash64("fit_key"), F.lit(1_000_000)) < F.lit(round(rate * 1_000_000)))
-    rows = documents.select(F.col(key).cast("long").alias("fit_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "fit_key")
+    drawn = F.xxhash64("fit_key").bitwiseAND(F.lit((1 << 63) - 1))  # of 63 bits: no rate rounds to none
+    chosen = sizes if rate >= 1 else sizes.filter(drawn < F.lit(max(1, int(rate * (1 << 63)))))
+    chosen = chosen.select("fit_key", "toxic")
+    few = chosen.count() <= 2 * FIT_DOCUMENTS  # all of them have a document, so that is all that is ever expected
+    rows = documents.select(F.col(key).cast("long").alias("fit_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, "fit_key")
     rows = stage(rows.select("toxic", "text", (fold(F.col("fit_key")) == 1).alias("held")), "toxicity-sample")
     tables = fit_tables(rows.filter(~F.col("held")))
     if not tables:

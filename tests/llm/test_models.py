@@ -526,3 +526,17 @@ def test_pipeline_against_its_operators(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, clashing(edge), SF01).count() >= 0
         assert stage(spark, edge.limit(0), SF01).count() == 0
+
+
+def test_toxicity_samples_what_has_a_document(spark, monkeypatch):
+    """Labels of no document neither shrink the sample nor reach a task; a low rate leaves few, not none."""
+    docs = spark.createDataFrame([(i, ("you idiot " if i % 3 == 0 else "a calm day ") + "and so on " * 3) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    more = labels.unionByName(spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic")))
+    one, other = (toxicity.fit(docs, t) for t in (labels, more))
+    assert all(np.array_equal(a, b) for a, b in zip(one.tables, other.tables, strict=True))
+    texts = pa.array(["you idiot and so on", "a calm day and so on"])
+    assert one.scores(texts) == pytest.approx(other.scores(texts))
+    monkeypatch.setattr(toxicity, "FIT_DOCUMENTS", 300)
+    high, low = toxicity.fit(docs, labels).scores(texts)
+    assert high > 0.5 > low
