@@ -70,6 +70,12 @@ def _tidied(text: str) -> str:
     return text
 
 
+def _unnamed(norm: str) -> str:
+    for pattern, to in licences.NAMES:
+        norm = f"regexp_replace({norm}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return norm
+
+
 LICENCES = rf"""
 WITH known(norm, id) AS (VALUES {_values([(s, i) for i, forms in licences.SENTENCES.items() for s in forms])}),
 rules(place, licence, n, ids) AS (VALUES {_values([(k, name, len(own), ",".join(own)) for k, (name, own) in enumerate(licences.RULES)])}),
@@ -77,8 +83,14 @@ texts AS (
     SELECT row_number() OVER () AS rid, doc_id,
         string_split(regexp_replace(regexp_replace({_tidied("text")}, '{licences.ENDS}', '\1' || chr(1), 'g'), '{licences.GAPS}', chr(1), 'g'), chr(1)) AS parts
     FROM documents),
-pieces AS (SELECT rid, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS spot FROM texts),
-sentences AS (SELECT rid, doc_id, spot, trim(regexp_replace(lower(s), '{licences.REST}', ' ', 'g')) AS norm FROM pieces),
+named AS (
+    SELECT rid, doc_id, flatten(list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '{licences.TAG}') THEN
+        list_transform(string_split_regex(regexp_replace(regexp_replace(s, '{licences.EXCEPT}', '', 'g'), '{licences.TAG}', ''), '{licences.JOINS}'),
+            lambda x: 'SPDX-License-Identifier: ' || regexp_replace(x, '{licences.PLUS}', '-or-later')) ELSE [s] END)) AS parts
+    FROM texts),
+pieces AS (SELECT rid, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS spot FROM named),
+plain AS (SELECT rid, doc_id, spot, trim(regexp_replace(lower(s), '{licences.REST}', ' ', 'g')) AS norm FROM pieces),
+sentences AS (SELECT rid, doc_id, spot, {_unnamed("norm")} AS norm FROM plain),
 marks AS (
     SELECT s.rid, s.doc_id, s.spot, k.id, row_number() OVER (PARTITION BY s.rid ORDER BY s.spot) AS nth
     FROM sentences s LEFT JOIN known k ON k.norm = s.norm WHERE k.id IS NOT NULL OR NOT regexp_matches(s.norm, '{licences.ALONE}')),

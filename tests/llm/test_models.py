@@ -541,3 +541,35 @@ def test_toxicity_samples_what_has_a_document(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_DOCUMENTS", 300)
     high, low = toxicity.fit(docs, labels).scores(texts)
     assert high > 0.5 > low
+
+
+#: Texts, and the licences that are in them.
+WORDINGS = [
+    *[(_BSD + _ENDORSE.replace("the copyright holder", who) + _AS_IS.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", loud), ["BSD-3-Clause"]) for who, loud in (("Google Inc.", "GOOGLE INC. AND CONTRIBUTORS"), ("the <ORGANIZATION>", "<COPYRIGHT HOLDER>"), ("John Q. Public", "JOHN Q PUBLIC AND CONTRIBUTORS"), ("Foo, Ltd.", "Foo, Ltd. and others"))],
+    (_BSD, ["BSD"]),
+    (_BSD + "\nSomething else is said here.\n\n" + _AS_IS, ["BSD"]),
+    (STANDARD["MIT"].replace("conditions:\n\n", "conditions: "), ["MIT"]),
+    ("This project is licensed under the MIT License - see the LICENSE.md file for details.", ["MIT"]),
+    ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details", ["MIT"]),
+    ("Licensed under the Apache License, Version 2.0. See the notes.", ["Apache-2.0"]),
+    ("The code is available under the terms of the MIT license, see LICENSE.txt for more information.", ["MIT"]),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;", ["Apache-2.0", "MIT"]),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", ["GPL-2.0-only"]),
+    ("/* SPDX-License-Identifier: (LGPL-2.1+ AND (BSD-2-Clause OR 0BSD)) */", ["0BSD", "BSD-2-Clause", "LGPL-2.1-or-later"]),
+    ("SPDX-License-Identifier: Unheard-1.0", []),
+    ("In no event shall we meet. Neither the name nor the place is known. See the licence.", []),
+    ("Neither the name of Foo Inc. is known. Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+]
+
+
+def test_licence_names_and_expressions(spark):
+    import duckdb
+    import pandas as pd
+
+    from platen.llm import oracle
+
+    rows = [(i, t) for i, (t, _) in enumerate(WORDINGS)]
+    got = [tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {i: sorted({r[1] for r in got if r[0] == i}) for i, _ in rows} == {i: sorted(names) for i, (_, names) in enumerate(WORDINGS)}
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert Counter(got) == Counter(duckdb.sql(oracle.LICENCES).fetchall())
