@@ -208,8 +208,21 @@ a AS (SELECT ord, unnest(regexp_split_to_array(warehouse_email, '[\\s,;/]+')) AS
 f AS (SELECT *, row_number() OVER (PARTITION BY ord, lower(a) ORDER BY i) AS nth FROM a WHERE regexp_full_match(a, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+'))
 SELECT ord, string_agg(a, ',' ORDER BY i) AS addresses, concat(ord % 130, ' ', CASE WHEN ord % 130 = 1 THEN 'adres' WHEN ord % 10 BETWEEN 2 AND 4 AND NOT ord % 130 % 100 BETWEEN 12 AND 14 THEN 'adresy' ELSE 'adresów' END) AS counted FROM f WHERE nth = 1 GROUP BY ord"""
 
+#: Letters of the parts' names, and what stands for them so that there is something to fold.
+_PLAIN, _MARKED = "aceilnosuz", "\u00e4\u00e7\u0119\u00ef\u0142\u0144\u00f3\u00df\u016f\u017c"
+
+
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' names, written with marks, in ASCII."""
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", names.folded(F.translate("p_name", _PLAIN, _MARKED)).alias("folded"))
+
+
+FOLDED = f"SELECT p_partkey, regexp_replace(strip_accents(translate(translate(coalesce(p_name, ''), '{_PLAIN}', '{_MARKED}'), '\u0142\u0141', 'lL')), '[^\\x00-\\x7F]', '', 'g') AS folded FROM part"
+
+
 QUERIES = {
     "order_groups": (order_groups, ORDER_GROUPS), "pending_items": (pending_items, PENDING), "warehouse_digest": (warehouse_digest, DIGEST), "working_days": (working_days, WORKING), "lead_times": (lead_times, LEAD),
     "throttled_visits": (throttled_visits, THROTTLED), "visit_sessions": (visit_sessions, SESSIONS), "since_last_error": (since_last_error, SINCE), "kept_designs": (kept_designs, KEPT), "busy_hours": (busy_hours, BUSY),
-    "detail_boxes": (detail_boxes, BOXES), "name_facts": (name_facts, NAMES), "addresses": (addresses, ADDRESSES),
+    "detail_boxes": (detail_boxes, BOXES), "name_facts": (name_facts, NAMES), "folded_names": (folded_names, FOLDED), "addresses": (addresses, ADDRESSES),
 }

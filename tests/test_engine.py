@@ -538,3 +538,53 @@ def test_scenes(spark):
     assert size("Vento S", "sheet") == (800, 1800) and size("other", "flat") == (400, 500) and size("ventos", "sheet") is None
     assert one(spark, scenes.first_hop(lit("1.1.1.1, 2.2.2.2"), lit("x"))) == "1.1.1.1" and one(spark, scenes.first_hop(lit(None).cast("string"), lit("x"))) == "x"
     assert one(spark, scenes.trace(F.array(lit(" a \n b "), lit("c" * 300))))[0] == "a b" and one(spark, scenes.painted(lit("b*"))) == "both"
+
+
+def test_folded_names(spark):
+    import unicodedata
+
+    texts = ["\u0142\u00f3d\u017a", "\u0141\u00c9", "stra\u00dfe \ufb01 \u00bd \u2122", "\u65e5\u672c", "plain.pdf", "", None, "e\u0301"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(names.folded(F.col("t"))).collect()]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", (t or "").replace("\u0142", "l").replace("\u0141", "L")) if ord(c) < 128) for t in texts]
+    assert got == want and got[0] == "lodz"
+
+
+def test_stored_outlines(spark):
+    point = "struct<x double, y double>"
+    shape = f"i int, start {point}, segments array<struct<a {point}, b {point}, to {point}>>, closed boolean, w double, h double, o {point}"
+    line = lambda x, y: (None, None, (x, y))
+    rows = [
+        (0, (0.12345, 1.0), [line(10.0004, 1.0), ((12.0, 1.0), (12.0, 5.0), (10.0, 5.0)), line(-2.0, 5.0)], True, None, None, None),
+        (1, (0.0, 0.0), [line(3.0, 4.0)], None, 7.0, 8.0, (1.0, 2.0)),
+        (2, (1.0, 1.0), [], False, None, None, None),
+        (3, None, [line(1.0, 1.0)], True, None, None, None),
+        (4, (0.0, 0.0), None, True, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, shape).select("i", outlines.stored(*[F.col(c) for c in ("start", "segments", "closed", "w", "h", "o")]).alias("s"))
+    got = {r["i"]: r for r in df.select("i", "s", outlines.restored(F.col("s")).alias("r")).collect()}
+    assert got[3]["s"] is None and got[4]["s"] is None and got[3]["r"] is None
+    first = got[0]["s"]
+    assert first["start"] == [0.123, 1.0] and [(s["kind"], s["numbers"]) for s in first["segments"]] == [("l", [10.0, 1.0]), ("c", [12.0, 1.0, 12.0, 5.0, 10.0, 5.0]), ("l", [-2.0, 5.0])]
+    t = np.linspace(0, 1, 2001)
+    widest = (10.0004 * (1 - t) ** 3 + 36 * t * (1 - t) ** 2 + 36 * t**2 * (1 - t) + 10 * t**3).max()
+    assert first["width_mm"] == pytest.approx(widest + 2, abs=0.06) and first["height_mm"] == 4.0 and first["origin_mm"] == [-2.0, 1.0] and first["closed"]
+    one = got[1]["s"]
+    assert (one["width_mm"], one["height_mm"], one["origin_mm"], one["closed"]) == (7.0, 8.0, [1.0, 2.0], False)
+    assert (got[2]["s"]["width_mm"], got[2]["s"]["origin_mm"], got[2]["s"]["segments"]) == (0.0, [1.0, 1.0], [])
+    back = got[0]["r"]
+    assert back["segments"][0]["a"] is None and tuple(back["segments"][1]["b"]) == (12.0, 5.0) and tuple(back["segments"][2]["to"]) == (-2.0, 5.0) and tuple(back["origin_mm"]) == (-2.0, 1.0)
+
+
+def test_faces_sizes_ticks_and_stamps(spark):
+    from platen.operators import stamps
+
+    faces = [("  A ", [0.0, 0.0, 1.0, 1.0]), ("", [0.0, 0.0, 1.0, 1.0]), ("B", [0.0, 1.0]), ("C", [0.0, None, 1.0, 1.0]), (None, None)]
+    df = spark.createDataFrame([(faces,)], "f array<struct<label string, box array<double>>>")
+    assert [(x["label"], x["box"]) for x in df.select(templates.valid_faces(F.col("f")).alias("f")).first()["f"]] == [("A", [0.0, 0.0, 1.0, 1.0])]
+    sizes = spark.createDataFrame([(0, 1999.96), (1, 12.34), (2, 7.0)], "i int, x double").orderBy("i").select(numbers.size_text(F.col("x")).alias("t"))
+    assert [r["t"] for r in sizes.collect()] == ["2000", "12.3", "7"]
+    ticks_ = spark.createDataFrame([(0, " true"), (1, "TRUE"), (2, "yes"), (3, None)], "i int, x string").orderBy("i").select(F.coalesce(orders.ticked(F.col("x")), F.lit(False)).alias("t"))
+    assert [r["t"] for r in ticks_.collect()] == [True, True, False, False]
+    item = "i struct<netto_mm array<double>, bleed_mm double, safe_mm double, scale double, strip_mm double>"
+    text = spark.createDataFrame([((([100.126, 50.0], 3.0, 5.0, 1.0, None)),)], item).select(stamps.item_payload(F.col("i"), F.lit("mesh"), F.lit("L"))).first()[0]
+    assert json.loads(text)["netto_mm"] == [100.13, 50.0] and json.loads(text)["material"] == "mesh"
