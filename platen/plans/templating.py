@@ -330,7 +330,7 @@ LARGE = f"SELECT token AS file_id, ord, row_number() OVER (PARTITION BY token OR
 
 
 def bare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that are the template itself, and how many findings the others have once those of backs are dropped."""
+    """Files whose verdict is ok once a bare template and a back have been taken into account."""
     t = derived.cases(spark, sf_dir).withColumn("n", F.crc32("file_id"))
     bare = templates.bare(F.col("facts.guides_present"), F.transform(F.col("facts.blank_edges_mm"), lambda x: x * 40), F.col("expected.brutto_mm"), F.col("n") % 3 == 0, F.when(F.col("n") % 2 == 0, 1), F.col("facts.fonts"))
     return rules.summarise(t, bare=bare, back=F.col("n") % 5 == 0).filter("verdict = 'ok'").select("file_id")
