@@ -524,6 +524,34 @@ def test_names_of_files(spark):
         assert one(spark, names.has_diacritics(lit(n).cast("string"))) == want, n
 
 
+def many_files(spark):
+    """Templates, cuts, outlines and pages of forty files of two kinds and twenty templates of two kinds on their page."""
+    shelf = spark.createDataFrame([(i, f"T{i:02}", 1000.0, 500.0, i) for i in range(20)] + [(99, "other", 3000.0, 500.0, 99)], "token long, name string, page_w double, page_h double, ord long")
+    cuts = spark.createDataFrame([(i, k, "cut", 100.0 + 300 * (i > 0), 50.0 + k) for i in range(20) for k in (0, 9)] + [(99, 0, "cut", 1.0, 1.0)], "token long, ord int, type string, w double, h double")
+    up = spark.createDataFrame([(f, 100.5 + 300 * (f % 2), h, True) for f in range(40) for h in (50.0, 59.5)] + [(f, 700.0, 7.0, False) for f in range(40)], "file_id long, w double, h double, closed boolean")
+    return shelf, cuts, up, spark.createDataFrame([(f, 1001.0, 499.0) for f in range(40)], "file_id long, page_w double, page_h double")
+
+
+def test_ranks_are_found_once_for_files_that_are_alike(spark):
+    tables = many_files(spark)
+    files, places = outlines.ranked_kinds(*tables)
+    assert files.count() == 40 and files.select("alike").distinct().count() == 2 and places.count() == 40
+    got = {(r["file_id"], r["token"]): (r["matched"], r["outlines"], r["place"]) for r in outlines.ranked(*tables).collect()}
+    assert len(got) == 800 and got[0, 0] == (2, 2, 1) and got[0, 5] == (0, 2, 6) and got[1, 0] == (0, 2, 20) and got[1, 19] == (2, 2, 19)
+
+
+def test_decisive_by_kind(spark):
+    files, places = outlines.ranked_kinds(*many_files(spark))
+    got = {r["file_id"]: r["token"] for r in outlines.decisive(places, "alike").join(files, "alike").collect()}
+    assert got == {f: 0 for f in range(0, 40, 2)}
+
+
+def test_candidates_that_are_ranked_are_told_by_their_pages(spark):
+    shelf, _, _, pages = many_files(spark)
+    pairs = spark.createDataFrame([(0, 3, "T03"), (0, 99, "other"), (77, 3, "T03")], "file_id long, token long, name string")
+    assert sorted((r["file_id"], r["token"]) for r in outlines.unranked(pairs, shelf, pages).collect()) == [(0, 99), (77, 3)]
+
+
 def test_candidates_by_name(spark):
     ranked = spark.createDataFrame([("f", "a", "A", 2, 3)], "file_id string, token string, name string, matched long, outlines long")
     shelf = spark.createDataFrame([("a", "A", 100.0, 200.0), ("b", "B", 201.0, 99.5), ("c", "C", 100.0, 230.0), ("d", "D", None, 200.0)], "token string, name string, trim_w double, trim_h double")
