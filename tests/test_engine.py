@@ -286,6 +286,31 @@ def test_islands_of_any_shape(spark, monkeypatch):
     assert mesh.islands(df.limit(0)).count() == 0
 
 
+def test_small_parts_are_done_within_tasks_and_large_ones_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(p, int(a), int(b)) for p in range(40) for a, b in rng.integers(0, 60, (40, 2))] + [(50, i, i + 1) for i in range(300)] + [(51, 7, 7), (52, 1, None), (None, 1, 2)]
+    links = spark.createDataFrame(rows, "mesh long, a long, b long").repartition(5)
+    parents, want = {}, {}
+
+    def top(x):
+        while parents.setdefault(x, x) != x:
+            x = parents[x]
+        return x
+
+    for p, a, b in rows:
+        if p is not None and b is not None:
+            one_, other = sorted((top((p, a)), top((p, b))))
+            parents[other] = one_
+    want = {x: top(x)[1] for x in list(parents)}
+    result = lambda: {(r["mesh"], r["node"]): r["root"] for r in components.components(links).collect()}
+    for small in (100, 0):
+        monkeypatch.setattr(components, "SMALL", small)
+        assert result() == want
+    monkeypatch.setattr(components, "SMALL", 100_000)
+    monkeypatch.setattr(components, "_by_joins", None)  # no round of joins for parts that fit a task
+    assert result() == want
+
+
 def laid(spark, islands, boxes):
     columns = "x0 double, y0 double, x1 double, y1 double"
     left = spark.createDataFrame([(1, i, *map(float, b)) for i, b in enumerate(islands)], f"mesh long, island int, {columns}")
