@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices
 
-#: Words whose ids a worker remembers; it then starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers; it then starts anew. Bytes of text that it works on at a time. Several workers share
+#: an executor's memory with a JVM that earlier work has grown, so both are small: a word takes some 150 bytes, a byte of text 20.
+REMEMBERED, SLICE = 200_000, 4 << 20
 
 #: The normaliser and pre-tokenizer under which a text's ids are those of its parts between white space.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -149,7 +150,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
             names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for part in slices(batches, 1, 16 << 20):
+        for part in slices(batches, 1, SLICE):
             flat, ends = ids.of_texts(part.column(1), end)
             for k, own in zip(part.column(0).to_pylist(), np.split(flat, ends[:-1]), strict=True):
                 keys.append(k)
@@ -158,6 +159,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                 if held >= group_tokens:
                     yield closed()
                     keys, tokens, held = [], [], 0
+            release()
         if keys:
             yield closed()
 

@@ -338,3 +338,15 @@ def test_simhash_of_other_widths_and_radii(spark, width, radius):
 def test_crc_is_of_little_endian_ids(spark):
     r = spark.createDataFrame([(struct.pack("<2I", 5, 49407),)], "ids binary").select(F.crc32("ids")).first()[0]
     assert r == zlib.crc32(struct.pack("<2I", 5, 49407))
+
+
+def test_a_packing_worker_remembers_few_words():
+    """Several workers share an executor's memory, so none keeps more than some hundred thousand words."""
+    import pyarrow as pa
+
+    from platen.llm import packing, queries
+
+    ids = packing.WordIds(queries.tokenizer_path())
+    for k in range(5):
+        flat, ends = ids.of_texts(pa.array([" ".join(f"w{k * 80_000 + i:x}q" for i in range(80_000))]), 2)
+        assert len(flat) == ends[-1] and len(ids.known) <= 300_000
