@@ -577,6 +577,13 @@ def test_candidates_that_are_ranked_are_told_by_their_pages(spark):
     assert sorted((r["file_id"], r["token"]) for r in outlines.unranked(pairs, shelf, pages).collect()) == [(0, 99), (77, 3)]
 
 
+def test_places_of_equal_areas_agree_in_any_order(spark):
+    rows = [("f", 1, 200.0, 600.0), ("f", 1, 300.0, 400.0), ("f", 1, 600.0, 200.0), ("f", 1, 400.0, 300.0)]
+    for own in (rows, rows[::-1]):
+        got = outlines.candidates(spark.createDataFrame(own, "file_id string, ord int, w double, h double").coalesce(1)).orderBy("place").collect()
+        assert [r["w"] for r in got] == [200.0, 300.0, 400.0, 600.0]
+
+
 def test_candidates_by_name(spark):
     ranked = spark.createDataFrame([("f", "a", "A", 2, 3)], "file_id string, token string, name string, matched long, outlines long")
     shelf = spark.createDataFrame([("a", "A", 100.0, 200.0), ("b", "B", 201.0, 99.5), ("c", "C", 100.0, 230.0), ("d", "D", None, 200.0)], "token string, name string, trim_w double, trim_h double")
