@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,26 +144,17 @@ def regrouped(triangles: DataFrame, mapped: Column) -> DataFrame:
 ASPECT_TIE = 0.05
 
 
-def _assigned(islands_: pa.Table, boxes: pa.Table) -> pa.Table:
-    """One mesh: its islands by falling area choose among the free boxes, then among all, the largest unless another fits clearly better."""
-    by_size = lambda t, key: sorted((r for r in t.to_pylist()), key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r[key]))
-    pages, used, out = by_size(boxes, "box"), set(), []
-    for i in by_size(islands_, "island"):
-        w, h = i["x1"] - i["x0"], i["y1"] - i["y0"]
-        if w < SINGULAR_BOX or h < SINGULAR_BOX:
-            continue
-        best = None
-        for b in [b for b in pages if b["box"] not in used] or pages:
-            aspect = (b["x1"] - b["x0"]) / ((b["y1"] - b["y0"]) or SINGULAR_BOX) or SINGULAR_BOX
-            if not 0 < aspect < math.inf:
-                continue
-            error = min(abs(math.log(w / h / aspect)), abs(math.log(h / w / aspect)))
-            if best is None or error < best[1] - ASPECT_TIE:
-                best = (b["box"], error)
-        if best:
-            used.add(best[0])
-            out.append({"mesh": i["mesh"], "island": i["island"], "box": best[0], "error": best[1]})
-    return pa.Table.from_pylist(out, pa.schema([("mesh", pa.int64()), ("island", pa.int32()), ("box", pa.int32()), ("error", pa.float64())]))
+def _choose(pages: Column, w: Column, h: Column, used: Column) -> Column:
+    """struct(box, at, error) of the box that an island of this size lies on, among the free ones of ``pages`` (by falling area) or, where none is, among all."""
+
+    def better(best: Column, p: Column) -> Column:
+        error = F.least(F.abs(F.log(w / h / p["aspect"])), F.abs(F.log(h / w / p["aspect"])))
+        found = F.struct(p["box"].alias("box"), error.alias("error"))
+        return F.when(p["able"] & (best["box"].isNull() | (error < best["error"] - ASPECT_TIE)), found).otherwise(best)
+
+    none = F.struct(F.lit(None).cast("int").alias("box"), F.lit(None).cast("double").alias("error"))
+    free = F.filter(pages, lambda p: ~F.array_contains(used, p["box"]))
+    return geometry.let(free, lambda some: F.aggregate(F.when(F.size(some) > 0, some).otherwise(pages), none, better))
 
 
 #: Fixed value: a box narrower than this has collapsed.
@@ -179,10 +169,30 @@ def assigned(islands_: DataFrame, boxes: DataFrame) -> DataFrame:
     row; a page box of no width or height is as narrow as SINGULAR_BOX; boxes that lack a corner, or whose corners
     are the wrong way round, are nowhere.
     """
-    columns = ["x0", "y0", "x1", "y1"]
-    whole = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns) + " AND x1 >= x0 AND y1 >= y0"
-    left, right = (t.select("mesh", key, *[F.col(c).cast("double").alias(c) for c in columns]).filter(whole).groupBy("mesh") for t, key in ((islands_, "island"), (boxes, "box")))
-    return left.cogroup(right).applyInArrow(_assigned, "mesh long, island int, box int, error double")
+    c, columns = F.col, ["x0", "y0", "x1", "y1"]
+    whole = " AND ".join(f"{k} IS NOT NULL AND NOT isnan({k})" for k in columns) + " AND x1 >= x0 AND y1 >= y0"
+    some = lambda x: F.when(x == 0, F.lit(SINGULAR_BOX)).otherwise(x)
+    w, h = c("x1") - c("x0"), c("y1") - c("y0")
+    aspect = some(w / some(h))
+
+    def by_size(t: DataFrame, key: str, *more: Column) -> DataFrame:
+        own = t.select("mesh", c(key).cast("int").alias(key), *[c(k).cast("double").alias(k) for k in columns]).filter(whole)
+        return own.select("mesh", F.struct((-w * h).alias("size"), key, *more).alias("row")).groupBy("mesh").agg(F.sort_array(F.collect_list("row")).alias(f"{key}s"))
+
+    pages = by_size(boxes, "box", aspect.alias("aspect"), ((aspect > 0) & (aspect < math.inf)).alias("able"))
+    laid = by_size(islands_, "island", w.alias("w"), h.alias("h")).join(pages, "mesh")
+    kind = "struct<used:array<int>,out:array<struct<island:int,box:int,error:double>>>"
+    begin = F.struct(F.array().alias("used"), F.array().alias("out")).cast(kind)
+
+    def step(state: Column, i: Column) -> Column:
+        def taken(got: Column) -> Column:
+            row = F.struct(i["island"].alias("island"), got["box"].alias("box"), got["error"].alias("error"))
+            return F.when(got["box"].isNotNull(), F.struct(F.array_union(state["used"], F.array(got["box"])).alias("used"), F.array_append(state["out"], row).alias("out"))).otherwise(state)
+
+        return geometry.let(_choose(c("boxs"), i["w"], i["h"], state["used"]), taken)
+
+    wide = F.filter("islands", lambda i: (i["w"] >= SINGULAR_BOX) & (i["h"] >= SINGULAR_BOX))
+    return laid.select(c("mesh").cast("long").alias("mesh"), F.inline(F.aggregate(wide, begin, step, lambda state: state["out"])))
 
 
 def collinear(points: DataFrame, key: str, least: float = 1e-9) -> DataFrame:

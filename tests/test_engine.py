@@ -648,3 +648,12 @@ def test_faces_sizes_ticks_and_stamps(spark):
     item = "i struct<netto_mm array<double>, bleed_mm double, safe_mm double, scale double, strip_mm double>"
     text = spark.createDataFrame([((([100.126, 50.0], 3.0, 5.0, 1.0, None)),)], item).select(stamps.item_payload(F.col("i"), F.lit("mesh"), F.lit("L"))).first()[0]
     assert json.loads(text)["netto_mm"] == [100.13, 50.0] and json.loads(text)["material"] == "mesh"
+
+
+def test_boxes_are_assigned_without_a_call_for_each_mesh(spark):
+    """The greedy choice is a fold within rows, so many small meshes don't cost a Python call each."""
+    rows = spark.createDataFrame([(m, k, 0.0, 0.0, 1.0 + k, 2.0) for m in range(3) for k in range(2)], "mesh long, island int, x0 double, y0 double, x1 double, y1 double")
+    found = mesh.assigned(rows, rows.withColumnRenamed("island", "box"))
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+    # the larger chooses first: 2 by 2 fits its own kind, 1 by 2 takes what is left
+    assert sorted((r["mesh"], r["island"], r["box"]) for r in found.collect()) == [(m, k, k) for m in range(3) for k in range(2)]
