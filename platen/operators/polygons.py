@@ -84,14 +84,20 @@ def _cut(axis: str, bound: float, sign: int):
     def of(own: Column) -> Column:
         n = F.size(own)
 
+        away = lambda p: (p[axis] - bound) * sign
+
         def edge(p: Column, i: Column) -> Column:
-            q = F.get(own, (i + 1) % n)
-            a, b = (p[axis] - bound) * sign, (q[axis] - bound) * sign
-            t = a / F.nullif(a - b, F.lit(0.0))
-            mixed = lambda k: (p[k] + (q[k] - p[k]) * t).alias(k)
-            return F.array(F.when(a >= 0, point(p["x"], p["y"])), F.when(a * b < 0, F.struct(mixed("x"), mixed("y"))))
+            def cut(q: Column) -> Column:
+                a, b = away(p), away(q)
+                t = a / F.nullif(a - b, F.lit(0.0))
+                mixed = lambda k: (p[k] + (q[k] - p[k]) * t).alias(k)
+                return F.array(F.when(a >= 0, point(p["x"], p["y"])), F.when(a * b < 0, F.struct(mixed("x"), mixed("y"))))
+
+            return let(F.get(own, (i + 1) % n), cut)
 
-        return F.filter(F.flatten(F.transform(own, edge)), lambda p: p.isNotNull())
+        # most rings lie on one side of most lines: nothing is worked out for them
+        all_in = F.forall(own, lambda p: F.coalesce(away(p) >= 0, F.lit(False)))
+        return F.when(all_in, own).otherwise(F.filter(F.flatten(F.transform(own, edge)), lambda p: p.isNotNull()))
 
     return of
 

@@ -142,9 +142,11 @@ def _around(ring):
 
 def ring_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings by angle around the origin: offsets, clips, resampling. SQL can't follow them."""
-    t = points_of(spark, sf_dir).select("vec_id", _around("ring").alias("ring"))
-    moved = polygons.offset(F.col("ring"), -0.01)
-    even = polygons.resampled(F.col("ring"), 32)
+    # vectors come in few files; rings are dealt out to all tasks, and what is made of one is made once
+    t = points_of(spark, sf_dir).repartition("vec_id").select("vec_id", F.explode(F.array(_around("ring"))).alias("ring"))
+    made = F.struct(polygons.offset(F.col("ring"), -0.01).alias("moved"), polygons.resampled(F.col("ring"), 32).alias("even"))
+    t = t.select("vec_id", "ring", F.explode(F.array(made)).alias("made"))
+    moved, even = F.col("made.moved"), F.col("made.even")
     first, second = F.get(even, F.lit(0)), F.get(even, F.lit(1))
     return t.select(
         F.col("vec_id").alias("id"), F.round(geometry.let(moved, lambda m: geometry.signed_area(m["ring"])), 9).alias("offset_area"), moved["problem"].alias("problem"),
@@ -164,7 +166,10 @@ def clipped_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     ring = F.array(*[geometry.point(a, b) for a, b in ((x, y), (x + w, y), (x + w, y + w * 2), (x, y + w * 2))])
     cut = geometry.mirrored(polygons.clip(ring, 0.0, 0.0, 50.0, 60.0), F.lit(50.0), F.lit(60.0), F.col("l_partkey") % 2 == 0)
-    return t.select("l_orderkey", "l_partkey", "l_suppkey", F.round(F.abs(geometry.signed_area(cut)), 6).alias("area"), F.when(F.abs(geometry.signed_area(cut)) > 1e-9, F.round(geometry.box(cut)["x0"], 6) + 0.0).alias("x0"))
+    # an explode of one: what is cut is cut once, however often it is named
+    own = t.select("l_orderkey", "l_partkey", "l_suppkey", F.explode(F.array(cut)).alias("cut"))
+    own = own.select("l_orderkey", "l_partkey", "l_suppkey", "cut", F.explode(F.array(F.abs(geometry.signed_area(F.col("cut"))))).alias("size"))
+    return own.select("l_orderkey", "l_partkey", "l_suppkey", F.round("size", 6).alias("area"), F.when(F.col("size") > 1e-9, F.round(F.array_min(F.transform("cut", lambda p: p["x"])), 6) + 0.0).alias("x0"))
 
 
 CLIPPED_RINGS = """

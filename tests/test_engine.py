@@ -657,3 +657,12 @@ def test_boxes_are_assigned_without_a_call_for_each_mesh(spark):
     assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
     # the larger chooses first: 2 by 2 fits its own kind, 1 by 2 takes what is left
     assert sorted((r["mesh"], r["island"], r["box"]) for r in found.collect()) == [(m, k, k) for m in range(3) for k in range(2)]
+
+
+def test_rings_are_cut_once(spark):
+    """However often a cut ring is named, its four cuts are planned once; rings of few files are dealt out."""
+    from platen.plans import drawing
+
+    plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(drawing.clipped_rings).count("flatten(") == 4
+    assert "RepartitionByExpression" in plan(drawing.ring_shapes)
