@@ -98,3 +98,21 @@ def test_rings_are_closed_and_in_order(spark, cases):
     assert count(0, "intersection") == [25] and count(0, "difference") == [75] and count(1, "union") == [200] and count(3, "difference") == []
     assert count(4, "union") == [100] and count(4, "difference") == [-36, 100] and count(2, "union") == [100, 100] and count(5, "difference")[-1] > 0
     assert overlay.rings(border.limit(0)).count() == 0
+
+
+def test_small_shapes_within_tasks_as_by_joins(spark, cases, monkeypatch):
+    """Shapes of few edges aren't joined; what they come to is what joins make of them, also where an id goes on in the next batch."""
+    shapes = frame(spark, cases)
+    monkeypatch.setattr(overlay, "TOGETHER", 50)
+    rows = lambda border: sorted((r["id"], r["operation"], *[round(r[k], 5) for k in ("x0", "y0", "x1", "y1")]) for r in border.collect())
+    monkeypatch.setattr(overlay, "SMALL", 0)
+    joined = rows(overlay.overlaid(shapes, 1e-3))
+    monkeypatch.setattr(overlay, "SMALL", 1000)
+    within = overlay.overlaid(shapes, 1e-3)
+    assert rows(within) == joined and len(joined) > 1000
+    plan = overlay.overlaid(shapes, 1e-3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    lacking = shapes.selectExpr("cast(null as long) AS id", "side", "ring").unionByName(shapes.filter("id = 0"))
+    assert {r["id"] for r in overlay.overlaid(lacking, 1e-3).collect()} == {0}
+    far = spark.createDataFrame([(1, "a", [(8e5 + x, 8e5 + y) for x, y in box(0, 0, 0.01, 0.01)])], "id long, side string, ring array<struct<x: double, y: double>>")
+    assert overlay.areas(overlay.overlaid(far, 1e-3)).filter("operation = 'union'").first()["area"] == pytest.approx(1e-4, rel=1e-5)
