@@ -101,7 +101,8 @@ def shaped_intrusions(detail: DataFrame, sizes: DataFrame, bleed: DataFrame, saf
     near = kept.withColumn("row", F.explode(F.sequence(c("y").cast("int") - limit, c("y").cast("int") + limit))).join(inner.select("id", c("y").alias("row"), "x0", "x1"), ["id", "row"], "left")
     away = F.abs(c("row") - c("y")) + F.greatest(c("x0") - c("x"), c("x") - c("x1"), F.lit(0))
     per = near.groupBy("id", "x", "y").agg(F.least(F.coalesce(F.min(F.when(c("x0").isNotNull(), away)), F.lit(limit)), F.lit(limit)).alias("steps")).groupBy("id").agg(F.max("steps").alias("steps"))
-    deep = sizes.select("id").join(found.select("id").distinct().join(per, "id"), "id", "left")
+    some = marked.select(c("page").alias("id")).distinct()  # where a tile counts there is a region; which ones fuse doesn't matter
+    deep = sizes.select("id").join(some.join(per, "id"), "id", "left")
     return boxes, deep.select("id", F.bround(F.coalesce("steps", F.lit(0)) / per_mm, 2).alias("intrusion_mm"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import point
 from ..operators import masks, overlay
+from ..staging import staged
 from . import derived
 from .drawing import _PX, _pixels
 
@@ -41,7 +42,7 @@ SELECT id, operation, round(area, 3)::DOUBLE AS area FROM u WHERE area > 1e-9"""
 
 #: Outlines of each picture in pixels, eight by eight of five millimetres: a bleed that narrows downwards, a safe one within it.
 def _outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ids = _pixels(spark, sf_dir).select("id").distinct()
+    ids = staged(_pixels(spark, sf_dir).select("id").distinct(), "outline-pictures")
     left = F.col("id") % 2
     ring = lambda *ps: F.array(*[point(F.lit(x) * 5.0 if not hasattr(x, "cast") else x * 5.0, F.lit(y) * 5.0) for x, y in ps])
     bleed = ids.select("id", ring((left, 0.0), (7.0, 0.0), (6.0, 8.0), (left, 8.0)).alias("ring"))
