@@ -15,6 +15,8 @@ from . import components
 SINGULAR = 1e-12
 #: Up to so many groups' means and fits (some 60 bytes each) are broadcast, after they were counted.
 BROADCAST_FITS = 100_000
+#: A task sorts about so many corners or vertices; there are as many tasks as that takes.
+TASK_ROWS = 500_000
 
 
 def islands(triangles: DataFrame) -> DataFrame:
@@ -36,10 +38,22 @@ def islands(triangles: DataFrame) -> DataFrame:
     return laid.unionByName(own.filter("v0 IS NULL OR v1 IS NULL OR v2 IS NULL").select("mesh", "t", F.lit(None).cast("int").alias("island")))
 
 
+def dealt(t: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """t by its keys, in parts of at most about TASK_ROWS of so many rows, so that what a task holds doesn't grow with them."""
+    parts = -(-rows // TASK_ROWS)
+    if parts <= 1:
+        return t
+    return t.repartition(max(parts, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)  # fewer than usual would be shuffled again
+
+
 def island_boxes(numbered: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """mesh, island, u0, v0, u1, v1: the extent of each island's vertices (mesh, v, u_mm, v_mm)."""
-    corners = numbered.join(triangles, ["mesh", "t"]).select("mesh", "island", F.explode(F.array("v0", "v1", "v2")).alias("v"))
-    placed = corners.join(vertices, ["mesh", "v"])
+    """mesh, island, u0, v0, u1, v1: the extent of each island's vertices (mesh, v, u_mm, v_mm).
+
+    Triangles and vertices are counted, and dealt to as many tasks as they need.
+    """
+    n = max(3 * triangles.count(), vertices.count())
+    corners = dealt(numbered, n, "mesh", "t").join(dealt(triangles, n, "mesh", "t"), ["mesh", "t"]).select("mesh", "island", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+    placed = dealt(corners, n, "mesh", "v").join(dealt(vertices, n, "mesh", "v"), ["mesh", "v"])
     return placed.groupBy("mesh", "island").agg(F.min("u_mm").alias("u0"), F.min("v_mm").alias("v0"), F.max("u_mm").alias("u1"), F.max("v_mm").alias("v1"))
 
 

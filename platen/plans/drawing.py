@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import die, mesh, placements, polygons, raster
+from ..staging import staged
 from . import derived
 from .tracking import read
 
@@ -194,10 +195,13 @@ SELECT vec_id, k, greatest(2, least(512, floor(sqrt(long / 0.05) + 1)))::BIGINT
 
 def island_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extent of each island's vertices; triangles are lines, an island is a line number of an order."""
-    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"))
-    triangles = l.select(F.col("l_orderkey").alias("mesh"), F.col("l_linenumber").cast("long").alias("t"), (F.col("pk") % 40).alias("v0"), (40 + F.col("sk") % 40).alias("v1"), (80 + F.col("l_linenumber")).cast("long").alias("v2"))
+    rows = read(spark, sf_dir, "lineitem")
+    n = rows.count()
+    l = mesh.dealt(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), n, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"))
+    triangles = staged(l.select(F.col("l_orderkey").alias("mesh"), F.col("l_linenumber").cast("long").alias("t"), (F.col("pk") % 40).alias("v0"), (40 + F.col("sk") % 40).alias("v1"), (80 + F.col("l_linenumber")).cast("long").alias("v2")), "island-triangles")
     numbered = triangles.select("mesh", "t", (F.col("t") % 2).cast("int").alias("island"))
-    vertices = triangles.select("mesh", F.explode(F.array("v0", "v1", "v2")).alias("v")).distinct().select("mesh", "v", (F.col("v") * 7 % 100).cast("double").alias("u_mm"), (F.col("v") * 3 % 50).cast("double").alias("v_mm"))
+    vertices = mesh.dealt(triangles.select("mesh", F.explode(F.array("v0", "v1", "v2")).alias("v")), 3 * n, "mesh", "v").distinct().select("mesh", "v", (F.col("v") * 7 % 100).cast("double").alias("u_mm"), (F.col("v") * 3 % 50).cast("double").alias("v_mm"))
+    vertices = staged(vertices, "island-vertices")
     return mesh.island_boxes(numbered, triangles, vertices)
 
 

@@ -666,3 +666,19 @@ def test_rings_are_cut_once(spark):
     plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan(drawing.clipped_rings).count("flatten(") == 4
     assert "RepartitionByExpression" in plan(drawing.ring_shapes)
+
+
+def test_island_boxes_in_parts(spark, monkeypatch):
+    """The more triangles, the more parts: what one task sorts stays as it is."""
+    triangles = spark.createDataFrame([(m, t, t, t + 1, t + 2) for m in range(3) for t in range(20)], "mesh long, t long, v0 long, v1 long, v2 long")
+    numbered = triangles.select("mesh", "t", (F.col("t") % 2).cast("int").alias("island"))
+    vertices = spark.createDataFrame([(m, v, float(v * 7 % 10 + m), float(v)) for m in range(3) for v in range(22)], "mesh long, v long, u_mm double, v_mm double")
+    monkeypatch.setattr(mesh, "TASK_ROWS", 10)
+    found = mesh.island_boxes(numbered, triangles, vertices)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(", 18\n") == 4  # 180 corners
+    want = {}
+    for m in range(3):
+        for i in range(2):
+            own = [v for t in range(i, 20, 2) for v in (t, t + 1, t + 2)]
+            want[m, i] = (min(v * 7 % 10 + m for v in own), min(own), max(v * 7 % 10 + m for v in own), max(own))
+    assert {(r["mesh"], r["island"]): (r["u0"], r["v0"], r["u1"], r["v1"]) for r in found.collect()} == want
